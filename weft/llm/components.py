@@ -1,0 +1,48 @@
+"""Connected components of an edge table by contraction, without gathering anything on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weft.llm.base import durable
+
+
+def _flattened(parents: DataFrame) -> DataFrame:
+    """parents (node, root), each root smaller than its node or equal: follows the pointers to their ends.
+
+    A round squares the pointers twice, so a chain of length n takes about log4(n) rounds."""
+    while True:
+        jumped = parents
+        for _ in range(2):
+            ahead = jumped.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            jumped = jumped.join(ahead, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+        moved = parents.select("node", F.col("root").alias("_was"))
+        jumped = durable(jumped.join(moved, "node").select("node", "root", (F.col("root") != F.col("_was")).alias("_moved")))
+        parents = jumped.select("node", "root")
+        if jumped.filter("_moved").isEmpty():
+            return parents
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges (a, b), root the smallest node that can be reached.
+
+    Each round hooks every node to its smallest neighbour (a map-side minimum, so a hub costs no more
+    than another node), flattens the trees and keeps only the edges between different trees. At least
+    every node but the local minima goes, so rounds are few. Loops and repeated edges are allowed."""
+    pair = F.array_sort(F.array("a", "b"))
+    left = durable(edges.filter("a <> b").select(pair[0].alias("a"), pair[1].alias("b")).distinct())
+    whole: DataFrame | None = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        trees = _flattened(durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root"))))
+        if whole is None:
+            whole = trees
+        else:
+            higher = trees.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            whole = durable(whole.join(higher, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")))
+        of_a = trees.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        of_b = trees.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        joined = left.join(of_a, "a").join(of_b, "b").filter("ra <> rb")
+        left = durable(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    return whole if whole is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
