@@ -40,3 +40,19 @@ def let(value: Column, body) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def running(lengths: Column, step: int = 64) -> Column:
+    """For each number of an array the sum of those before it.
+
+    Sums whole steps first, so that n numbers take about n * step + (n / step)^2 additions and no
+    growing array is copied."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    n = F.size(lengths)
+
+    def placed(steps):
+        before = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda c: total(F.slice(steps, F.lit(1), c)))
+        return let(before, lambda b: F.transform(lengths, lambda x, i: F.get(b, F.floor(i / step).cast("int")) + total(F.slice(lengths, F.floor(i / step).cast("int") * step + 1, i % step))))
+
+    steps = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda c: total(F.slice(lengths, c * step + 1, F.lit(step))))
+    return F.when(n > 0, let(steps, placed)).otherwise(F.array().cast("array<bigint>"))

@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import media, quality_rules, sharding, simhash
+from weft.llm import bpe, media, quality_rules, secrets, sharding, simhash
 from weft.llm.base import sha256, table
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), sha256(secrets.joined(F.col("base"))).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    rows = rows.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -37,6 +52,6 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_rules, op6_media_columns, op7_hypergeometric_shards, op10_simhash_groups)
+    f.__name__: f for f in (op2_secret_scans, op3_byte_bpe, op4_quality_rules, op6_media_columns, op7_hypergeometric_shards, op10_simhash_groups)
 }
 ORACLES: dict[str, str] = {}
