@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, media, quality_rules, secrets, sharding, simhash
+from weft.llm import bpe, cotraining, media, quality_rules, raking, secrets, sharding, simhash
 from weft.llm.base import sha256, table
 
 
@@ -47,11 +47,19 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.drawn(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scans, op3_byte_bpe, op4_quality_rules, op6_media_columns, op7_hypergeometric_shards, op10_simhash_groups)
+    f.__name__: f for f in (op2_secret_scans, op3_byte_bpe, op4_quality_rules, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups)
 }
 ORACLES: dict[str, str] = {}
