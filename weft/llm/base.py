@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +24,21 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in files that all executors share, so that losing an executor loses nothing.
+    """df written as a table in the folder that all executors share, and read again: losing an executor
+    loses nothing, and what is planned on top starts from a file scan. (Dataset.checkpoint carries the
+    plan's constraints along; in a loop that makes each round slower to plan than the last.)
 
     The folder is spark.checkpoint.dir; one is made up only where the session has none, as in tests."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:
