@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, cotraining, media, quality_rules, raking, secrets, sharding, simhash
+from weft.llm import bpe, cotraining, licenses, media, quality_rules, quotes, raking, secrets, sharding, simhash
 from weft.llm.base import sha256, table
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return secrets.scan(table(spark, sf_dir, "documents")).select(
@@ -34,6 +38,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    said = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["matched"].cast("string"), m["size"].cast("string"), m["first"].cast("string"), m["last"].cast("string")))
+    best = F.array_max(F.transform("matches", lambda m: m["coverage"]))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"), best.alias("coverage"), F.array_join(said, ",").alias("matches"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload, shown = F.col("payload"), F.col("media")
     tail = F.crc32(F.substring(payload, -32, 32))
@@ -60,6 +71,6 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scans, op3_byte_bpe, op4_quality_rules, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups)
+    f.__name__: f for f in (op1_quote_links, op2_secret_scans, op3_byte_bpe, op4_quality_rules, op5_license_scans, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups)
 }
 ORACLES: dict[str, str] = {}
