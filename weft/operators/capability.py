@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions.numbers import half_even
 from weft.operators.components import connected_components
 from weft.schema import DIRECTIONS, dimension, tier_name, tier_rank
 
@@ -60,10 +61,10 @@ def score(caps: DataFrame) -> DataFrame:
         | (dim.isin("data", "column") & (F.col("writes") >= 2)) | ((dim == "api") & (F.col("serves") >= 2))
     )
     play = F.when(dup & (F.col("n_owners") == 1), "RETIRE").when(dup | (dim == "dependency"), "STANDARDIZE").otherwise("EXTRACT")
-    coupling = F.bround("mean_coupling", 3)
+    coupling = half_even(F.col("mean_coupling"), 3)
     base = F.col("n_members") + F.when(dup, 2).otherwise(0)
     worth = base * (1 - F.coalesce(F.col("coupling"), F.lit(0.0))) * F.when(F.col("n_owners") > 1, 1.5).otherwise(1.0) * (F.col("rank") / 3)
-    return caps.withColumn("coupling", coupling).withColumn("play", play).withColumn("opportunity", F.bround(worth, 2))
+    return caps.withColumn("coupling", coupling).withColumn("play", play).withColumn("opportunity", half_even(worth, 2))
 
 
 _OUT = ("id", "dimension", "label", "n_members", "n_owners", "tier", "coupling", "play", "opportunity")

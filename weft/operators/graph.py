@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.numbers import half_even
 from weft.operators.capability import strongest_touch
 from weft.operators.components import connected_components
 from weft.schema import tier_name, tier_rank
@@ -66,7 +67,7 @@ def clusters(facts: DataFrame, clone_pairs: DataFrame, owners: DataFrame, coupli
         best("CLONE").alias("clone"), best("DUP_PRODUCER").alias("producer"), best("DUP_WRITER").alias("writer"), best("DUP_ENDPOINT").alias("endpoint"), F.min(F.struct("resource_type", "resource_id")).alias("some"),
     )
     sums = members.join(owners.select("module_id", "owner"), "module_id", "left").join(couplings, "module_id", "left").groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_members"), F.countDistinct(F.coalesce("owner", F.lit("unknown"))).alias("n_owners"), F.bround(F.avg("coupling"), 3).alias("coupling")
+        F.count(F.lit(1)).alias("n_members"), F.countDistinct(F.coalesce("owner", F.lit("unknown"))).alias("n_owners"), half_even(F.avg("coupling"), 3).alias("coupling")
     )
     worth = F.col("n_shared") * F.col("n_members") + F.when(F.col("dup"), 2).otherwise(0)
     alike = F.col("dup") | F.col("clone").isNotNull()
@@ -77,7 +78,7 @@ def clusters(facts: DataFrame, clone_pairs: DataFrame, owners: DataFrame, coupli
     )
     return sums.join(shared, "id").withColumn("score", worth).select(
         "id", "n_members", "n_owners", "n_shared", tier_name(F.col("rank")).alias("tier"), "score", "coupling",
-        F.bround(F.col("score") * (1 - F.coalesce("coupling", F.lit(0.0))), 2).alias("opportunity"),
+        half_even(F.col("score") * (1 - F.coalesce("coupling", F.lit(0.0))), 2).alias("opportunity"),
         F.when(alike & (F.col("n_owners") == 1), "RETIRE").when(alike, "STANDARDIZE").otherwise("EXTRACT").alias("play"), label.alias("label"),
     )
 
@@ -92,7 +93,7 @@ def promoted(confirmed: DataFrame, members: DataFrame, couplings: DataFrame) ->
     of = lambda c: couplings.select(F.col("module_id").alias(c), F.col("coupling").alias(f"coupling_{c}"))
     mean = F.when(F.col("coupling_a").isNull(), F.col("coupling_b")).when(F.col("coupling_b").isNull(), F.col("coupling_a")).otherwise((F.col("coupling_a") + F.col("coupling_b")) / 2)
     name = lambda c: F.split_part(c, F.lit(":"), F.lit(1))
-    return free.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("coupling", F.bround(mean, 3)).select(
-        "a", "b", "tier", F.lit(4).alias("score"), "coupling", F.bround(4 * (1 - F.coalesce("coupling", F.lit(0.0))), 2).alias("opportunity"), "play",
+    return free.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("coupling", half_even(mean, 3)).select(
+        "a", "b", "tier", F.lit(4).alias("score"), "coupling", half_even(4 * (1 - F.coalesce("coupling", F.lit(0.0))), 2).alias("opportunity"), "play",
         F.concat(F.lit("Semantic duplicate · "), name("a"), F.lit(" & "), name("b")).alias("label"),
     )

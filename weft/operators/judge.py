@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.numbers import half_even
 from weft.functions.text import domain_tokens
 
 THRESHOLD = 0.82
@@ -23,7 +24,7 @@ def evaluated(similarity: Column, terms_a: Column, terms_b: Column, owner_a: Col
     two = F.format_string("%.2f", similarity)
     return {
         "confirmed": confirmed,
-        "confidence": F.bround(F.when(confirmed, share).otherwise(F.least(similarity, F.lit(0.4))), 2),
+        "confidence": half_even(F.when(confirmed, share).otherwise(F.least(similarity, F.lit(0.4))), 2),
         "play": F.when(confirmed & (owner_a == owner_b), "RETIRE").when(confirmed, "STANDARDIZE").otherwise("LEAVE"),
         "reason": F.when(confirmed, F.concat(F.lit("Shares functional domain ("), F.array_join(F.slice(F.array_sort(common), 1, 3), ", "), F.lit(") with similarity "), two)).otherwise(
             F.concat(F.lit("Insufficient capability overlap (sim="), two, F.lit(", shared keywords="), n.cast("string"), F.lit(")"))

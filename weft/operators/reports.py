@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.functions.numbers import half_even
 from weft.operators.capability import library_of
 
 # Which libraries serve which purpose, across ecosystems.
@@ -72,7 +73,7 @@ def evaluation(expected: DataFrame, got: DataFrame, gaps: DataFrame, by: str, *k
     g = got.select(by, *keys).distinct().withColumn("_g", F.lit(1))
     joined = e.join(g, [by, *keys], "full").groupBy(by).agg(F.count("_e").alias("n_expected"), F.count("_g").alias("n_got"), F.count_if(F.col("_e").isNotNull() & F.col("_g").isNotNull()).alias("hits"))
     missing = gaps.groupBy(by).agg(F.count(F.lit(1)).alias("n_gaps"))
-    ratio = lambda a, b, empty: F.when(b == 0, F.lit(empty)).otherwise(F.bround(a / b, 2))
+    ratio = lambda a, b, empty: F.when(b == 0, F.lit(empty)).otherwise(half_even(a / b, 2))
     n_gaps = F.coalesce("n_gaps", F.lit(0))
     return joined.join(missing, by, "left").select(
         by, "n_expected", "n_got", "hits", ratio(F.col("hits"), F.col("n_got"), 0.0).alias("precision"), ratio(F.col("hits"), F.col("n_expected"), 1.0).alias("recall"),

@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from weft.catalogue import capabilities
+from weft.catalogue.standins import even_rounded
+
+_SUBJECTS = (capabilities,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for s in _SUBJECTS for k, f in s.QUERIES.items()}
+ORACLES: dict[str, str] = {k: even_rounded(q) for s in _SUBJECTS for k, q in s.ORACLES.items()}
