@@ -31,8 +31,8 @@ def stem(word: Column) -> Column:
 def domain_tokens(summary: Column) -> Column:
     """Sorted distinct stems of a text's words of three or more lower-case letters, without stop words and
     without words that are generic as they stand or as stems."""
-    words = F.regexp_extract_all(F.lower(summary), F.lit(r"(?<![A-Za-z0-9_])[a-z]{3,}(?![A-Za-z0-9_])"), F.lit(0))
-    told = F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & ~w.isin(*GENERIC) & ~stem(w).isin(*GENERIC))
+    words = F.regexp_extract_all(F.lower(summary), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    told = F.filter(words, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(*STOP_WORDS) & ~w.isin(*GENERIC) & ~stem(w).isin(*GENERIC))
     return F.array_sort(F.array_distinct(F.transform(told, stem)))
 
 

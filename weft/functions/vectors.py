@@ -10,8 +10,9 @@ DIMENSIONS, GRAM = 256, 3
 
 def _grams(text: Column) -> Column:
     clean = F.regexp_replace(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+", " ")
-    n = F.length(clean)
-    return F.when(n < GRAM, F.array(clean)).otherwise(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(clean, i, F.lit(GRAM))))
+    # cut into characters once: a substring would count from the start each time
+    joined = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - GRAM + 1), lambda x, i: F.concat(*[F.get(c, i + k) for k in range(GRAM)]))
+    return F.get(F.transform(F.array(clean), lambda t: F.when(F.length(t) < GRAM, F.array(t)).otherwise(F.get(F.transform(F.array(F.split(t, "", -1)), joined), F.lit(0)))), F.lit(0))
 
 
 def gram_buckets(text: Column, dimensions: int = DIMENSIONS) -> Column:

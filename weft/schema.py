@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCHEMA_VERSION = "0.1"
 
@@ -19,25 +18,19 @@ SCOPES = ("runtime", "test", "build")
 PLAYS = ("RETIRE", "STANDARDIZE", "EXTRACT", "LEAVE")
 DIMENSIONS = {"KAFKA_TOPIC": "messaging", "JMS_QUEUE": "messaging", "SQL_TABLE": "data", "SQL_COLUMN": "column", "HTTP_ENDPOINT": "api", "CACHE_KEY": "cache"}
 
-PROVENANCE = T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("snippet", T.StringType()), T.StructField("resolver_notes", T.StringType())])
-
-
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 _PROV = "provenance struct<file: string, line: int, snippet: string, resolver_notes: string>"
+#: Schemas as Spark reads them, in DDL.
 TABLES = {
-    "projects": _table("id string, repo_url string, name string, owner_team string, langs array<string>, loc bigint, activity string, deploy_target string"),
-    "modules": _table("id string, project_id string, path string, name string, kind string, lang string, build_system string"),
-    "integration_facts": _table(f"module_id string, direction string, resource_type string, resource_id string, tier string, schema_ref string, {_PROV}, fact_seq bigint"),
-    "dependencies": _table("module_id string, purl string, scope string, tier string"),
-    "api_surfaces": _table("module_id string, kind string, signature string, role string, tier string"),
-    "gaps": _table(f"module_id string, kind string, expression string, {_PROV}"),
-    "capability_summaries": _table("module_id string, summary string, domain string, operations array<string>, embedding_ref string, tier string"),
-    "module_metrics": _table("module_id string, name string, value double"),
-    "clone_pairs": _table("module_a string, module_b string, clone_type int, similarity double, tier string"),
-    "scan_cache": _table("project_id string, content_hash string, last_scanned timestamp"),
+    "projects": "id string, repo_url string, name string, owner_team string, langs array<string>, loc bigint, activity string, deploy_target string",
+    "modules": "id string, project_id string, path string, name string, kind string, lang string, build_system string",
+    "integration_facts": f"module_id string, direction string, resource_type string, resource_id string, tier string, schema_ref string, {_PROV}, fact_seq bigint",
+    "dependencies": "module_id string, purl string, scope string, tier string",
+    "api_surfaces": "module_id string, kind string, signature string, role string, tier string",
+    "gaps": f"module_id string, kind string, expression string, {_PROV}",
+    "capability_summaries": "module_id string, summary string, domain string, operations array<string>, embedding_ref string, tier string",
+    "module_metrics": "module_id string, name string, value double",
+    "clone_pairs": "module_a string, module_b string, clone_type int, similarity double, tier string",
+    "scan_cache": "project_id string, content_hash string, last_scanned timestamp",
 }
 KEYS = {"projects": "id", "modules": "id", "scan_cache": "project_id"}
 
