@@ -116,5 +116,5 @@ def properties(text: Column) -> Column:
     pair = lambda x: F.struct(stripped(F.regexp_extract(x, "^([^=]*)=", 1)).alias("key"), stripped(F.regexp_extract(x, "^[^=]*=([\\s\\S]*)$", 1)).alias("value"))
     pairs = F.transform(kept, pair)
     # the last of equal keys, whatever the session does with repeated map keys
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, 2**31 - 1), lambda q: q["key"] == p["key"]))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
