@@ -15,19 +15,23 @@ from __future__ import annotations
 
 import base64
 import json
-import pickle
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.base import durable, let
 
-#: Most words in the broadcast dictionary: some 250 MB in a Python worker.
-DICTIONARY = 1_000_000
+#: Most words in the broadcast dictionary: some 40 MB.
+DICTIONARY = 800_000
+#: Of these the FREQUENT first are in a hash map of Python's, some 30 MB; the rest in flat tables.
+FREQUENT = 131_072
 _NEVER = 2**31 - 1
-#: Marks the place of a word that is not in the dictionary; ids are below.
-_HOLE = 2**31
+#: An id that no vocabulary has (it also marks where a word is missing), and what a free slot of the merge table holds.
+_EDGE, _FREE = 2**16 - 1, 2**49
+_MARK = _EDGE.to_bytes(2, "little")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -66,67 +70,71 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"bytes without a rank: {missing[:5]}")
-        if max(ranks.values()) >= 2**16:
+        if max(ranks.values()) >= _EDGE:
             raise ValueError("ids of more than 16 bits")
         pairs = merge_pairs(ranks)
-        self.size = next(p for p in range(2 * len(pairs) + 1001, 10**9, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2)))
+        self.size = next(p for p in range(len(pairs) + len(pairs) // 8 * 2 + 1001 | 1, 10**9, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2)))
         groups: list[list[int]] = [[] for _ in range(self._GROUPS)]
         for a, b in pairs:
             groups[(a * self._MIX + b) % self._GROUPS].append(a << 16 | b)
         # the largest groups first, each moved on until all of its keys have a free slot
-        slots, moves = [-1] * self.size, [0] * self._GROUPS
+        slots, moves = [_FREE] * self.size, [0] * self._GROUPS
         for g in sorted(range(self._GROUPS), key=lambda g: -len(groups[g])):
             at = [k * self._FACTOR % self.size for k in groups[g]]
-            while any(slots[(x + moves[g]) % self.size] >= 0 for x in at):
+            while any(slots[(x + moves[g]) % self.size] != _FREE for x in at):
                 moves[g] += 1
             for k, x in zip(groups[g], at, strict=True):
                 slots[(x + moves[g]) % self.size] = k << 16 | pairs[k >> 16, k & 65535]
         literal = lambda x, kind: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<{kind}>")
-        self._slots, self._moves = literal(slots, "bigint"), literal(moves, "int")
-        self._bytes = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+        self._slots, self._moves = literal(slots, "bigint"), literal(moves, "bigint")
+        self._bytes = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)]).cast("array<bigint>")
         by_byte = [ranks[bytes([b])] for b in range(256)]
         # tokens that merging their bytes does not give: a whole word that is a token is that token
         self._whole = {t.hex().upper(): r for t, r in ranks.items() if merged([by_byte[b] for b in t], pairs) != [r]}
 
     def _rank(self, left: Column, right: Column) -> Column:
-        def found(key):
-            group = (F.shiftrightunsigned(key, 16) * self._MIX + key.bitwiseAND(F.lit(65535).cast("long"))) % self._GROUPS
-            slot = (key * self._FACTOR % self.size + F.get(self._moves, group.cast("int"))) % self.size
-            return let(F.get(self._slots, slot.cast("int")) - key * 65536, lambda x: F.when((x >= 0) & (x < 65536), x.cast("int")).otherwise(F.lit(_NEVER)))
-
-        return let(left.cast("long") * 65536 + right, found)
+        """The id that two ids (longs) merge to; a number of 2^16 or more if they do not."""
+        key = left * 65536 + right
+        group = F.get(self._moves, ((left * self._MIX + right) % self._GROUPS).cast("int"))
+        held = F.get(self._slots, ((key * self._FACTOR % self.size + group) % self.size).cast("int"))
+        return held.bitwiseXOR(key * 65536)  # a slot has its key above its id; a wrong key leaves high bits
 
     def fold(self, word: Column) -> Column:
-        """The ids of a word, an array of int; empty and null words give none."""
-        code = F.hex(F.encode(word, "UTF-8"))
+        """The ids of a word, an array of int; empty and null words give none.
+
+        The state has the ids between two ids that merge with nothing, and the rank of each pair; so a
+        merge has neighbours on both sides wherever it is."""
+        raw = F.encode(word, "UTF-8")
         n = F.octet_length(word)
-        nothing = F.array().cast("array<int>")
-        start = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(self._bytes, F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+        rest = F.lit(2**30)
+        edge = F.array(F.lit(_EDGE).cast("long"))
+        # as Latin-1 a byte is a character, and the character's code is the byte
+        each = F.transform(F.split(F.decode(raw, "ISO-8859-1"), "", -1), lambda c: F.get(self._bytes, F.ascii(c)))
 
         def step(state, _):
             ids, ranks = state["ids"], state["ranks"]
 
             def merge(least):
-                def at(i):  # from 1
-                    left = F.when(i > 1, F.array(self._rank(F.get(ids, i - 2), least))).otherwise(nothing)
-                    right = F.when(i < F.size(ranks), F.array(self._rank(least, F.get(ids, i + 1)))).otherwise(nothing)
+                def at(i):  # the pair's place, from 1
+                    # one expression for both sides: the table is in the plan's text as often as it is named
+                    sides = F.array(F.struct(F.get(ids, i - 2).alias("l"), least.alias("r")), F.struct(least.alias("l"), F.get(ids, i + 1).alias("r")))
                     return F.struct(
-                        F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, F.size(ids))).alias("ids"),
-                        F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, F.size(ranks))).alias("ranks"),
+                        F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, rest)).alias("ids"),
+                        F.concat(F.slice(ranks, F.lit(1), i - 2), F.transform(sides, lambda p: self._rank(p["l"], p["r"])), F.slice(ranks, i + 2, rest)).alias("ranks"),
                     )
 
-                return F.when((least == _NEVER) | least.isNull(), state).otherwise(let(F.array_position(ranks, least).cast("int"), at))
+                return F.when(least >= 65536, state).otherwise(let(F.array_position(ranks, least).cast("int"), at))
 
             return let(F.array_min(ranks), merge)
 
         def folded(ids):
-            ranks = F.transform(F.sequence(F.lit(0), n - 2), lambda i: self._rank(F.get(ids, i), F.get(ids, i + 1)))
-            return F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(ids.alias("ids"), ranks.alias("ranks")), step)["ids"]
+            ranks = F.transform(F.sequence(F.lit(0), n), lambda i: self._rank(F.get(ids, i), F.get(ids, i + 1)))
+            return F.slice(F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(ids.alias("ids"), ranks.alias("ranks")), step)["ids"], F.lit(2), rest)
 
-        out = F.when(F.coalesce(n, F.lit(0)) == 0, nothing).when(n == 1, start)
+        out = F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<int>")).when(n == 1, each.cast("array<int>"))
         for token, rank in self._whole.items():
-            out = out.when(code == token, F.array(F.lit(rank)))
-        return out.otherwise(let(start, folded))
+            out = out.when(F.hex(raw) == token, F.array(F.lit(rank)))
+        return out.otherwise(F.filter(let(F.concat(edge, each, edge), folded), lambda x: x != _EDGE).cast("array<int>"))
 
 
 @lru_cache(maxsize=4)
@@ -141,93 +149,174 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all("text", F.lit(unicode), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTIONARY) -> dict[str, bytes]:
-    """The most frequent words, at most `most`, with their ids as little-endian 32-bit numbers.
+def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTIONARY) -> dict:
+    """The most frequent words, at most `most`, with their ids as little-endian 16-bit numbers.
 
     Words with the count of the last one that fits stay out together, so the choice does not depend on
-    how rows lie."""
+    how rows lie. The result's parts are flat bytes: words and ids one after another with their ends, a hash
+    table of the words' numbers, and the numbers of the at most FREQUENT words that are most frequent."""
+    from array import array
+
+    from xxhash import xxh64_intdigest
+
     counts = durable(word_counts(docs, pattern))
     top = 1000
     by_count = dict(counts.groupBy(F.least("n", F.lit(top)).alias("n")).count().collect())  # at most `top` rows
-    least, held = top + 1, 0
-    while least > 1 and held + by_count.get(least - 1, 0) <= most:
-        least -= 1
-        held += by_count.get(least, 0)
-    chosen = counts.filter(F.col("n") >= least).select("word", table.fold(F.col("word")).alias("ids")).toArrow()
-    if not chosen.num_rows:
-        return {}
-    ids = chosen.column("ids").combine_chunks()
-    data, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), ids.offsets.to_pylist()
-    low = ends[0]
-    return {w: data[4 * (a - low) : 4 * (b - low)] for w, a, b in zip(chosen.column("word").to_pylist(), ends, ends[1:], strict=False)}
-
-
-def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
-    """(doc_id, ids) for each row of docs: the text's ids as little-endian unsigned 32-bit numbers.
+
+    def least(room: int) -> int:
+        n = top + 1
+        while n > 1 and by_count.get(n - 1, 0) <= room:
+            n -= 1
+            room -= by_count.get(n, 0)
+        return n
+
+    often = F.col("n") >= least(FREQUENT)
+    chosen = counts.filter(F.col("n") >= least(most)).select(F.col("word").cast("binary").alias("word"), often.alias("often"), table.fold(F.col("word")).alias("ids")).toArrow()
+    blobs, ends, codes, code_ends, frequent = [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], []
+    for batch in chosen.to_batches():
+        for column, data, stops, width in (("word", blobs, ends, 1), ("ids", codes, code_ends, 2)):
+            x = batch[column]
+            offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+            if column == "ids":
+                data.append(x.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes())
+            else:
+                data.append(bytes(memoryview(x.buffers()[2])[offsets[0] : offsets[-1]]) if len(x) else b"")
+            stops.append((offsets[1:] - offsets[0]) * width + stops[-1][-1])
+        frequent.append(batch["often"].to_numpy(zero_copy_only=False))
+    blob, word_ends = b"".join(blobs), np.concatenate(ends).astype("<i4")
+    n = len(word_ends) - 1
+    if not n:
+        return {"n": 0}
+    size = 1 << max(4, (2 * n).bit_length())
+    slots, at = array("i", [-1]) * size, word_ends.tolist()
+    view = memoryview(blob)
+    for i in range(n):
+        slot = xxh64_intdigest(view[at[i] : at[i + 1]]) & (size - 1)
+        while slots[slot] >= 0:
+            slot = (slot + 1) & (size - 1)
+        slots[slot] = i
+    numbers = np.flatnonzero(np.concatenate(frequent)).astype("<i4")
+    return {"n": n, "words": blob, "word_ends": word_ends.tobytes(), "ids": b"".join(codes), "id_ends": np.concatenate(code_ends).astype("<i4").tobytes(), "slots": slots.tobytes(), "often": numbers.tobytes()}
+
+
+class Lookup:
+    """A worker's reading of the dictionary: text to ids, with the words that it lacks."""
+
+    def __init__(self, parts: dict, pattern: str):
+        import regex
+
+        self.split = regex.compile(pattern).findall
+        self.n = parts["n"]
+        self.often: dict[str, bytes] = {}
+        if self.n:
+            self.words, self.ids = parts["words"], parts["ids"]
+            self.word_ends, self.id_ends, self.slots = (memoryview(parts[k]).cast("i") for k in ("word_ends", "id_ends", "slots"))
+            for i in memoryview(parts["often"]).cast("i"):
+                self.often[self.words[self.word_ends[i] : self.word_ends[i + 1]].decode()] = self._ids(i)
+
+    def _ids(self, i: int) -> bytes:
+        return self.ids[self.id_ends[i] : self.id_ends[i + 1]]
+
+    def find(self, word: str) -> bytes | None:
+        from xxhash import xxh64_intdigest
+
+        raw, slots, ends, words = word.encode(), self.slots, self.word_ends, self.words
+        mask = len(slots) - 1
+        slot = xxh64_intdigest(raw) & mask
+        while (i := slots[slot]) >= 0:
+            if words[ends[i] : ends[i + 1]] == raw:
+                return self._ids(i)
+            slot = (slot + 1) & mask
+        return None
+
+    def encode(self, text: str) -> tuple[bytes, list[str], list[int]]:
+        """Ids as 16-bit numbers with _EDGE for each missing word; the distinct missing words; and which of
+        them each mark stands for."""
+        found = self.split(text)
+        parts = [*map(self.often.get, found)]
+        rare: dict[str, int] = {}
+        marks: list[int] = []
+        if None in parts:
+            seen: dict[str, bytes | None] = {}
+            for i, p in enumerate(parts):
+                if p is None:
+                    word = found[i]
+                    if word not in seen:
+                        seen[word] = self.find(word) if self.n > len(self.often) else None
+                    if (p := seen[word]) is None:
+                        marks.append(rare.setdefault(word, len(rare)))
+                        p = _MARK
+                    parts[i] = p
+        return b"".join(parts), [*rare], marks
+
+
+def filled(part: bytes, folds: list[list[int]], marks: list[int]):
+    """Ids as an array of unsigned 32-bit numbers, the marked places filled."""
+    ids = np.frombuffer(part, "<u2")
+    if not marks:
+        return ids.astype("<u4")
+    words = [np.asarray(w, "<u4") for w in folds]
+    pieces, last = [], 0
+    for at, k in zip(np.flatnonzero(ids == _EDGE).tolist(), marks, strict=True):
+        pieces += (ids[last:at], words[k])
+        last = at + 1
+    return np.concatenate([*pieces, ids[last:]]).astype("<u4")
+
+
+def pieces_of(path: str) -> list[bytes | None]:
+    """Each id's bytes."""
+    ranks = load_ranks(path)
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) for each row of docs: the text's ids as little-endian unsigned 32-bit numbers; with
+    `decoded` also the bytes that these ids decode to, from the same pass.
 
     A null text is an empty one, without ids. Null and repeated doc_ids are rows like others; an empty
     table gives no rows; other columns are not read."""
     table = merges(path)
     context = docs.sparkSession.sparkContext
-    known = context.broadcast(pickle.dumps(dictionary(docs, table, pattern, most), protocol=5))
-    cache: list = []
+    known = context.broadcast(dictionary(docs, table, pattern, most))
+    pieces = pieces_of(path) if decoded else []
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.arrow_udf("ids binary, words array<string>")
-    def partly(texts):
-        import pickle
-        import struct
+    def partly(batches):
+        lookup = Lookup(known.value, pattern)
+        for batch in batches:
+            for part in _small(batch):
+                found = [lookup.encode(t.as_py() or "") for t in part["text"]]
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "part", "words", "marks"])
 
-        import pyarrow as pa
-        import regex
+    def wholly(batches):
+        for batch in batches:
+            for part in _small(batch):
+                ids = [filled(p.as_py(), f.as_py(), m.as_py()) for p, f, m in zip(part["part"], part["folds"], part["marks"], strict=True)]
+                columns = [part["doc_id"], pa.array([x.tobytes() for x in ids], pa.binary())]
+                if decoded:
+                    columns.append(pa.array([b"".join(map(pieces.__getitem__, x.tolist())) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-        if not cache:
-            cache.append((pickle.loads(known.value), regex.compile(pattern)))
-        words, split = cache[0]
-        ids, rare = [], []
-        for text in texts:
-            found = split.findall(text.as_py() or "")
-            parts = [*map(words.get, found)]
-            new: dict[str, int] = {}
-            if None in parts:
-                parts = [struct.pack("<I", _HOLE + new.setdefault(w, len(new))) if p is None else p for p, w in zip(parts, found, strict=True)]
-            ids.append(b"".join(parts))
-            rare.append([*new])
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["ids", "words"])
-
-    def filled(batches):
-        import numpy as np
-        import pyarrow as pa
+    rows = docs.select("doc_id", "text").mapInArrow(partly, f"doc_id {kind}, part binary, words array<string>, marks array<int>")
+    rows = rows.select("doc_id", "part", F.transform("words", table.fold).alias("folds"), "marks")
+    return rows.mapInArrow(wholly, f"doc_id {kind}, ids binary" + ", decoded binary" * decoded)
 
-        for batch in batches:
-            out = []
-            for data, words in zip(batch["part"].to_pylist(), batch["folds"].to_pylist(), strict=True):
-                if words:
-                    codes = np.frombuffer(data, "<u4")
-                    holes = np.flatnonzero(codes >= _HOLE)
-                    packed = [np.asarray(w, "<u4").tobytes() for w in words]
-                    parts, last = [], 0
-                    for h in holes.tolist():
-                        parts += (data[4 * last : 4 * h], packed[int(codes[h]) - _HOLE])
-                        last = h + 1
-                    data = b"".join([*parts, data[4 * last :]])
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    rows = docs.select("doc_id", partly("text").alias("part"))
-    rows = rows.select("doc_id", F.col("part.ids").alias("part"), F.transform("part.words", table.fold).alias("folds"))
-    return rows.mapInArrow(filled, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+
+def _small(batch, rows: int = 512):
+    """A batch in parts, so that what is made of it is never much at once."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
 def decode(ids: Column, path: str) -> Column:
     """The bytes that ids (as encode gives them) stand for. An id that the vocabulary lacks is an error."""
-    by_id = {rank: token for token, rank in load_ranks(path).items()}
+    pieces = pieces_of(path)
 
     @F.arrow_udf("binary")
     def of(values):
-        import numpy as np
-        import pyarrow as pa
-
-        piece = by_id.__getitem__
-        return pa.array([b"".join(map(piece, np.frombuffer(v.as_py() or b"", "<u4").tolist())) for v in values], pa.binary())
+        return pa.array([b"".join(map(pieces.__getitem__, np.frombuffer(v.as_py() or b"", "<u4").tolist())) for v in values], pa.binary())
 
     return of(ids)
