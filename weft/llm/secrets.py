@@ -178,7 +178,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", allowed: Sequence[str] = ALL
 
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
     nil = F.struct(empty.alias("done"), F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
-    merged = F.aggregate(F.array_sort(F.col(spans)), nil, covered, lambda s: F.concat(F.slice(s["done"], 2, 2**31 - 1), F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    merged = F.aggregate(F.array_sort(F.col(spans)), nil, covered, lambda s: F.concat(F.slice(s["done"], F.lit(2), F.size(s["done"])), F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
 
     def cut(m):
         piece = lambda i: F.substring(text, (F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0)) + 1).cast("int"), (F.when(i < F.size(m), F.get(m, i)["start"]).otherwise(F.length(text)) - F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0))).cast("int"))
