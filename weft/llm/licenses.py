@@ -144,18 +144,26 @@ class Scanner:
                     stretches[-1][1] = high
                 else:
                     stretches.append([low, high])
-            need = Counter(template)
             for low, high in stretches:
-                # stretches that lack too many of the words cannot be covered; longer ones are gone through in steps
-                for start in range(low, max(low + 1, high - 2 * n), n) if high - low > 4 * n + 1 else (low,):
-                    part = words[start : min(high, start + 4 * n + 1)] if high - low > 4 * n + 1 else words[low:high]
-                    if (need & Counter(part)).total() < self.coverage * n - 1e-9:
-                        continue
-                    pairs = self._compact(aligned(template, part), n)
-                    if len(pairs) >= self.coverage * n - 1e-9:
-                        found.append((name, len(pairs) / n, len(pairs), n, start + pairs[0][1], start + pairs[-1][1]))
+                # long stretches are gone through in steps of a template, four templates at a time
+                starts = range(low, high, n) if high - low > 4 * n + 1 else (low,)
+                todo = [(start, min(high, start + 4 * n + 1)) for start in starts]
+                while todo:
+                    start, end = todo.pop()
+                    if match := self._match(words[start:end], template):
+                        first, last = start + match[0][1], start + match[-1][1]
+                        found.append((name, len(match) / n, len(match), n, first, last))
+                        todo += ((start, first), (last + 1, end))
         return self._apart(found)
 
+    def _match(self, part: list[str], template: list[str]) -> list[tuple[int, int]]:
+        """The aligned words, if they cover enough of the template."""
+        least = self.coverage * len(template) - 1e-9
+        if len(part) < least or (Counter(template) & Counter(part)).total() < least:
+            return []
+        pairs = self._compact(aligned(template, part), len(template))
+        return pairs if len(pairs) >= least else []
+
     def _compact(self, pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
         """The most matches within twice the template's width of text."""
         best, low = (0, 0), 0
