@@ -1,0 +1,554 @@
+"""The ten operators against brute force, and their edge cases."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+import zlib
+
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from weft.llm import base, bpe, cotraining, entry, licenses, media, quality_rules, quotes, raking, secrets, sharding, simhash
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Rows that every operator must take: nulls everywhere, empty and long texts, repeated rows, ties.
+EDGES = [
+    (1, "", "en", "s", 0), (2, None, None, None, None), (None, "words without an id", "en", "s", 19), (3, "same row", "en", "s", 8), (3, "same row", "en", "s", 8), (4, " \t\n ", "de", "t", 4),
+    (5, "x" * 20000, "en", "s", 20000), (6, "é ü 漢字 😀   " * 500, "fr", "u", 5000), (7, "line\nline\nline\n" * 300, "en", "s", 4500), (8, "a b c", "en", "s", 5), (None, None, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return {d["doc_id"]: d["text"] for d in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """EDGES with columns whose names the operators use themselves."""
+    df = spark.createDataFrame(EDGES, DOCS)
+    for name in ("fp", "size", "shard", "base", "spans", "_base", "_score", "_same", "_fp", "m", "failed", "media", "kept", "part", "cell", "weight", "ids", "Text_", "tokens"):
+        df = df.withColumn(name, F.lit("mine"))
+    return df
+
+
+def collected(df):
+    return df.collect()
+
+
+# --- every operator on the edge cases and on an empty table -------------------------------------------------
+
+LABELS = [(1, 0, 0), (3, 1, 0), (3, 0, 0), (None, 1, 0), (8, None, None), (99, 1, 1)]
+TAKES = {
+    "secrets": lambda d, lab: secrets.scan(d), "redact": lambda d, lab: secrets.redact(d), "rules": lambda d, lab: quality_rules.apply_policy(quality_rules.ledger(d)), "licenses": lambda d, lab: licenses.scan(d),
+    "media": lambda d, lab: media.media_columns(d), "shards": lambda d, lab: sharding.shard_rows(d, 5), "quality": cotraining.quality, "accepted": cotraining.accepted, "drawn": lambda d, lab: raking.drawn(d),
+    "sample": lambda d, lab: raking.sample(d), "groups": lambda d, lab: simhash.near_groups(d), "one": lambda d, lab: simhash.one_of_each(d),
+    "bpe": lambda d, lab: bpe.encode(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+}
+KEEPS_COLUMNS = {"redact", "accepted", "sample", "one"}
+DROPS_ROWS = {"accepted", "sample", "one"}
+
+
+@pytest.mark.parametrize("name", TAKES)
+def test_edge_cases(spark, edges, name):
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    out = TAKES[name](edges, labels)
+    rows = out.collect()
+    if name in KEEPS_COLUMNS:
+        assert out.columns == edges.columns and all(r["fp"] == "mine" for r in rows)
+    assert len(rows) <= len(EDGES) if name in DROPS_ROWS else len(rows) == len(EDGES)
+
+
+@pytest.mark.parametrize("name", TAKES)
+def test_empty_table(spark, name):
+    out = TAKES[name](spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert out.count() == 0
+
+
+# --- 1 ------------------------------------------------------------------------------------------------------
+
+TALK = "conv_id long, turn long, role string, text string"
+
+
+def talk(spark, *rows):
+    df = spark.createDataFrame(rows, TALK).withColumn("links", F.lit("mine")).withColumn("_turn", F.lit(0))
+    return {(r["conv_id"], r["turn"], r["role"]): r for r in quotes.conversations(df).collect()}
+
+
+def test_quotes_link_to_their_sources(spark):
+    got = talk(
+        spark, (1, 0, "a", "First point here.\n\nSecond point\nover two lines."), (1, 1, "b", "Ann wrote:\n> second   POINT over\n> two lines.\nI agree."),
+        (1, 2, "c", "> > Second point\n> > over two lines.\n> I agree.\nMe too."), (1, 3, "d", "> nothing of the kind\nHm."), (2, 0, "a", "I agree."), (2, 1, "b", "> First point here.\nElsewhere."),
+    )
+    assert got[1, 1, "b"]["links"] == "0:1:0" and got[1, 1, "b"]["parent_turn"] == 0
+    assert got[1, 2, "c"]["links"] == "0:2:0,1:1:1" and (got[1, 2, "c"]["parent_turn"], got[1, 2, "c"]["thread"], got[1, 2, "c"]["depth"]) == (1, 0, 2)
+    assert (got[1, 2, "c"]["content"], got[1, 2, "c"]["n_quoted"], got[1, 2, "c"]["levels"]) == ("Me too.", 3, 2)
+    assert got[1, 3, "d"]["n_links"] == 0 and got[2, 1, "b"]["n_links"] == 0
+    assert [got[1, t, r]["place"] for t, r in ((0, "a"), (1, "b"), (2, "c"), (3, "d"))] == [0, 1, 2, 3]
+
+
+def test_threads_stand_together(spark):
+    got = talk(spark, (1, 0, "a", "One thing."), (1, 1, "b", "Another thing."), (1, 2, "c", "> One thing.\nYes."), (1, 3, "d", "> Another thing.\nNo."), (1, 4, "e", "> Yes.\nWhy?"))
+    assert [got[1, t, r]["place"] for t, r in ((0, "a"), (2, "c"), (4, "e"), (1, "b"), (3, "d"))] == [0, 1, 2, 3, 4]
+
+
+def test_a_long_chain_and_places_over_steps(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "STEP", 4)
+    rows = [(1, 0, "u", "word 0")] + [(1, t, "u", f"> word {t - 1}\nword {t}") for t in range(1, 40)] + [(1, 100 + t, "u", f"lone {t}") for t in range(20)]
+    got = talk(spark, *rows)
+    assert [got[1, t, "u"]["depth"] for t in range(40)] == [*range(40)]
+    assert sorted((r["place"], k[1]) for k, r in got.items()) == [(i, t) for i, t in enumerate([*range(40), *range(100, 120)])]
+
+
+def test_quotes_take_nulls_and_copies(spark):
+    df = spark.createDataFrame([(None, None, None, None), (1, None, "u", "> x\ny"), (None, 2, "u", "> x"), (1, 1, "u", "x"), (1, 1, "u", "x"), (1, 2, None, "> x\n>> z\nq"), (1, 3, "u", "")], TALK)
+    rows = quotes.conversations(df).collect()
+    assert len(rows) == 7 and [r["place"] for r in rows if r["turn"] == 1] == [rows[0]["place"] if rows[0]["turn"] == 1 else next(r["place"] for r in rows if r["turn"] == 1)] * 2
+    assert [r["links"] for r in rows if r["turn"] == 2 and r["conv_id"] == 1] == ["0:1:1"]
+    assert quotes.conversations(spark.createDataFrame([], TALK)).count() == 0
+
+
+# --- 2 ------------------------------------------------------------------------------------------------------
+
+
+def base_by_hand(t):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t, re.A) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
+
+
+def hot_by_hand(word, bits, w=secrets.WINDOW):
+    sums = [sum(round(c * math.log2(c) * 1e6) for c in (word[i : i + w].count(x) for x in set(word[i : i + w]))) for i in range(len(word) - w + 1)]
+    hot = [i for i, s in enumerate(sums) if s <= secrets.limit(bits)]
+    return (hot[0], hot[-1] + w) if hot else None
+
+
+def spans_by_hand(t):
+    base_ = base_by_hand(t)
+    out = [*base_]
+    for m in re.finditer(secrets.CANDIDATE, t):
+        word = m[0]
+        if not re.search("[0-9].*[0-9]", word) or not re.search("[A-Za-z]", word) or any(re.search(p, word) for p in secrets.ALLOWED):
+            continue
+        if hot := hot_by_hand(word, secrets.LIMITS["hex" if re.fullmatch("[0-9a-fA-F]+", word) else "mixed"]):
+            a, b = m.start() + hot[0], m.start() + hot[1]
+            if not any(x < b and a < y for x, _, y in base_):
+                out.append((a, 3, b))
+    return sorted(out)
+
+
+def made_up(rng):
+    chars = "abcdefABCDEF0123456789xyzXYZ_-/+= \n\"':é😀"
+    bits = [lambda: "".join(rng.choice(chars) for _ in range(rng.randint(0, 30))), lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 45))), lambda: "AKIA" + "".join(rng.choice("ABZ09") for _ in range(rng.randint(8, 16))),
+            lambda: rng.choice(["password", "Token", "API_KEY", "secret"]) + rng.choice(["=", ": ", '" : "', " := "]) + "".join(rng.choice("abcXYZ019./=") for _ in range(rng.randint(3, 14))), lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randint(15, 50))), lambda: "token: secret : abcdefghij "]
+    return " ".join(rng.choice(bits)() for _ in range(rng.randint(0, 12)))
+
+
+def test_secrets_match_brute_force(spark, texts):
+    rng = random.Random(4)
+    cases = [made_up(rng) for _ in range(400)] + [*texts.values()][:60] + ["token=abcdefgh1 " * 300]
+    df = spark.createDataFrame([*enumerate(cases)], "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert [tuple(s) for s in r["base"]] == base_by_hand(cases[r["doc_id"]]), cases[r["doc_id"]]
+        assert [tuple(s) for s in r["spans"]] == spans_by_hand(cases[r["doc_id"]]), cases[r["doc_id"]]
+
+
+def test_redaction_replaces_every_span_once(spark):
+    rng = random.Random(5)
+    cases = [made_up(rng) for _ in range(200)]
+
+    def by_hand(t):
+        merged = []
+        for a, _, b in spans_by_hand(t):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        for a, b in reversed(merged):
+            t = t[:a] + "[secret]" + t[b:]
+        return t
+
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(cases)], "doc_id long, text string, n_chars long")
+    for r in secrets.redact(df).collect():
+        assert r["text"] == by_hand(cases[r["doc_id"]]) and r["n_chars"] == len(r["text"])
+
+
+# --- 3 ------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize(("most", "frequent"), [(bpe.DICTIONARY, bpe.FREQUENT), (500, 50), (0, 0)])
+def test_ids_are_the_tokenizers_and_decode_to_the_text(spark, tokenizer, texts, monkeypatch, most, frequent):
+    monkeypatch.setattr(bpe, "FREQUENT", frequent)
+    rng = random.Random(6)
+    alphabet = ["a", "Z", " ", "\n", "\t", " ", " ", "\x85", "\x1c", "é", "漢", "😀", "'s", "'LL", "0", "٣", "_", "!!", "́", "<|endoftext|>", "the ", "  "]
+    cases = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(200)] + [*texts.values()][:40] + ["z" * 3000]
+    df = spark.createDataFrame([*enumerate(cases)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe.encode(df, path, public_tokenizers.PATTERN, most, decoded=True).withColumn("again", bpe.decode(F.col("ids"), path))
+    for r in out.collect():
+        want = tokenizer.encode_ordinary(cases[r["doc_id"]])
+        assert bytes(r["ids"]) == struct.pack(f"<{len(want)}I", *want)
+        assert bytes(r["decoded"]).decode() == cases[r["doc_id"]] and r["again"] == r["decoded"]
+
+
+def test_a_token_that_merging_does_not_give_is_still_a_token(spark, tmp_path):
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256}  # nothing joins to abc step by step
+    table = bpe.Merges(ranks)
+    got = spark.createDataFrame([("abc",), ("abcd",), ("",), ("a",)], "w string").select("w", table.fold(F.col("w")).alias("ids")).collect()
+    assert {r["w"]: r["ids"] for r in got} == {"abc": [256], "abcd": [97, 98, 99, 100], "": [], "a": [97]}
+
+
+# --- 4 ------------------------------------------------------------------------------------------------------
+
+
+def rules_by_hand(t):
+    t = t or ""
+    words = re.findall(base.WORD, t)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 5)}
+    seen, dups = set(), 0
+    for line in t.split("\n"):
+        if re.search(base.WORD, line):
+            dups += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dups, len(covered)
+
+
+def test_measurements_match_brute_force(texts):
+    rng = random.Random(7)
+    cases = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(100)] + ["é b c\x1cd\x85e", "#a |b\n#a |b\n\n\n x"] + [t for t in texts.values() if len(t) < 6000][:40]
+    for t in cases:
+        assert quality_rules.measure(t)[:5] == rules_by_hand(t), t
+
+
+def test_ablations_match_reading_again(spark, texts):
+    rows = quality_rules.ledger(spark.createDataFrame([*texts.items()], "doc_id long, text string")).cache()
+    bits = [r["failed"] for r in rows.collect()]
+    for version in quality_rules.POLICIES:
+        p = quality_rules.POLICIES[version]
+
+        def kept(b, mask, p=p):
+            return not b & mask & quality_rules.BASE and (b & mask & ~quality_rules.BASE).bit_count() <= p.allowed
+
+        for r in quality_rules.ablations(rows, version).collect():
+            bit = quality_rules.BIT[r["rule"]]
+            without = sum(kept(b, p.mask & ~bit) for b in bits)
+            assert (r["rejected"], r["n_failed"], r["n_kept_without"]) == (sum(not kept(b, p.mask) for b in bits), sum(bool(b & bit) for b in bits), without)
+            assert r["n_alone"] == sum(kept(b, p.mask & ~bit) and not kept(b, p.mask) for b in bits)
+    rows.unpersist()
+
+
+def test_clean_documents_stay_and_junk_goes(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = entry.op4_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    clean = rows.filter("quality = 1 and not base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    junk = rows.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert clean > 0.98 and junk < 0.2
+
+
+# --- 5 ------------------------------------------------------------------------------------------------------
+
+
+def test_increasing_is_longest():
+    rng = random.Random(8)
+    for _ in range(100):
+        v = [rng.randint(0, 9) for _ in range(rng.randint(0, 9))]
+        got = [v[i] for i in licenses.increasing(v)]
+        best = max((len(s) for n in range(len(v) + 1) for s in itertools.combinations(v, n) if all(x < y for x, y in itertools.pairwise(s))), default=0)
+        assert len(got) == best and all(x < y for x, y in itertools.pairwise(got))
+
+
+def test_licences_are_found_where_they_are():
+    scanner, rng = licenses.Scanner(), random.Random(9)
+    noise = lambda n: [rng.choice(["alpha", "beta", "of", "the", "and", "gamma", "to"]) for _ in range(n)]
+    for name, words in scanner.templates.items():
+        changed = [w if rng.random() > 0.1 else "altered" for w in words]
+        if sum(x == y for x, y in zip(words, changed, strict=True)) < 0.85 * len(words):
+            changed = words
+        for text, n in ((words, 1), ([*noise(3000), *changed, *noise(3000)], 1), ([*noise(50), *words, *noise(9), *words], 2)):
+            assert len([m for m in scanner.scan(" ".join(text)) if m[0] == name]) == n, name
+    assert scanner.scan(" ".join(noise(5000))) == [] and scanner.scan(None) == []
+    assert scanner.scan("licensed under " + " ".join(noise(4000)) + " the apache license version 2.0") == []
+
+
+def test_seeds_miss_nothing():
+    """Any way of losing a fifth of a template's words leaves a seed."""
+    scanner, rng = licenses.Scanner(), random.Random(10)
+    for name, words in scanner.templates.items():
+        for _ in range(50):
+            kept = rng.sample(range(len(words)), math.ceil(0.8 * len(words) - 1e-9))
+            assert {words[i] for i in kept} & scanner.seeds[name]
+
+
+def test_planted_lines_are_found(spark):
+    rows = entry.op5_license_scans(spark, "/root/testdata/sf0.01").collect()
+    docs = {d["doc_id"]: d["text"] for d in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()}
+    lines = {"MIT-notice": "Released under the MIT License", "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0", "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3"}
+    for r in rows:
+        assert set(filter(None, r["licenses"].split(","))) == {k for k, v in lines.items() if v in docs[r["doc_id"]]}
+
+
+# --- 6 ------------------------------------------------------------------------------------------------------
+
+
+def chunk(kind, data):
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def test_reader_undoes_all_filters():
+    rng = random.Random(11)
+    w, h = 7, 30
+    want = [[rng.randrange(256) for _ in range(w)] for _ in range(h)]
+    raw = b""
+    for y, row in enumerate(want):
+        kind = y % 5
+        raw += bytes([kind])
+        for x, v in enumerate(row):
+            a, b, c = (row[x - 1] if x else 0), (want[y - 1][x] if y else 0), (want[y - 1][x - 1] if x and y else 0)
+            p = min(((abs(a + b - c - q), i, q) for i, q in enumerate((a, b, c))))[2]
+            raw += bytes([(v - (0, a, b, (a + b) // 2, p)[kind]) % 256])
+    image = media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"tEXt", b"x\0y") + chunk(b"IDAT", zlib.compress(raw)[:20]) + chunk(b"IDAT", zlib.compress(raw)[20:]) + chunk(b"IEND", b"")
+    assert media.read_png(image).tolist() == want
+
+
+@pytest.mark.parametrize("data", [b"", b"x" * 576, b"y" * 577, "漢字".encode() * 999])
+def test_payload_round_trip(data):
+    payload = media.padded(data)
+    assert len(payload) % 576 == 0 and payload.startswith(data) and set(payload[len(data) :]) <= {255} and payload
+    assert media.read_png(media.write_png(payload)).tobytes() == payload
+
+
+def test_a_wrong_byte_is_an_error():
+    image = media.write_png(media.padded(b"some text here"))
+    for i in range(len(image)):
+        broken = image[:i] + bytes([image[i] ^ 1]) + image[i + 1 :]
+        with pytest.raises(media.BadImage):
+            media.read_png(broken)
+    for cut in range(0, len(image), 7):
+        with pytest.raises(media.BadImage):
+            media.read_png(image[:cut])
+
+
+def test_cosine_hash_matches_its_definition():
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    for h in (24, 48, 100):
+        x = rng.integers(0, 256, (h, 24)).astype(np.uint8)
+        cells = np.kron(x.astype(float), np.ones((32, 32))).reshape(32, h, 32, 24).mean((1, 3))
+        c = np.cos(np.pi / 32 * (np.arange(32) + 0.5) * np.arange(8)[:, None])
+        low = np.round(c @ cells @ c.T, 6).ravel()
+        assert media.cosine_hash(x) == np.packbits(low > np.median(low[1:])).tobytes()
+
+
+def test_media_digests(spark, texts):
+    for r in entry.op6_media_columns(spark, SF).collect():
+        raw = texts[r["doc_id"]].encode()
+        payload = media.padded(raw)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+
+
+# --- 7 ------------------------------------------------------------------------------------------------------
+
+
+def test_hypergeometric_law():
+    rng = random.Random(13)
+    good, bad, n, runs = 7, 5, 6, 20000
+    got = [0] * 8
+    for _ in range(runs):
+        got[sharding.hypergeometric(rng, good, bad, n)] += 1
+    for k in range(8):
+        p = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) if 0 <= n - k <= bad else 0
+        assert abs(got[k] / runs - p) < 0.015
+    big = sharding.hypergeometric(rng, 10**10, 23 * 10**10, 10**9)
+    assert abs(big - 10**9 / 24) < 10 * math.sqrt(10**9 / 24)
+
+
+def test_matrix_sums():
+    for rows in ([0, 0], [5], [10, 0, 3, 250], [1] * 50):
+        m = sharding.communication_matrix(rows, 7, 1)
+        assert [sum(r) for r in m] == rows
+        columns = [sum(c) for c in zip(*m, strict=True)]
+        assert max(columns) - min(columns) <= 1 and columns == sorted(columns, reverse=True)
+
+
+def test_shards_are_even_gapless_and_repeatable(spark, texts):
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    rows = sharding.shard_rows(df).collect()
+    assert sorted(rows) == sorted(sharding.shard_rows(df.repartition(3)).collect())
+    held = {}
+    for r in rows:
+        held.setdefault(r["shard"], []).append(r["slot"])
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+    assert set(held) == set(range(24)) and all(sorted(s) == [*range(len(s))] for s in held.values())
+    assert max(map(len, held.values())) - min(map(len, held.values())) <= 1
+
+
+def test_every_row_is_as_likely_in_every_shard(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    first = [0] * 4
+    for seed in range(12):
+        for r in sharding.shard_rows(df, 4, cells=8, buckets=2, seed=seed).filter("doc_id < 100").collect():
+            first[r["shard"]] += 1
+    assert all(abs(x - 300) < 75 for x in first)
+
+
+# --- 8 ------------------------------------------------------------------------------------------------------
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    taught = labels.filter("pmod(hash(doc_id), 2) = 0")
+    out = cotraining.quality(docs, taught).join(labels.filter("pmod(hash(doc_id), 2) = 1"), "doc_id")
+    got = {r["quality"]: r["k"] for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert got[1] > 0.97 and got[0] < 0.1
+
+
+def test_views_teach_each_other():
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    y = rng.integers(0, 2, 400)
+    text = (y[:, None] * 2 - 1) * 0.6 + rng.normal(size=(400, 5))
+    meta = np.zeros((400, 4))
+    meta[np.arange(400), y * 2 + rng.integers(0, 2, 400)] = 1
+    m = cotraining.train(text[:40], meta[:40], y[:40], text[40:], meta[40:])
+    assert any(a for a, _ in m.handed) or any(b for _, b in m.handed)
+    assert ((m.score(text[40:], meta[40:])[2] > 0.5) == y[40:]).mean() > 0.9
+
+
+def test_labels_of_one_kind_teach_nothing(spark, texts):
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in [*texts.items()][:5]], DOCS)
+    for value, kept in ((1, 5), (0, 0)):
+        labels = spark.createDataFrame([(k, value) for k in [*texts][:5]], "doc_id long, quality int")
+        assert cotraining.accepted(df, labels).count() == kept
+
+
+# --- 9 ------------------------------------------------------------------------------------------------------
+
+
+def test_raking_meets_its_targets():
+    rng = random.Random(15)
+    cells = {(s, lang, t): rng.randint(1, 1000) for s in "abc" for lang in "xy" for t in "pq"}
+    targets = [{"a": 0.2, "b": 0.5, "c": 0.3}, {"x": 0.6, "y": 0.4}, {"p": 0.1, "q": 0.9}]
+    f = raking.fit(cells, targets)
+    total = sum(cells.values())
+    for m, target in enumerate(targets):
+        for name, share in target.items():
+            assert abs(sum(n * f[0][c[0]] * f[1][c[1]] * f[2][c[2]] for c, n in cells.items() if c[m] == name) / total - share) < 1e-6
+
+
+def test_expected_shares_are_the_targets(spark):
+    sf = "/root/testdata/sf0.01"
+    want = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+    rows = raking.drawn(spark.read.parquet(f"{sf}/documents.parquet"), targets=want)
+    got = {r["lang"]: r["t"] for r in rows.groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("t")).collect()}
+    assert all(abs(got[k] / sum(got.values()) - v) < 1e-6 for k, v in want["lang"].items())
+    off = rows.agg(F.sum(F.when(F.col("kept"), 1).otherwise(0)), F.sum("probability")).first()
+    assert abs(off[0] - off[1]) < 4 * math.sqrt(off[1])
+
+
+def test_a_budget_is_kept_in_expectation(spark):
+    rows = raking.drawn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), budget=0.7)
+    r = rows.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens"), F.max("probability")).first()
+    assert abs(r[0] - 0.7) < 1e-6 and r[1] <= 1
+
+
+# --- 10 -----------------------------------------------------------------------------------------------------
+
+
+def print_by_hand(t):
+    from xxhash import xxh64_intdigest
+
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words = re.findall(base.WORD, lowered)
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def groups_by_hand(prints):
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(prints, 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 4:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in prints}
+
+
+def test_fingerprints_and_groups_match_brute_force(spark, texts):
+    some = dict([*texts.items()][:150]) | {1000: "", 1001: "\t", 1002: "One", 1003: "ONE", 1004: "a b c d", 1005: "Ä É"}
+    prints = {k: print_by_hand(t) for k, t in some.items()}
+    want = groups_by_hand(prints)
+    for r in simhash.near_groups(spark.createDataFrame([*some.items()], "doc_id long, text string")).collect():
+        assert r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == want[r["doc_id"]]
+
+
+def test_links_of_made_up_prints_are_all_found(spark):
+    """Chains and clusters at every distance up to 6, with links over any blocks."""
+    rng = random.Random(16)
+    values = set()
+    for _ in range(60):
+        v = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            values.add(v)
+            for b in rng.sample(range(64), rng.randint(1, 6)):
+                v ^= 1 << b
+    signed = {v - 2**64 if v >= 2**63 else v: v for v in values}
+    got = {r["fp"]: r["root"] for r in simhash.linked(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()}
+    want = groups_by_hand({s: v for s, v in sorted(signed.items())})
+    assert {s: got.get(s, s) for s in signed} == want
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(5, "a b c d e", 1), (2, "a b c d e", 1), (9, "q w e r t z u", 1), (2, "a b c d e", 1), (None, "a b c d e", 1)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    assert sorted(r["doc_id"] for r in got) == [2, 9]
+    assert simhash.one_of_each(spark.createDataFrame([(None, "x y", 1), (None, "x y", 1)], "doc_id long, text string, n_chars long")).count() == 1
+
+
+# --- pipeline -----------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages_take_effect(spark, tokenizer):
+    import corpus_pipeline as p
+
+    docs = base.table(spark, SF, "documents")
+    kept = [docs]
+    for _, stage in p.STAGES[:-1]:
+        kept.append(base.durable(stage(spark, kept[-1], SF)))
+        assert kept[-1].columns == docs.columns
+    ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
+    assert all(b <= a for a, b in itertools.pairwise(ids)) and ids[2] == ids[3]
+    rejected = {r["doc_id"] for r in base.table(spark, SF, "labels").filter("quality = 0").collect()}
+    assert len(rejected & ids[1]) <= 0.2 * len(rejected) + 1
+    groups = simhash.near_groups(kept[1]).collect()
+    assert ids[2] == {r["component_id"] for r in groups}
+    final = {r["doc_id"]: bytes(r["ids"]) for r in p.STAGES[-1][1](spark, kept[4], SF).collect()}
+    for r in kept[4].collect():
+        want = tokenizer.encode_ordinary(r["text"])
+        assert final[r["doc_id"]] == struct.pack(f"<{len(want)}I", *want)
