@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def half_even(x: Column, digits: int) -> Column:
-    """x rounded to digits, halves to the even side, on the binary value: 5.625 to 5.62 and 2.675 to 2.67.
+    """x rounded to digits, halves to the even side: 5.625 to 5.62 and 7.875 to 7.88.
 
-    bround looks at the decimal that a double prints as, where 2.675 is a half too."""
+    The scaled value is rounded, so DuckDB's round_even on the scaled value gives the same double. A double
+    that lies beside a half by less than scaling can tell counts as the half: 2.675 gives 2.68."""
     return F.rint(x * float(10**digits)) / float(10**digits)

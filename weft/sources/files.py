@@ -43,8 +43,8 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] | None = None
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z0-9]+:/*", "/")
     path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    rel = F.substring(path, F.length(base) + 2, F.length(path))
-    rows = files.select(rel.alias("rel_path"), "content").filter(~is_ignored(F.col("rel_path")))
+    rel = F.expr("substring(`_path`, length(`_base`) + 2)")
+    rows = files.select(path.alias("_path"), base.alias("_base"), "content").select(rel.alias("rel_path"), "content").filter(~is_ignored(F.col("rel_path")))
     rows = rows.withColumn("suffix", suffix(F.col("rel_path")))
     if suffixes:
         rows = rows.filter(F.col("suffix").isin(*suffixes))

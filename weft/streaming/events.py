@@ -15,26 +15,31 @@ def source(spark: SparkSession, path: str, schema, files_per_batch: int = 16) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """With a watermark; times without a zone are taken for UTC instants, as streams need."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and sums by type and window of event time."""
-    sums = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    sums = _timed(events, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return sums.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 days", step: str = "1 day", late: str = "1 hour") -> DataFrame:
-    sums = events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    sums = _timed(events, late).groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return sums.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
     """A row for each run of a user's events with no gap: its first event, the end of its last gap, its length."""
-    sums = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    sums = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return sums.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def first_of_each(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Rows without replays of their keys; a stream forgets keys once they are later than the watermark."""
-    marked = events.withWatermark("ts", late)
+    marked = _timed(events, late)
     return marked.dropDuplicatesWithinWatermark(keys) if events.isStreaming else marked.dropDuplicates(keys)
 
 
