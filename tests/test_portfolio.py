@@ -115,3 +115,34 @@ def test_a_stream_gives_the_batch_counts(spark, tmp_path):
     for r in seen:
         total[r["event_type"]] = total.get(r["event_type"], 0) + r["count"]
     assert total == {r["event_type"]: r["count"] for r in batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("count")).collect()}
+
+
+def test_claims_of_a_package(spark):
+    from weft.sources.manifests import node_claims
+
+    text = '{"dependencies": {"@angular/core": "1"}, "devDependencies": {"typescript": "5"}}'
+    assert spark.range(1).select(node_claims(F.lit(text))).first()[0] == ["javascript", "typescript", "angular"]
+    assert spark.range(1).select(node_claims(F.lit("{}"))).first()[0] == ["javascript"]
+
+
+def test_a_made_up_portfolio_shares_its_topics(spark):
+    from weft.sources.synthetic import portfolio
+
+    caps = pipeline.run(spark, portfolio(spark, 30), pipeline.Config(semantic=False))["capabilities"]
+    assert caps.filter("dimension = 'messaging' and n_members > 1").count() > 3
+
+
+def test_preflight_and_waiting():
+    from weft.operators import judge
+
+    assert judge.preflight(lambda p: (200, {}, '{"confirmed": true}'))[0] and not judge.preflight(lambda p: (401, {}, ""))[0]
+    assert judge.retry_after({"Retry-After": "7"}, 0) == 7 and judge.retry_after({}, 3) == 8 and judge.retry_after({"retry-after": "900"}, 0) == 60
+
+
+def test_errors_are_logged_in_order(spark):
+    from weft.operators import reports
+    from weft.schema import rejections
+
+    bad = spark.createDataFrame([("m", "x", None, "t", "HIGH", 1)], "module_id string, direction string, resource_type string, resource_id string, tier string, fact_seq long")
+    lines = reports.error_log(rejections("integration_facts", bad)).collect()
+    assert len(lines) == 1 and lines[0]["line"].startswith("[WARNING] extract · m: ")

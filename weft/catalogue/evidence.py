@@ -106,7 +106,7 @@ _TERMS = (
 
 ORACLES = {
     "clones_type1": f"WITH {_LINES}, {_CLASS1}, {_JACCARD.format(k=1)} SELECT *, 'HIGH' AS tier FROM p1",
-    "clones_type2": f"WITH {_LINES}, {_CLASS1}, {_JACCARD.format(k=1)}, {_LOOSE}, {_CLASS2}, {_JACCARD.format(k=2)} SELECT *, 'HIGH' AS tier FROM p2 WHERE NOT EXISTS (FROM p1 WHERE p1.module_a = p2.module_a AND p1.module_b = p2.module_b)",
+    "clones_type2": f"WITH {_LINES}, {_CLASS1}, {_JACCARD.format(k=1)}, {_LOOSE}, {_CLASS2}, {_JACCARD.format(k=2)} SELECT *, 'HIGH' AS tier FROM p2 WHERE module_a = module_b OR NOT EXISTS (FROM p1 WHERE p1.module_a = p2.module_a AND p1.module_b = p2.module_b)",
     "clone_classes": f"WITH {_LINES}, {_CLASS1} SELECT id, class FROM c1",
     "clone_components": f"""WITH RECURSIVE {_LINES}, {_CLASS1}, {_JACCARD.format(k=1)}, e AS (SELECT a, b FROM j1 UNION SELECT b, a FROM j1),
         r(node, other) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other), g AS (SELECT node, least(node, min(other)) AS root FROM r GROUP BY node),

@@ -67,6 +67,18 @@ def auth_headers(key: str | None, extra: dict[str, str] | None = None) -> dict[s
     return {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {}) | (extra or {})
 
 
+def preflight(ask: Callable[[str], tuple[int, dict[str, str], str]]) -> tuple[bool, str]:
+    """Whether a model answers at all, and what to look at if it does not."""
+    try:
+        status, _, body = ask('Answer with {"confirmed": true}')
+    except Exception as e:  # noqa: BLE001  whatever stops the call is the answer
+        return False, f"no connection: {e}"
+    hints = {401: "the key is missing or wrong", 403: "the key may not use this model", 404: "the address or the model's name is wrong", 429: "too many requests; wait and try again"}
+    if status != 200:
+        return False, f"status {status}: {hints.get(status, 'the server failed')}"
+    return ("{" in body), "ready" if "{" in body else "the answer has no JSON object"
+
+
 def asked(judgements: DataFrame, ask: Callable[[str], tuple[int, dict[str, str], str]], attempts: int = 3, pause: float = 0.0) -> DataFrame:
     """judged rows asked again of a model. ask(prompt) gives (status, headers, body), and is sent to the
     executors; where it fails, the heuristic verdict stays and its reason says so."""

@@ -101,5 +101,12 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def error_log(errors: DataFrame) -> DataFrame:
+    """(seq, line): a numbered line for each error, in order of time; made for logs that people read."""
+    order = Window.partitionBy(F.to_date("timestamp")).orderBy("timestamp", "source", "message")
+    said = F.concat(F.lit("["), "severity", F.lit("] "), "phase", F.lit(" · "), "source", F.lit(": "), "message", F.lit(" ("), "error_type", F.lit(") → "), "remediation")
+    return errors.select(F.to_date("timestamp").alias("day"), F.row_number().over(order).alias("seq"), said.alias("line"))
+
+
 def error_counts(errors: DataFrame) -> DataFrame:
     return errors.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

@@ -48,7 +48,7 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] | None = None
     rows = rows.withColumn("suffix", suffix(F.col("rel_path")))
     if suffixes:
         rows = rows.filter(F.col("suffix").isin(*suffixes))
-    return rows.select("rel_path", "suffix", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return rows.select("rel_path", "suffix", F.decode("content", "UTF-8").alias("content"))
 
 
 def parent(path: Column) -> Column:
