@@ -122,7 +122,7 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_grams, count(DISTINCT k) AS n_buckets, sum(k)::BIGINT AS total FROM b GROUP BY doc_id""",
     "domain_terms": f"WITH {_TERMS} SELECT doc_id, len(t) AS n, md5(array_to_string(t, ',')) AS digest FROM terms",
     "judge_heuristic": f"""WITH {_TERMS}, p AS (SELECT a, b, round(s, 6) AS similarity FROM ({_PAIRS}) WHERE s >= 0.4),
-        q AS (SELECT p.*, x.source AS oa, y.source AS ob, list_sort(list_intersect(x.t, y.t)) AS common, len(list_distinct(list_concat(x.t, y.t))) AS total FROM p JOIN terms x ON x.doc_id = a JOIN terms y ON y.doc_id = b),
+        q AS (SELECT p.*, coalesce(x.source, 'unknown') AS oa, coalesce(y.source, 'unknown') AS ob, coalesce(list_sort(list_intersect(x.t, y.t)), []) AS common, len(list_distinct(list_concat(coalesce(x.t, []), coalesce(y.t, [])))) AS total FROM p LEFT JOIN terms x ON x.doc_id = a LEFT JOIN terms y ON y.doc_id = b),
         v AS (SELECT *, len(common) >= 2 OR (len(common) >= 1 AND similarity >= 0.82) AS confirmed FROM q)
         SELECT a, b, similarity, confirmed, round_even(CASE WHEN confirmed THEN least(similarity, 0.5 + len(common) / greatest(total, 1)) ELSE least(similarity, 0.4) END, 2) AS confidence,
         CASE WHEN confirmed AND oa = ob THEN 'RETIRE' WHEN confirmed THEN 'STANDARDIZE' ELSE 'LEAVE' END AS play,
