@@ -72,4 +72,18 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quote_links, op2_secret_scans, op3_byte_bpe, op4_quality_rules, op5_license_scans, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups)
 }
-ORACLES: dict[str, str] = {}
+_FAILED = " + ".join(f"CASE WHEN {rule} THEN {quality_rules.BIT[name]} ELSE 0 END" for name, rule in quality_rules.RULES)
+#: Trained, drawn, iterated and format-bound operators are held against brute force in tests/llm instead.
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+      lines AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+      wins AS (SELECT row, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4] AS win FROM d, unnest(range(1, greatest(len(ws) - 3, 1))) AS u(i)),
+      often AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS n FROM wins) WHERE n > 1),
+      covered AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM often, unnest(range(0, 5)) AS u(k) GROUP BY row),
+      m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
+        len(list_filter(ws, lambda w: length(w) > 1 AND ascii(right(w, 1)) < 128 AND NOT regexp_matches(right(w, 1), '[A-Za-z0-9]') AND right(w, 1) = left(right(w, 2), 1))) AS n_marked_words
+        FROM d LEFT JOIN lines USING (row) LEFT JOIN covered USING (row)),
+      f AS (SELECT *, ({_FAILED})::INT AS failed FROM m)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {quality_rules.BASE} <> 0 AS base_failed, failed & {quality_rules.POLICIES[quality_rules.CURRENT].mask} = 0 AS kept, failed, {quality_rules.CURRENT} AS policy FROM f""",
+}
