@@ -20,7 +20,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 10"),
     ("repeated_words", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "100 * n_symbols > 30 * n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     ("capitals", "100 * n_upper > 50 * n_letters"),
     ("marked_words", "100 * n_marked_words > 50 * n_words"),
