@@ -171,3 +171,13 @@ def test_rows_that_break_a_rule_are_split_off(spark):
     f = facts_of(spark, ("a", "READS", "SQL_TABLE", "t", "HIGH"), ("a", "READS", "SQL_TABLE", "", "HIGH"), ("a", None, "SQL_TABLE", "t", "HIGH"), ("a", "READS", "FILE", "t", "HIGH"))
     good, bad = split_valid("integration_facts", f)
     assert (good.count(), bad.count()) == (1, 3)
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_of_chains_stars_and_cycles(spark, monkeypatch, small):
+    from weft.operators import components
+
+    monkeypatch.setattr(components, "SMALL", small)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(20)] + [(203, 201), (201, 202), (202, 203), (203, 203)] + [(399 - i, 398 - i) for i in range(30)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(20)} | {i: 201 for i in (201, 202, 203)} | {i: 369 for i in range(369, 400)}

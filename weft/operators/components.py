@@ -8,6 +8,33 @@ from pyspark.sql import functions as F
 from weft.plans.durable import durable
 
 
+#: Most distinct edges that one task may take, some 20 MB.
+SMALL = 100_000
+
+
+def _at_once(edges: DataFrame) -> DataFrame:
+    """Components of a small table of edges, by one task."""
+
+    def solve(frames):
+        import pandas as pd
+
+        up: dict = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+                a, b = sorted((top(a), top(b)))
+                up[b] = a  # the smaller stays on top
+        yield pd.DataFrame({"node": [*up], "root": [top(x) for x in up]})
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return durable(edges.coalesce(1).mapInPandas(solve, f"node {kind}, root {kind}"))
+
+
 def _flattened(parents: DataFrame) -> DataFrame:
     """parents (node, root), each root smaller than its node or equal: follows the pointers to their ends.
 
@@ -29,9 +56,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour (a map-side minimum, so a hub costs no more
     than another node), flattens the trees and keeps only the edges between different trees. At least
-    every node but the local minima goes, so rounds are few. Loops and repeated edges are allowed."""
+    every node but the local minima goes, so rounds are few. Loops and repeated edges are allowed.
+
+    A graph of at most SMALL edges is done in one task: there the rounds' jobs would cost more than the work."""
     pair = F.array_sort(F.array("a", "b"))
     left = durable(edges.filter("a <> b").select(pair[0].alias("a"), pair[1].alias("b")).distinct())
+    if left.count() <= SMALL:
+        return _at_once(left)
     whole: DataFrame | None = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
