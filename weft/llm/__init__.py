@@ -1,8 +1 @@
 """Operators for training-data pipelines. Nothing else in the library imports this package."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors need no copy of the package: what runs in their Python workers is sent with the plan.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

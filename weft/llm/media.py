@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +118,6 @@ def read_png(media: bytes):
     return _unfilter(np.frombuffer(raw, np.uint8).reshape(head[1], head[0] + 1), head[0])
 
 
-@cache
 def _cosines(n: int, k: int):
     import numpy as np
 
