@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from weft.llm.base import durable, let
 
-#: Most words in the broadcast dictionary: some 40 MB.
-DICTIONARY = 800_000
+#: Most words in the broadcast dictionary: some 25 MB.
+DICTIONARY = 524_288
 #: Of these the FREQUENT first are in a hash map of Python's, some 30 MB; the rest in flat tables.
 FREQUENT = 131_072
 _NEVER = 2**31 - 1
@@ -40,21 +40,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """Ids of two tokens to the id of the token that they join to."""
-    pairs = {}
+def merge_pairs(ranks: dict[bytes, int]) -> tuple[dict[tuple[int, int], int], dict[bytes, int]]:
+    """The pairs of ids that can ever merge, with what they merge to; and the tokens that merging never gives.
+
+    Many pairs of tokens join to a token, but each token has only one last merge. While two pieces stand
+    side by side, what happened between their ends is what would happen to those bytes alone, and alone the
+    bytes of a token go through just one state of two pieces. So its pair is the only one worth keeping."""
+    every = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             left, right = ranks.get(token[:i]), ranks.get(token[i:])
             if left is not None and right is not None:
-                pairs[left, right] = rank
-    return pairs
+                every[left, right] = rank
+    pairs, apart = {}, {}
+    for token, rank in ranks.items():
+        if len(token) > 1:
+            last = merged([ranks[bytes([b])] for b in token], every, 2)
+            if len(last) == 2 and every.get((last[0], last[1])) == rank:
+                pairs[last[0], last[1]] = rank
+            else:
+                apart[token] = rank
+    return pairs, apart
 
 
-def merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
-    """Ranked merges of one word in plain Python: to find a vocabulary's oddities, and for tests."""
+def merged(ids: list[int], pairs: dict[tuple[int, int], int], least: int = 1) -> list[int]:
+    """Ranked merges of one word in plain Python, down to `least` pieces: to read a vocabulary."""
     ids = [*ids]
-    while len(ids) > 1:
+    while len(ids) > least:
         rank, i = min((pairs.get((a, b), _NEVER), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)))
         if rank == _NEVER:
             break
@@ -65,15 +77,15 @@ def merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 class Merges:
     """A vocabulary's merge table as literals, and the fold over them."""
 
-    _GROUPS, _FACTOR, _MIX = 32749, 1103515245, 40503
+    _GROUPS, _FACTOR, _MIX = 16381, 1103515245, 40503
 
     def __init__(self, ranks: dict[bytes, int]):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"bytes without a rank: {missing[:5]}")
         if max(ranks.values()) >= _EDGE:
             raise ValueError("ids of more than 16 bits")
-        pairs = merge_pairs(ranks)
-        self.size = next(p for p in range(len(pairs) + len(pairs) // 8 * 2 + 1001 | 1, 10**9, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2)))
+        pairs, self._whole = merge_pairs(ranks)
+        self.size = next(p for p in range(len(pairs) * 9 // 8 + 1001 | 1, 10**9, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2)))
         groups: list[list[int]] = [[] for _ in range(self._GROUPS)]
         for a, b in pairs:
             groups[(a * self._MIX + b) % self._GROUPS].append(a << 16 | b)
@@ -88,9 +100,6 @@ class Merges:
         literal = lambda x, kind: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<{kind}>")
         self._slots, self._moves = literal(slots, "bigint"), literal(moves, "bigint")
         self._bytes = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)]).cast("array<bigint>")
-        by_byte = [ranks[bytes([b])] for b in range(256)]
-        # tokens that merging their bytes does not give: a whole word that is a token is that token
-        self._whole = {t.hex().upper(): r for t, r in ranks.items() if merged([by_byte[b] for b in t], pairs) != [r]}
 
     def _rank(self, left: Column, right: Column) -> Column:
         """The id that two ids (longs) merge to; a number of 2^16 or more if they do not."""
@@ -132,8 +141,8 @@ class Merges:
             return F.slice(F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(ids.alias("ids"), ranks.alias("ranks")), step)["ids"], F.lit(2), rest)
 
         out = F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<int>")).when(n == 1, each.cast("array<int>"))
-        for token, rank in self._whole.items():
-            out = out.when(F.hex(raw) == token, F.array(F.lit(rank)))
+        for token, rank in self._whole.items():  # a whole word that is a token is that token
+            out = out.when(raw == F.lit(token), F.array(F.lit(rank)))
         return out.otherwise(F.filter(let(F.concat(edge, each, edge), folded), lambda x: x != _EDGE).cast("array<int>"))
 
 
@@ -173,7 +182,7 @@ def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTION
     often = F.col("n") >= least(FREQUENT)
     chosen = counts.filter(F.col("n") >= least(most)).select(F.col("word").cast("binary").alias("word"), often.alias("often"), table.fold(F.col("word")).alias("ids")).toArrow()
     blobs, ends, codes, code_ends, frequent = [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], []
-    for batch in chosen.to_batches():
+    for batch in chosen.to_batches(max_chunksize=65536):
         for column, data, stops, width in (("word", blobs, ends, 1), ("ids", codes, code_ends, 2)):
             x = batch[column]
             offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
@@ -184,12 +193,13 @@ def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTION
             stops.append((offsets[1:] - offsets[0]) * width + stops[-1][-1])
         frequent.append(batch["often"].to_numpy(zero_copy_only=False))
     blob, word_ends = b"".join(blobs), np.concatenate(ends).astype("<i4")
+    del chosen, blobs
+    pa.default_memory_pool().release_unused()  # the driver's memory is for more than this
     n = len(word_ends) - 1
     if not n:
         return {"n": 0}
     size = 1 << max(4, (2 * n).bit_length())
-    slots, at = array("i", [-1]) * size, word_ends.tolist()
-    view = memoryview(blob)
+    slots, at, view = array("i", [-1]) * size, memoryview(word_ends), memoryview(blob)
     for i in range(n):
         slot = xxh64_intdigest(view[at[i] : at[i + 1]]) & (size - 1)
         while slots[slot] >= 0:
@@ -199,13 +209,36 @@ def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTION
     return {"n": n, "words": blob, "word_ends": word_ends.tobytes(), "ids": b"".join(codes), "id_ends": np.concatenate(code_ends).astype("<i4").tobytes(), "slots": slots.tobytes(), "often": numbers.tobytes()}
 
 
+def splitter(pattern: str):
+    """A function from a text to the pattern's matches.
+
+    Texts without characters from U+0250 on go through the standard library's faster engine, which has no
+    Unicode categories: the classes are spelt out from the character database for just that range."""
+    import re
+    import unicodedata
+
+    import regex
+
+    whole = regex.compile(pattern).findall
+    among = {"L": [], "N": []}
+    for code in range(0x250):
+        if (kind := unicodedata.category(chr(code))[0]) in among:
+            among[kind].append(re.escape(chr(code)))
+    space = re.escape("\t\n\v\f\r \x85\xa0")
+    letters, numbers = "".join(among["L"]), "".join(among["N"])
+    spelt = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
+    try:
+        latin = re.compile(spelt).findall
+    except re.error:  # a pattern of another shape
+        return whole
+    return lambda text: latin(text) if text.isascii() or max(text) < "\u0250" else whole(text)
+
+
 class Lookup:
     """A worker's reading of the dictionary: text to ids, with the words that it lacks."""
 
     def __init__(self, parts: dict, pattern: str):
-        import regex
-
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.n = parts["n"]
         self.often: dict[str, bytes] = {}
         if self.n:
