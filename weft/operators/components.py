@@ -29,7 +29,8 @@ def _at_once(edges: DataFrame) -> DataFrame:
             for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
                 a, b = sorted((top(a), top(b)))
                 up[b] = a  # the smaller stays on top
-        yield pd.DataFrame({"node": [*up], "root": [top(x) for x in up]})
+        if up:  # a frame without rows has no string columns
+            yield pd.DataFrame({"node": [*up], "root": [top(x) for x in up]})
 
     kind = edges.schema["a"].dataType.simpleString()
     return durable(edges.coalesce(1).mapInPandas(solve, f"node {kind}, root {kind}"))
