@@ -26,8 +26,8 @@ from weft.llm.base import durable, let
 
 #: Most words in the broadcast dictionary: some 25 MB.
 DICTIONARY = 524_288
-#: Of these the FREQUENT first are in a hash map of Python's, some 30 MB; the rest in flat tables.
-FREQUENT = 131_072
+#: Of these the FREQUENT first are in a hash map of Python's, some 15 MB; the rest in flat tables.
+FREQUENT = 65_536
 _NEVER = 2**31 - 1
 #: An id that no vocabulary has (it also marks where a word is missing), and what a free slot of the merge table holds.
 _EDGE, _FREE = 2**16 - 1, 2**49
@@ -322,6 +322,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
         for batch in batches:
             for part in _small(batch):
                 found = [lookup.encode(t.as_py() or "") for t in part["text"]]
+                pa.default_memory_pool().release_unused()
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "part", "words", "marks"])
 
@@ -329,6 +330,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
         for batch in batches:
             for part in _small(batch):
                 ids = [filled(p.as_py(), f.as_py(), m.as_py()) for p, f, m in zip(part["part"], part["folds"], part["marks"], strict=True)]
+                pa.default_memory_pool().release_unused()
                 columns = [part["doc_id"], pa.array([x.tobytes() for x in ids], pa.binary())]
                 if decoded:
                     columns.append(pa.array([b"".join(map(pieces.__getitem__, x.tolist())) for x in ids], pa.binary()))
