@@ -531,6 +531,13 @@ def test_one_of_each_group_stays(spark):
     assert simhash.one_of_each(spark.createDataFrame([(None, "x y", 1), (None, "x y", 1)], "doc_id long, text string, n_chars long")).count() == 1
 
 
+def test_groups_without_an_id_or_with_one_id_stay_apart(spark):
+    some, other, third = "a b c d e", "q w e r t z u", "one more text of its own"
+    kept = lambda *rows: sorted((r["doc_id"] or 0, r["text"]) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept((None, some), (None, other), (None, some), (7, third)) == [(0, some), (0, other), (7, third)]
+    assert kept((1, some), (1, other), (5, other), (6, some)) == [(1, some), (1, other)]
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 

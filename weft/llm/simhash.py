@@ -90,11 +90,12 @@ def linked(prints: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def _components(prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id) for the fingerprints in prints (doc_id, fp)."""
+    """(fp, root, component_id) for the fingerprints in prints (doc_id, fp): root tells groups apart, component_id
+    need not, as ids may be null or repeated."""
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = durable(distinct.join(linked(distinct.select("fp"), distance), "fp"))
     heads = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    return groups.join(heads, "root").select("fp", "component_id")
+    return groups.join(heads, "root").select("fp", "root", "component_id")
 
 
 def near_groups(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -117,10 +118,9 @@ def one_of_each(docs: DataFrame, distance: int = 4) -> DataFrame:
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("head")
     # pre-aggregated by fingerprint, so that a group of copies is one row before it meets its component
     by_print = prints.groupBy("fp").agg(head)
-    groups = _components(prints, distance)
     alone, id_, same = (fresh(docs, n) for n in ("_alone", "_id", "_same"))
-    one = by_print.join(groups.select("fp", F.coalesce("component_id", F.lit(-(2**63))).alias("component")), "fp")
-    kept = one.groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias(id_), F.col("head.same").alias(alone))
+    one = by_print.join(_components(prints, distance).select("fp", "root"), "fp")
+    kept = one.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias(id_), F.col("head.same").alias(alone))
     marked = docs.withColumn(same, F.xxhash64("text"))
     left = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(same) == F.col(alone)), "left_semi")
     return left.dropDuplicates(["doc_id", same]).drop(same)
