@@ -180,6 +180,23 @@ def test_redaction_replaces_every_span_once(spark):
         assert r["text"] == by_hand(cases[r["doc_id"]]) and r["n_chars"] == len(r["text"])
 
 
+def found(spark, cases):
+    rows = secrets.scan(spark.createDataFrame([*enumerate(cases)], "doc_id long, text string")).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()
+    return [s for _, s in sorted((r["doc_id"], r["s"]) for r in rows)]
+
+
+def test_keys_with_few_digits_are_found_and_words_are_not(spark):
+    keys = ["kQzRtWmXpLvBnYsHcJdFgTbE", "kQzRtWmXpLvB7nYsHcJdFgTb", "qzkrtwmxplvbnyshcjdfgtae", "AbCdEfFaDcBeAFebCDafcdEB"]
+    assert found(spark, [f"a {k} b" for k in keys]) == [f"entropy:2:{len(k) + 2}" for k in keys]
+    words = ["internationalization", "getApplicationContextFactory", "AbstractSingletonProxyFactoryBean", "thequickbrownfoxjumpsoverthelazydog", "setUserAuthenticationTokenV2", "Donaudampfschifffahrtsgesellschaft", "MY_LONG_SERVICE_ACCOUNT_NAME", "src/main/java/resources", "2024-01-31/12-59-00/1234", "-" * 40]
+    assert found(spark, words) == [""] * len(words)
+    rng = random.Random(20)
+    for n, most in ((20, 0.02), (24, 0.01), (32, 0.005)):
+        made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n)) for _ in range(1000)]
+        made += [k[:5] + "7" + k[6:] for k in made]
+        assert found(spark, made).count("") <= most * len(made)
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 Everything is a column expression: nothing leaves the JVM and nothing is shuffled.
 
-Candidates are runs of 20 or more characters that keys are written in. By its characters a candidate is
-of class hex (hexadecimal digits) or mixed (letters and digits); others are words, and are left alone. A
+Candidates are runs of 20 or more characters that keys are written in; without letters they are numbers,
+and are left alone. By its characters a candidate is of class hex (hexadecimal digits, two digits at least),
+mixed (letters and two digits at least) or letters (one digit at most), where runs that are spelt like words
+are left alone, see wordlike. A
 window of 20 characters slides over it. Shannon's entropy of a window is log2(W) - S / W with S the sum of
 c * log2(c) over the counts c of its characters; a step of the window changes two counts, so S is kept up
 by four table lookups and never counted anew. S is in millionths, as an integer, so no rounding builds up.
@@ -29,7 +31,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
 #: Least bits a character of a window, by class.
-LIMITS = {"hex": 3.0, "mixed": 3.7}
+LIMITS = {"hex": 3.0, "mixed": 3.7, "letters": 3.5}
 #: Candidates in which one of these is found are examples, counters or names.
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}",
@@ -122,18 +124,28 @@ def _hot(word: Column, most: Column) -> Column:
     return let(folded, lambda s: F.when(s["low"] >= 0, F.struct(s["low"].alias("low"), s["high"].alias("high"))))
 
 
+def wordlike(word: Column) -> Column:
+    """Whether a run of letters is spelt like words, whatever stands between them: a quarter of its letters are
+    vowels, no five consonants stand together (h after some letters and the c of sch not counted), and capitals
+    begin a word of two letters or more or stand together."""
+    size = lambda pattern: F.length(F.regexp_replace(word, pattern, ""))
+    spoken = F.regexp_replace(word, "(?i)(?<=[aeioucspt])h|(?<=s)c(?=h)", "")
+    odd = word.rlike("(?<=[A-Z])[a-z](?![a-z])|(?<![a-z])[a-z](?=[A-Z])|(?<![A-Z])[A-Z]{2}(?=[a-z])")
+    return (size("[^AEIOUYaeiouy]") * 4 >= size("[^A-Za-z]")) & ~spoken.rlike("(?i)[b-df-hj-np-tv-xz]{5}") & ~odd
+
+
 def entropy_spans(text: Column, base: Column, allowed: Sequence[str] = ALLOWED) -> Column:
     """Spans of hot stretches that no base span overlaps."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
     def hot(word):
         hexadecimal = word.rlike("^[0-9a-fA-F]+$")
-        mixed = word.rlike("[0-9].*[0-9]") & word.rlike("[A-Za-z]")
-        most = F.when(hexadecimal, F.lit(limit(LIMITS["hex"]))).otherwise(F.lit(limit(LIMITS["mixed"])))
+        letters = ~word.rlike("[0-9].*[0-9]")
+        most = F.when(letters, F.lit(limit(LIMITS["letters"]))).when(hexadecimal, F.lit(limit(LIMITS["hex"]))).otherwise(F.lit(limit(LIMITS["mixed"])))
         known = F.lit(False)
         for pattern in allowed:
             known = known | word.rlike(pattern)
-        return F.when(mixed & ~known, _hot(word, most))
+        return F.when(word.rlike("[A-Za-z]") & ~known & ~(letters & wordlike(word)), _hot(word, most))
 
     def judged(spans):
         stretches = let(found, lambda words: F.transform(spans, lambda s, i: let(hot(F.get(words, i)), lambda h: F.when(h.isNotNull(), _span(s["start"] + h["low"], 3, s["start"] + h["high"])))))
