@@ -10,7 +10,8 @@ window of 20 characters slides over it. Shannon's entropy of a window is log2(W)
 c * log2(c) over the counts c of its characters; a step of the window changes two counts, so S is kept up
 by four table lookups and never counted anew. S is in millionths, as an integer, so no rounding builds up.
 The stretch from the first window over the class's limit to the last is reported, unless the candidate is on
-the allow-list or overlaps what the fixed kinds report."""
+the allow-list. What the fixed kinds report is cut out of a candidate first; each part that is left and takes a
+window is a candidate by itself."""
 
 from __future__ import annotations
 
@@ -134,8 +135,22 @@ def wordlike(word: Column) -> Column:
     return (size("[^AEIOUYaeiouy]") * 4 >= size("[^A-Za-z]")) & ~spoken.rlike("(?i)[b-df-hj-np-tv-xz]{5}") & ~odd
 
 
+def _parts(span: Column, word: Column, base: Column) -> Column:
+    """The parts of a candidate (its span, its word) outside the base spans that take a window, as (start, word)."""
+
+    def outside(cuts):
+        starts = F.array_distinct(F.concat(F.array(span["start"]), F.transform(cuts, lambda b: b["end"])))
+        free = F.filter(starts, lambda p: (p < span["end"]) & ~F.exists(cuts, lambda b: (b["start"] <= p) & (p < b["end"])))
+        end = lambda p: F.coalesce(F.array_min(F.transform(F.filter(cuts, lambda b: b["start"] >= p), lambda b: b["start"])), span["end"])
+        cut = F.transform(free, lambda p: F.struct(p.alias("start"), F.substring(word, (p - span["start"] + 1).cast("int"), (end(p) - p).cast("int")).alias("word")))
+        return F.filter(cut, lambda x: F.length(x["word"]) >= WINDOW)
+
+    whole = F.array(F.struct(span["start"].alias("start"), word.alias("word")))
+    return let(F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"])), lambda cuts: F.when(F.size(cuts) > 0, outside(cuts)).otherwise(whole))
+
+
 def entropy_spans(text: Column, base: Column, allowed: Sequence[str] = ALLOWED) -> Column:
-    """Spans of hot stretches that no base span overlaps."""
+    """Spans of the hot stretches of what the base spans leave of the candidates."""
     found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
     def hot(word):
@@ -148,8 +163,9 @@ def entropy_spans(text: Column, base: Column, allowed: Sequence[str] = ALLOWED)
         return F.when(word.rlike("[A-Za-z]") & ~known & ~(letters & wordlike(word)), _hot(word, most))
 
     def judged(spans):
-        stretches = let(found, lambda words: F.transform(spans, lambda s, i: let(hot(F.get(words, i)), lambda h: F.when(h.isNotNull(), _span(s["start"] + h["low"], 3, s["start"] + h["high"])))))
-        return F.filter(stretches, lambda s: s.isNotNull() & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        parts = let(found, lambda words: F.flatten(F.transform(spans, lambda s, i: _parts(s, F.get(words, i), base))))
+        stretches = F.transform(parts, lambda p: let(hot(p["word"]), lambda h: F.when(h.isNotNull(), _span(p["start"] + h["low"], 3, p["start"] + h["high"]))))
+        return F.filter(stretches, lambda s: s.isNotNull())
 
     return F.when(text.rlike(CANDIDATE), let(_matches(text, CANDIDATE, 3), judged)).otherwise(_none())
 
