@@ -460,6 +460,23 @@ def test_views_teach_each_other():
     assert ((m.score(text[40:], meta[40:])[2] > 0.5) == y[40:]).mean() > 0.9
 
 
+def test_a_rare_source_beyond_the_pool_is_handed_over(spark, monkeypatch):
+    """The bound is 200 documents, and one document of 800 is of a source of its own."""
+    rng = random.Random(21)
+    junk = lambda: " ".join(rng.choice(["$$", "##", "11", "%%"]) for _ in range(60))
+    fine = lambda: " ".join(rng.choice(["some", "words", "that", "people", "write", "now"]) for _ in range(60))
+    rows = [(i, fine() if i % 2 else junk(), "en", "rare" if i == 777 else "web", 200) for i in range(1000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200)], "doc_id long, quality int")
+    handed, one = [], cotraining._picked
+    monkeypatch.setattr(cotraining, "_picked", lambda *a: handed.append(one(*a)) or handed[-1])
+    m = cotraining.learn(spark.createDataFrame(rows, DOCS), labels, pool=200, rounds=2)
+    assert any(777 in ids for given in handed for ids in given.values()) and all(a <= 10 and b <= 10 for a, b in m.handed)
+    ids = [d for given in handed for d in {*given["text"], *given["meta"]}]
+    assert len(ids) == len(set(ids)) and min(ids) >= 200
+    by_kind = [(d, v) for given in handed for d, v in given["text"].items()]
+    assert by_kind and all(v == d % 2 for d, v in by_kind)
+
+
 def test_labels_of_one_kind_teach_nothing(spark, texts):
     df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in [*texts.items()][:5]], DOCS)
     for value, kept in ((1, 5), (0, 0)):

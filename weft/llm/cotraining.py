@@ -1,29 +1,32 @@
 """Quality by co-training: two views of a document teach each other.
 
 The content view sees the text's bytes and nothing else; the metadata view sees language, source and
-length and never the text. Each is a logistic regression. In each round both score a pool of unlabelled
-documents; what one is sure of joins, with that label, the other's training set. The views are calibrated on
+length and never the text. Each is a logistic regression. In each round both score all unlabelled
+documents; of what one is sure of some joins, with that label, the other's training set. The views are calibrated on
 labelled documents that neither was trained on, and a logistic regression over the two calibrated logits
 gives the score of every document.
 
-Fitting uses at most `labelled` labelled and `pool` unlabelled documents, those with the smallest hash of
-doc_id, and reads their whole texts on the executors; the driver gets a vector of FEATURES numbers for each.
-Everything else covers all rows: scoring is one pass over whole texts without a shuffle."""
+Only what a fit reads is bounded: at most `labelled` labelled documents, those with the smallest hash of doc_id,
+and a share of `pool` pseudo-labelled ones a round, out of all documents that the view is sure of: first the surest
+of each source and language, for half of the places, then the surest. The features of all documents are written
+once; a round reads them and scores them on the executors, and the driver gets a vector of FEATURES numbers for
+each document that a fit reads. Scoring at the end is one pass over whole texts without a shuffle."""
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.base import fresh
+from weft.llm.base import durable, fresh
 
 PAIRS, SHAPES, META = 256, 9, 128
 FEATURES = PAIRS + SHAPES
 LABELLED, POOL, ROUNDS, SEED = 4000, 4000, 5, 11
-#: How sure a view must be, and how much of the pool each round hands over at most, by label in proportion.
+#: How sure a view must be, and how many documents each round hands over at most, as a share of POOL, by label in proportion.
 SURE, SHARE = 0.95, 0.05
 THRESHOLD = 0.5
 
@@ -130,8 +133,11 @@ def wide(places: list[list[int]]):
     return out
 
 
-def train(x_text, x_meta, y, pool_text, pool_meta, rounds: int = ROUNDS) -> Model:
-    """Co-training on labelled rows (y 0 or 1) and a pool; every fourth labelled row is kept for calibration."""
+def teach(x_text, x_meta, y, pick, rounds: int = ROUNDS) -> Model:
+    """Co-training on labelled rows (y 0 or 1); every fourth labelled row is kept for calibration.
+
+    pick(models, share of ones) gives for each view what it is sure of, as (content, metadata, labels) of rows that
+    were not picked before."""
     import numpy as np
 
     y = np.asarray(y, np.float64)
@@ -142,8 +148,6 @@ def train(x_text, x_meta, y, pool_text, pool_meta, rounds: int = ROUNDS) -> Mode
         late = np.zeros(len(y), bool)
     held = late if late.any() else np.ones(len(y), bool)
     taught = {"text": [(x_text[~late], y[~late])], "meta": [(x_meta[~late], y[~late])]}
-    views = {"text": pool_text, "meta": pool_meta}
-    free = np.ones(len(pool_text), bool)
     share, handed = y.mean(), []
 
     def fitted(kind):
@@ -151,23 +155,11 @@ def train(x_text, x_meta, y, pool_text, pool_meta, rounds: int = ROUNDS) -> Mode
         return Logistic().fit(x, t)
 
     for _ in range(rounds):
-        models = {k: fitted(k) for k in taught}
-        given = {}
-        for kind in taught:
-            p = 1 / (1 + np.exp(-models[kind].logit(views[kind])))
-            picks = []
-            for label, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                ranked = np.argsort(-sure, kind="stable")
-                ranked = ranked[free[ranked] & (sure[ranked] >= SURE)]
-                picks += [(i, label) for i in ranked[: max(1, int(len(p) * SHARE * part))]]
-            given[kind] = picks
-        other = {"text": "meta", "meta": "text"}
-        for kind, picks in given.items():
-            if picks:
-                rows, labels = np.array([i for i, _ in picks]), np.array([v for _, v in picks], np.float64)
-                taught[other[kind]].append((views[other[kind]][rows], labels))
-                free[rows] = False
-        handed.append((len(given["text"]), len(given["meta"])))
+        given = pick({k: fitted(k) for k in taught}, share)
+        for kind, (of_text, of_meta, labels) in given.items():
+            if len(labels):
+                taught["meta" if kind == "text" else "text"].append((of_meta if kind == "text" else of_text, np.asarray(labels, np.float64)))
+        handed.append((len(given["text"][2]), len(given["meta"][2])))
         if not any(handed[-1]):
             break
     text, meta = fitted("text"), fitted("meta")
@@ -177,6 +169,36 @@ def train(x_text, x_meta, y, pool_text, pool_meta, rounds: int = ROUNDS) -> Mode
     return Model(float(share), text, meta, text_scale, meta_scale, Logistic().fit(both, y[held], penalty=1e-3, steps=2000), handed)
 
 
+def places(size: int, share: float) -> list[tuple[int, int]]:
+    """(label, how many rows of it a view hands over at most in a round)."""
+    return [(label, max(1, int(size * SHARE * part))) for label, part in ((1, share), (0, 1 - share))]
+
+
+def train(x_text, x_meta, y, pool_text, pool_meta, rounds: int = ROUNDS) -> Model:
+    """teach with unlabelled rows that are all in memory."""
+    import numpy as np
+
+    views, free = {"text": pool_text, "meta": pool_meta}, np.ones(len(pool_text), bool)
+
+    def pick(models, share):
+        picks: dict[str, list[tuple[int, int]]] = {}
+        for kind, model in models.items():
+            p = 1 / (1 + np.exp(-model.logit(views[kind])))
+            picks[kind] = []
+            for label, most in places(len(p), share):
+                sure = p if label else 1 - p
+                ranked = np.argsort(-sure, kind="stable")
+                picks[kind] += [(i, label) for i in ranked[free[ranked] & (sure[ranked] >= SURE)][:most]]
+        out = {}
+        for kind, found in picks.items():
+            rows = np.array([i for i, _ in found], int)
+            free[rows] = False
+            out[kind] = (pool_text[rows], pool_meta[rows], [v for _, v in found])
+        return out
+
+    return teach(x_text, x_meta, y, pick, rounds)
+
+
 def _content_column(text: Column) -> Column:
     @F.arrow_udf("array<float>")
     def of(texts):
@@ -187,28 +209,79 @@ def _content_column(text: Column) -> Column:
     return of(text)
 
 
+def _sure(models: dict[str, Logistic]) -> Column:
+    """A struct (text, meta): what each view by itself says of a row of features."""
+
+    @F.arrow_udf("text double, meta double")
+    def of(x, langs, sources, lengths):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = np.asarray(x.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, FEATURES)
+        meta = wide([metadata(*r) for r in zip(langs.to_pylist(), sources.to_pylist(), lengths.to_pylist(), strict=True)])
+        parts = (1 / (1 + np.exp(-models[kind].logit(v))) for kind, v in (("text", rows), ("meta", meta)))
+        return pa.StructArray.from_arrays([pa.array(p, pa.float64()) for p in parts], names=["text", "meta"])
+
+    return of("x", "lang", "source", "n_chars")
+
+
+def _picked(said: DataFrame, size: int, share: float, seed: int) -> dict[str, dict[int, int]]:
+    """{view: {doc_id: label}} out of said (doc_id, source, lang, text, meta), the documents not yet handed over."""
+    wanted = [(kind, label, most) for kind in ("text", "meta") for label, most in places(size, share)]
+    parts = []
+    for kind, label, most in wanted:
+        sure = F.col(kind) if label else 1 - F.col(kind)
+        found = said.select("source", "lang", F.struct(sure.alias("sure"), F.xxhash64(F.lit(seed), "doc_id").alias("hash"), "doc_id").alias("d")).filter(F.col("d.sure") >= SURE)
+        heads = found.groupBy("source", "lang").agg(F.max("d").alias("d"))
+        for first, rows, n in ((True, heads, (most + 1) // 2), (False, found, most)):
+            parts.append(rows.orderBy(F.desc("d")).limit(n).select(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(first).alias("first"), "d"))
+    rows = sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: (not r["first"], -r["d"]["sure"], -r["d"]["hash"]))
+    out: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
+    for kind, label, most in wanted:
+        ids = [*dict.fromkeys(r["d"]["doc_id"] for r in rows if (r["kind"], r["label"]) == (kind, label))]
+        out[kind] |= dict.fromkeys(ids[:most], label)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, seed: int = SEED) -> Model:
     """Fits the model for labels (doc_id, quality). A document with several labels has the lowest; rows
-    without id or label are passed over."""
-    hashed = F.xxhash64(F.lit(seed), "doc_id")
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
-    # a document is drawn once however many rows have its id
-    ids = known.join(named, "doc_id", "left_semi").orderBy(hashed, "doc_id").limit(labelled)
-    others = named.distinct().join(known, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("quality")).orderBy(hashed, "doc_id").limit(pool)
-    drawn = ids.select("doc_id", F.col("quality").cast("int").alias("quality")).unionByName(others)  # labelled + pool rows
-    row = F.struct(F.xxhash64("text").alias("h"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("d")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("d").alias("d"))
-    got = texts.select("doc_id", "quality", "d.lang", "d.source", "d.n_chars", _content_column(F.col("d.text")).alias("x")).withColumn("h", hashed).orderBy("h", "doc_id").toArrow()
-
+    without id or label are passed over. Of rows with one doc_id, that with the smallest hash of its text counts."""
     import numpy as np
 
-    x = np.array(got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, FEATURES)
-    meta = wide([metadata(*m) for m in zip(*(got.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)])
-    quality = got.column("quality").to_pylist()
-    known_rows = np.array([q is not None for q in quality], bool)
-    y = np.array([float(q > 0) for q in quality if q is not None])
-    return train(x[known_rows], meta[known_rows], y, x[~known_rows], meta[~known_rows], rounds)
+    spark = docs.sparkSession
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    features = durable(
+        docs.filter("doc_id is not null").select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"),
+            _content_column(F.col("text")).alias("x"),
+        )
+    )
+    hashed = F.xxhash64(F.lit(seed), "doc_id")
+
+    def rows_of(ids: DataFrame):
+        """doc_ids, qualities, content and metadata of few documents, by hash."""
+        one = features.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("h", "lang", "source", "n_chars", "x")).alias("d"))
+        got = one.select("doc_id", "quality", "d.*").orderBy(hashed, "doc_id").toArrow()
+        x = np.array(got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, FEATURES)
+        meta = wide([metadata(*m) for m in zip(*(got.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)])
+        return got.column("doc_id").to_pylist(), got.column("quality").to_pylist(), x, meta
+
+    drawn = known.join(features.select("doc_id"), "doc_id", "left_semi").orderBy(hashed, "doc_id").limit(labelled)
+    _, quality, x, meta = rows_of(drawn)
+    handed: set[int] = set()
+
+    def pick(models, share):
+        row = F.min(F.struct("h", "source", "lang", "n_chars", "p")).alias("d")
+        said = features.select("doc_id", "h", "source", "lang", "n_chars", _sure(models).alias("p")).groupBy("doc_id").agg(row).join(known.select("doc_id"), "doc_id", "left_anti")
+        said = durable(said.select("doc_id", "d.source", "d.lang", "d.p.text", "d.p.meta").filter(F.greatest("text", "meta", 1 - F.col("text"), 1 - F.col("meta")) >= SURE))
+        picks = _picked(said.filter(~F.col("doc_id").isin(handed)) if handed else said, pool, share, seed)
+        new = {d for found in picks.values() for d in found}
+        handed.update(new)
+        ids, _, of_text, of_meta = rows_of(spark.createDataFrame([(d, None) for d in sorted(new)], "doc_id long, quality int"))
+        at = {kind: [i for i, d in enumerate(ids) if d in found] for kind, found in picks.items()}
+        return {kind: (of_text[i], of_meta[i], [picks[kind][ids[k]] for k in i]) for kind, i in at.items()}
+
+    return teach(x, meta, [float(q > 0) for q in quality], pick, rounds)
 
 
 def scored(model: Model, text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
