@@ -311,6 +311,21 @@ def test_licences_are_found_where_they_are():
     assert scanner.scan("licensed under " + " ".join(noise(4000)) + " the apache license version 2.0") == []
 
 
+def test_every_one_of_many_close_copies_is_found():
+    scanner, rng = licenses.Scanner(), random.Random(22)
+    for name in ("MIT", "ISC", "Apache-2.0", "Apache-2.0-notice", "MIT-notice"):
+        words = scanner.templates[name]
+        n = len(words)
+        for k, gap in itertools.product((2, 10, 30), (0, 1, 3, 20, n, 2 * n, 3 * n)):
+            copies, at = [], []
+            for _ in range(k):
+                at.append(len(copies))
+                copies += [w if n < 20 or rng.random() > 0.05 or j in (0, n - 1) else "altered" for j, w in enumerate(words)]
+                copies += [rng.choice(["alpha", "beta", "of", "the", "and"]) for _ in range(gap)]
+            got = [m for m in scanner.scan(" ".join(copies)) if m[0] == name]
+            assert len(got) == k and all(i <= m[4] <= m[5] < i + n for i, m in zip(at, got, strict=True)), (name, k, gap)
+
+
 def test_seeds_miss_nothing():
     """Any way of losing a fifth of a template's words leaves a seed."""
     scanner, rng = licenses.Scanner(), random.Random(10)

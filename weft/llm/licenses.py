@@ -8,7 +8,9 @@ coverage is the share of the template's words that are matched.
 Stretches are found without a miss: a match that covers a share t of a template of n words lacks at most
 n - ceil(t * n) of them, so it has one of any n - ceil(t * n) + 1 words of the template. The words that are
 rarest in the templates' language serve as these seeds, and only the surroundings of seeds, twice a template
-wide on both sides, are aligned."""
+wide on both sides, are aligned. Where several copies stand close together no word occurs once, so a stretch that
+holds enough words but gives no match, or a loose one, is gone through again in windows about a template wide,
+from where a copy with the seed would begin."""
 
 from __future__ import annotations
 
@@ -109,6 +111,7 @@ class Scanner:
         held = Counter(w for words in self.templates.values() for w in words)
         #: Words by how well they tell: those of few letters and of many templates last.
         self.seeds: dict[str, set[str]] = {}
+        self.places: dict[str, dict[str, list[int]]] = {}
         for name, words in self.templates.items():
             if not words:
                 raise ValueError(f"{name} has no words")
@@ -122,6 +125,8 @@ class Scanner:
                 seeds.add(w)
                 taken += left[w]
             self.seeds[name] = seeds
+            #: Where each seed stands in its template.
+            self.places[name] = {w: [p for p, x in enumerate(words) if x == w] for w in seeds}
         self.all = frozenset().union(*self.seeds.values())
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int, int]]:
@@ -150,16 +155,48 @@ class Scanner:
                 todo = [(start, min(high, start + 4 * n + 1)) for start in starts]
                 while todo:
                     start, end = todo.pop()
-                    if match := self._match(words[start:end], template):
+                    match, singles, span = self._match(words[start:end], template), [], (start, end)
+                    if match:
                         first, last = start + match[0][1], start + match[-1][1]
-                        found.append((name, len(match) / n, len(match), n, first, last))
                         todo += ((start, first), (last + 1, end))
+                        span = (max(0, first - 2 * n), min(len(words), last + 2 * n + 1))
+                    if end - start > n and (last - first >= n + n // 4 if match else self._holds(words[start:end], template)):
+                        singles = self._single(words, *span, name)
+                    # a loose match that takes its words from several copies is none
+                    if match and sum(m[0][1] <= last and first <= m[-1][1] for m in singles) < 2:
+                        singles.append([(a, start + b) for a, b in match])
+                    found += [(name, len(m) / n, len(m), n, m[0][1], m[-1][1]) for m in singles]
         return self._apart(found)
 
+    def _holds(self, part: list[str], template: list[str]) -> bool:
+        """Whether a part has enough of the template's words in any order."""
+        least = self.coverage * len(template) - 1e-9
+        return len(part) >= least and (Counter(template) & Counter(part)).total() >= least
+
+    def _single(self, words: list[str], start: int, end: int, name: str) -> list[list[tuple[int, int]]]:
+        """Matches in words[start:end], each by itself, from left to right: of the windows that fit a seed the one
+        with the most words for the match's width."""
+        template, places = self.templates[name], self.places[name]
+        n, out, free = len(template), [], start
+        spare = max(1, n // 4)
+        for i in range(start, end):
+            if i < free or words[i] not in places:
+                continue
+            best: list[tuple[int, int]] = []
+            for p in places[words[i]]:
+                for low, high in ((i - p, i - p + n), (i - p - spare, i - p + n + spare), (i - p, i - p + 2 * n)):
+                    low = max(low, free)
+                    pairs = [(a, low + b) for a, b in self._match(words[low : min(high, end)], template)]
+                    best = max(best, pairs, key=lambda m: 2 * len(m) + m[0][1] - m[-1][1] if m else -1)
+            if best:
+                out.append(best)
+                free = best[-1][1] + 1
+        return out
+
     def _match(self, part: list[str], template: list[str]) -> list[tuple[int, int]]:
         """The aligned words, if they cover enough of the template."""
         least = self.coverage * len(template) - 1e-9
-        if len(part) < least or (Counter(template) & Counter(part)).total() < least:
+        if not self._holds(part, template):
             return []
         pairs = self._compact(aligned(template, part), len(template))
         return pairs if len(pairs) >= least else []
@@ -174,9 +211,9 @@ class Scanner:
         return pairs[-best[1] : -best[1] + best[0]]
 
     def _apart(self, found: list) -> list:
-        """Of matches that overlap, the one with most words, then most coverage, stays."""
+        """Of matches that overlap, the one with most words, then most coverage, then the narrowest, stays."""
         out: list = []
-        for x in sorted(set(found), key=lambda x: (-x[2], -x[1], x[4], x[0])):
+        for x in sorted(set(found), key=lambda x: (-x[2], -x[1], x[5] - x[4], x[4], x[0])):
             if all(x[5] < y[4] or y[5] < x[4] for y in out):
                 out.append(x)
         return sorted(out, key=lambda x: x[4])
