@@ -94,6 +94,20 @@ def test_quotes_link_to_their_sources(spark):
     assert [got[1, t, r]["place"] for t, r in ((0, "a"), (1, "b"), (2, "c"), (3, "d"))] == [0, 1, 2, 3]
 
 
+def test_several_paragraphs_wrapped_anew_link_to_their_source(spark):
+    got = talk(
+        spark, (1, 0, "a", "First of three.\n\nThe second paragraph stands\non two lines.\n\nThe third one is as long\nas the second one is."), (1, 1, "b", "On two lines.\n\nThe third one is as long as\nthe others."),
+        (1, 2, "c", "> The second paragraph\n> stands on two lines.\n>\n> The third one\n> is as long as the second\n> one is.\nYes."), (1, 3, "d", "> The second paragraph stands\n> on two lines.\n> \n> Of another hand.\nNo."),
+    )
+    assert [got[1, t, r]["links"] for t, r in ((2, "c"), (3, "d"))] == ["0:1:0", "0:1:0"]
+    assert [(got[1, 2, "c"][k]) for k in ("parent_turn", "thread", "depth")] == [0, 0, 1]
+
+
+def test_a_source_of_more_paragraphs_goes_before_one_of_more_lines(spark):
+    got = talk(spark, (1, 0, "a", "Some words that are\non two lines.\n\nOther."), (1, 1, "b", "One line here.\nAnother line.\nAnd a third."), (1, 2, "c", "> Some words\n> that are on two lines.\n>\n> One line here.\n> Another line.\n> And a third line.\nYes."))
+    assert got[1, 2, "c"]["links"] == "0:1:0"
+
+
 def test_threads_stand_together(spark):
     got = talk(spark, (1, 0, "a", "One thing."), (1, 1, "b", "Another thing."), (1, 2, "c", "> One thing.\nYes."), (1, 3, "d", "> Another thing.\nNo."), (1, 4, "e", "> Yes.\nWhy?"))
     assert [got[1, t, r]["place"] for t, r in ((0, "a"), (2, "c"), (4, "e"), (1, "b"), (3, "d"))] == [0, 1, 2, 3, 4]

@@ -2,10 +2,10 @@
 
 All of it is column expressions and joins on hashes. A line's level is the number of `>` that it begins
 with; a passage is a run of quoted lines of one level. A passage is normalised (marks off, lower case, white
-space to single spaces) and hashed, and so are its lines. An earlier message of the conversation offers the
+space to single spaces) and hashed, and so are its paragraphs and its lines. An earlier message of the conversation offers the
 hashes of its own words: the whole, its paragraphs (which survive another line width) and its lines. The
 passage belongs to the latest earlier message that offers it whole, or else to the one that offers most of
-its lines, the latest among equals.
+its paragraphs, then most of its lines, the latest among equals.
 
 A message replies to the source of its first linked passage of the lowest level. A thread is what such
 replies join; its messages stand together, in order of turn, which puts every reply behind what it
@@ -25,6 +25,7 @@ from weft.llm.base import durable
 QUOTED = r"^(?:[\x20\t]*>)+"
 #: Announces a quote and says nothing itself.
 ANNOUNCED = r"(?i)^[\x20\t]*(?:on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)[\x20\t]*:[\x20\t]*$"
+PARAGRAPHS = r"\n[\x20\t]*\n"
 STEP = 1024
 KEY = ("conv_id", "turn", "message")
 
@@ -82,16 +83,19 @@ def links(messages: DataFrame) -> DataFrame:
     quoting = rows.filter(F.col("text").rlike(r"(?m)" + QUOTED)).select(*KEY, lines_of(F.col("text")).alias("lines")).dropDuplicates([*KEY])
     body = lambda p: F.transform(F.slice("lines", p["from"] + 1, p["to"] - p["from"]), lambda x: x["body"])
     parts = quoting.select(*KEY, F.posexplode(F.transform(passages_of(F.col("lines")), lambda p: F.struct(p["level"].alias("level"), body(p).alias("body")))).alias("passage", "p"))
-    parts = parts.select(*KEY, "passage", F.col("p.level").alias("level"), _hashes(F.array(F.array_join("p.body", "\n"))).alias("all"), _hashes(F.col("p.body")).alias("each")).filter("size(`all`) > 0")
-    asked = parts.select(*KEY, "passage", "level", F.size("each").alias("n"), F.explode(F.concat(F.transform("all", lambda h: F.struct(F.lit(True).alias("whole"), h.alias("h"))), F.transform("each", lambda h: F.struct(F.lit(False).alias("whole"), h.alias("h"))))).alias("a")).select(*KEY, "passage", "level", "n", "a.*")
+    parts = parts.select(*KEY, "passage", F.col("p.level").alias("level"), _hashes(F.array(F.array_join("p.body", "\n"))).alias("all"), _hashes(F.split(F.array_join("p.body", "\n"), PARAGRAPHS, -1)).alias("some"), _hashes(F.col("p.body")).alias("each")).filter("size(`all`) > 0")
+    unit = lambda name, kind: F.transform(name, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("h")))
+    asked = parts.select(*KEY, "passage", "level", F.explode(F.concat(unit("all", "whole"), unit("some", "paragraph"), unit("each", "line"))).alias("a")).select(*KEY, "passage", "level", "a.*")
     own = own_text(F.col("text"))
     # only conversations in which somebody quotes are looked at
     offering = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select(*KEY, own.alias("own"))
-    units = _hashes(F.concat(F.array("own"), F.split("own", r"\n[\x20\t]*\n", -1), F.split("own", "\n", -1)))
+    units = _hashes(F.concat(F.array("own"), F.split("own", PARAGRAPHS, -1), F.split("own", "\n", -1)))
     offered = offering.select("conv_id", F.col("turn").alias("to_turn"), F.col("message").alias("to_message"), F.explode(units).alias("h")).distinct()
     met = asked.join(offered, ["conv_id", "h"]).filter("to_turn < turn")
-    by_source = met.groupBy(*KEY, "passage", "level", "n", "to_turn", "to_message").agg(F.max("whole").alias("whole"), F.count_if(~F.col("whole")).alias("lines"))
-    best = F.max(F.struct("whole", F.when(F.col("whole"), F.col("n")).otherwise(F.col("lines")).alias("lines"), "to_turn", "to_message")).alias("best")
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    by_source = met.groupBy(*KEY, "passage", "level", "to_turn", "to_message").agg((count("whole") > 0).alias("whole"), count("paragraph").alias("paragraphs"), count("line").alias("lines"))
+    part = lambda name: F.when(~F.col("whole"), F.col(name)).alias(name)
+    best = F.max(F.struct("whole", part("paragraphs"), part("lines"), "to_turn", "to_message")).alias("best")
     return by_source.groupBy(*KEY, "passage", "level").agg(best).select(*KEY, "passage", "level", "best.to_turn", "best.to_message", "best.whole")
 
 
