@@ -122,7 +122,8 @@ def judge_promote_anti(spark, sf):
 
 
 def component_members(spark, sf):
-    return graph.connected_components(_pairs(spark, sf)).select(F.col("node").alias("module_id"), F.col("root").alias("component"))
+    """By rounds whatever the size, as a large graph is done."""
+    return graph.connected_components(_pairs(spark, sf), small=0).select(F.col("node").alias("module_id"), F.col("root").alias("component"))
 
 
 QUERIES = {f.__name__: f for f in (

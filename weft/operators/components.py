@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.plans.durable import durable
-
+from weft.plans.durable import counted, durable, forget
 
 #: Most distinct edges that one task may take, some 20 MB.
 SMALL = 100_000
@@ -33,48 +32,57 @@ def _at_once(edges: DataFrame) -> DataFrame:
             yield pd.DataFrame({"node": [*up], "root": [top(x) for x in up]})
 
     kind = edges.schema["a"].dataType.simpleString()
-    return durable(edges.coalesce(1).mapInPandas(solve, f"node {kind}, root {kind}"))
+    return durable(edges.coalesce(1).mapInPandas(solve, f"node {kind}, root {kind}"), spent=(edges,))
 
 
 def _flattened(parents: DataFrame) -> DataFrame:
     """parents (node, root), each root smaller than its node or equal: follows the pointers to their ends.
 
-    A round squares the pointers twice, so a chain of length n takes about log4(n) rounds."""
+    A round squares the pointers twice, so a chain of length n takes about log4(n) rounds; where the second squaring
+    moves none, the first has come to all ends. Both sides of a join are plain exchanges, so that Spark can deal out
+    anew what a hub gathers."""
     while True:
-        jumped = parents
+        at = parents
         for _ in range(2):
-            ahead = jumped.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-            jumped = jumped.join(ahead, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
-        moved = parents.select("node", F.col("root").alias("_was"))
-        jumped = durable(jumped.join(moved, "node").select("node", "root", (F.col("root") != F.col("_was")).alias("_moved")))
+            ahead = at.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            at = at.join(ahead, F.col("root") == F.col("_n"), "left").select("node", F.col("root").alias("_was"), F.coalesce("_r", "root").alias("root"))
+        jumped, moved = counted(at, F.count_if(F.col("root") != F.col("_was")), spent=(parents,))
+        if not moved:
+            out = jumped.select("node", "root")
+            out.durable_path = jumped.durable_path
+            return out
+        path = jumped.durable_path
         parents = jumped.select("node", "root")
-        if jumped.filter("_moved").isEmpty():
-            return parents
+        parents.durable_path = path
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, small: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b), root the smallest node that can be reached.
 
     Each round hooks every node to its smallest neighbour (a map-side minimum, so a hub costs no more
     than another node), flattens the trees and keeps only the edges between different trees. At least
     every node but the local minima goes, so rounds are few. Loops and repeated edges are allowed.
 
-    A graph of at most SMALL edges is done in one task: there the rounds' jobs would cost more than the work."""
-    pair = F.array_sort(F.array("a", "b"))
-    left = durable(edges.filter("a <> b").select(pair[0].alias("a"), pair[1].alias("b")).distinct())
-    if left.count() <= SMALL:
+    A graph of at most `small` edges (None: SMALL) is done in one task: there the rounds' jobs would cost more than the work.
+    The rows are the same either way; 0 takes the rounds for every graph."""
+    pair, rows = F.array_sort(F.array("a", "b")), F.count(F.lit(1))
+    left, n = counted(edges.filter("a <> b").select(pair[0].alias("a"), pair[1].alias("b")).distinct(), rows)
+    if n <= (SMALL if small is None else small):
         return _at_once(left)
     whole: DataFrame | None = None
-    while not left.isEmpty():
+    while n:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         trees = _flattened(durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root"))))
+        of_a = trees.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        of_b = trees.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        joined = left.join(of_a, "a").join(of_b, "b").filter("ra <> rb")
+        left, n = counted(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), rows, spent=(left,))
         if whole is None:
             whole = trees
         else:
             higher = trees.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-            whole = durable(whole.join(higher, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")))
-        of_a = trees.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        of_b = trees.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        joined = left.join(of_a, "a").join(of_b, "b").filter("ra <> rb")
-        left = durable(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    return whole if whole is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            whole = durable(whole.join(higher, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), spent=(whole, trees))
+    if whole is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    forget(left)
+    return whole
