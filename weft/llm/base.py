@@ -1,14 +1,14 @@
-"""What several operators need: input tables, names that do not clash, durable cuts of the lineage."""
+"""What several operators need: input tables, names that do not clash, small expressions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.plans.durable import durable, forget  # noqa: F401  for the operators
+
 #: A word everywhere in this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,24 +23,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return next(x for x in (f"{name}_{i}" if i else name for i in count()) if x.lower() not in taken)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written as a table in the folder that all executors share, and read again: losing an executor
-    loses nothing, and what is planned on top starts from a file scan. (Dataset.checkpoint carries the
-    plan's constraints along; in a loop that makes each round slower to plan than the last.)
-
-    The folder is spark.checkpoint.dir; one is made up only where the session has none, as in tests."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        folder = context._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
