@@ -2,18 +2,26 @@
 
 A vocabulary maps byte strings to ranks. A word starts as its bytes; the adjacent pair whose joint bytes
 have the least rank is merged, leftmost first, until no pair is in the vocabulary. Here a piece is its id
-(the id is the rank), so the merge table maps pairs of ids to ids. It is a literal in the plan: a table
-without collisions, so that a lookup is two array reads whatever the size of the vocabulary.
+(the id is the rank), so the merge table maps pairs of ids to ids. It is a literal in the plan: each left id has a
+row of its right ids, and all rows lie in one array, moved on until none meet, so that a lookup is two array reads
+whatever the size of the vocabulary.
 
 The words of the whole corpus are counted, and each frequent word is folded once, on the executors. The
-most frequent (at most DICTIONARY words, so the broadcast has a bound) serve as a dictionary with which the
-texts are encoded. A word that is not among them is folded by the same expression in its document's row,
-once for each document, so every id of the result comes from the fold, and no row is dropped or shuffled
-but the word counts."""
+most frequent (at most DICTIONARY words of at most WIDEST characters, so the broadcast has a bound in bytes) serve as
+a dictionary with which the texts are encoded. A word that is not among them is folded by the same expression in its
+document's row, once for each document, so every id of the result comes from the fold, and no row is dropped or
+shuffled but the word counts.
+
+A fold's time grows with the square of the word. So a word of over 2 * STRETCH characters is folded in windows of two
+stretches each, half of which the next one shares, and these are joined at a token that both have: a sequence of
+tokens is what the merges give if each two neighbours are (by what is said in merge_pairs, nothing crosses their
+ends before they would merge), and every two neighbours of the joined sequence stand together in one window. Windows
+without a common token (long runs of one character) are rare; such a word is merged with a heap when it is put together."""
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from functools import lru_cache
 
@@ -24,14 +32,17 @@ from pyspark.sql import functions as F
 
 from weft.llm.base import durable, let
 
-#: Most words in the broadcast dictionary: some 25 MB.
-DICTIONARY = 524_288
+#: Most words in the broadcast dictionary, and most characters of one: some 30 MB for words of usual length.
+DICTIONARY, WIDEST = 524_288, 64
 #: Of these the FREQUENT first are in a hash map of Python's, some 15 MB; the rest in flat tables.
 FREQUENT = 65_536
+#: Characters of half a window.
+STRETCH = 48
 _NEVER = 2**31 - 1
-#: An id that no vocabulary has (it also marks where a word is missing), and what a free slot of the merge table holds.
-_EDGE, _FREE = 2**16 - 1, 2**49
-_MARK = _EDGE.to_bytes(2, "little")
+#: Bits of an id in the fold's numbers; an id that no vocabulary has marks a missing word.
+_BITS = 20
+_MISSING = 2**32 - 1
+_MARK = _MISSING.to_bytes(4, "little")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -74,76 +85,124 @@ def merged(ids: list[int], pairs: dict[tuple[int, int], int], least: int = 1) ->
     return ids
 
 
-class Merges:
-    """A vocabulary's merge table as literals, and the fold over them."""
+def heap_merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """merged for words of any length: pieces are linked, and a heap has the pairs by rank and place."""
+    n = len(ids)
+    ids, after, before = [*ids], [*range(1, n + 1)], [*range(-1, n - 1)]
+    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := pairs.get((a, b))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != a or j >= n or ids[j] != b:  # one of them has gone meanwhile
+            continue
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := pairs.get((rank, ids[after[i]]))) is not None:
+                heapq.heappush(heap, (r, i, rank, ids[after[i]]))
+        if before[i] >= 0 and (r := pairs.get((ids[before[i]], rank))) is not None:
+            heapq.heappush(heap, (r, before[i], ids[before[i]], rank))
+    return [x for x in ids if x >= 0]
+
+
+def spliced(windows: list[tuple[int, list[int]]], widths: list[int]) -> list[int] | None:
+    """The tokens of a word from those of its windows (the byte where one starts, its ids), each of which shares bytes
+    with the next; None if two neighbours have no token in common. widths: bytes of each id."""
+    out: list[int] = []
+    ends: list[int] = []  # where each of them ends
+    for start, ids in windows:
+        at, spans = start, []
+        for i in ids:
+            spans.append((at, at + widths[i]))
+            at += widths[i]
+        if not out:
+            cut = 0
+        else:
+            low = len(ends)
+            while low and ends[low - 1] > start:
+                low -= 1
+            held = {(ends[k] - widths[out[k]], ends[k]): k for k in range(low, len(out))}
+            cut = next((k for k, x in enumerate(spans) if x in held), None)
+            if cut is None:
+                return None
+            keep = held[spans[cut]]
+            del out[keep:], ends[keep:]
+        out += ids[cut:]
+        ends += [e for _, e in spans[cut:]]
+    return out
 
-    _GROUPS, _FACTOR, _MIX = 16381, 1103515245, 40503
+
+class Merges:
+    """A vocabulary's merge table as literals, and the fold over them. Ids must be below 2^20 - 1."""
 
     def __init__(self, ranks: dict[bytes, int]):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"bytes without a rank: {missing[:5]}")
-        if max(ranks.values()) >= _EDGE:
-            raise ValueError("ids of more than 16 bits")
-        pairs, self._whole = merge_pairs(ranks)
-        self.size = next(p for p in range(len(pairs) * 9 // 8 + 1001 | 1, 10**9, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2)))
-        groups: list[list[int]] = [[] for _ in range(self._GROUPS)]
-        for a, b in pairs:
-            groups[(a * self._MIX + b) % self._GROUPS].append(a << 16 | b)
-        # the largest groups first, each moved on until all of its keys have a free slot
-        slots, moves = [_FREE] * self.size, [0] * self._GROUPS
-        for g in sorted(range(self._GROUPS), key=lambda g: -len(groups[g])):
-            at = [k * self._FACTOR % self.size for k in groups[g]]
-            while any(slots[(x + moves[g]) % self.size] != _FREE for x in at):
-                moves[g] += 1
-            for k, x in zip(groups[g], at, strict=True):
-                slots[(x + moves[g]) % self.size] = k << 16 | pairs[k >> 16, k & 65535]
-        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), f"array<{kind}>")
-        self._slots, self._moves = literal(slots, "bigint"), literal(moves, "bigint")
-        self._bytes = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)]).cast("array<bigint>")
-
-    def _rank(self, left: Column, right: Column) -> Column:
-        """The id that two ids (longs) merge to; a number of 2^16 or more if they do not."""
-        key = left * 65536 + right
-        group = F.get(self._moves, ((left * self._MIX + right) % self._GROUPS).cast("int"))
-        held = F.get(self._slots, ((key * self._FACTOR % self.size + group) % self.size).cast("int"))
-        return held.bitwiseXOR(key * 65536)  # a slot has its key above its id; a wrong key leaves high bits
+        #: In the fold an id is one more than its rank; this one merges with nothing.
+        self._edge = max(ranks.values()) + 2
+        if self._edge >= 1 << _BITS:
+            raise ValueError(f"ids of more than {_BITS} bits")
+        self.pairs, self._whole = merge_pairs(ranks)
+        rows: dict[int, list[int]] = {}
+        for a, b in self.pairs:
+            rows.setdefault(a + 1, []).append(b + 1)
+        # the fullest rows first, each moved on to the first place where all of its ids are free
+        taken, moved = 0, [0] * (self._edge + 1)
+        for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+            clash = 0
+            for b in rows[a]:
+                clash |= taken >> b
+            by = (~clash & (clash + 1)).bit_length() - 1
+            moved[a] = by
+            for b in rows[a]:
+                taken |= 1 << (by + b)
+        slots = [0] * (max(moved) + self._edge + 1)
+        for (a, b), rank in self.pairs.items():
+            slots[moved[a + 1] + b + 1] = (a + 1) << _BITS | (rank + 1)
+        literal = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>")
+        self._slots, self._moved = literal(slots), literal(moved)
+        self._bytes = F.array(*[F.lit(ranks[bytes([b])] + 1) for b in range(256)]).cast("array<bigint>")
+
+    def _piece(self, left: Column, right: Column) -> Column:
+        """A piece with what it and the one on its right merge to: that id above its own id; a number of 2^40 or more
+        if they do not. A slot has the left id above the merged one, so another's slot leaves high bits."""
+        return F.shiftleft(self._slots[self._moved[left] + right].bitwiseXOR(F.shiftleft(left, _BITS)), _BITS).bitwiseOR(left)
 
     def fold(self, word: Column) -> Column:
         """The ids of a word, an array of int; empty and null words give none.
 
-        The state has the ids between two ids that merge with nothing, and the rank of each pair; so a
-        merge has neighbours on both sides wherever it is."""
+        The state is an array of pieces (see _piece) between two that merge with nothing; so a merge has neighbours on
+        both sides wherever it is, and the least number is the pair to merge next."""
         raw = F.encode(word, "UTF-8")
         n = F.octet_length(word)
-        rest = F.lit(2**30)
-        edge = F.array(F.lit(_EDGE).cast("long"))
+        rest, own = F.lit(2**30), lambda piece: piece.bitwiseAND((1 << _BITS) - 1)
+        edge = F.array(F.lit(self._edge).cast("long"))
+        none = F.array(F.lit(1 << 62 | self._edge).cast("long"))
         # as Latin-1 a byte is a character, and the character's code is the byte
-        each = F.transform(F.split(F.decode(raw, "ISO-8859-1"), "", -1), lambda c: F.get(self._bytes, F.ascii(c)))
-
-        def step(state, _):
-            ids, ranks = state["ids"], state["ranks"]
+        each = F.transform(F.split(F.decode(raw, "ISO-8859-1"), "", -1), lambda c: self._bytes[F.ascii(c)])
 
+        def step(pieces, _):
             def merge(least):
                 def at(i):  # the pair's place, from 1
+                    new = F.shiftright(least, _BITS)
                     # one expression for both sides: the table is in the plan's text as often as it is named
-                    sides = F.array(F.struct(F.get(ids, i - 2).alias("l"), least.alias("r")), F.struct(least.alias("l"), F.get(ids, i + 1).alias("r")))
-                    return F.struct(
-                        F.concat(F.slice(ids, F.lit(1), i - 1), F.array(least), F.slice(ids, i + 2, rest)).alias("ids"),
-                        F.concat(F.slice(ranks, F.lit(1), i - 2), F.transform(sides, lambda p: self._rank(p["l"], p["r"])), F.slice(ranks, i + 2, rest)).alias("ranks"),
-                    )
+                    sides = F.array(F.struct(own(pieces[i - 2]).alias("l"), new.alias("r")), F.struct(new.alias("l"), own(pieces[i + 1]).alias("r")))
+                    return F.concat(F.slice(pieces, F.lit(1), i - 2), F.transform(sides, lambda p: self._piece(p["l"], p["r"])), F.slice(pieces, i + 2, rest))
 
-                return F.when(least >= 65536, state).otherwise(let(F.array_position(ranks, least).cast("int"), at))
+                return F.when(least >= 1 << 2 * _BITS, pieces).otherwise(let(F.array_position(pieces, least).cast("int"), at))
 
-            return let(F.array_min(ranks), merge)
+            return let(F.array_min(pieces), merge)
 
         def folded(ids):
-            ranks = F.transform(F.sequence(F.lit(0), n), lambda i: self._rank(F.get(ids, i), F.get(ids, i + 1)))
-            return F.slice(F.aggregate(F.sequence(F.lit(1), n - 1), F.struct(ids.alias("ids"), ranks.alias("ranks")), step)["ids"], F.lit(2), rest)
+            pieces = F.concat(F.transform(F.sequence(F.lit(0), n), lambda i: self._piece(ids[i], ids[i + 1])), none)
+            last = F.aggregate(F.sequence(F.lit(1), n - 1), pieces, step)
+            return let(last, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: (own(x) - 1).cast("int")))
 
-        out = F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<int>")).when(n == 1, each.cast("array<int>"))
+        out = F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<int>")).when(n == 1, F.transform(each, lambda x: (x - 1).cast("int")))
         for token, rank in self._whole.items():  # a whole word that is a token is that token
             out = out.when(raw == F.lit(token), F.array(F.lit(rank)))
-        return out.otherwise(F.filter(let(F.concat(edge, each, edge), folded), lambda x: x != _EDGE).cast("array<int>"))
+        return out.otherwise(let(F.concat(edge, each, edge), folded))
 
 
 @lru_cache(maxsize=4)
@@ -152,14 +211,14 @@ def merges(path: str) -> Merges:
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n): how often each match of the pattern occurs in the texts."""
+    """(word, n): how often each match of the pattern that may be in the dictionary occurs in the texts."""
     # Java's \s is ASCII only
     unicode = pattern.replace(r"[^\s", r"[^\s\p{IsWhite_Space}").replace(r"\s+", r"\p{IsWhite_Space}+")
-    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(unicode), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(unicode), F.lit(0))).alias("word")).filter(F.length("word") <= WIDEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTIONARY) -> dict:
-    """The most frequent words, at most `most`, with their ids as little-endian 16-bit numbers.
+    """The most frequent words, at most `most`, with their ids as little-endian 32-bit numbers.
 
     Words with the count of the last one that fits stay out together, so the choice does not depend on
     how rows lie. The result's parts are flat bytes: words and ids one after another with their ends, a hash
@@ -183,11 +242,11 @@ def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTION
     chosen = counts.filter(F.col("n") >= least(most)).select(F.col("word").cast("binary").alias("word"), often.alias("often"), table.fold(F.col("word")).alias("ids")).toArrow()
     blobs, ends, codes, code_ends, frequent = [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], []
     for batch in chosen.to_batches(max_chunksize=65536):
-        for column, data, stops, width in (("word", blobs, ends, 1), ("ids", codes, code_ends, 2)):
+        for column, data, stops, width in (("word", blobs, ends, 1), ("ids", codes, code_ends, 4)):
             x = batch[column]
             offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
             if column == "ids":
-                data.append(x.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes())
+                data.append(x.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
             else:
                 data.append(bytes(memoryview(x.buffers()[2])[offsets[0] : offsets[-1]]) if len(x) else b"")
             stops.append((offsets[1:] - offsets[0]) * width + stops[-1][-1])
@@ -234,26 +293,29 @@ def splitter(pattern: str):
     return lambda text: latin(text) if text.isascii() or max(text) < "\u0250" else whole(text)
 
 
-class Lookup:
-    """A worker's reading of the dictionary: text to ids, with the words that it lacks."""
+class Lookup(dict):
+    """A worker's reading of the dictionary: text to ids, with the words that it lacks. As a dict it has the most
+    frequent words."""
 
     def __init__(self, parts: dict, pattern: str):
+        super().__init__()
         self.split = splitter(pattern)
         self.n = parts["n"]
-        self.often: dict[str, bytes] = {}
+        self.rare: dict[str, int] = {}
+        self.marks: list[int] = []
         if self.n:
             self.words, self.ids = parts["words"], parts["ids"]
             self.word_ends, self.id_ends, self.slots = (memoryview(parts[k]).cast("i") for k in ("word_ends", "id_ends", "slots"))
             for i in memoryview(parts["often"]).cast("i"):
-                self.often[self.words[self.word_ends[i] : self.word_ends[i + 1]].decode()] = self._ids(i)
+                self[self.words[self.word_ends[i] : self.word_ends[i + 1]].decode()] = self._ids(i)
 
     def _ids(self, i: int) -> bytes:
         return self.ids[self.id_ends[i] : self.id_ends[i + 1]]
 
-    def find(self, word: str) -> bytes | None:
+    def find(self, raw: bytes) -> bytes | None:
         from xxhash import xxh64_intdigest
 
-        raw, slots, ends, words = word.encode(), self.slots, self.word_ends, self.words
+        slots, ends, words = self.slots, self.word_ends, self.words
         mask = len(slots) - 1
         slot = xxh64_intdigest(raw) & mask
         while (i := slots[slot]) >= 0:
@@ -262,38 +324,41 @@ class Lookup:
             slot = (slot + 1) & mask
         return None
 
+    def __missing__(self, word: str) -> bytes:
+        """The ids of a word of the flat tables; else a mark, and the word or its windows among those to fold."""
+        if len(word) <= WIDEST and self.n and (ids := self.find(word.encode())) is not None:
+            return ids
+        number = lambda w: self.rare.setdefault(w, len(self.rare))
+        if len(word) <= 2 * STRETCH:
+            self.marks.append(number(word))
+        else:
+            starts = range(0, len(word) - STRETCH, STRETCH)
+            self.marks.append(-len(starts))
+            at = 0
+            for i in starts:
+                self.marks += (number(word[i : i + 2 * STRETCH]), at)
+                at += len(word[i : i + STRETCH].encode())
+        return _MARK
+
     def encode(self, text: str) -> tuple[bytes, list[str], list[int]]:
-        """Ids as 16-bit numbers with _EDGE for each missing word; the distinct missing words; and which of
-        them each mark stands for."""
-        found = self.split(text)
-        parts = [*map(self.often.get, found)]
-        rare: dict[str, int] = {}
-        marks: list[int] = []
-        if None in parts:
-            seen: dict[str, bytes | None] = {}
-            for i, p in enumerate(parts):
-                if p is None:
-                    word = found[i]
-                    if word not in seen:
-                        seen[word] = self.find(word) if self.n > len(self.often) else None
-                    if (p := seen[word]) is None:
-                        marks.append(rare.setdefault(word, len(rare)))
-                        p = _MARK
-                    parts[i] = p
-        return b"".join(parts), [*rare], marks
-
-
-def filled(part: bytes, folds: list[list[int]], marks: list[int]):
-    """Ids as an array of unsigned 32-bit numbers, the marked places filled."""
-    ids = np.frombuffer(part, "<u2")
+        """Ids as 32-bit numbers with a mark for each missing word; the distinct words and windows to fold; and what
+        each mark stands for: a number of one, or, negative, how many windows, and their numbers and first bytes."""
+        self.rare, self.marks = {}, []
+        part = b"".join(map(self.__getitem__, self.split(text)))
+        return part, [*self.rare], self.marks
+
+
+def filled(part: bytes, folds: list[list[int]], marks: list[int], whole) -> np.ndarray:
+    """Ids as an array of unsigned 32-bit numbers, the marked places filled. whole(windows): a long word's ids."""
+    ids = np.frombuffer(part, "<u4")
     if not marks:
-        return ids.astype("<u4")
-    words = [np.asarray(w, "<u4") for w in folds]
-    pieces, last = [], 0
-    for at, k in zip(np.flatnonzero(ids == _EDGE).tolist(), marks, strict=True):
-        pieces += (ids[last:at], words[k])
+        return ids
+    pieces, last, m = [], 0, iter(marks)
+    for at in np.flatnonzero(ids == _MISSING).tolist():
+        k = next(m)
+        pieces += (ids[last:at], np.asarray(folds[k] if k >= 0 else whole([(folds[next(m)], next(m)) for _ in range(-k)]), "<u4"))
         last = at + 1
-    return np.concatenate([*pieces, ids[last:]]).astype("<u4")
+    return np.concatenate([*pieces, ids[last:]])
 
 
 def pieces_of(path: str) -> list[bytes | None]:
@@ -310,11 +375,11 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
     `decoded` also the bytes that these ids decode to, from the same pass.
 
     A null text is an empty one, without ids. Null and repeated doc_ids are rows like others; an empty
-    table gives no rows; other columns are not read."""
+    table gives no rows; other columns are not read. Texts and words may be of any length: the time is in proportion."""
     table = merges(path)
     context = docs.sparkSession.sparkContext
     known = context.broadcast(dictionary(docs, table, pattern, most))
-    pieces = pieces_of(path) if decoded else []
+    vocabulary = context.broadcast(pieces_of(path))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def partly(batches):
@@ -322,26 +387,49 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
         for batch in batches:
             for part in _small(batch):
                 found = [lookup.encode(t.as_py() or "") for t in part["text"]]
-                pa.default_memory_pool().release_unused()
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)]
+                del found
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "part", "words", "marks"])
+                del columns
+                pa.default_memory_pool().release_unused()
 
     def wholly(batches):
+        pieces = vocabulary.value
+        widths = [len(p or b"") for p in pieces]
+        reading: list = []
+
+        def whole(windows):
+            ids = spliced([(at, ids) for ids, at in windows], widths)
+            if ids is None:
+                # the windows' bytes but for those that the one before has
+                last, raw = 0, []
+                for window, at in windows:
+                    text = b"".join(map(pieces.__getitem__, window))
+                    raw.append(text[last - at :])
+                    last = at + len(text)
+                if not reading:
+                    ranks = {p: i for i, p in enumerate(pieces) if p is not None}
+                    reading.extend(([ranks[bytes([b])] for b in range(256)], merge_pairs(ranks)[0]))
+                ids = heap_merged([reading[0][b] for b in b"".join(raw)], reading[1])
+            return ids
+
         for batch in batches:
             for part in _small(batch):
-                ids = [filled(p.as_py(), f.as_py(), m.as_py()) for p, f, m in zip(part["part"], part["folds"], part["marks"], strict=True)]
-                pa.default_memory_pool().release_unused()
+                ids = [filled(p.as_py(), f.as_py(), m.as_py(), whole) for p, f, m in zip(part["part"], part["folds"], part["marks"], strict=True)]
                 columns = [part["doc_id"], pa.array([x.tobytes() for x in ids], pa.binary())]
                 if decoded:
                     columns.append(pa.array([b"".join(map(pieces.__getitem__, x.tolist())) for x in ids], pa.binary()))
+                del ids
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+                del columns
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select("doc_id", "text").mapInArrow(partly, f"doc_id {kind}, part binary, words array<string>, marks array<int>")
     rows = rows.select("doc_id", "part", F.transform("words", table.fold).alias("folds"), "marks")
     return rows.mapInArrow(wholly, f"doc_id {kind}, ids binary" + ", decoded binary" * decoded)
 
 
-def _small(batch, rows: int = 512):
+def _small(batch, rows: int = 256):
     """A batch in parts, so that what is made of it is never much at once."""
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
