@@ -37,8 +37,10 @@ LIMITS = {"hex": 3.0, "mixed": 3.7, "letters": 3.5}
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}",
     r"(?i)0123456789|123456789|abcdefgh|deadbeef",
-    r"^[A-Za-z]+([_-][A-Za-z]+)+([_-][0-9]{1,4})?$",
-    r"^/?[A-Za-z0-9_.-]+(/[A-Za-z_.-]+){2,}$",
+    # words joined by _ or -, a number at most behind them; and paths. No group is repeated: Java's regular expressions
+    # would go a call deeper for each part of a long candidate
+    r"^(?=[A-Za-z]+[_-][A-Za-z])(?!.*[_-][_-])[A-Za-z_-]*[A-Za-z]([_-][0-9]{1,4})?$",
+    r"^(?!.*//)/?[A-Za-z0-9_.-]+/[A-Za-z_.-]+/[A-Za-z_./-]*[A-Za-z_.-]$",
 )
 _SPAN = "struct<start: bigint, rank: int, end: bigint>"
 _SCALE = 1_000_000
@@ -85,17 +87,16 @@ def _hot(word: Column, most: Column) -> Column:
     """The stretch (low, high) of a word's windows with S of at most `most`; null if there is none.
 
     The fold's state has the counts as a string, one character for each symbol from + to z, S, and the
-    ends of the first and the last such window."""
+    ends of the first and the last such window. The word is cut into codes once, so the time is in proportion to it."""
     first, symbols = 43, 80
     table = F.array(*[F.lit(w).cast("long") for w in weights()])
     zero = F.lit("@" * symbols)
-    code = lambda i: F.ascii(F.substring(word, i + 1, F.lit(1))) - first
     count = lambda counts, at: F.ascii(F.substring(counts, at + 1, F.lit(1))) - 64
 
     def put(counts, at, n):
         return F.overlay(counts, F.char(n + 64), at + 1, F.lit(1))
 
-    def step(state, i):
+    def step(state, i, code):
         def came(at):
             def with_count(c):
                 counts, total = put(state["counts"], at, c + 1), state["total"] + F.get(table, c + 1) - F.get(table, c)
@@ -104,7 +105,7 @@ def _hot(word: Column, most: Column) -> Column:
             return let(count(state["counts"], at), with_count)
 
         def gone(now):
-            at = code(i - WINDOW)
+            at = F.get(code, i - WINDOW)
 
             def with_count(c):
                 return F.struct(put(now["counts"], at, c - 1).alias("counts"), (now["total"] + F.get(table, c - 1) - F.get(table, c)).alias("total"))
@@ -118,10 +119,11 @@ def _hot(word: Column, most: Column) -> Column:
                 F.when(hot & (state["low"] < 0), i - WINDOW + 1).otherwise(state["low"]).alias("low"), F.when(hot, i + 1).otherwise(state["high"]).alias("high"),
             )
 
-        return let(let(let(code(i), came), gone), judged)
+        return let(let(let(F.get(code, i), came), gone), judged)
 
     start = F.struct(zero.alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(-1).alias("low"), F.lit(-1).alias("high"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), start, step)
+    codes = F.transform(F.split(word, "", -1), lambda c: F.ascii(c) - first)
+    folded = let(codes, lambda code: F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), start, lambda state, i: step(state, i, code)))
     return let(folded, lambda s: F.when(s["low"] >= 0, F.struct(s["low"].alias("low"), s["high"].alias("high"))))
 
 
@@ -160,7 +162,7 @@ def entropy_spans(text: Column, base: Column, allowed: Sequence[str] = ALLOWED)
         known = F.lit(False)
         for pattern in allowed:
             known = known | word.rlike(pattern)
-        return F.when(word.rlike("[A-Za-z]") & ~known & ~(letters & wordlike(word)), _hot(word, most))
+        return F.when(word.rlike("[A-Za-z]") & ~known & ~(letters & wordlike(word)), let(most, lambda m: _hot(word, m)))
 
     def judged(spans):
         parts = let(found, lambda words: F.flatten(F.transform(spans, lambda s, i: _parts(s, F.get(words, i), base))))
@@ -181,7 +183,8 @@ def scan(docs: DataFrame, allowed: Sequence[str] = ALLOWED) -> DataFrame:
     end exclusive, by start, then kind.
 
     A null text is an empty one, without spans. Null and repeated doc_ids are rows like others; an empty
-    table gives no rows; other columns are not read."""
+    table gives no rows; other columns are not read. Texts and tokens are scanned whole, however long, in time in
+    proportion to them."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("more", entropy_spans(F.col("text"), F.col("base"), allowed))
@@ -190,7 +193,7 @@ def scan(docs: DataFrame, allowed: Sequence[str] = ALLOWED) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", allowed: Sequence[str] = ALLOWED) -> DataFrame:
     """docs with every span in text replaced by the mark (overlapping spans by one); other columns and
-    rows stay as they are, null texts too. Where n_chars is a column it follows the text."""
+    rows stay as they are, null, empty and repeated ones too. Where n_chars is a column it follows the text."""
     base, spans = fresh(docs, "_base"), fresh(docs, "_spans")
     text = F.col("text")
     rows = docs.withColumn(base, base_spans(F.coalesce(text, F.lit(""))))
