@@ -4,19 +4,18 @@ All of it is column expressions and joins on hashes. A line's level is the numbe
 with; a passage is a run of quoted lines of one level. A passage is normalised (marks off, lower case, white
 space to single spaces) and hashed, and so are its paragraphs and its lines. An earlier message of the conversation offers the
 hashes of its own words: the whole, its paragraphs (which survive another line width) and its lines. The
-passage belongs to the latest earlier message that offers it whole, or else to the one that offers most of
-its paragraphs, then most of its lines, the latest among equals.
+passage belongs to the latest earlier message that offers it whole. Else each paragraph and line counts for the
+latest earlier message that offers it; the passage belongs to the message that most paragraphs, then most lines count
+for, the latest among equals, if these are a SHARE of the passage's lines: one line that everybody writes links nothing.
 
 A message replies to the source of its first linked passage of the lowest level. A thread is what such
 replies join; its messages stand together, in order of turn, which puts every reply behind what it
-replies to. Places in a conversation are counted by steps (threads, then turns, STEP numbers a window), so that one
-conversation may hold a third of all rows without one task getting them all."""
+replies to. One conversation may hold a third of all rows, and one line stand in all of them: what a line's latest
+earlier message is, is found by blocks of turns, and places are counted from rows dealt out by range, so no task
+gets them all."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +25,10 @@ QUOTED = r"^(?:[\x20\t]*>)+"
 #: Announces a quote and says nothing itself.
 ANNOUNCED = r"(?i)^[\x20\t]*(?:on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)[\x20\t]*:[\x20\t]*$"
 PARAGRAPHS = r"\n[\x20\t]*\n"
-STEP = 1024
+#: Bits of a turn that a block of turns is split by.
+STEP = 10
+#: Least share of a passage's lines that a message must account for.
+SHARE = 1 / 3
 KEY = ("conv_id", "turn", "message")
 
 
@@ -74,29 +76,63 @@ def _keyed(messages: DataFrame) -> DataFrame:
     )
 
 
+def _latest(asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """(conv_id, h, turn, to_turn, to_message) for each of asked (conv_id, h, turn) that an earlier turn of offered
+    (conv_id, h, to_turn, to_message) offers: the latest of these.
+
+    Turns are looked at by their bits, STEP at a time: the latest earlier turn is in the same block of 2^STEP turns, or
+    in an earlier block of the same block of blocks, and so on. Each level needs the latest offer of each block (a
+    map-side maximum), and windows of at most 2^STEP blocks, whatever a line's or a conversation's rows are."""
+    levels = range(0, 64, STEP)
+
+    def blocks(turn):
+        return F.inline(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(turn, k).alias("block")) for k in levels]))
+
+    block = ["conv_id", "h", "level", "block"]
+    held = offered.select("conv_id", "h", F.struct("to_turn", "to_message").alias("offer"), blocks(F.col("to_turn"))).groupBy(*block).agg(F.max("offer").alias("offer"))
+    wanted = asked.select("conv_id", "h", "turn", blocks(F.col("turn")))
+    both = held.withColumn("asks", F.lit(False)).unionByName(wanted.select(*block).distinct().withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    # a turn has 64 bits, so shifting by the last level's and once more leaves its sign
+    above = F.shiftright(F.col("block"), STEP)
+    earlier = Window.partitionBy("conv_id", "h", "level", above).orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    found = durable(both.withColumn("before", F.max("offer").over(earlier)).filter("asks and before is not null").select(*block, "before"))
+    best = wanted.join(found, block).groupBy("conv_id", "h", "turn").agg(F.max("before").alias("best"))
+    return best.select("conv_id", "h", "turn", "best.to_turn", "best.to_message")
+
+
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, message, passage, level, to_turn, to_message, whole) for each linked passage.
 
     passage numbers a message's passages from 0; whole: the source has it word for word. A passage that no
-    earlier message of the conversation offers has no row. Messages without conv_id or turn link nothing."""
+    earlier message of the conversation offers has no row. Messages without conv_id or turn link nothing. Of messages
+    of one turn that offer the same, the one with the largest hash counts."""
     rows = _keyed(messages).filter("conv_id is not null and turn is not null")
     quoting = rows.filter(F.col("text").rlike(r"(?m)" + QUOTED)).select(*KEY, lines_of(F.col("text")).alias("lines")).dropDuplicates([*KEY])
     body = lambda p: F.transform(F.slice("lines", p["from"] + 1, p["to"] - p["from"]), lambda x: x["body"])
-    parts = quoting.select(*KEY, F.posexplode(F.transform(passages_of(F.col("lines")), lambda p: F.struct(p["level"].alias("level"), body(p).alias("body")))).alias("passage", "p"))
-    parts = parts.select(*KEY, "passage", F.col("p.level").alias("level"), _hashes(F.array(F.array_join("p.body", "\n"))).alias("all"), _hashes(F.split(F.array_join("p.body", "\n"), PARAGRAPHS, -1)).alias("some"), _hashes(F.col("p.body")).alias("each")).filter("size(`all`) > 0")
-    unit = lambda name, kind: F.transform(name, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("h")))
-    asked = parts.select(*KEY, "passage", "level", F.explode(F.concat(unit("all", "whole"), unit("some", "paragraph"), unit("each", "line"))).alias("a")).select(*KEY, "passage", "level", "a.*")
+    parts = quoting.select(*KEY, F.posexplode(F.transform(passages_of(F.col("lines")), lambda p: F.struct(p["level"].alias("level"), F.array_join(body(p), "\n").alias("body")))).alias("passage", "p"))
+    lines = lambda part: _hashes(F.split(part, "\n", -1))
+    unit = lambda kind, h, n: F.struct(F.lit(kind).alias("kind"), h.alias("h"), n.cast("long").alias("n"))
+    paragraphs = F.filter(F.transform(F.split("body", PARAGRAPHS, -1), lambda x: F.struct(normalised(x).alias("x"), F.size(lines(x)).alias("n"))), lambda x: F.length(x["x"]) > 0)
+    units = F.concat(
+        F.transform(_hashes(F.array("body")), lambda h: unit("whole", h, F.lit(0))), F.array_distinct(F.transform(paragraphs, lambda x: unit("paragraph", F.xxhash64(x["x"]), x["n"]))),
+        F.transform(lines(F.col("body")), lambda h: unit("line", h, F.lit(1))),
+    )
+    parts = parts.select(*KEY, "passage", F.col("p.level").alias("level"), F.col("p.body").alias("body")).select(*KEY, "passage", "level", F.size(lines(F.col("body"))).alias("n_lines"), F.inline(units))
+    asked = durable(parts)
     own = own_text(F.col("text"))
     # only conversations in which somebody quotes are looked at
-    offering = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi").select(*KEY, own.alias("own"))
-    units = _hashes(F.concat(F.array("own"), F.split("own", PARAGRAPHS, -1), F.split("own", "\n", -1)))
-    offered = offering.select("conv_id", F.col("turn").alias("to_turn"), F.col("message").alias("to_message"), F.explode(units).alias("h")).distinct()
-    met = asked.join(offered, ["conv_id", "h"]).filter("to_turn < turn")
-    count = lambda kind: F.count_if(F.col("kind") == kind)
-    by_source = met.groupBy(*KEY, "passage", "level", "to_turn", "to_message").agg((count("whole") > 0).alias("whole"), count("paragraph").alias("paragraphs"), count("line").alias("lines"))
+    offering = rows.join(durable(asked.select("conv_id").distinct()), "conv_id", "left_semi").select(*KEY, own.alias("own"))
+    said = _hashes(F.concat(F.array("own"), F.split("own", PARAGRAPHS, -1), F.split("own", "\n", -1)))
+    offered = offering.select("conv_id", F.col("turn").alias("to_turn"), F.col("message").alias("to_message"), F.explode(said).alias("h"))
+    met = asked.join(durable(_latest(asked.select("conv_id", "h", "turn").distinct(), offered)), ["conv_id", "h", "turn"])
+    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
+    by_source = met.groupBy(*KEY, "passage", "level", "n_lines", "to_turn", "to_message").agg(
+        (of("whole", 1) > 0).alias("whole"), of("paragraph", 1).alias("paragraphs"), of("paragraph", F.col("n")).alias("held"), of("line", 1).alias("lines")
+    )
+    enough = by_source.filter(F.col("whole") | (F.greatest("held", "lines") >= F.col("n_lines") * SHARE - 1e-9))
     part = lambda name: F.when(~F.col("whole"), F.col(name)).alias(name)
     best = F.max(F.struct("whole", part("paragraphs"), part("lines"), "to_turn", "to_message")).alias("best")
-    return by_source.groupBy(*KEY, "passage", "level").agg(best).select(*KEY, "passage", "level", "best.to_turn", "best.to_message", "best.whole")
+    return enough.groupBy(*KEY, "passage", "level").agg(best).select(*KEY, "passage", "level", "best.to_turn", "best.to_message", "best.whole")
 
 
 def _threads(replies: DataFrame) -> DataFrame:
@@ -119,19 +155,17 @@ def _threads(replies: DataFrame) -> DataFrame:
 def _places(rows: DataFrame) -> DataFrame:
     """(conv_id, thread, head, turn, message, place): ranks in (thread, head, turn, message) order by conversation.
 
-    Counts of steps are summed before ranks within steps are: the largest window has STEP turns' messages, or
-    as many sums as a conversation has steps."""
-    order = ["conv_id", "thread_step", "thread", "head", "turn_step", "turn", "message"]
-    rows = rows.withColumns({"thread_step": F.floor(F.col("thread") / STEP), "turn_step": F.floor(F.col("turn") / STEP)})
-    counts = rows.groupBy(*order[:5]).agg(F.count(F.lit(1)).alias("n"))
-    out = rows.withColumn("place", F.row_number().over(Window.partitionBy(*order[:5]).orderBy(*order[5:])) - 1)
-    # steps of a conversation, threads of a step, and steps of a thread: what lies before each
-    for part, keys in ((order[:1], order[:2]), (order[:2], order[:4]), (order[:4], order[:5])):
-        before = F.sum("n").over(Window.partitionBy(*part).orderBy(*keys[len(part) :]).rowsBetween(Window.unboundedPreceding, -1))
-        offsets = counts.groupBy(*keys).agg(F.sum("n").alias("n")).select(*(F.col(k).alias(f"_{k}") for k in keys), F.coalesce(before, F.lit(0)).alias("_before"))
-        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-        out = out.join(offsets, same).withColumn("place", F.col("place") + F.col("_before")).drop(*offsets.columns)
-    return out.select("conv_id", "thread", "head", "turn", "message", "place")
+    Rows are dealt out by range and sorted, and written with numbers that rise in this order; a conversation has a run
+    of numbers in each part that it has rows in, and what its earlier parts hold is added. The largest window has a row
+    for each of a conversation's parts."""
+    order = ["conv_id", "thread", "head", "turn", "message"]
+    rows = durable(rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part", F.shiftright("number", 33))
+    runs = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = durable(runs.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), (F.col("first") - F.coalesce(before, F.lit(0))).alias("_from")))
+    same = (F.col("part") == F.col("_part")) & F.col("conv_id").eqNullSafe(F.col("_conv"))
+    return rows.join(runs, same).select(*order, (F.col("number") - F.col("_from")).alias("place"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -145,7 +179,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     Rows equal in all four columns are one message and share every value, the place too. Messages of one
     turn that differ are ordered by a hash. A null text has no quotes and null content. A message without
     conv_id or turn is its own thread; nulls are placed first, as one conversation. An empty table gives no
-    rows; other columns are not read."""
+    rows; other columns are not read. Long texts are read whole; turns may be any numbers, time stamps too."""
     rows = _keyed(messages)
     found = durable(links(messages))
     reply = F.min(F.struct("level", "passage", "to_turn", "to_message")).alias("r")
