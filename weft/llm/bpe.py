@@ -391,7 +391,8 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
                 del found
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "part", "words", "marks"])
                 del columns
-                pa.default_memory_pool().release_unused()
+            batch = part = None  # free before the next one is read
+            pa.default_memory_pool().release_unused()
 
     def wholly(batches):
         pieces = vocabulary.value
@@ -422,7 +423,8 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
                 del ids
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
                 del columns
-                pa.default_memory_pool().release_unused()
+            batch = part = None
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select("doc_id", "text").mapInArrow(partly, f"doc_id {kind}, part binary, words array<string>, marks array<int>")
     rows = rows.select("doc_id", "part", F.transform("words", table.fold).alias("folds"), "marks")
