@@ -202,9 +202,13 @@ def train(x_text, x_meta, y, pool_text, pool_meta, rounds: int = ROUNDS) -> Mode
 def _content_column(text: Column) -> Column:
     @F.arrow_udf("array<float>")
     def of(texts):
+        import numpy as np
         import pyarrow as pa
 
-        return pa.array([content(t.as_py()).tolist() for t in texts], pa.list_(pa.float32()))
+        out = np.zeros((len(texts), FEATURES), np.float32)
+        for i, t in enumerate(texts):
+            out[i] = content(t.as_py())
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, FEATURES, dtype=np.int32), out.ravel())
 
     return of(text)
 
