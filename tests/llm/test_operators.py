@@ -129,6 +129,115 @@ def test_quotes_take_nulls_and_copies(spark):
     assert quotes.conversations(spark.createDataFrame([], TALK)).count() == 0
 
 
+def links_by_hand(rows):
+    """{(conv, turn, role): links} from texts alone, every message against every earlier one."""
+
+    def norm(t):
+        return re.sub(r"[\s\xa0]+", " ", t.lower()).strip()
+
+    def level_of(line):
+        marks = re.match(r"(?:[ \t]*>)+", line)
+        return (marks[0].count(">"), line[marks.end() :]) if marks else (0, line)
+
+    def parsed(text):
+        return [level_of(x) for x in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+
+    def paragraphs(t):
+        return re.split(r"\n[ \t]*\n", t)
+
+    def own(text):
+        lines = parsed(text)
+        if not any(n for n, _ in lines):
+            return text or ""
+        kept = [b for i, (n, b) in enumerate(lines) if not n and not (re.match(r"On .{1,200} wrote:$", b) and i + 1 < len(lines) and lines[i + 1][0])]
+        return "\n".join(kept).strip()
+
+    offers = {}
+    for conv, turn, role, text in rows:
+        t = own(text)
+        offers[conv, turn, role] = {norm(x) for x in (t, *paragraphs(t), *t.split("\n"))} - {""}
+    out = {}
+    for conv, turn, role, text in rows:
+        lines, found, passages, i = parsed(text), [], [], 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and lines[j][0] == lines[i][0]:
+                j += 1
+            if lines[i][0]:
+                passages.append((lines[i][0], "\n".join(b for _, b in lines[i:j])))
+            i = j
+        for k, (n, body) in enumerate(passages):
+            each = {norm(x) for x in body.split("\n")} - {""}
+            units = [("whole", norm(body), 0)] + [(("paragraph"), norm(x), len({norm(y) for y in x.split("\n")} - {""})) for x in paragraphs(body) if norm(x)] + [("line", x, 1) for x in each]
+            tally = {}
+            for kind, u, size in dict.fromkeys(units):
+                at = max((t2 for (c2, t2, _), held in offers.items() if c2 == conv and t2 < turn and u in held), default=None) if u else None
+                if at is not None:
+                    tally.setdefault(at, []).append((kind, size))
+            best = []
+            for at, got in tally.items():
+                whole, pars, held, single = any(x == "whole" for x, _ in got), sum(x == "paragraph" for x, _ in got), sum(s for x, s in got if x == "paragraph"), sum(x == "line" for x, _ in got)
+                if whole or max(held, single) * 3 >= len(each):
+                    best.append((whole, 0 if whole else pars, 0 if whole else single, at))
+            if best:
+                found.append(f"{k}:{n}:{max(best)[3]}")
+        out[conv, turn, role] = ",".join(found)
+    return out
+
+
+@pytest.mark.parametrize("step", [10, 3])
+def test_made_up_threads_link_as_by_hand(spark, monkeypatch, step):
+    """Levels, quotes wrapped anew or cut short, lines that everybody writes, time stamps as turns, and a conversation
+    of a third of all messages."""
+    monkeypatch.setattr(quotes, "STEP", step)
+    rng = random.Random(25)
+    words = [f"word{i}" for i in range(300)]
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randint(3, 14)))
+
+    def wrapped(paragraph, width):
+        lines, line = [], ""
+        for w in paragraph.split():
+            if line and len(line) + len(w) >= width:
+                lines.append(line)
+                line = ""
+            line = f"{line} {w}".strip()
+        return "\n".join([*lines, line])
+
+    rows, turn = [], 0
+    for conv, n in ((1, 70), *((c, rng.randint(2, 12)) for c in range(2, 22))):
+        bodies = []
+        turn = 1_700_000_000 if conv % 2 else 0
+        for _ in range(n):
+            turn += rng.randint(1, 5000) if conv % 2 else 1
+            body = "\n\n".join(wrapped(sentence(), 40) for _ in range(rng.randint(1, 4))) + rng.choice(["", "\nThanks.", "\n\nThanks.\nRegards"])
+            text = body
+            if bodies and rng.random() < 0.8:
+                quoted = rng.choice(bodies)
+                kind = rng.randrange(5)
+                if kind == 1:
+                    quoted = "\n\n".join(wrapped(p.replace("\n", " "), 25) for p in quoted.split("\n\n"))
+                elif kind == 2:
+                    quoted = "\n".join(quoted.split("\n")[rng.randint(0, 2) :])
+                elif kind == 3:
+                    quoted = quoted.upper() + "\nand more"
+                elif kind == 4:
+                    quoted = "Thanks.\n" + "\n".join(sentence() for _ in range(rng.randint(0, 4)))
+                marks = rng.choice(["> ", ">", "> > ", ">>"])
+                text = rng.choice(["On Monday Ann wrote:\n", ""]) + "\n".join(marks + x for x in quoted.split("\n")) + "\n" + body
+            rows.append((conv, turn, "u", text))
+            bodies.append(body)
+    want = links_by_hand(rows)
+    got = talk(spark, *rows)
+    assert {k: r["links"] for k, r in got.items()} == want and sum(map(bool, want.values())) > 60
+    for conv in range(1, 22):
+        places = sorted((r["place"], r["thread"], k[1]) for k, r in got.items() if k[0] == conv)
+        assert [p for p, _, _ in places] == [*range(len(places))] and [x[1:] for x in places] == sorted(x[1:] for x in places)
+        for k, r in got.items():
+            if k[0] == conv and r["parent_turn"] is not None:
+                up = got[conv, r["parent_turn"], "u"]
+                assert r["depth"] == up["depth"] + 1 and r["thread"] == up["thread"] and up["place"] < r["place"]
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------
 
 
@@ -144,17 +253,39 @@ def hot_by_hand(word, bits, w=secrets.WINDOW):
     return (hot[0], hot[-1] + w) if hot else None
 
 
+def wordlike_by_hand(word):
+    letters = [c for c in word if c.isascii() and c.isalpha()]
+    if 4 * sum(c in "aeiouyAEIOUY" for c in letters) < len(letters):
+        return False
+    spoken = "".join(c for i, c in enumerate(word) if not (c in "hH" and i and word[i - 1] in "aeioucsptAEIOUCSPT" or c in "cC" and 0 < i < len(word) - 1 and word[i - 1] in "sS" and word[i + 1] in "hH"))
+    run = 0
+    for c in spoken:
+        run = run + 1 if c.lower() in "bcdfghjklmnpqrstvwxz" else 0
+        if run == 5:
+            return False
+    kind = ["A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else " " for c in f" {word} "]
+    for i in range(1, len(kind) - 1):
+        before, it, after = kind[i - 1 : i + 2]
+        if it == "a" and (before == "A" and after != "a" or before != "a" and after == "A"):  # one small letter after or before a capital
+            return False
+        if it == after == "A" and before != "A" and i + 2 < len(kind) and kind[i + 2] == "a":  # two capitals, then a small letter
+            return False
+    return True
+
+
 def spans_by_hand(t):
     base_ = base_by_hand(t)
-    out = [*base_]
+    out, taken = [*base_], {i for a, _, b in base_ for i in range(a, b)}
     for m in re.finditer(secrets.CANDIDATE, t):
-        word = m[0]
-        if not re.search("[0-9].*[0-9]", word) or not re.search("[A-Za-z]", word) or any(re.search(p, word) for p in secrets.ALLOWED):
-            continue
-        if hot := hot_by_hand(word, secrets.LIMITS["hex" if re.fullmatch("[0-9a-fA-F]+", word) else "mixed"]):
-            a, b = m.start() + hot[0], m.start() + hot[1]
-            if not any(x < b and a < y for x, _, y in base_):
-                out.append((a, 3, b))
+        free = "".join(" " if i in taken else t[i] for i in range(*m.span()))
+        for part in re.finditer(r"[^ ]{20,}", free):
+            word, at = part[0], m.start() + part.start()
+            few = sum(c.isdigit() for c in word) < 2
+            if not re.search("[A-Za-z]", word) or any(re.search(p, word) for p in secrets.ALLOWED) or few and wordlike_by_hand(word):
+                continue
+            kind = "letters" if few else "hex" if re.fullmatch("[0-9a-fA-F]+", word) else "mixed"
+            if hot := hot_by_hand(word, secrets.LIMITS[kind]):
+                out.append((at + hot[0], 3, at + hot[1]))
     return sorted(out)
 
 
@@ -194,6 +325,26 @@ def test_redaction_replaces_every_span_once(spark):
         assert r["text"] == by_hand(cases[r["doc_id"]]) and r["n_chars"] == len(r["text"])
 
 
+def test_a_token_of_a_million_characters_takes_seconds(spark):
+    import time
+
+    rng = random.Random(23)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token, names, path = "".join(rng.choices(alphabet, k=1_000_000)), "_".join(["name"] * 200_000), "/".join(["part"] * 200_000)
+    began = time.time()
+    got = found(spark, [f"data:{token}=", f"{names} {path}"])
+    assert got[1] == "" and time.time() - began < 60
+    kind, low, high = got[0].split(":")
+    assert kind == "entropy" and 5 <= int(low) < 40 and int(high) > 999_900
+
+
+def test_allowed_names_and_paths():
+    for word, good in (("aa_bb", True), ("aa_bb-12", True), ("aa", False), ("aa__bb", False), ("_aa_bb", False), ("aa_bb_", False), ("aa_12", False), ("aa_bb_12345", False), ("aa_b1b", False)):
+        assert bool(re.search(secrets.ALLOWED[2], word)) == good, word
+    for word, good in (("src/main/java", True), ("/v1/main/java", True), ("a/b", False), ("a/b/c1", False), ("a//b/c", False), ("a/b/c/", False), ("//a/b/c", False)):
+        assert bool(re.search(secrets.ALLOWED[3], word)) == good, word
+
+
 def found(spark, cases):
     rows = secrets.scan(spark.createDataFrame([*enumerate(cases)], "doc_id long, text string")).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()
     return [s for _, s in sorted((r["doc_id"], r["s"]) for r in rows)]
@@ -340,6 +491,49 @@ def test_every_one_of_many_close_copies_is_found():
             assert len(got) == k and all(i <= m[4] <= m[5] < i + n for i, m in zip(at, got, strict=True)), (name, k, gap)
 
 
+def copies_by_hand(words, template, coverage=0.8):
+    """The copies of a template in a text: from every start, the template's words in order within twice its width,
+    by the longest common subsequence (it may stop short of a copy's last words); what a copy takes is gone for the next."""
+    n, i, out = len(template), 0, []
+    need = coverage * n - 1e-9
+    while i < len(words):
+        best = None
+        if words[i] in template:
+            part = words[i : i + 2 * n]
+            row = [0] * (n + 1)
+            for j, w in enumerate(part):
+                new = [0] * (n + 1)
+                for k, t in enumerate(template):
+                    new[k + 1] = row[k] + 1 if w == t else max(row[k + 1], new[k])
+                row = new
+                if row[n] >= need and (best is None or 2 * row[n] - j > best[0]):
+                    best = (2 * row[n] - j, i + j)
+        if best:
+            out.append((i, best[1]))
+            i = best[1] + 1
+        else:
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_one_to_four_adjacent_copies_as_by_hand(name):
+    scanner, rng = licenses.Scanner(), random.Random(f"{name}")
+    template = scanner.templates[name]
+    n = len(template)
+    for copies in (1, 2, 3, 4):
+        for altered in (0.0, 0.08):
+            text = [rng.choice(["alpha", "beta", "gamma"]) for _ in range(30)]
+            for _ in range(copies):
+                lost = {j for j in range(1, n - 1) if rng.random() < altered} if n > 12 else set()
+                text += [f"x{rng.randrange(99)}" if j in lost else w for j, w in enumerate(template)]
+            text += [rng.choice(["alpha", "beta", "gamma"]) for _ in range(30)]
+            got = [m for m in scanner.scan(" ".join(text)) if m[0] == name]
+            # a copy's first and last words are never altered
+            assert [(m[4], m[5]) for m in got] == [(30 + i * n, 29 + (i + 1) * n) for i in range(copies)], (copies, altered)
+            assert n >= 60 or len(copies_by_hand(text, template)) == copies
+
+
 def test_seeds_miss_nothing():
     """Any way of losing a fifth of a template's words leaves a seed."""
     scanner, rng = licenses.Scanner(), random.Random(10)
@@ -454,6 +648,17 @@ def test_shards_are_even_gapless_and_repeatable(spark, texts):
     assert max(map(len, held.values())) - min(map(len, held.values())) <= 1
 
 
+def test_many_copies_of_a_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    df = spark.createDataFrame([(1, "same")] * 500 + [(None, None)] * 100 + [(i, "x" * (i % 7)) for i in range(400)], "doc_id long, text string")
+    rows = sharding.shard_rows(df, 6, cells=32, buckets=3).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in rows) == sorted([(1, 12)] * 500 + [(0, 8)] * 100 + [(i, 8 + i % 7) for i in range(400)])
+    by = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(6)}
+    assert all(v == [*range(len(v))] for v in by.values()) and {len(v) for v in by.values()} == {166, 167}
+    same = [sum(r["shard"] == s and r["size"] == 12 for r in rows) for s in range(6)]
+    assert sum(same) >= 500 and min(same) > 40
+
+
 def test_every_row_is_as_likely_in_every_shard(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     first = [0] * 4
@@ -537,6 +742,44 @@ def test_expected_shares_are_the_targets(spark):
     assert abs(off[0] - off[1]) < 4 * math.sqrt(off[1])
 
 
+def test_contradicting_targets_are_told(spark):
+    with pytest.raises(raking.Unmet):
+        raking.fit({("a", "x"): 10, ("b", "y"): 10}, [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}])
+    with pytest.raises(raking.Unmet):
+        raking.fit({("a", "x"): 10, ("b", "x"): 10}, [{"a": 0, "b": 0}, {"x": 1}])
+    rows = [(i, "some words here", "xy"[i % 2], "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}
+    for cells in (raking.CELLS, 0):
+        with pytest.raises(raking.Unmet, match="lang|source"):
+            raking.rake(docs, wanted, strict=True, cells=cells, rounds=5)
+        with pytest.warns(UserWarning, match="contradict"):
+            got = raking.drawn(docs, targets=wanted, cells=cells, rounds=5).collect()
+        assert len(got) == 40 and all(0 < r["weight"] < 100 and 0 <= r["probability"] <= 1 for r in got)
+
+
+def test_tables_and_arrays_give_the_same_weights(spark):
+    """More sources than any literal would take, each raked by itself."""
+    rng = random.Random(24)
+    rows = [(i, "w " * rng.randint(0, 9), rng.choice(["en", "de", None]), f"site{rng.randrange(300) if i % 3 else 0}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = {"lang": {"en": 0.2, "de": 0.7}, "source": {"site7": 0.05}}
+    one, two = ({(r["doc_id"]): (round(r["weight"], 6), round(r["probability"], 6)) for r in raking.drawn(docs, targets=wanted, budget=0.5, cells=c, close=1e-7).collect()} for c in (raking.CELLS, 0))
+    assert one == two and len(one) == 3000
+    out = raking.drawn(docs, targets=wanted)
+    by = {r["source"]: r["t"] for r in out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("t")).collect()}
+    own = {s: sum(t.count("w") for _, t, _, x in rows if x == s) for s in by}
+    total = sum(own.values())
+    goal = {s: 0.05 if s == "site7" else n / total for s, n in own.items()}
+    assert len(by) == 300 and all(abs(by[s] / sum(by.values()) - goal[s] / sum(goal.values())) < 1e-6 for s in by)
+
+
+def test_a_corpus_without_tokens_is_kept(spark):
+    docs = spark.createDataFrame([(1, "", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert [(r["weight"], r["probability"], r["kept"]) for r in raking.drawn(docs).collect()] == [(1.0, 1.0, True)] * 2
+    assert raking.sample(docs, budget=0.5).count() == 2
+
+
 def test_a_budget_is_kept_in_expectation(spark):
     rows = raking.drawn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), budget=0.7)
     r = rows.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens"), F.max("probability")).first()
