@@ -88,11 +88,6 @@ def fact_modules_of_resource(spark, sf):
     return facts(spark, sf).filter("resource_id = 'r7'").groupBy("resource_type", "module_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _some_facts(spark, sf):
-    """Facts of few resources, so that the graph has several components."""
-    return facts(spark, sf).filter("fact_seq % 97 = 0")
-
-
 def _pairs(spark, sf):
     """Supplier pairs of one nation next to each other: chains."""
     s = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
@@ -101,9 +96,29 @@ def _pairs(spark, sf):
     return near.select(F.concat(F.lit("m"), "s_suppkey").alias("a"), F.concat(F.lit("m"), "k2").alias("b"), F.when((F.col("s_suppkey") + F.col("k2")) % 3 == 0, "LOW").otherwise("MED").alias("tier"))
 
 
+def _nation_facts(spark, sf):
+    """A fact for each supplier, on a resource of its nation: a graph of as many components as nations."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    return read(spark, sf, "supplier").select(
+        F.concat(F.lit("m"), key).alias("module_id"), F.when(key % 3 == 0, "READS").when(nation % 2 == 0, "WRITES").otherwise("PRODUCES").alias("direction"), F.when(nation % 2 == 0, "SQL_TABLE").otherwise("KAFKA_TOPIC").alias("resource_type"),
+        F.concat(F.lit("n"), nation).alias("resource_id"), F.when(F.col("s_acctbal") >= 0, "HIGH").otherwise("MED").alias("tier"), key.cast("long").alias("fact_seq"),
+    )
+
+
+def _neighbours(spark, sf):
+    """Each supplier with the next one by key."""
+    s = read(spark, sf, "supplier").select("s_suppkey")
+    return s.join(s.select((F.col("s_suppkey") - 1).alias("s_suppkey")), "s_suppkey").select(F.concat(F.lit("m"), "s_suppkey").alias("a"), F.concat(F.lit("m"), F.col("s_suppkey") + 1).alias("b"), F.when(F.col("s_suppkey") % 3 == 0, "LOW").otherwise("MED").alias("tier"))
+
+
 def graph_clusters(spark, sf):
     clones = _pairs(spark, sf).filter("false").select(F.col("a").alias("module_a"), F.col("b").alias("module_b"), F.lit(1).alias("clone_type"), "tier")
-    return graph.clusters(_some_facts(spark, sf), clones, owners(spark, sf), couplings(spark, sf))
+    return graph.clusters(facts(spark, sf), clones, owners(spark, sf), couplings(spark, sf))
+
+
+def graph_clusters_by_nation(spark, sf):
+    clones = _pairs(spark, sf).filter("false").select(F.col("a").alias("module_a"), F.col("b").alias("module_b"), F.lit(1).alias("clone_type"), "tier")
+    return graph.clusters(_nation_facts(spark, sf), clones, owners(spark, sf), couplings(spark, sf))
 
 
 def functional_capabilities(spark, sf):
@@ -115,10 +130,9 @@ def code_capabilities(spark, sf):
 
 
 def judge_promote_anti(spark, sf):
-    clones = _pairs(spark, sf).filter("false").select(F.col("a").alias("module_a"), F.col("b").alias("module_b"), F.lit(1).alias("clone_type"), "tier")
-    star = graph.shared_edges(_some_facts(spark, sf)).select("a", "b").unionByName(clones.select(F.col("module_a").alias("a"), F.col("module_b").alias("b")))
+    star = graph.shared_edges(_nation_facts(spark, sf)).select("a", "b")
     held = graph.connected_components(star).withColumnsRenamed({"node": "module_id", "root": "id"})
-    return graph.promoted(_pairs(spark, sf).withColumn("play", F.lit("STANDARDIZE")), held, couplings(spark, sf))
+    return graph.promoted(_neighbours(spark, sf).withColumn("play", F.lit("STANDARDIZE")), held, couplings(spark, sf))
 
 
 def component_members(spark, sf):
@@ -128,7 +142,7 @@ def component_members(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     fact_validation_split, strongest_touch, owner_join, owner_left_default, edges_shared_resource, edge_type_counts, cap_resource_ranked, cap_top10, cap_by_dimension, cap_by_play,
-    cap_topn_per_dimension, cap_dim_play_cube, cap_dim_play_rollup, dependency_capability, fact_modules_of_resource, graph_clusters, functional_capabilities, code_capabilities,
+    cap_topn_per_dimension, cap_dim_play_cube, cap_dim_play_rollup, dependency_capability, fact_modules_of_resource, graph_clusters, graph_clusters_by_nation, functional_capabilities, code_capabilities,
     judge_promote_anti, component_members,
 )}
 
@@ -155,11 +169,9 @@ _PAIR_CAPS = """rows AS (SELECT component, module_id, coalesce(owner, 'unknown')
   SELECT '{kind}:' || component AS id, '{kind}' AS dimension, '{prefix} · ' || names AS label, n_members, n_owners, CASE rank WHEN 2 THEN 'MED' ELSE 'LOW' END AS tier, coupling,
   CASE WHEN n_owners = 1 THEN 'RETIRE' ELSE 'STANDARDIZE' END AS play, round_even((n_members + 2) * (1 - coalesce(coupling, 0)) * CASE WHEN n_owners > 1 THEN 1.5::DOUBLE ELSE 1::DOUBLE END * (rank / 3), 2) AS opportunity
   FROM sums JOIN weak USING (component) {where}"""
-_SOME = "few AS (SELECT * FROM facts WHERE fact_seq % 97 = 0)"
-
-
-def _of_some(text: str) -> str:
-    return text.replace("FROM facts) WHERE rn = 1", "FROM few) WHERE rn = 1")
+_NATION_FACTS = """facts AS (SELECT 'm' || s_suppkey AS module_id, CASE WHEN s_suppkey % 3 = 0 THEN 'READS' WHEN s_nationkey % 2 = 0 THEN 'WRITES' ELSE 'PRODUCES' END AS direction, CASE WHEN s_nationkey % 2 = 0 THEN 'SQL_TABLE' ELSE 'KAFKA_TOPIC' END AS resource_type,
+  'n' || s_nationkey AS resource_id, CASE WHEN s_acctbal >= 0 THEN 'HIGH' ELSE 'MED' END AS tier, s_suppkey AS fact_seq FROM supplier)"""
+_NEIGHBOURS = "pairs AS (SELECT 'm' || x.s_suppkey AS a, 'm' || y.s_suppkey AS b, CASE WHEN x.s_suppkey % 3 = 0 THEN 'LOW' ELSE 'MED' END AS tier FROM supplier x JOIN supplier y ON y.s_suppkey = x.s_suppkey + 1)"
 
 
 def _with(*parts: str) -> str:
@@ -189,7 +201,13 @@ ORACLES = {
     "functional_capabilities": _recursive(_with(_PAIRS, CTES["owners"], CTES["couplings"], _reach("pairs"), _PAIR_CAPS.format(kind="functional", prefix="Semantic duplicate", where="WHERE n_members <= 6"))),
     "code_capabilities": _recursive(_with(_PAIRS, CTES["owners"], CTES["couplings"], _reach("pairs"), _PAIR_CAPS.format(kind="code", prefix="Code clone", where=""))),
     "component_members": _recursive(_with(_PAIRS, _reach("pairs"))) + " SELECT * FROM comp",
-    "graph_clusters": _recursive(_with(CTES["facts"], _SOME, _of_some(CTES["touch"]), _EDGES, CTES["owners"], CTES["couplings"], "pr AS (SELECT DISTINCT a, b FROM edges)", _reach("pr"),
+    "judge_promote_anti": _recursive(_with(_NATION_FACTS, CTES["touch"], _EDGES, CTES["couplings"], _NEIGHBOURS, "pr AS (SELECT DISTINCT a, b FROM edges)", _reach("pr")))
+        + """, best AS (SELECT least(a, b) AS a, greatest(a, b) AS b, tier FROM pairs), free AS (SELECT best.* FROM best LEFT JOIN comp x ON x.module_id = a LEFT JOIN comp y ON y.module_id = b WHERE x.component IS NULL OR y.component IS NULL OR x.component <> y.component)
+        SELECT a, b, tier, 4 AS score, round_even(c, 3) AS coupling, round_even(4 * (1 - coalesce(round_even(c, 3), 0)), 2) AS opportunity, 'STANDARDIZE' AS play, 'Semantic duplicate · ' || a || ' & ' || b AS label
+        FROM (SELECT free.*, CASE WHEN p.coupling IS NULL THEN q.coupling WHEN q.coupling IS NULL THEN p.coupling ELSE (p.coupling + q.coupling) / 2 END AS c FROM free LEFT JOIN couplings p ON p.module_id = a LEFT JOIN couplings q ON q.module_id = b)""",
+}
+ORACLES |= {
+    name: _recursive(_with(_facts, CTES["touch"], _EDGES, CTES["owners"], CTES["couplings"], "pr AS (SELECT DISTINCT a, b FROM edges)", _reach("pr"),
         "evid AS (SELECT component, e.* FROM edges e JOIN comp ON e.a = module_id)",
         """ev AS (SELECT component AS id, count(DISTINCT (resource_type, resource_id)) AS n_shared, max(CASE tier WHEN 'HIGH' THEN 3 WHEN 'MED' THEN 2 ELSE 1 END) AS rank, bool_or(type <> 'SHARES_RESOURCE') AS dup,
           min(CASE WHEN type = 'DUP_PRODUCER' THEN resource_id END) AS producer, min(CASE WHEN type = 'DUP_WRITER' THEN resource_id END) AS writer, min(CASE WHEN type = 'DUP_ENDPOINT' THEN resource_id END) AS endpoint,
@@ -197,9 +215,6 @@ ORACLES = {
         "ms AS (SELECT component AS id, count(*) AS n_members, count(DISTINCT coalesce(owner, 'unknown')) AS n_owners, round_even(avg(coupling), 3) AS coupling FROM comp LEFT JOIN owners USING (module_id) LEFT JOIN couplings USING (module_id) GROUP BY component)"))
         + """ SELECT id, n_members, n_owners, n_shared, CASE rank WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MED' ELSE 'LOW' END AS tier, n_shared * n_members + CASE WHEN dup THEN 2 ELSE 0 END AS score, coupling,
           round_even((n_shared * n_members + CASE WHEN dup THEN 2 ELSE 0 END) * (1 - coalesce(coupling, 0)), 2) AS opportunity, CASE WHEN dup AND n_owners = 1 THEN 'RETIRE' WHEN dup THEN 'STANDARDIZE' ELSE 'EXTRACT' END AS play,
-          coalesce('Publishes event · ' || producer, 'Writes table · ' || writer, 'Duplicate API · ' || endpoint, 'Shares ' || CASE eg.t WHEN 'KAFKA_TOPIC' THEN 'topic' WHEN 'SQL_TABLE' THEN 'table' WHEN 'SQL_COLUMN' THEN 'column' ELSE 'endpoint' END || ' · ' || eg.r) AS label FROM ms JOIN ev USING (id)""",
-    "judge_promote_anti": _recursive(_with(CTES["facts"], _SOME, _of_some(CTES["touch"]), _EDGES, CTES["couplings"], _PAIRS, "pr AS (SELECT DISTINCT a, b FROM edges)", _reach("pr")))
-        + """, best AS (SELECT least(a, b) AS a, greatest(a, b) AS b, tier FROM pairs), free AS (SELECT best.* FROM best LEFT JOIN comp x ON x.module_id = a LEFT JOIN comp y ON y.module_id = b WHERE x.component IS NULL OR y.component IS NULL OR x.component <> y.component)
-        SELECT a, b, tier, 4 AS score, round_even(c, 3) AS coupling, round_even(4 * (1 - coalesce(round_even(c, 3), 0)), 2) AS opportunity, 'STANDARDIZE' AS play, 'Semantic duplicate · ' || a || ' & ' || b AS label
-        FROM (SELECT free.*, CASE WHEN p.coupling IS NULL THEN q.coupling WHEN q.coupling IS NULL THEN p.coupling ELSE (p.coupling + q.coupling) / 2 END AS c FROM free LEFT JOIN couplings p ON p.module_id = a LEFT JOIN couplings q ON q.module_id = b)""",
+          coalesce('Publishes event · ' || producer, 'Writes table · ' || writer, 'Duplicate API · ' || endpoint, 'Shares ' || CASE eg.t WHEN 'KAFKA_TOPIC' THEN 'topic' WHEN 'SQL_TABLE' THEN 'table' WHEN 'SQL_COLUMN' THEN 'column' ELSE 'endpoint' END || ' · ' || eg.r) AS label FROM ms JOIN ev USING (id)"""
+    for name, _facts in (("graph_clusters", CTES["facts"]), ("graph_clusters_by_nation", _NATION_FACTS))
 }

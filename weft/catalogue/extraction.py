@@ -103,7 +103,7 @@ def sql_heads(spark, sf):
 
 def stems(spark, sf):
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w")
-    return read(spark, sf, "documents").filter("lang = 'en'").select(words).distinct().select(stem(F.col("w")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    return read(spark, sf, "documents").select(words).distinct().select(stem(F.col("w")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: A portfolio of our own: the shapes that the extractors must read.
@@ -197,5 +197,5 @@ ORACLES = {
     "url_parts": "SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM pages",
     "json_answers": _rows("n, a", (0, 1), (1, 2), (2, 3), (3, None), (4, None), (5, None)),
     "sql_heads": "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, false)) AS t(n, is_sql)",
-    "stems": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en') SELECT regexp_replace(w, '(?:ing|ers|er|ed|s)$', '') AS stem, count(*) AS n FROM w GROUP BY 1",
+    "stems": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT regexp_replace(w, '(?:ing|ers|er|ed|s)$', '') AS stem, count(*) AS n FROM w GROUP BY 1",
 }

@@ -182,7 +182,7 @@ def next_steps(spark, sf):
 
 
 def ratchet_text(spark, sf):
-    rows = remediate.ratchets(capability.ranked(_caps(spark, sf)).limit(50))
+    rows = remediate.ratchets(_caps(spark, sf))
     return rows.select("id", "kind", "file", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
@@ -271,7 +271,7 @@ ORACLES = {
     "safe_labels": "SELECT page_id, CASE WHEN length(u) > 30 THEN substring(u, 1, 27) || '...' ELSE u END AS label FROM (SELECT page_id, trim(replace(url, '\"', '''')) AS u FROM pages)",
     "audience_filter": sql(CAPS, " UNION ALL ".join(f"SELECT play, count(*) AS n, '{a}' AS audience FROM caps WHERE tier IN ({', '.join(repr(t) for t in ts)}) AND contains(lower(label), 'topic r1') GROUP BY play" for a, ts in views.AUDIENCES.items())),
     "next_steps": sql(CAPS, f"SELECT play, count(*) AS n, CASE play {_STEPS} END AS step FROM caps GROUP BY play"),
-    "ratchet_text": sql(CAPS, f""", t AS (SELECT id, label, play FROM caps ORDER BY opportunity DESC, CASE tier WHEN 'HIGH' THEN 3 WHEN 'MED' THEN 2 ELSE 1 END DESC, id LIMIT 50),
+    "ratchet_text": sql(CAPS, f""", t AS (SELECT id, label, play FROM caps),
         x AS (SELECT id, label, {_SLUG.format('id')} AS s, split_part(id, ':', -1) AS f FROM t WHERE play IN ('RETIRE', 'STANDARDIZE'))
         SELECT id, 'archunit' AS kind, 'Ratchet_' || s || '.java' AS file, md5(printf('// %s\n@ArchTest static final ArchRule only_canonical = noClasses().that().resideOutsideOfPackage("..%s..").should().dependOnClassesThat().resideInAPackage("..%s..");\n', label, f, f)) AS digest FROM x
         UNION ALL SELECT id, 'import-linter', 'ratchet_' || s || '.ini', md5(printf('# %s\n[importlinter:contract:%s]\nname = only the canonical module\ntype = forbidden\nforbidden_modules = %s\n', label, s, f)) FROM x
