@@ -126,5 +126,5 @@ ORACLES = {
         v AS (SELECT *, len(common) >= 2 OR (len(common) >= 1 AND similarity >= 0.82) AS confirmed FROM q)
         SELECT a, b, similarity, confirmed, round_even(CASE WHEN confirmed THEN least(similarity, 0.5 + len(common) / greatest(total, 1)) ELSE least(similarity, 0.4) END, 2) AS confidence,
         CASE WHEN confirmed AND oa = ob THEN 'RETIRE' WHEN confirmed THEN 'STANDARDIZE' ELSE 'LEAVE' END AS play,
-        CASE WHEN confirmed THEN 'Shares functional domain (' || array_to_string(common[1:3], ', ') || ') with similarity ' || printf('%.2f', similarity) ELSE 'Insufficient capability overlap (sim=' || printf('%.2f', similarity) || ', shared keywords=' || len(common) || ')' END AS reason FROM v""",
+        CASE WHEN confirmed THEN 'Both speak of ' || array_to_string(common[1:3], ', ') || '; their summaries have cosine ' || printf('%.2f', similarity) ELSE 'Too little in common: ' || len(common) || ' terms, cosine ' || printf('%.2f', similarity) END AS reason FROM v""",
 }

@@ -24,8 +24,14 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+# What a stem is without, how a placeholder is written, and the notes of resolve.
+SUFFIX = "(?:ing|ers|er|ed|s)$"
+PLACEHOLDER = r"\$\{([^:}]+)(?::([^}]*))?\}"
+LITERAL, CONSTANT, KEY, DEFAULT, ENVIRONMENT, UNRESOLVED = "literal at call site", "local constant", "config key ", "config default for ", "env default ", "dynamic / unresolved"
+
+
 def stem(word: Column) -> Column:
-    return F.regexp_replace(word, "(?:ing|ers|er|ed|s)$", "")
+    return F.regexp_replace(word, SUFFIX, "")
 
 
 def domain_tokens(summary: Column) -> Column:
@@ -93,19 +99,19 @@ def resolve(expression: Column, constants: Column, config: Column, env: Column)
     e = stripped(F.coalesce(expression, F.lit("")))
     last = F.element_at(F.split(e, r"\."), -1)
     literal = F.regexp_extract(e, "^[\"']([^\"']+)[\"']$", 1)
-    key = F.regexp_extract(e, r"\$\{([^:}]+)(?::([^}]*))?\}", 1)
-    default = F.regexp_extract(e, r"\$\{([^:}]+)(?::([^}]*))?\}", 2)
+    key = F.regexp_extract(e, PLACEHOLDER, 1)
+    default = F.regexp_extract(e, PLACEHOLDER, 2)
     said = lambda value, tier, notes: F.struct(value.alias("value"), F.lit(tier).alias("tier"), notes.alias("notes"))
     has = F.map_contains_key
     return (
-        F.when(literal != "", said(literal, "HIGH", F.lit("literal at call site")))
-        .when(has(constants, e), said(F.element_at(constants, e), "HIGH", F.lit("local constant")))
-        .when(has(constants, last), said(F.element_at(constants, last), "HIGH", F.lit("local constant")))
-        .when((key != "") & has(config, key), said(F.element_at(config, key), "MED", F.concat(F.lit("config key "), key)))
-        .when((key != "") & (default != ""), said(default, "MED", F.concat(F.lit("config default for "), key)))
-        .when(has(config, e), said(F.element_at(config, e), "MED", F.concat(F.lit("config key "), e)))
-        .when(has(env, last), said(F.element_at(env, last), "MED", F.concat(F.lit("env default "), last)))
-        .otherwise(said(F.lit(None).cast(T.StringType()), "LOW", F.lit("dynamic / unresolved")))
+        F.when(literal != "", said(literal, "HIGH", F.lit(LITERAL)))
+        .when(has(constants, e), said(F.element_at(constants, e), "HIGH", F.lit(CONSTANT)))
+        .when(has(constants, last), said(F.element_at(constants, last), "HIGH", F.lit(CONSTANT)))
+        .when((key != "") & has(config, key), said(F.element_at(config, key), "MED", F.concat(F.lit(KEY), key)))
+        .when((key != "") & (default != ""), said(default, "MED", F.concat(F.lit(DEFAULT), key)))
+        .when(has(config, e), said(F.element_at(config, e), "MED", F.concat(F.lit(KEY), e)))
+        .when(has(env, last), said(F.element_at(env, last), "MED", F.concat(F.lit(ENVIRONMENT), last)))
+        .otherwise(said(F.lit(None).cast(T.StringType()), "LOW", F.lit(UNRESOLVED)))
     )
 
 

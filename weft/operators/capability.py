@@ -42,6 +42,7 @@ def with_owner(members: DataFrame, owners: DataFrame, couplings: DataFrame) -> D
     return members.join(owners.select("module_id", "owner"), "module_id", "left").join(couplings, "module_id", "left").withColumn("owner", F.coalesce("owner", F.lit("unknown")))
 
 
+# Fixed values in the two functions that make labels (here and in graph): the wording by which reports name a capability.
 def label_of(dim: Column, rid: Column, n: Column, produces: Column, writes: Column, serves: Column) -> Column:
     return (
         F.when(dim == "messaging", F.concat(F.when(produces == n, "Publishes ").otherwise("Topic "), rid))

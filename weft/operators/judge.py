@@ -26,8 +26,8 @@ def evaluated(similarity: Column, terms_a: Column, terms_b: Column, owner_a: Col
         "confirmed": confirmed,
         "confidence": half_even(F.when(confirmed, share).otherwise(F.least(similarity, F.lit(0.4))), 2),
         "play": F.when(confirmed & (owner_a == owner_b), "RETIRE").when(confirmed, "STANDARDIZE").otherwise("LEAVE"),
-        "reason": F.when(confirmed, F.concat(F.lit("Shares functional domain ("), F.array_join(F.slice(F.array_sort(common), 1, 3), ", "), F.lit(") with similarity "), two)).otherwise(
-            F.concat(F.lit("Insufficient capability overlap (sim="), two, F.lit(", shared keywords="), n.cast("string"), F.lit(")"))
+        "reason": F.when(confirmed, F.concat(F.lit("Both speak of "), F.array_join(F.slice(F.array_sort(common), 1, 3), ", "), F.lit("; their summaries have cosine "), two)).otherwise(
+            F.concat(F.lit("Too little in common: "), n.cast("string"), F.lit(" terms, cosine "), two)
         ),
     }
 
