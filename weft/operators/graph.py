@@ -39,13 +39,22 @@ def clone_edges(pairs: DataFrame) -> DataFrame:
     )
 
 
+def ranked(clusters: DataFrame) -> DataFrame:
+    """Clusters by opportunity, then tier, then id."""
+    return clusters.orderBy(F.desc("opportunity"), F.desc(tier_rank(F.col("tier"))), "id")
+
+
 def clusters(facts: DataFrame, clone_pairs: DataFrame, owners: DataFrame, couplings: DataFrame) -> DataFrame:
+    return clusters_and_members(facts, clone_pairs, owners, couplings)[0]
+
+
+def clusters_and_members(facts: DataFrame, clone_pairs: DataFrame, owners: DataFrame, couplings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of the whole graph, scored: (id, n_members, n_owners, n_shared, tier, score, coupling,
     opportunity, play, label), id being the smallest member.
 
     A resource joins its modules as a star around the smallest, so no pairs are made. What the pairs would
     say is counted instead: a duplicate is two modules in the duplicating direction, and a pair's tier is
-    its weaker end's, so a resource's best pair has the tier of its second strongest module."""
+    its weaker end's, so a resource's best pair has the tier of its second strongest module. Also (module_id, id)."""
     touch = strongest_touch(facts)
     first = touch.groupBy("resource_type", "resource_id").agg(
         F.min("module_id").alias("hub"), F.count(F.lit(1)).alias("n"),
@@ -76,11 +85,12 @@ def clusters(facts: DataFrame, clone_pairs: DataFrame, owners: DataFrame, coupli
         F.concat(F.lit("Code clone · "), "clone"), F.concat(F.lit("Publishes event · "), "producer"), F.concat(F.lit("Writes table · "), "writer"), F.concat(F.lit("Duplicate API · "), "endpoint"),
         F.concat(F.lit("Shares "), F.coalesce(F.try_element_at(noun, F.col("some.resource_type")), F.lit("resource")), F.lit(" · "), F.col("some.resource_id")),
     )
-    return sums.join(shared, "id").withColumn("score", worth).select(
+    scored = sums.join(shared, "id").withColumn("score", worth).select(
         "id", "n_members", "n_owners", "n_shared", tier_name(F.col("rank")).alias("tier"), "score", "coupling",
         half_even(F.col("score") * (1 - F.coalesce("coupling", F.lit(0.0))), 2).alias("opportunity"),
         F.when(alike & (F.col("n_owners") == 1), "RETIRE").when(alike, "STANDARDIZE").otherwise("EXTRACT").alias("play"), label.alias("label"),
     )
+    return scored, members
 
 
 def promoted(confirmed: DataFrame, members: DataFrame, couplings: DataFrame) -> DataFrame:

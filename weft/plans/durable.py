@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def durable_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share. Only a session on one machine may go without it: there one
     is made up, as in tests. On a cluster each executor would write to a disk of its own, so that is an error."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
@@ -33,7 +33,7 @@ def durable(df: DataFrame, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """df written as a table in the folder that all executors share, and read again. What is planned on top starts
     from a file scan, so a loop's rounds do not get slower to plan. Then the tables `spent` are deleted."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{durable_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path

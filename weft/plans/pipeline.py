@@ -15,8 +15,9 @@ from weft.functions.text import code_lines, properties
 from weft.functions.vectors import trigram_embedding
 from weft.operators import capability, graph, judge, reports, similarity
 from weft.plans import remediate, views
+from weft.plans.catalog import Catalog, changed
 from weft.plans.durable import durable
-from weft.schema import dimension
+from weft.schema import dimension, rejections, split_valid
 from weft.sources import contracts, files, manifests, sourcecode, sqltext
 from weft.sources.webpages import addresses
 
@@ -43,7 +44,7 @@ def report(name: str):
     return add
 
 
-def _shaped(df: DataFrame) -> DataFrame:
+def shaped(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     want = [("module_id", "string"), ("direction", "string"), ("resource_type", "string"), ("resource_id", "string"), ("tier", "string"), ("rel_path", "string"), ("line", "int"), ("snippet", "string"), ("notes", "string")]
     return df.select(*((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in want))
@@ -51,8 +52,7 @@ def _shaped(df: DataFrame) -> DataFrame:
 
 @extractor("code")
 def _code(rows: DataFrame) -> DataFrame:
-    found = durable(rows.filter(F.col("lang").isin("python", "java", "javascript")).select("module_id", "rel_path", sourcecode.extracted(F.col("lang"), F.col("content"), F.col("config")).alias("x")))
-    return _shaped(found.select("module_id", "rel_path", F.inline("x.facts")))
+    return shaped(rows.select("module_id", "rel_path", F.inline("parsed.facts")))
 
 
 @extractor("sql")
@@ -60,18 +60,18 @@ def _sql(rows: DataFrame) -> DataFrame:
     scripts = rows.filter("suffix = '.sql'")
     tables = scripts.select("module_id", "rel_path", F.inline(sqltext.lineage(F.col("content")))).select("module_id", "rel_path", "direction", F.lit("SQL_TABLE").alias("resource_type"), F.col("table").alias("resource_id"), F.lit("HIGH").alias("tier"))
     columns = scripts.select("module_id", "rel_path", F.explode(sqltext.written_columns(F.col("content"))).alias("resource_id")).select("module_id", "rel_path", F.lit("WRITES").alias("direction"), F.lit("SQL_COLUMN").alias("resource_type"), "resource_id", F.lit("HIGH").alias("tier"))
-    return _shaped(tables.unionByName(columns))
+    return shaped(tables.unionByName(columns))
 
 
 @extractor("api")
 def _api(rows: DataFrame) -> DataFrame:
-    return _shaped(contracts.surfaces(rows).select("module_id", "rel_path", F.lit("SERVES").alias("direction"), F.lit("HTTP_ENDPOINT").alias("resource_type"), F.col("endpoint").alias("resource_id"), F.lit("HIGH").alias("tier"), F.col("signature").alias("snippet")))
+    return shaped(rows.select("module_id", "rel_path", F.inline("surfaces")).select("module_id", "rel_path", F.lit("SERVES").alias("direction"), F.lit("HTTP_ENDPOINT").alias("resource_type"), F.col("endpoint").alias("resource_id"), F.lit("HIGH").alias("tier"), F.col("signature").alias("snippet")))
 
 
 @extractor("pages")
 def _pages(rows: DataFrame) -> DataFrame:
     found = rows.filter(F.col("suffix").isin(".jsp", ".jspf", ".tag")).select("module_id", "rel_path", F.inline(addresses(F.col("content"))))
-    return _shaped(found.select("module_id", "rel_path", "line", F.lit("CALLS").alias("direction"), F.lit("HTTP_ENDPOINT").alias("resource_type"), F.col("address").alias("resource_id"), F.lit("HIGH").alias("tier")))
+    return shaped(found.select("module_id", "rel_path", "line", F.lit("CALLS").alias("direction"), F.lit("HTTP_ENDPOINT").alias("resource_type"), F.col("address").alias("resource_id"), F.lit("HIGH").alias("tier")))
 
 
 @report("libraries")
@@ -109,6 +109,7 @@ class Config:
     judge_threshold: float = judge.THRESHOLD
     summarise: Callable = manifests.summaries
     embed: Callable = trigram_embedding
+    judge: Callable = judge.judged
 
 
 @dataclass
@@ -129,25 +130,18 @@ def modules_of(placed: DataFrame, owners: DataFrame) -> DataFrame:
     return found.join(owners, "project_id", "left").select(F.concat_ws(":", "project_id", tag).alias("id"), "project_id", F.col("project_id").alias("name"), "lang", F.col("build").alias("build_system"), F.coalesce("owner", F.lit("unknown")).alias("owner"))
 
 
-def run(spark: SparkSession, source: DataFrame | str, config: Config | None = None) -> Run:
-    """All tables of a run over files (rel_path, suffix, content), or over those under a folder.
-
-    Tables: files, modules, facts, gaps, dependencies, couplings, clone_pairs, candidates, judgements,
-    capabilities, clusters, plays, diagram, and those of the registered reports."""
-    config, seconds, began = config or Config(), {}, time.time()
-
-    def mark(stage: str) -> None:
-        nonlocal began
-        seconds[stage], began = time.time() - began, time.time()
-
+def ingested(spark: SparkSession, source: DataFrame | str) -> dict[str, DataFrame]:
+    """files, dirs (project folders), placed (files in their projects) and owners of projects, for files (rel_path, suffix,
+    content) or those under a folder."""
     all_files = durable(files.scan(spark, source) if isinstance(source, str) else source)
     dirs = durable(files.named(files.projects(all_files)))
-    placed = durable(files.in_projects(all_files, dirs))
-    owned = files.owners(all_files, dirs)
-    modules = durable(modules_of(placed, owned))
-    owners = modules.select(F.col("id").alias("module_id"), "owner")
-    mark("ingest")
+    return {"files": all_files, "dirs": dirs, "placed": durable(files.in_projects(all_files, dirs)), "owned": files.owners(all_files, dirs)}
+
 
+def extract(placed: DataFrame, owned: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """What files in projects give: modules, projects, rows (files with their module, each parsed once), facts, gaps,
+    dependencies, api_surfaces, couplings, and errors. Rows that break a rule are not stored; each is an error."""
+    modules = durable(modules_of(placed, owned))
     lang = F.lit(None).cast("string")
     for k, (suffixes, _, _) in files.LANGUAGES.items():
         lang = F.when(F.col("suffix").isin(*suffixes), k).otherwise(lang)
@@ -157,54 +151,167 @@ def run(spark: SparkSession, source: DataFrame | str, config: Config | None = No
     settings = placed.filter(F.col("suffix").isin(".yml", ".yaml", ".properties"))
     said = settings.select("project_id", F.explode(F.when(F.col("suffix") == ".properties", properties(F.col("content"))).otherwise(sourcecode.simple_yaml(F.col("content")))).alias("key", "value"), F.struct(F.col("suffix") == ".properties", F.col("rel_path")).alias("order"))
     merged = said.groupBy("project_id", "key").agg(F.max_by("value", "order").alias("value")).groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("config"))
-    rows = durable(rows.join(merged, "project_id", "left").select("project_id", F.coalesce("own", "first").alias("module_id"), "lang", "rel_path", "in_path", "suffix", "content", "config"))
+    rows = rows.join(merged, "project_id", "left").select("project_id", F.coalesce("own", "first").alias("module_id"), "lang", "rel_path", "in_path", "suffix", "content", "config")
+    code = F.col("lang").isin("python", "java", "javascript")
+    rows = durable(rows.withColumn("parsed", sourcecode.extracted(F.when(code, F.col("lang")), F.when(code, F.col("content")), F.when(code, F.col("config")))).withColumn("surfaces", contracts.surfaces_of(F.col("rel_path"), F.col("content"))))
     found = None
-    for extract in EXTRACTORS.values():
-        one = extract(rows)
+    for of in (EXTRACTORS if extractors is None else extractors).values():
+        one = of(rows)
         found = one if found is None else found.unionByName(one)
-    facts = durable(found.withColumn("fact_seq", F.row_number().over(_order("module_id", "rel_path", "line", "resource_type", "resource_id", "direction")).cast("long")))
-    code = rows.filter(F.col("lang").isin("python", "java", "javascript"))
-    gaps = durable(code.select("module_id", "rel_path", F.inline(sourcecode.extracted(F.col("lang"), F.col("content"), F.col("config"))["gaps"])))
-    dependencies = durable(manifests.dependencies(rows))
-    couplings = durable(_couplings(rows))
-    mark("extract")
-
+    surfaces = rows.select("module_id", "rel_path", F.inline("surfaces")).select("module_id", "kind", "signature", F.lit("server").alias("role"), F.lit("HIGH").alias("tier"))
+    every = {"integration_facts": durable(found.withColumn("fact_seq", F.row_number().over(_order("rel_path", "line", "direction")).cast("long"))), "dependencies": durable(manifests.dependencies(rows)), "api_surfaces": surfaces}
+    good, errors = {}, None
+    for name, df in every.items():
+        good[name], bad = split_valid(name, df)
+        told = rejections(name, bad)
+        errors = told if errors is None else errors.unionByName(told)
+    claims = placed.filter("in_path = 'package.json'").select("project_id", F.explode(manifests.node_claims(F.col("content"))).alias("lang"))
+    langs = modules.select("project_id", "lang").unionByName(claims).groupBy("project_id").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    projects = langs.join(files.lines_of_code(placed), "project_id", "left").join(owned, "project_id", "left")
+    projects = projects.select(F.col("project_id").alias("id"), F.col("project_id").alias("name"), F.coalesce("owner", F.lit("unknown")).alias("owner_team"), "langs", F.coalesce("loc", F.lit(0)).cast("long").alias("loc"))
+    gaps = rows.select("module_id", "rel_path", F.inline("parsed.gaps"))
+    return {"modules": modules, "projects": projects, "rows": rows, "facts": good["integration_facts"], "gaps": gaps, "dependencies": good["dependencies"], "api_surfaces": good["api_surfaces"], "couplings": durable(_couplings(rows)), "errors": errors}
+
+
+def analyse(spark: SparkSession, held: dict[str, DataFrame], config: Config, mark: Callable[[str], None] = lambda stage: None) -> dict[str, DataFrame]:
+    """Findings over modules, rows, facts, dependencies and couplings: see run."""
+    modules, rows, facts, dependencies, couplings = (held[k] for k in ("modules", "rows", "facts", "dependencies", "couplings"))
+    owners = modules.select(F.col("id").alias("module_id"), "owner")
     lines = rows.filter(F.col("suffix").isin(*files.CLONE_SUFFIXES)).groupBy("module_id").agg(F.flatten(F.collect_list(code_lines(F.col("content")))).alias("t1"), F.flatten(F.collect_list(code_lines(F.col("content"), normalise=True))).alias("t2"))
     clones = durable(similarity.clone_pairs(lines.select(F.col("module_id").alias("id"), "t1", "t2"), F.array_distinct("t1"), F.array_distinct("t2"), config.clone_threshold))
     summaries = durable(config.summarise(modules.select(F.col("id").alias("module_id"), "name"), facts, dependencies, rows.filter("in_path not like '%/%'").select("module_id", "rel_path", "content")))
-    empty = spark.createDataFrame([], "a string, b string, tier string")
-    judgements, pairs = None, empty
+    mark("clones")
+    judgements, pairs = None, spark.createDataFrame([], "a string, b string, tier string")
     if config.semantic:
         vectors = summaries.join(modules.select(F.col("id").alias("module_id"), "project_id"), "module_id").select(F.col("module_id").alias("id"), config.embed(F.col("summary")).alias("vector"), "project_id")
-        near = durable(similarity.cosine_pairs(vectors, config.recall_low, group="project_id"))
-        candidates = near.withColumn("tier", similarity.recall_tier(F.col("similarity"), config.recall_med))
-        judgements = durable(judge.judged(candidates, summaries, owners, config.judge_threshold))
+        near = similarity.cosine_pairs(vectors, config.recall_low, group="project_id")
+        candidates = judge.with_shared_resources(durable(near.withColumn("tier", similarity.recall_tier(F.col("similarity"), config.recall_med))), facts)
+        judgements = durable(config.judge(candidates, summaries, owners, config.judge_threshold))
         pairs = judgements.filter("confirmed").select("a", "b", "tier")
+        mark("judgements")
     distinct = clones.filter("module_a <> module_b")
     caps = durable(capability.build_capabilities(facts, distinct, pairs, dependencies, owners, couplings, config.functional_max_size))
-    clusters = durable(graph.clusters(facts, distinct, owners, couplings))
     mark("capabilities")
+    found = graph.clusters_and_members(facts, distinct, owners, couplings)
+    clusters = durable(found[0])
+    mark("clusters")
 
     plays = caps.groupBy("play").agg(F.count(F.lit(1)).alias("n"))
-    tables = {"files": all_files, "modules": modules, "owners": owners, "facts": facts, "gaps": gaps, "dependencies": dependencies, "couplings": couplings, "clone_pairs": clones, "summaries": summaries, "capabilities": capability.ranked(caps), "clusters": clusters, "plays": plays}
+    tables = {"owners": owners, "clone_pairs": clones, "summaries": summaries, "capabilities": capability.ranked(caps), "clusters": graph.ranked(clusters), "plays": plays}
     if judgements is not None:
-        tables |= {"judgements": judgements, "candidates": views.unconfirmed(judgements, modules.select(F.col("id").alias("module_id"), "project_id"))}
+        tables |= {"judgements": judgements, "candidates": views.unconfirmed(judgements, modules.select(F.col("id").alias("module_id"), "project_id")), "promoted": graph.promoted(judgements.filter("confirmed"), found[1], couplings)}
     touch = capability.strongest_touch(facts).join(facts.groupBy("resource_type", "resource_id").agg(F.countDistinct("module_id").alias("n")).filter("n >= 2"), ["resource_type", "resource_id"])
     members = touch.select(F.concat_ws(":", dimension(F.col("resource_type")), "resource_id").alias("id"), "module_id", "direction", "resource_type", "resource_id")
     tables |= {"members": members, "matrix": views.matrix_cells(members.select("id", "module_id", "direction"), caps, config.matrix_max_columns), "diagram": views.diagram_lines(views.diagram_edges(facts, members.select("module_id")))}
-    tables |= {name: make(tables) for name, make in REPORTS.items()}
-    mark("views")
     if config.remediate:
         acted = caps.select("id", "label", "play")
-        named = members.select("id", "resource_type", "resource_id").distinct().join(acted.filter(F.col("play").isin(*remediate.ACTED_ON)).select("id"), "id")
-        tables |= {"ratchets": remediate.ratchets(acted), "recipes": remediate.recipes(named)}
-        mark("remediate")
+        shared = members.select("id", "resource_type", "resource_id").distinct().join(acted.filter(F.col("play").isin(*remediate.ACTED_ON)).select("id"), "id")
+        tables |= {"ratchets": remediate.ratchets(acted), "recipes": remediate.recipes(shared)}
+    return tables
+
+
+def totals(held: dict[str, DataFrame]) -> DataFrame:
+    """One row: n_projects, n_modules, n_facts, n_gaps, n_errors and the resolution rate in per cent."""
+    n = {k: held[k].agg(F.count(F.lit(1)).alias(f"n_{k}")) for k in ("projects", "modules", "facts", "gaps", "errors")}
+    out = None
+    for one in n.values():  # a row each
+        out = one if out is None else out.join(one)
+    return out.withColumn("resolution", reports.resolution_rate(F.col("n_facts"), F.col("n_gaps")))
+
+
+def _finished(spark: SparkSession, held: dict[str, DataFrame], config: Config, seconds: dict[str, float], mark: Callable[[str], None]) -> Run:
+    tables = {k: v for k, v in held.items() if k != "rows"} | analyse(spark, held, config, mark)
+    tables |= {"totals": totals(held), "error_log": reports.error_log(held["errors"])}
+    tables |= {name: make(tables) for name, make in REPORTS.items()}
+    mark("views")
     return Run(tables, seconds)
 
 
+def _clock() -> tuple[dict[str, float], Callable[[str], None]]:
+    seconds, began = {}, [time.time()]
+
+    def mark(stage: str) -> None:
+        seconds[stage], began[0] = time.time() - began[0], time.time()
+
+    return seconds, mark
+
+
+def run(spark: SparkSession, source: DataFrame | str, config: Config | None = None) -> Run:
+    """All tables of a run over files (rel_path, suffix, content), or over those under a folder.
+
+    Tables: files, projects, modules, facts, gaps, dependencies, api_surfaces, couplings, errors, error_log, totals,
+    clone_pairs, candidates, judgements, promoted, capabilities, clusters, plays, matrix, diagram, and those of the
+    registered reports."""
+    seconds, mark = _clock()
+    got = ingested(spark, source)
+    mark("ingest")
+    held = {"files": got["files"]} | extract(got["placed"], got["owned"])
+    mark("extract")
+    return _finished(spark, held, config or Config(), seconds, mark)
+
+
+#: Tables that a run keeps in its store, under the names that the store has for them.
+KEPT = {"projects": "projects", "modules": "modules", "facts": "integration_facts", "gaps": "gaps", "dependencies": "dependencies", "api_surfaces": "api_surfaces", "couplings": "module_metrics"}
+
+
+def _stored(name: str, df: DataFrame) -> DataFrame:
+    """A run's table as the store has it."""
+    where = lambda *c: F.struct(F.col("rel_path").alias("file"), "line", *c).alias("provenance")
+    if name == "facts":
+        return df.select("module_id", "direction", "resource_type", "resource_id", "tier", where(F.col("snippet"), F.col("notes").alias("resolver_notes")), "fact_seq")
+    if name == "gaps":
+        return df.select("module_id", "kind", "expression", where(F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("resolver_notes")))
+    if name == "couplings":
+        return df.select("module_id", F.lit("coupling").alias("name"), F.col("coupling").alias("value"))
+    if name == "modules":
+        return df.select("id", "project_id", "name", F.lit("service").alias("kind"), "lang", "build_system")
+    return df
+
+
+def incremental(spark: SparkSession, source: DataFrame | str, store: Catalog, config: Config | None = None) -> tuple[DataFrame, Run]:
+    """(project_id, content_hash, state) for each project, and the tables of a run of which only new and changed
+    projects were read again; what the store has of the others is taken from there.
+
+    Deleted and changed projects leave the store first, then what was read is added, and the hashes last: a run
+    that fails on the way reads the same projects once more."""
+    config = config or Config()
+    seconds, mark = _clock()
+    got = ingested(spark, source)
+    hashes = durable(files.content_hashes(got["placed"]))
+    states = durable(changed(hashes, store.read("scan_cache")))
+    mark("ingest")
+    # what the store has of new projects is of a run that failed
+    stale = durable(states.filter("state <> 'same'").select("project_id"))
+    fresh = states.filter("state in ('new', 'changed')").select("project_id", "content_hash")
+    n = stale.count()
+    errors = rejections("dependencies", spark.createDataFrame([], "module_id string, purl string"))
+    if n:
+        store.clear_projects(stale)
+        read = extract(got["placed"].join(fresh.select("project_id"), "project_id", "left_semi"), got["owned"])
+        errors = durable(read["errors"])
+        for name, table in KEPT.items():
+            store.append(table, _stored(name, read[name]))
+        store.append("scan_cache", fresh.withColumn("last_scanned", F.current_timestamp()))
+    mark("extract")
+    owned = got["owned"].withColumn("owner", F.coalesce("owner", F.lit("unknown")))
+    held = {name: store.read(table) for name, table in KEPT.items()}
+    place = [F.col("provenance.file").alias("rel_path"), F.col("provenance.line").alias("line")]
+    held["modules"] = durable(held["modules"].join(owned, "project_id", "left"))
+    held["facts"] = durable(held["facts"].select("module_id", "direction", "resource_type", "resource_id", "tier", *place, F.col("provenance.snippet").alias("snippet"), F.col("provenance.resolver_notes").alias("notes"), "fact_seq"))
+    held["gaps"] = held["gaps"].select("module_id", *place, "kind", "expression")
+    held["couplings"] = held["couplings"].filter("name = 'coupling'").select("module_id", F.col("value").alias("coupling"))
+    lang = F.lit(None).cast("string")
+    for k, (suffixes, _, _) in files.LANGUAGES.items():
+        lang = F.when(F.col("suffix").isin(*suffixes), k).otherwise(lang)
+    own, first = held["modules"].select("project_id", "lang", F.col("id").alias("own")), held["modules"].groupBy("project_id").agg(F.min_by("id", "lang").alias("first"))
+    rows = got["placed"].withColumn("lang", lang).join(own, ["project_id", "lang"], "left").join(first, "project_id").withColumn("module_id", F.coalesce("own", "first"))
+    held |= {"files": got["files"], "rows": rows, "errors": errors}
+    return states, _finished(spark, held, config, seconds, mark)
+
+
 def _order(*columns: str):
-    """Facts are numbered within their resource: that is where the first of equals is asked for."""
-    return Window.partitionBy("resource_type", "resource_id").orderBy(*columns)
+    """Facts are numbered within their resource and module: that is where the first of equals is asked for."""
+    return Window.partitionBy("resource_type", "resource_id", "module_id").orderBy(*columns)
 
 
 def _couplings(rows: DataFrame) -> DataFrame:

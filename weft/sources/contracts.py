@@ -59,17 +59,20 @@ def is_openapi(rel_path: Column) -> Column:
     return F.lower(F.regexp_extract(rel_path, "([^/]*)$", 1)).rlike(r"^(?:openapi|swagger).*\.(?:ya?ml|json)$")
 
 
-def surfaces(files: DataFrame) -> DataFrame:
-    """(module_id, kind, signature, endpoint, rel_path) of files (module_id, rel_path, content), all served."""
-    path, text = F.lower("rel_path"), F.col("content")
-    spec = F.when(path.endswith(".json"), text).otherwise(yaml_as_json(F.when(is_openapi(F.col("rel_path")), text)))
+def surfaces_of(rel_path: Column, content: Column) -> Column:
+    """What a file serves, an array of (kind, signature, endpoint); empty for files that are no contract."""
+    path = F.lower(rel_path)
+    spec = F.when(path.endswith(".json"), F.when(is_openapi(rel_path), content)).otherwise(yaml_as_json(F.when(is_openapi(rel_path), content)))
     said = lambda found, kind, prefix: F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("signature"), F.concat(F.lit(prefix), s).alias("endpoint")))
     none = F.array().cast("array<struct<kind: string, signature: string, endpoint: string>>")
-    rows = files.withColumn("_spec", F.when(is_openapi(F.col("rel_path")), spec))
-    found = (
-        F.when(F.col("_spec").isNotNull(), said(openapi_operations(F.col("_spec")), "REST", ""))
-        .when(path.endswith(".proto"), said(grpc_methods(text), "GRPC", "grpc:"))
-        .when(path.rlike(r"\.(?:graphqls?|gql)$"), said(graphql_fields(text), "GRAPHQL", "graphql:"))
+    return (
+        F.when(is_openapi(rel_path), F.coalesce(said(openapi_operations(spec), "REST", ""), none))
+        .when(path.endswith(".proto"), said(grpc_methods(content), "GRPC", "grpc:"))
+        .when(path.rlike(r"\.(?:graphqls?|gql)$"), said(graphql_fields(content), "GRAPHQL", "graphql:"))
         .otherwise(none)
     )
-    return rows.select("module_id", "rel_path", F.inline(found))
+
+
+def surfaces(files: DataFrame) -> DataFrame:
+    """(module_id, kind, signature, endpoint, rel_path) of files (module_id, rel_path, content), all served."""
+    return files.select("module_id", "rel_path", F.inline(surfaces_of(F.col("rel_path"), F.col("content"))))

@@ -227,6 +227,11 @@ def dotted(text: str) -> dict[str, str]:
     return out
 
 
+def _names(files: DataFrame, language: str) -> Column:
+    """What a file imports: from the column `parsed`, if it has been parsed already."""
+    return F.col("parsed.names") if "parsed" in files.columns else extracted(F.lit(language), F.col("content"))["names"]
+
+
 def density(edges: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     """(key, coupling): distinct directed edges (key, source, target) of all that a module's n files allow."""
     from weft.functions.numbers import half_even
@@ -239,7 +244,7 @@ def density(edges: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
 def python_edges(files: DataFrame, key: str = "project_id") -> DataFrame:
     """(key, source, target): which of a project's own modules a Python module imports, by longest prefix."""
     name = F.regexp_replace(F.replace(F.regexp_replace("in_path", r"\.py$", ""), F.lit("/"), F.lit(".")), r"\.__init__$", "")
-    rows = files.filter("suffix = '.py'").select(key, name.alias("source"), extracted(F.lit("python"), F.col("content"))["names"].alias("names"))
+    rows = files.filter("suffix = '.py'").select(key, name.alias("source"), _names(files, "python").alias("names"))
     wanted = rows.select(key, "source", F.explode(F.array_distinct("names")).alias("wanted"))
     parts = F.split("wanted", r"\.")
     up = wanted.withColumn("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))))
@@ -282,6 +287,6 @@ def node_edges(files: DataFrame, key: str = "project_id") -> DataFrame:
         return pa.array([posixpath.normpath(posixpath.join(f.as_py() or "", t.as_py())) for f, t in zip(folder, target, strict=True)], pa.string())
 
     stem = F.regexp_replace("in_path", r"\.[A-Za-z]+$", "")
-    rows = files.filter(F.col("suffix").isin(".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")).select(key, stem.alias("source"), F.regexp_extract("in_path", "^(.*)/[^/]*$", 1).alias("folder"), extracted(F.lit("javascript"), F.col("content"))["names"].alias("names"))
+    rows = files.filter(F.col("suffix").isin(".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")).select(key, stem.alias("source"), F.regexp_extract("in_path", "^(.*)/[^/]*$", 1).alias("folder"), _names(files, "javascript").alias("names"))
     wanted = rows.select(key, "source", "folder", F.explode("names").alias("name")).filter("name like '.%'").select(key, "source", joined("folder", "name").alias("target"))
     return wanted.join(rows.select(key, F.col("source").alias("target")), [key, "target"]).select(key, "source", "target").filter("source <> target").distinct()
