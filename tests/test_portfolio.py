@@ -146,3 +146,66 @@ def test_errors_are_logged_in_order(spark):
     bad = spark.createDataFrame([("m", "x", None, "t", "HIGH", 1)], "module_id string, direction string, resource_type string, resource_id string, tier string, fact_seq long")
     lines = reports.error_log(rejections("integration_facts", bad)).collect()
     assert len(lines) == 1 and lines[0]["line"].startswith("[WARNING] extract · m: ")
+
+
+def test_groups_of_an_inventory_may_nest_deep(spark):
+    import json
+
+    from weft.sources import inventory
+
+    group = {"full_path": "g", "projects": [{"id": 0, "path_with_namespace": "g/p0", "name": "p0"}], "subgroups": []}
+    for i in range(1, 12):
+        group = {"full_path": "g", "projects": [{"id": i, "path_with_namespace": f"g/p{i}", "name": f"p{i}"}], "subgroups": [group]}
+    got = inventory.parse(spark, spark.createDataFrame([(json.dumps({"groups": [group]}),)], "value string")).collect()
+    assert sorted(r["id"] for r in got) == [*range(12)]
+
+
+def test_a_run_of_an_inventory_has_its_projects_only(spark):
+    items = spark.createDataFrame([("web",), ("billing",), ("nowhere",), ("web",)], "name string")
+    got = pipeline.ingested(spark, portfolio_files(spark), items)
+    assert sorted(r["project_id"] for r in got["dirs"].collect()) == ["billing", "web"]
+    assert {r["project_id"] for r in got["placed"].collect()} == {"billing", "web"}
+
+
+def test_a_site_has_every_row(run, tmp_path):
+    import json
+
+    from weft.plans import exports
+
+    files_ = {p.name: p for p in exports.write_site(run.tables, tmp_path)}
+    caps = [json.loads(x) for x in files_["capabilities.jsonl"].read_text().splitlines()]
+    assert len(caps) == run["capabilities"].count() and caps[0]["opportunity"] == max(c["opportunity"] for c in caps)
+    graph = json.loads(files_["graph.json"].read_text())
+    assert len(graph["edges"]) == run["members"].count() and {e["source"] for e in graph["edges"]} <= {n["node"] for n in graph["nodes"]}
+    page = files_["index.html"].read_text()
+    assert all(c["id"] in page for c in caps) and "produces: " in page and "Pairs to look at" in page and "resolution" in page
+    assert json.loads(files_["orders-py.json"].read_text())["bomFormat"] == "CycloneDX"
+    assert "order.created" in files_["matrix.html"].read_text() and json.loads(files_["matrix.json"].read_text())["cells"]
+    assert files_["diagram.mmd"].read_text().startswith("graph LR\n") and json.loads(files_["resources.json"].read_text())["edges"]
+
+
+def test_a_project_has_its_frameworks(run):
+    assert {r["id"]: r["langs"] for r in run["projects"].collect()}["web"][0] == "javascript"
+    assert run["totals"].first()["n_projects"] == 5 and run["errors"].count() == 0
+
+
+def test_published_opportunities(spark):
+    """Six members with a duplicate, three with one, a pair and a group of summaries: 7.88, 5.62, 2.67 and 3.06."""
+    from weft.operators import capability
+
+    owner = lambda *ms: spark.createDataFrame([(m, o) for m, o in ms], "module_id string, owner string")
+    facts = [(f"m{i}", "PRODUCES", "KAFKA_TOPIC", "order.created", "MED" if i == 0 else "HIGH", i) for i in range(4)]
+    facts += [(f"m{i}", "WRITES", "SQL_COLUMN", "customers.id", "HIGH", 10 + i) for i in (1, 2, 3)]
+    shape = "module_id string, direction string, resource_type string, resource_id string, tier string, fact_seq long"
+    couplings = spark.createDataFrame([("m0", 0.0), ("m1", 0.25), ("m2", 0.25), ("m3", 0.0)], "module_id string, coupling double")
+    owners = owner(("m0", "a"), ("m1", "b"), ("m2", "b"), ("m3", "c"))
+    got = {r["id"]: (r["opportunity"], r["play"]) for r in capability.resource_capabilities(spark.createDataFrame(facts[:4], shape), owners, couplings).collect()}
+    assert got == {"messaging:order.created": (7.88, "STANDARDIZE")}
+    three = spark.createDataFrame([("m1", 0.25), ("m2", 0.25)], "module_id string, coupling double")
+    got = {r["id"]: (r["opportunity"], r["play"]) for r in capability.resource_capabilities(spark.createDataFrame(facts[4:], shape), owners, three).collect()}
+    assert got == {"column:customers.id": (5.62, "STANDARDIZE")}
+    pairs = spark.createDataFrame([("p0", "p1", "MED"), ("q0", "q1", "LOW"), ("q1", "q2", "MED"), ("q2", "q3", "MED"), ("q3", "q4", "MED")], "a string, b string, tier string")
+    owners = owner(("p0", "x"), ("p1", "x"), *((f"q{i}", f"t{i}") for i in range(5)))
+    couplings = spark.createDataFrame([("p0", 0.0), ("p1", 0.0), ("q0", 0.0), ("q1", 0.25)], "module_id string, coupling double")
+    got = {r["n_members"]: (r["opportunity"], r["play"]) for r in capability.pair_capabilities(pairs, "functional", "x", owners, couplings, max_size=6).collect()}
+    assert got == {2: (2.67, "RETIRE"), 5: (3.06, "STANDARDIZE")}

@@ -1,11 +1,13 @@
 """python -m weft: the portfolio's stages from a shell.
 
-    run ROOT --out DIR          everything; tables as Parquet, findings as JSON lines and a page
+    run ROOT --out DIR          everything; tables as Parquet, findings as pages, JSON and logs
+    incremental ROOT --out DIR  the same, reading only projects that changed since the last run with DIR
     census ROOT                 the projects found
     eval ROOT --expected FILE   precision and recall against JSON lines {project, direction, resource_type, resource_id}
     judge ROOT                  candidate pairs and verdicts
     ratchet | rewrite | heal ROOT --out DIR   rules, recipes, healed copies of files; inputs are never changed
-"""
+
+--inventory FILE (JSON of a code host) keeps only the projects that it names."""
 
 from __future__ import annotations
 
@@ -17,17 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators import capability, reports
-from weft.plans import pipeline, remediate, views
-from weft.sources import files
+from weft.plans import exports, pipeline, remediate
+from weft.plans.catalog import Catalog
+from weft.sources import files, inventory
 
+#: Rows that a shell shows; files have all.
 SHOWN = 500
 
 
-def _page(caps: DataFrame) -> str:
-    rows = caps.select("id", "label", "play", "opportunity", "n_members", "n_owners", "tier").withColumn("next", views.next_steps(F.col("play"))).limit(SHOWN)
-    return views.page("Shared capabilities", rows.columns, [r[0] for r in views.table_rows(rows).collect()])
-
-
 def _write_texts(rows: DataFrame, out: Path) -> int:
     """Few and small files, by name and content."""
     out.mkdir(parents=True, exist_ok=True)
@@ -39,10 +38,11 @@ def _write_texts(rows: DataFrame, out: Path) -> int:
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="weft", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=("run", "census", "eval", "judge", "ratchet", "rewrite", "heal"))
+    parser.add_argument("command", choices=("run", "incremental", "census", "eval", "judge", "ratchet", "rewrite", "heal"))
     parser.add_argument("root")
     parser.add_argument("--out", default="site")
     parser.add_argument("--expected")
+    parser.add_argument("--inventory")
     parser.add_argument("--no-semantic", action="store_true")
     parser.add_argument("--remediate", action="store_true")
     a = parser.parse_args(args)
@@ -54,14 +54,18 @@ def main(args: list[str] | None = None) -> int:
         placed = files.in_projects(all_files, dirs)
         dirs.join(files.owners(all_files, dirs), "project_id").join(files.primary(files.detected(placed)), "project_id", "left").join(files.lines_of_code(placed), "project_id", "left").show(SHOWN, truncate=False)
         return 0
-    r = pipeline.run(spark, a.root, pipeline.Config(semantic=not a.no_semantic, remediate=a.remediate or a.command in ("ratchet", "rewrite")))
-    if a.command == "run":
+    items = inventory.parse(spark, spark.read.text(a.inventory, wholetext=True)) if a.inventory else None
+    config = pipeline.Config(semantic=not a.no_semantic, remediate=a.remediate or a.command in ("ratchet", "rewrite"))
+    if a.command == "incremental":
+        states, r = pipeline.incremental(spark, a.root, Catalog(spark, f"{a.out}/store"), config, items)
+        states.groupBy("state").count().show()
+    else:
+        r = pipeline.run(spark, a.root, config, items)
+    if a.command in ("run", "incremental"):
         for name, df in r.tables.items():
             if name != "files":
                 df.write.mode("overwrite").parquet(f"{a.out}/tables/{name}")
-        out.mkdir(parents=True, exist_ok=True)
-        (out / "index.html").write_text(_page(r["capabilities"]))
-        (out / "capabilities.jsonl").write_text("".join(f"{x}\n" for x in r["capabilities"].limit(SHOWN).toJSON().collect()))
+        exports.write_site(r.tables, out)
         r["capabilities"].limit(10).show(truncate=False)
         print({k: round(v, 2) for k, v in r.seconds.items()})
     elif a.command == "eval":

@@ -17,12 +17,12 @@ def _modules(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _clones(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.clone_pairs(_modules(spark, sf), code_lines(F.col("text")), code_lines(F.col("text"), normalise=True))
+def _clones(spark: SparkSession, sf: str, kinds: tuple[int, ...] = (1, 2)) -> DataFrame:
+    return similarity.clone_pairs(_modules(spark, sf), code_lines(F.col("text")), code_lines(F.col("text"), normalise=True), kinds=kinds)
 
 
 def clones_type1(spark, sf):
-    return _clones(spark, sf).filter("clone_type = 1")
+    return _clones(spark, sf, kinds=(1,))
 
 
 def clones_type2(spark, sf):

@@ -130,11 +130,12 @@ def modules_of(placed: DataFrame, owners: DataFrame) -> DataFrame:
     return found.join(owners, "project_id", "left").select(F.concat_ws(":", "project_id", tag).alias("id"), "project_id", F.col("project_id").alias("name"), "lang", F.col("build").alias("build_system"), F.coalesce("owner", F.lit("unknown")).alias("owner"))
 
 
-def ingested(spark: SparkSession, source: DataFrame | str) -> dict[str, DataFrame]:
+def ingested(spark: SparkSession, source: DataFrame | str, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
     """files, dirs (project folders), placed (files in their projects) and owners of projects, for files (rel_path, suffix,
-    content) or those under a folder."""
+    content) or those under a folder. With an inventory (name, ...) only the projects that it names."""
     all_files = durable(files.scan(spark, source) if isinstance(source, str) else source)
-    dirs = durable(files.named(files.projects(all_files)))
+    found = files.named(files.projects(all_files))
+    dirs = durable(found if inventory is None else files.from_inventory(inventory, found).select("dir", "project_id").distinct())
     return {"files": all_files, "dirs": dirs, "placed": durable(files.in_projects(all_files, dirs)), "owned": files.owners(all_files, dirs)}
 
 
@@ -236,14 +237,14 @@ def _clock() -> tuple[dict[str, float], Callable[[str], None]]:
     return seconds, mark
 
 
-def run(spark: SparkSession, source: DataFrame | str, config: Config | None = None) -> Run:
+def run(spark: SparkSession, source: DataFrame | str, config: Config | None = None, inventory: DataFrame | None = None) -> Run:
     """All tables of a run over files (rel_path, suffix, content), or over those under a folder.
 
     Tables: files, projects, modules, facts, gaps, dependencies, api_surfaces, couplings, errors, error_log, totals,
     clone_pairs, candidates, judgements, promoted, capabilities, clusters, plays, matrix, diagram, and those of the
     registered reports."""
     seconds, mark = _clock()
-    got = ingested(spark, source)
+    got = ingested(spark, source, inventory)
     mark("ingest")
     held = {"files": got["files"]} | extract(got["placed"], got["owned"])
     mark("extract")
@@ -268,7 +269,7 @@ def _stored(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def incremental(spark: SparkSession, source: DataFrame | str, store: Catalog, config: Config | None = None) -> tuple[DataFrame, Run]:
+def incremental(spark: SparkSession, source: DataFrame | str, store: Catalog, config: Config | None = None, inventory: DataFrame | None = None) -> tuple[DataFrame, Run]:
     """(project_id, content_hash, state) for each project, and the tables of a run of which only new and changed
     projects were read again; what the store has of the others is taken from there.
 
@@ -276,7 +277,7 @@ def incremental(spark: SparkSession, source: DataFrame | str, store: Catalog, co
     that fails on the way reads the same projects once more."""
     config = config or Config()
     seconds, mark = _clock()
-    got = ingested(spark, source)
+    got = ingested(spark, source, inventory)
     hashes = durable(files.content_hashes(got["placed"]))
     states = durable(changed(hashes, store.read("scan_cache")))
     mark("ingest")

@@ -100,15 +100,10 @@ def next_steps(play: Column) -> Column:
     return out.otherwise(NEXT_STEPS["LEAVE"])
 
 
-def shortened(names: Column, most: int = 2) -> Column:
-    """The first names, and how many more there are."""
-    shown = F.array_join(F.slice(names, 1, most), ", ")
-    return F.when(F.size(names) > most, F.concat(shown, F.lit(" +"), (F.size(names) - most).cast("string"), F.lit(" more"))).otherwise(shown)
-
-
 def table_rows(rows: DataFrame) -> DataFrame:
     """An HTML row for each row, cells escaped."""
-    cells = [F.concat(F.lit("<td>"), html_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in rows.columns]
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")  # noqa: E731  a capability's name may have dots
+    cells = [F.concat(F.lit("<td>"), html_escaped(F.coalesce(named(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in rows.columns]
     return rows.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
 
 

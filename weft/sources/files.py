@@ -137,8 +137,8 @@ def primary(found: DataFrame) -> DataFrame:
 
 
 def from_inventory(items: DataFrame, dirs: DataFrame) -> DataFrame:
-    """Inventory items that have a folder of their name."""
-    return items.join(dirs.withColumnRenamed("project_id", "name"), "name")
+    """(dir, project_id, and the items' columns): inventory items (name, ...) that have a folder of their name."""
+    return items.join(dirs.withColumn("name", F.col("project_id")), "name")
 
 
 def content_hashes(files: DataFrame, key: str = "project_id") -> DataFrame:

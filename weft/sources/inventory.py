@@ -13,10 +13,42 @@ def _schema(depth: int) -> str:
     return f"struct<id: bigint, full_path: string, projects: array<{_PROJECT}>{inner}>"
 
 
-def parse(spark: SparkSession, text: DataFrame, depth: int = 6) -> DataFrame:
+def nesting(text: Column) -> Column:
+    """How deep the groups of a JSON text nest; 0 where it is no JSON."""
+
+    @F.arrow_udf("int")
+    def of(values):
+        import json
+
+        import pyarrow as pa
+
+        def deep(text):
+            try:
+                todo = [(json.loads(text), 0)]
+            except (TypeError, ValueError):
+                return 0
+            most = 0
+            while todo:
+                node, level = todo.pop()
+                most = max(most, level)
+                if isinstance(node, dict):
+                    todo += [(x, level + (k == "subgroups")) for k, x in node.items()]
+                elif isinstance(node, list):
+                    todo += [(x, level) for x in node]
+            return most
+
+        return pa.array([deep(v.as_py()) for v in values], pa.int32())
+
+    return of(text)
+
+
+def parse(spark: SparkSession, text: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, path, url, name) from JSON text (column value): nested groups, or a flat list of projects.
 
-    An id that occurs again adds only what is missing. Groups nest `depth` deep at most."""
+    An id that occurs again adds only what is missing. Groups may nest as deep as they do: without a depth it is read
+    from the text."""
+    if depth is None:
+        depth = text.agg(F.max(nesting(F.col("value")))).first()[0] or 0
     none = F.array().cast(f"array<{_PROJECT}>")
     grouped = F.from_json("value", f"struct<groups: array<{_schema(depth)}>, projects: array<{_PROJECT}>>")
 
