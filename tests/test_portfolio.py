@@ -209,3 +209,45 @@ def test_published_opportunities(spark):
     couplings = spark.createDataFrame([("p0", 0.0), ("p1", 0.0), ("q0", 0.0), ("q1", 0.25)], "module_id string, coupling double")
     got = {r["n_members"]: (r["opportunity"], r["play"]) for r in capability.pair_capabilities(pairs, "functional", "x", owners, couplings, max_size=6).collect()}
     assert got == {2: (2.67, "RETIRE"), 5: (3.06, "STANDARDIZE")}
+
+
+def test_a_model_judges_and_is_preflighted(spark, tmp_path, capsys):
+    """Against a server of our own: busy once, then a verdict; and one that is not there."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from weft.__main__ import main
+    from weft.operators import judge
+
+    seen = []
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], body["messages"][0]["content"]))
+            busy = len(seen) == 2
+            self.send_response(429 if busy else 200)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            if not busy:
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": 'So: {"confirmed": true, "confidence": 0.9, "play": "RETIRE", "reason": "same"}'}}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address, key = f"http://127.0.0.1:{server.server_port}/v1", tmp_path / "key"
+    key.write_text("k1\n")
+    assert main(["test-llm", ".", "--model", address, "--key-file", str(key)]) == 0 and capsys.readouterr().out == "ready\n"
+    assert seen[0][0] == "Bearer k1"
+    candidates = spark.createDataFrame([("a", "b", 0.5, ["KAFKA_TOPIC:t"])], "a string, b string, similarity double, shared_resources array<string>")
+    summaries = spark.createDataFrame([("a", "orders of shops"), ("b", "bills of shops")], "module_id string, summary string")
+    owners = spark.createDataFrame([("a", "x"), ("b", "x")], "module_id string, owner string")
+    got = judge.by_model(judge.Client(address, "m"))(candidates, summaries, owners).first()
+    assert (got["confirmed"], got["confidence"], got["play"], got["reason"]) == (True, 0.9, "RETIRE", "same") and "KAFKA_TOPIC:t" in seen[-1][1] and len(seen) == 3
+    server.shutdown()
+    server.server_close()
+    got = judge.by_model(judge.Client(address, "m", timeout=1))(candidates, summaries, owners).first()
+    assert got["reason"].startswith("[Fallback: no answer] ") and main(["test-llm", ".", "--model", address]) == 1

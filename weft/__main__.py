@@ -4,7 +4,8 @@
     incremental ROOT --out DIR  the same, reading only projects that changed since the last run with DIR
     census ROOT                 the projects found
     eval ROOT --expected FILE   precision and recall against JSON lines {project, direction, resource_type, resource_id}
-    judge ROOT                  candidate pairs and verdicts
+    judge ROOT                  candidate pairs and verdicts; with --model those of a model
+    test-llm ROOT --model URL   whether the model answers
     ratchet | rewrite | heal ROOT --out DIR   rules, recipes, healed copies of files; inputs are never changed
 
 --inventory FILE (JSON of a code host) keeps only the projects that it names."""
@@ -18,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import capability, reports
+from weft.operators import capability, judge, reports
 from weft.plans import exports, pipeline, remediate
 from weft.plans.catalog import Catalog
 from weft.sources import files, inventory
@@ -38,14 +39,24 @@ def _write_texts(rows: DataFrame, out: Path) -> int:
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="weft", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=("run", "incremental", "census", "eval", "judge", "ratchet", "rewrite", "heal"))
+    parser.add_argument("command", choices=("run", "incremental", "census", "eval", "judge", "test-llm", "ratchet", "rewrite", "heal"))
     parser.add_argument("root")
     parser.add_argument("--out", default="site")
     parser.add_argument("--expected")
     parser.add_argument("--inventory")
+    parser.add_argument("--model", help="address of a chat completion service")
+    parser.add_argument("--model-name", default="default")
+    parser.add_argument("--key-file", type=Path)
     parser.add_argument("--no-semantic", action="store_true")
     parser.add_argument("--remediate", action="store_true")
     a = parser.parse_args(args)
+    client = judge.Client(a.model, a.model_name, a.key_file.read_text().strip() if a.key_file else None) if a.model else None
+    if a.command == "test-llm":
+        if client is None:
+            parser.error("test-llm needs --model")
+        ready, said = judge.preflight(client)
+        print(said)
+        return 0 if ready else 1
     spark = SparkSession.builder.appName("weft").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     out = Path(a.out)
     if a.command == "census":
@@ -56,6 +67,8 @@ def main(args: list[str] | None = None) -> int:
         return 0
     items = inventory.parse(spark, spark.read.text(a.inventory, wholetext=True)) if a.inventory else None
     config = pipeline.Config(semantic=not a.no_semantic, remediate=a.remediate or a.command in ("ratchet", "rewrite"))
+    if client:
+        config.judge = judge.by_model(client)
     if a.command == "incremental":
         states, r = pipeline.incremental(spark, a.root, Catalog(spark, f"{a.out}/store"), config, items)
         states.groupBy("state").count().show()

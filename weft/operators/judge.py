@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,39 +81,84 @@ def preflight(ask: Callable[[str], tuple[int, dict[str, str], str]]) -> tuple[bo
     return ("{" in body), "ready" if "{" in body else "the answer has no JSON object"
 
 
-def asked(judgements: DataFrame, ask: Callable[[str], tuple[int, dict[str, str], str]], attempts: int = 3, pause: float = 0.0) -> DataFrame:
-    """judged rows asked again of a model. ask(prompt) gives (status, headers, body), and is sent to the
-    executors; where it fails, the heuristic verdict stays and its reason says so."""
+@dataclass(frozen=True)
+class Client:
+    """A model behind an address that takes {model, messages, max_tokens} and answers with choices; it is sent to the
+    executors, so it holds no connection."""
+
+    address: str
+    model: str
+    key: str | None = None
+    timeout: float = 60.0
+    most_tokens: int = 600
+
+    def __call__(self, prompt: str) -> tuple[int, dict[str, str], str]:
+        """(status, headers, the answer's text)."""
+        from urllib.error import HTTPError
+        from urllib.request import Request, urlopen
+
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": self.most_tokens}
+        try:
+            with urlopen(Request(self.address, json.dumps(body).encode(), auth_headers(self.key)), timeout=self.timeout) as r:  # noqa: S310
+                text = r.read().decode()
+                return r.status, dict(r.headers), json.loads(text)["choices"][0]["message"]["content"]
+        except HTTPError as e:
+            return e.code, dict(e.headers), e.read().decode("utf-8", "replace")
+
+
+def prompt_of(row: dict) -> str:
+    task = "Do these two software modules do the same job? Answer with a JSON object: confirmed, confidence, play (RETIRE, STANDARDIZE or LEAVE), reason."
+    shared = row.get("shared_resources")
+    return json.dumps({"task": task, "a": row["summary_a"], "b": row["summary_b"], "similarity": row["similarity"], "shared_resources": [] if shared is None else [*shared]})
+
+
+def answered(prompt: str, ask: Callable[[str], tuple[int, dict[str, str], str]], attempts: int) -> dict | None:
+    """The JSON object of a model's answer, or None; a busy server is asked again."""
+    for attempt in range(attempts):
+        try:
+            status, headers, body = ask(prompt)
+        except Exception:  # noqa: BLE001  a model that cannot be reached is not an error of the data
+            return None
+        if status == 429:
+            time.sleep(retry_after(headers, attempt))
+            continue
+        if status != 200:
+            return None
+        try:
+            found = json.loads(body[body.find("{") : body.rfind("}") + 1])
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) and isinstance(found.get("confirmed"), bool) else None
+    return None
+
+
+def asked(judgements: DataFrame, ask: Callable[[str], tuple[int, dict[str, str], str]], attempts: int = 3, pause: float = 0.0, at_once: int = 4) -> DataFrame:
+    """judged rows asked again of a model, `at_once` at a time in each task. ask(prompt) gives (status, headers, body),
+    and is sent to the executors; where it fails, the heuristic verdict stays and its reason says so."""
     names = ("confirmed", "confidence", "play", "reason")
 
     def batches(it):
+        def one(row):
+            answer = answered(prompt_of(row), ask, attempts)
+            if pause:
+                time.sleep(pause)
+            return answer
+
         for pdf in it:
-            for i, row in pdf.iterrows():
-                prompt = json.dumps({"task": "Do these two software modules do the same job? Answer with a JSON object: confirmed, confidence, play (RETIRE, STANDARDIZE or LEAVE), reason.", "a": row["summary_a"], "b": row["summary_b"], "similarity": row["similarity"]})
-                answer = None
-                for attempt in range(attempts):
-                    try:
-                        status, headers, body = ask(prompt)
-                    except Exception as e:  # noqa: BLE001  a model that cannot be reached is not an error of the data
-                        status, headers, body = 0, {}, str(e)
-                    if status == 429:
-                        time.sleep(retry_after(headers, attempt))
-                        continue
-                    if status == 200:
-                        start, end = body.find("{"), body.rfind("}")
-                        try:
-                            answer = json.loads(body[start : end + 1])
-                        except ValueError:
-                            answer = None
-                    break
-                if isinstance(answer, dict) and isinstance(answer.get("confirmed"), bool):
-                    for n in names:
-                        if n in answer:
-                            pdf.at[i, n] = answer[n]
-                else:
-                    pdf.at[i, "reason"] = f"[Fallback: no answer] {row['reason']}"
-                if pause:
-                    time.sleep(pause)
+            with ThreadPoolExecutor(at_once) as pool:
+                answers = [*pool.map(one, pdf.to_dict("records"))]
+            for i, answer in zip(pdf.index, answers, strict=True):
+                if answer is None:
+                    pdf.at[i, "reason"] = f"[Fallback: no answer] {pdf.at[i, 'reason']}"
+                    continue
+                for n in names:
+                    if n in answer:
+                        pdf.at[i, n] = answer[n]
             yield pdf
 
     return judgements.mapInPandas(batches, judgements.schema)
+
+
+def by_model(ask: Callable[[str], tuple[int, dict[str, str], str]], **options) -> Callable:
+    """A judge for a run's configuration: the heuristic's verdicts, asked again of a model."""
+    return lambda candidates, summaries, owners, threshold=THRESHOLD: asked(judged(candidates, summaries, owners, threshold), ask, **options)
