@@ -47,7 +47,7 @@ def edges_shared_resource(spark, sf):
 
 
 def edge_type_counts(spark, sf):
-    return graph.shared_edges(facts(spark, sf)).groupBy("type", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return graph.edge_counts(facts(spark, sf))
 
 
 def cap_resource_ranked(spark, sf):

@@ -31,6 +31,24 @@ def shared_edges(facts: DataFrame) -> DataFrame:
     return joined.select("a", "b", edge_type(F.col("resource_type"), F.col("direction"), F.col("d2")).alias("type"), "resource_type", "resource_id", tier_name(F.least("rank", "r2")).alias("tier"))
 
 
+def edge_counts(facts: DataFrame) -> DataFrame:
+    """(type, tier, n): how many edges shared_edges has of each, counted without making one.
+
+    Of a resource's n modules at or above a rank n * (n - 1) / 2 pairs have that rank at least; so too among those of
+    the direction in which two modules duplicate each other."""
+    touch = strongest_touch(facts)
+    kinds = {"KAFKA_TOPIC": ("PRODUCES", "DUP_PRODUCER"), "SQL_TABLE": ("WRITES", "DUP_WRITER"), "HTTP_ENDPOINT": ("SERVES", "DUP_ENDPOINT")}
+    name, same = F.lit(None).cast("string"), F.lit(False)
+    for kind, (direction, found) in kinds.items():
+        name = F.when(F.col("resource_type") == kind, found).otherwise(name)
+        same = same | ((F.col("resource_type") == kind) & (F.col("direction") == direction))
+    per = touch.groupBy("resource_type", "resource_id").agg(*(F.count_if(F.col("rank") >= r).alias(f"all_{r}") for r in (1, 2, 3)), *(F.count_if(same & (F.col("rank") >= r)).alias(f"dup_{r}") for r in (1, 2, 3)))
+    pairs = lambda c: (F.col(c) * (F.col(c) - 1) / 2).cast("long")
+    of = lambda what, r: pairs(f"{what}_{r}") - (pairs(f"{what}_{r + 1}") if r < 3 else F.lit(0))
+    rows = [F.struct(t.alias("type"), tier_name(F.lit(r)).alias("tier"), n.alias("n")) for r in (1, 2, 3) for t, n in ((name, of("dup", r)), (F.lit("SHARES_RESOURCE"), of("all", r) - of("dup", r)))]
+    return per.select(F.inline(F.array(*rows))).filter("n > 0").groupBy("type", "tier").agg(F.sum("n").alias("n"))
+
+
 def clone_edges(pairs: DataFrame) -> DataFrame:
     kind = F.col("clone_type").cast("string")
     return pairs.select(
