@@ -66,6 +66,47 @@ def test_edge_cases(spark, edges, name):
     assert len(rows) <= len(EDGES) if name in DROPS_ROWS else len(rows) == len(EDGES)
 
 
+def by_row(df, *columns):
+    return sorted(repr((r["doc_id"], *(r[c] for c in columns))) for r in df.collect())
+
+
+def told(*values):
+    """For each row of EDGES its doc_id and what a function of its text gives."""
+    return sorted(repr((d[0], *(f(d[1] or "") for f in values))) for d in EDGES)
+
+
+def test_values_of_the_edge_cases(spark, edges, tokenizer):
+    tokens = lambda t: len(re.findall(base.WORD, t))
+    assert by_row(secrets.scan(edges), "spans") == told(lambda t: [])
+    assert by_row(secrets.redact(edges), "text", "n_chars", "lang") == sorted(repr((d[0], d[1], d[4], d[2])) for d in EDGES)
+    rules = quality_rules.apply_policy(quality_rules.ledger(edges))
+    assert by_row(rules, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == told(*(lambda t, i=i: rules_by_hand(t)[i] for i in range(5)))
+    assert not any(r["kept"] for r in rules.filter("n_words < 10").collect())
+    assert by_row(licenses.scan(edges), "matches") == told(lambda t: [])
+    shown = media.media_columns(edges).select("doc_id", "n_bytes", F.sha2("payload", 256).alias("sum"), "media")
+    assert by_row(shown, "n_bytes", "sum") == told(lambda t: len(t.encode()), lambda t: hashlib.sha256(media.padded(t.encode())).hexdigest())
+    assert all(media.read_png(bytes(r["media"])).tobytes()[: r["n_bytes"]] for r in shown.filter("n_bytes > 0").collect())
+    shards = sharding.shard_rows(edges, 5)
+    assert by_row(shards, "size", "text_crc32") == told(lambda t: len(t.encode()) + 8, lambda t: zlib.crc32(t.encode()))
+    assert sorted((r["shard"], r["slot"]) for r in shards.collect()) == [(s, i) for s in range(5) for i in range(3 if s == 0 else 2)]
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")  # ids 1 and 3 are known, both 0
+    assert by_row(cotraining.quality(edges, labels), "p_text", "p_meta", "score", "kept") == told(lambda t: 0.0, lambda t: 0.0, lambda t: 0.0, lambda t: False)
+    assert cotraining.accepted(edges, labels).count() == 0 and cotraining.accepted(edges, labels.filter("doc_id = 99")).count() == len(EDGES)
+    drawn = raking.drawn(edges)
+    assert by_row(drawn, "n_tokens") == told(tokens) and all(r["weight"] == 1 for r in drawn.filter("n_tokens = 0").collect() if r["topic"] == raking.NONE)
+    assert len({(r["weight"], r["probability"], r["kept"]) for r in drawn.filter("doc_id = 3").collect()}) == 1
+    assert by_row(raking.sample(edges), "text") == sorted(repr((d[0], d[1])) for d in EDGES if any(r["kept"] and r["doc_id"] == d[0] and r["n_tokens"] == tokens(d[1] or "") for r in drawn.collect()))
+    prints = dict(enumerate(print_by_hand(d[1]) for d in EDGES))
+    root = groups_by_hand(prints)
+    least = {k: min((EDGES[i][0] for i in root if root[i] == k and EDGES[i][0] is not None), default=None) for k in set(root.values())}
+    assert by_row(simhash.near_groups(edges), "fingerprint", "component_id") == sorted(repr((d[0], f"{prints[i]:016x}", least[root[i]])) for i, d in enumerate(EDGES))
+    heads = [min((d[0] is None, d[0] or 0) for i, d in enumerate(EDGES) if root[i] == k) for k in least]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in simhash.one_of_each(edges).collect()) == sorted(heads)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(edges, path, public_tokenizers.PATTERN, decoded=True)
+    assert by_row(ids.select("doc_id", F.hex("ids").alias("ids"), F.hex("decoded").alias("decoded")), "ids", "decoded") == told(lambda t: struct.pack(f"<{len(n := tokenizer.encode_ordinary(t))}I", *n).hex().upper(), lambda t: t.encode().hex().upper())
+
+
 @pytest.mark.parametrize("name", TAKES)
 def test_empty_table(spark, name):
     out = TAKES[name](spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
@@ -396,6 +437,26 @@ def test_ids_are_the_tokenizers_and_decode_to_the_text(spark, tokenizer, texts,
         assert bytes(r["decoded"]).decode() == cases[r["doc_id"]] and r["again"] == r["decoded"]
 
 
+def test_windows_of_long_words_join_to_the_words_own_tokens(spark, tokenizer):
+    rng = random.Random(26)
+    cases = ["".join(rng.choice(a) for _ in range(rng.randint(97, 900))) for a in ("ab", "z", "etaoin", "é漢字ab", "abcdefghijklmnopqrstuvwxyz", "ACGT", "-=") for _ in range(6)]
+    cases += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), " " * 5000 + "x", "ab" * 5000]
+    out = bpe.encode(spark.createDataFrame([*enumerate(cases)], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    for r in out.collect():
+        want = tokenizer.encode_ordinary(cases[r["doc_id"]])
+        assert bytes(r["ids"]) == struct.pack(f"<{len(want)}I", *want) and bytes(r["decoded"]).decode() == cases[r["doc_id"]], cases[r["doc_id"]][:80]
+    assert bpe.spliced([(0, [1, 2]), (3, [3])], [0, 2, 3, 2]) is None
+
+
+def test_a_heap_merges_as_the_definition_does():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    pairs, rng = bpe.merge_pairs(ranks)[0], random.Random(27)
+    for _ in range(500):
+        ids = [ranks[bytes([b])] for b in "".join(rng.choice("abcdeé漢-= ") for _ in range(rng.randint(0, 40))).encode()]
+        assert bpe.heap_merged(ids, pairs) == bpe.merged(ids, pairs)
+
+
 def test_a_token_that_merging_does_not_give_is_still_a_token(spark, tmp_path):
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256}  # nothing joins to abc step by step
     table = bpe.Merges(ranks)

@@ -16,12 +16,11 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.base import durable, fresh
+from weft.llm.base import durable, forget, fresh
 
 PAIRS, SHAPES, META = 256, 9, 128
 FEATURES = PAIRS + SHAPES
@@ -230,20 +229,28 @@ def _sure(models: dict[str, Logistic]) -> Column:
 
 
 def _picked(said: DataFrame, size: int, share: float, seed: int) -> dict[str, dict[int, int]]:
-    """{view: {doc_id: label}} out of said (doc_id, source, lang, text, meta), the documents not yet handed over."""
-    wanted = [(kind, label, most) for kind in ("text", "meta") for label, most in places(size, share)]
-    parts = []
-    for kind, label, most in wanted:
-        sure = F.col(kind) if label else 1 - F.col(kind)
-        found = said.select("source", "lang", F.struct(sure.alias("sure"), F.xxhash64(F.lit(seed), "doc_id").alias("hash"), "doc_id").alias("d")).filter(F.col("d.sure") >= SURE)
-        heads = found.groupBy("source", "lang").agg(F.max("d").alias("d"))
-        for first, rows, n in ((True, heads, (most + 1) // 2), (False, found, most)):
-            parts.append(rows.orderBy(F.desc("d")).limit(n).select(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(first).alias("first"), "d"))
-    rows = sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: (not r["first"], -r["d"]["sure"], -r["d"]["hash"]))
+    """{view: {doc_id: label}} out of said (doc_id, source, lang, text, meta), the documents not yet handed over.
+
+    Ranks are cut where the rows lie: a task hands on no more rows of a view and label than there are places."""
+    most = dict(places(size, share))
+    sure = [F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), (F.col(kind) if label else 1 - F.col(kind)).alias("sure")) for kind in ("text", "meta") for label in most]
+    rows = said.select("doc_id", "source", "lang", F.inline(F.array(*sure))).filter(F.col("sure") >= SURE)
+    rows = rows.select("kind", "label", "source", "lang", F.struct("sure", F.xxhash64(F.lit(seed), "doc_id").alias("hash"), "doc_id").alias("d"))
+    heads = rows.groupBy("kind", "label", "source", "lang").agg(F.max("d").alias("d"))
+    surest = Window.partitionBy("kind", "label").orderBy(F.desc("d"))
+
+    def top(df: DataFrame, first: bool, n: int) -> DataFrame:
+        ranked = df.select("kind", "label", "d", F.row_number().over(surest).alias("nth")).filter(F.col("nth") <= n)
+        return ranked.select("kind", "label", F.lit(first).alias("first"), "d", "nth")
+
+    both = top(heads, True, (max(most.values()) + 1) // 2).unionByName(top(rows, False, max(most.values())))
+    found = [r for r in both.collect() if r["nth"] <= ((most[r["label"]] + 1) // 2 if r["first"] else most[r["label"]])]
+    found.sort(key=lambda r: (not r["first"], -r["d"]["sure"], -r["d"]["hash"]))
     out: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
-    for kind, label, most in wanted:
-        ids = [*dict.fromkeys(r["d"]["doc_id"] for r in rows if (r["kind"], r["label"]) == (kind, label))]
-        out[kind] |= dict.fromkeys(ids[:most], label)
+    for kind in out:
+        for label, n in most.items():
+            ids = [*dict.fromkeys(r["d"]["doc_id"] for r in found if (r["kind"], r["label"]) == (kind, label))]
+            out[kind] |= dict.fromkeys(ids[:n], label)
     return out
 
 
@@ -277,15 +284,21 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     def pick(models, share):
         row = F.min(F.struct("h", "source", "lang", "n_chars", "p")).alias("d")
         said = features.select("doc_id", "h", "source", "lang", "n_chars", _sure(models).alias("p")).groupBy("doc_id").agg(row).join(known.select("doc_id"), "doc_id", "left_anti")
-        said = durable(said.select("doc_id", "d.source", "d.lang", "d.p.text", "d.p.meta").filter(F.greatest("text", "meta", 1 - F.col("text"), 1 - F.col("meta")) >= SURE))
-        picks = _picked(said.filter(~F.col("doc_id").isin(handed)) if handed else said, pool, share, seed)
+        sure = durable(said.select("doc_id", "d.source", "d.lang", "d.p.text", "d.p.meta").filter(F.greatest("text", "meta", 1 - F.col("text"), 1 - F.col("meta")) >= SURE))
+        said = sure
+        if handed:
+            said = said.join(spark.createDataFrame([(d,) for d in sorted(handed)], "doc_id long").hint("broadcast"), "doc_id", "left_anti")
+        picks = _picked(said, pool, share, seed)
+        forget(sure)
         new = {d for found in picks.values() for d in found}
         handed.update(new)
         ids, _, of_text, of_meta = rows_of(spark.createDataFrame([(d, None) for d in sorted(new)], "doc_id long, quality int"))
         at = {kind: [i for i, d in enumerate(ids) if d in found] for kind, found in picks.items()}
         return {kind: (of_text[i], of_meta[i], [picks[kind][ids[k]] for k in i]) for kind, i in at.items()}
 
-    return teach(x, meta, [float(q > 0) for q in quality], pick, rounds)
+    model = teach(x, meta, [float(q > 0) for q in quality], pick, rounds)
+    forget(features)
+    return model
 
 
 def scored(model: Model, text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
@@ -316,14 +329,15 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **
 
     A null text is an empty one, null metadata a value like others. Null and repeated doc_ids are rows like
     others. Without labels of both kinds nothing can be learnt, and the score is the only label's value, or
-    1 without labels. An empty table gives no rows; other columns are not read."""
+    1 without labels. An empty table gives no rows; other columns are not read. A text of any length is read whole."""
     model = learn(docs, labels, **options)
     rows = docs.select("doc_id", _score(model).alias("s"))
     return rows.select("doc_id", "s.*", (F.col("s.score") >= threshold).alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of docs that quality keeps, columns as they are."""
+    """The rows of docs that quality keeps, columns as they are. Equal rows have one score, so all or none of them stay;
+    an empty table gives no rows."""
     score = fresh(docs, "_score")
     model = learn(docs, labels, **options)
     return docs.withColumn(score, _score(model)["score"]).filter(F.col(score) >= threshold).drop(score)

@@ -53,7 +53,7 @@ def healed(files: DataFrame, actions: DataFrame) -> DataFrame:
 
     actions (project, resource_id, role): in the primary's files the name becomes canonical; in a secondary's,
     lines that send to it are commented out and other mentions are marked as decommissioned."""
-    rows = files.join(F.broadcast(actions), "project")
+    rows = files.join(actions, "project")
     comment = F.when(F.col("rel_path").endswith(".py"), "# ").otherwise("// ")
     name = F.col("resource_id")
     sends = F.transform(F.split("content", "\n", -1), lambda x: F.when(x.contains(name) & x.rlike(r"\.(?:send|produce)\s*\("), F.concat(comment, F.lit("decommissioned: "), x)).otherwise(F.replace(x, name, F.concat(F.lit("decommissioned."), name))))

@@ -87,7 +87,7 @@ def named(dirs: DataFrame) -> DataFrame:
 
 def in_projects(files: DataFrame, dirs: DataFrame) -> DataFrame:
     """files with project_id and the path within the project; each file is in the nearest project above it."""
-    held = files.withColumn("_dir", F.explode(ancestors(F.col("rel_path")))).join(F.broadcast(dirs.withColumnRenamed("dir", "_dir")), "_dir")
+    held = files.withColumn("_dir", F.explode(ancestors(F.col("rel_path")))).join(dirs.withColumnRenamed("dir", "_dir"), "_dir")
     best = Window.partitionBy("rel_path").orderBy(F.desc(F.length("_dir")))
     near = held.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
     return near.withColumn("in_path", F.when(F.col("_dir") == "", F.col("rel_path")).otherwise(F.expr("substring(rel_path, length(_dir) + 2)"))).drop("_r", "_dir")
