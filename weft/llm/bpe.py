@@ -426,7 +426,8 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
             batch = part = None
             pa.default_memory_pool().release_unused()
 
-    rows = docs.select("doc_id", "text").mapInArrow(partly, f"doc_id {kind}, part binary, words array<string>, marks array<int>")
+    # written between the two, so that a task has one Python worker at a time
+    rows = durable(docs.select("doc_id", "text").mapInArrow(partly, f"doc_id {kind}, part binary, words array<string>, marks array<int>"))
     rows = rows.select("doc_id", "part", F.transform("words", table.fold).alias("folds"), "marks")
     return rows.mapInArrow(wholly, f"doc_id {kind}, ids binary" + ", decoded binary" * decoded)
 
