@@ -161,13 +161,14 @@ class Merges:
         for (a, b), rank in self.pairs.items():
             slots[moved[a + 1] + b + 1] = (a + 1) << _BITS | (rank + 1)
         literal = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>")
-        self._slots, self._moved = literal(slots), literal(moved)
+        self._tables = F.struct(literal(slots).alias("slots"), literal(moved).alias("moved"))
         self._bytes = F.array(*[F.lit(ranks[bytes([b])] + 1) for b in range(256)]).cast("array<bigint>")
 
-    def _piece(self, left: Column, right: Column) -> Column:
+    @staticmethod
+    def _piece(tables: Column, left: Column, right: Column) -> Column:
         """A piece with what it and the one on its right merge to: that id above its own id; a number of 2^40 or more
         if they do not. A slot has the left id above the merged one, so another's slot leaves high bits."""
-        return F.shiftleft(self._slots[self._moved[left] + right].bitwiseXOR(F.shiftleft(left, _BITS)), _BITS).bitwiseOR(left)
+        return F.shiftleft(tables["slots"][tables["moved"][left] + right].bitwiseXOR(F.shiftleft(left, _BITS)), _BITS).bitwiseOR(left)
 
     def fold(self, word: Column) -> Column:
         """The ids of a word, an array of int; empty and null words give none.
@@ -182,27 +183,27 @@ class Merges:
         # as Latin-1 a byte is a character, and the character's code is the byte
         each = F.transform(F.split(F.decode(raw, "ISO-8859-1"), "", -1), lambda c: self._bytes[F.ascii(c)])
 
-        def step(pieces, _):
+        def step(tables, pieces):
             def merge(least):
                 def at(i):  # the pair's place, from 1
                     new = F.shiftright(least, _BITS)
-                    # one expression for both sides: the table is in the plan's text as often as it is named
                     sides = F.array(F.struct(own(pieces[i - 2]).alias("l"), new.alias("r")), F.struct(new.alias("l"), own(pieces[i + 1]).alias("r")))
-                    return F.concat(F.slice(pieces, F.lit(1), i - 2), F.transform(sides, lambda p: self._piece(p["l"], p["r"])), F.slice(pieces, i + 2, rest))
+                    return F.concat(F.slice(pieces, F.lit(1), i - 2), F.transform(sides, lambda p: self._piece(tables, p["l"], p["r"])), F.slice(pieces, i + 2, rest))
 
                 return F.when(least >= 1 << 2 * _BITS, pieces).otherwise(let(F.array_position(pieces, least).cast("int"), at))
 
             return let(F.array_min(pieces), merge)
 
-        def folded(ids):
-            pieces = F.concat(F.transform(F.sequence(F.lit(0), n), lambda i: self._piece(ids[i], ids[i + 1])), none)
-            last = F.aggregate(F.sequence(F.lit(1), n - 1), pieces, step)
+        def folded(tables, ids):
+            pieces = F.concat(F.transform(F.sequence(F.lit(0), n), lambda i: self._piece(tables, ids[i], ids[i + 1])), none)
+            last = F.aggregate(F.sequence(F.lit(1), n - 1), pieces, lambda pieces, _: step(tables, pieces))
             return let(last, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: (own(x) - 1).cast("int")))
 
         out = F.when(F.coalesce(n, F.lit(0)) == 0, F.array().cast("array<int>")).when(n == 1, F.transform(each, lambda x: (x - 1).cast("int")))
         for token, rank in self._whole.items():  # a whole word that is a token is that token
             out = out.when(raw == F.lit(token), F.array(F.lit(rank)))
-        return out.otherwise(let(F.concat(edge, each, edge), folded))
+        # the tables are in the plan, and in its text, as often as they are named: once
+        return out.otherwise(let(self._tables, lambda tables: let(F.concat(edge, each, edge), lambda ids: folded(tables, ids))))
 
 
 @lru_cache(maxsize=4)
