@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.base import durable, let
+from weft.llm.base import durable, forget, let
 
 #: Most words in the broadcast dictionary, and most characters of one: some 30 MB for words of usual length.
 DICTIONARY, WIDEST = 524_288, 64
@@ -254,6 +254,7 @@ def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTION
         frequent.append(batch["often"].to_numpy(zero_copy_only=False))
     blob, word_ends = b"".join(blobs), np.concatenate(ends).astype("<i4")
     del chosen, blobs
+    forget(counts)
     pa.default_memory_pool().release_unused()  # the driver's memory is for more than this
     n = len(word_ends) - 1
     if not n:
@@ -371,9 +372,10 @@ def pieces_of(path: str) -> list[bytes | None]:
     return out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, decoded: bool = False, written: bool = False) -> DataFrame:
     """(doc_id, ids) for each row of docs: the text's ids as little-endian unsigned 32-bit numbers; with
-    `decoded` also the bytes that these ids decode to, from the same pass.
+    `decoded` also the bytes that these ids decode to, from the same pass. With `written` the rows between the two
+    passes are written: a task then has one Python worker at a time, not two, for disk of some 1.5 x the input.
 
     A null text is an empty one, without ids. Null and repeated doc_ids are rows like others; an empty
     table gives no rows; other columns are not read. Texts and words may be of any length: the time is in proportion."""
@@ -427,8 +429,9 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
             batch = part = None
             pa.default_memory_pool().release_unused()
 
-    # written between the two, so that a task has one Python worker at a time
-    rows = durable(docs.select("doc_id", "text").mapInArrow(partly, f"doc_id {kind}, part binary, words array<string>, marks array<int>"))
+    rows = docs.select("doc_id", "text").mapInArrow(partly, f"doc_id {kind}, part binary, words array<string>, marks array<int>")
+    if written:
+        rows = durable(rows)
     rows = rows.select("doc_id", "part", F.transform("words", table.fold).alias("folds"), "marks")
     return rows.mapInArrow(wholly, f"doc_id {kind}, ids binary" + ", decoded binary" * decoded)
 
