@@ -24,6 +24,7 @@ import base64
 import heapq
 import json
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from weft.llm.base import durable, forget, let
 
 #: Most words in the broadcast dictionary, and most characters of one: some 30 MB for words of usual length.
 DICTIONARY, WIDEST = 524_288, 64
-#: Of these the FREQUENT first are in a hash map of Python's, some 15 MB; the rest in flat tables.
+#: Of these the FREQUENT first are in a dict, some 15 MB; the rest in flat tables, looked up many at once.
 FREQUENT = 65_536
 #: Characters of half a window.
 STRETCH = 48
@@ -57,27 +58,26 @@ def merge_pairs(ranks: dict[bytes, int]) -> tuple[dict[tuple[int, int], int], di
     Many pairs of tokens join to a token, but each token has only one last merge. While two pieces stand
     side by side, what happened between their ends is what would happen to those bytes alone, and alone the
     bytes of a token go through just one state of two pieces. So its pair is the only one worth keeping."""
-    every = {}
-    for token, rank in ranks.items():
-        for i in range(1, len(token)):
-            left, right = ranks.get(token[:i]), ranks.get(token[i:])
-            if left is not None and right is not None:
-                every[left, right] = rank
     pairs, apart = {}, {}
     for token, rank in ranks.items():
         if len(token) > 1:
-            last = merged([ranks[bytes([b])] for b in token], every, 2)
-            if len(last) == 2 and every.get((last[0], last[1])) == rank:
-                pairs[last[0], last[1]] = rank
+            last = [token[i : i + 1] for i in range(len(token))]
+            while len(last) > 2:
+                least, i = min((ranks.get(x + y, _NEVER), i) for i, (x, y) in enumerate(zip(last, last[1:], strict=False)))
+                if least == _NEVER:
+                    break
+                last[i : i + 2] = [last[i] + last[i + 1]]
+            if len(last) == 2:
+                pairs[ranks[last[0]], ranks[last[1]]] = rank
             else:
                 apart[token] = rank
     return pairs, apart
 
 
-def merged(ids: list[int], pairs: dict[tuple[int, int], int], least: int = 1) -> list[int]:
-    """Ranked merges of one word in plain Python, down to `least` pieces: to read a vocabulary."""
+def merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """Ranked merges of one word in plain Python, to test by."""
     ids = [*ids]
-    while len(ids) > least:
+    while len(ids) > 1:
         rank, i = min((pairs.get((a, b), _NEVER), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)))
         if rank == _NEVER:
             break
@@ -222,10 +222,8 @@ def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTION
     """The most frequent words, at most `most`, with their ids as little-endian 32-bit numbers.
 
     Words with the count of the last one that fits stay out together, so the choice does not depend on
-    how rows lie. The result's parts are flat bytes: words and ids one after another with their ends, a hash
-    table of the words' numbers, and the numbers of the at most FREQUENT words that are most frequent."""
-    from array import array
-
+    how rows lie. The result's parts are flat bytes: words and ids one after another with their ends, the words' hashes
+    in order with the words' numbers, and the numbers of the at most FREQUENT words that are most frequent."""
     from xxhash import xxh64_intdigest
 
     counts = durable(word_counts(docs, pattern))
@@ -259,15 +257,15 @@ def dictionary(docs: DataFrame, table: Merges, pattern: str, most: int = DICTION
     n = len(word_ends) - 1
     if not n:
         return {"n": 0}
-    size = 1 << max(4, (2 * n).bit_length())
-    slots, at, view = array("i", [-1]) * size, memoryview(word_ends), memoryview(blob)
+    at, view, hashes = memoryview(word_ends), memoryview(blob), np.empty(n, np.uint64)
     for i in range(n):
-        slot = xxh64_intdigest(view[at[i] : at[i + 1]]) & (size - 1)
-        while slots[slot] >= 0:
-            slot = (slot + 1) & (size - 1)
-        slots[slot] = i
+        hashes[i] = xxh64_intdigest(view[at[i] : at[i + 1]])
+    places = np.argsort(hashes, kind="stable").astype("<i4")
     numbers = np.flatnonzero(np.concatenate(frequent)).astype("<i4")
-    return {"n": n, "words": blob, "word_ends": word_ends.tobytes(), "ids": b"".join(codes), "id_ends": np.concatenate(code_ends).astype("<i4").tobytes(), "slots": slots.tobytes(), "often": numbers.tobytes()}
+    return {
+        "n": n, "words": blob, "word_ends": word_ends.tobytes(), "ids": b"".join(codes), "id_ends": np.concatenate(code_ends).astype("<i4").tobytes(),
+        "hashes": hashes[places].tobytes(), "places": places.tobytes(), "often": numbers.tobytes(),
+    }
 
 
 def splitter(pattern: str):
@@ -292,7 +290,17 @@ def splitter(pattern: str):
         latin = re.compile(spelt).findall
     except re.error:  # a pattern of another shape
         return whole
-    return lambda text: latin(text) if text.isascii() or max(text) < "\u0250" else whole(text)
+    beyond = re.compile("[\u0250-\U0010ffff]").search
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")  # the quickest of tests, and most texts pass it
+        except UnicodeEncodeError as e:
+            if beyond(text, e.start):
+                return whole(text)
+        return latin(text)
+
+    return split
 
 
 class Lookup(dict):
@@ -303,64 +311,134 @@ class Lookup(dict):
         super().__init__()
         self.split = splitter(pattern)
         self.n = parts["n"]
-        self.rare: dict[str, int] = {}
-        self.marks: list[int] = []
+        self.missing: list[str] = []
         if self.n:
-            self.words, self.ids = parts["words"], parts["ids"]
-            self.word_ends, self.id_ends, self.slots = (memoryview(parts[k]).cast("i") for k in ("word_ends", "id_ends", "slots"))
-            for i in memoryview(parts["often"]).cast("i"):
-                self[self.words[self.word_ends[i] : self.word_ends[i + 1]].decode()] = self._ids(i)
+            self.word_ends, self.places, codes, code_ends = (np.frombuffer(parts[k], "<i4") for k in ("word_ends", "places", "ids", "id_ends"))
+            self.codes, self.code_ends = codes.view("<u4"), code_ends // 4
+            self.words, self.hashes = np.frombuffer(parts["words"], np.uint8), np.frombuffer(parts["hashes"], np.uint64)
+            for i in np.frombuffer(parts["often"], "<i4").tolist():
+                self[parts["words"][self.word_ends[i] : self.word_ends[i + 1]].decode()] = parts["ids"][code_ends[i] : code_ends[i + 1]]
 
-    def _ids(self, i: int) -> bytes:
-        return self.ids[self.id_ends[i] : self.id_ends[i + 1]]
+    def __missing__(self, word: str) -> bytes:
+        self.missing.append(word)
+        return _MARK
 
-    def find(self, raw: bytes) -> bytes | None:
+    def found(self, words: list[str]) -> np.ndarray:
+        """Each word's number in the flat tables, or -1. (A word with the hash of one before it is not found; then it
+        is folded like any that is not there.)"""
         from xxhash import xxh64_intdigest
 
-        slots, ends, words = self.slots, self.word_ends, self.words
-        mask = len(slots) - 1
-        slot = xxh64_intdigest(raw) & mask
-        while (i := slots[slot]) >= 0:
-            if words[ends[i] : ends[i + 1]] == raw:
-                return self._ids(i)
-            slot = (slot + 1) & mask
-        return None
-
-    def __missing__(self, word: str) -> bytes:
-        """The ids of a word of the flat tables; else a mark, and the word or its windows among those to fold."""
-        if len(word) <= WIDEST and self.n and (ids := self.find(word.encode())) is not None:
-            return ids
-        number = lambda w: self.rare.setdefault(w, len(self.rare))
+        if not self.n or not words:
+            return np.full(len(words), -1, np.int32)
+        raws = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raws), np.int32, len(raws))
+        hashes = np.fromiter(map(xxh64_intdigest, raws), np.uint64, len(raws))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), self.n - 1)
+        numbers = self.places[at]
+        starts = self.word_ends[numbers]
+        same = (self.hashes[at] == hashes) & (self.word_ends[numbers + 1] - starts == sizes) & (sizes > 0)
+        if same.any():  # the bytes decide
+            size = sizes[same]
+            equal = self.words[_runs(starts[same], size)] == np.frombuffer(b"".join(raws), np.uint8)[_runs((np.cumsum(sizes) - sizes)[same], size)]
+            same[same] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+        return np.where(same, numbers, -1)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, list[str], list[int]]]:
+        """For each text: ids as 32-bit numbers with a mark for each missing word; the distinct words and windows to
+        fold; and what each mark stands for: a number of one, or, negative, how many windows, and their numbers and
+        first bytes. What the dict lacks in all of the texts is looked up in the flat tables at once."""
+        self.missing, parts, lacking = [], [], []
+        for text in texts:
+            parts.append(b"".join(map(self.__getitem__, self.split(text))))
+            lacking.append(len(self.missing))
+        words, self.missing = self.missing, []
+        numbers = self.found(words)
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        ends = np.cumsum([0, *map(len, parts)]) // 4
+        del parts
+        known = numbers >= 0
+        if known.any():
+            of = numbers[known]
+            ids, first = _put(ids, np.flatnonzero(ids == _MISSING)[known], self.codes, self.code_ends[of], self.code_ends[of + 1] - self.code_ends[of])
+            ends = first[ends]
+        rare = np.flatnonzero(~known)
+        bounds = np.searchsorted(rare, [0, *lacking]).tolist()
+        rare = rare.tolist()
+        return [(ids[a:b].tobytes(), *_marks(words[k] for k in rare[c:d])) for (a, b), (c, d) in zip(pairwise(ends.tolist()), pairwise(bounds), strict=True)]
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after another."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _put(ids: np.ndarray, at: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids with a run of codes in place of each one of the places `at`; and where each place begins in the result."""
+    first = np.ones(len(ids) + 1, np.int32)
+    first[0] = 0
+    first[1:][at] = sizes
+    np.cumsum(first, out=first)
+    stay = np.ones(len(ids), bool)
+    stay[at] = False
+    out = np.empty(first[-1], "<u4")
+    out[first[:-1][stay]] = ids[stay]
+    out[_runs(first[at], sizes)] = codes[_runs(starts, sizes)]
+    return out, first
+
+
+def _marks(missing) -> tuple[list[str], list[int]]:
+    """The distinct words and windows of a text's missing words, and what stands for each (see Lookup.encode)."""
+    numbers: dict[str, int] = {}
+    marks: list[int] = []
+    for word in missing:
         if len(word) <= 2 * STRETCH:
-            self.marks.append(number(word))
+            marks.append(numbers.setdefault(word, len(numbers)))
         else:
             starts = range(0, len(word) - STRETCH, STRETCH)
-            self.marks.append(-len(starts))
+            marks.append(-len(starts))
             at = 0
             for i in starts:
-                self.marks += (number(word[i : i + 2 * STRETCH]), at)
+                marks += (numbers.setdefault(word[i : i + 2 * STRETCH], len(numbers)), at)
                 at += len(word[i : i + STRETCH].encode())
-        return _MARK
-
-    def encode(self, text: str) -> tuple[bytes, list[str], list[int]]:
-        """Ids as 32-bit numbers with a mark for each missing word; the distinct words and windows to fold; and what
-        each mark stands for: a number of one, or, negative, how many windows, and their numbers and first bytes."""
-        self.rare, self.marks = {}, []
-        part = b"".join(map(self.__getitem__, self.split(text)))
-        return part, [*self.rare], self.marks
-
-
-def filled(part: bytes, folds: list[list[int]], marks: list[int], whole) -> np.ndarray:
-    """Ids as an array of unsigned 32-bit numbers, the marked places filled. whole(windows): a long word's ids."""
-    ids = np.frombuffer(part, "<u4")
-    if not marks:
-        return ids
-    pieces, last, m = [], 0, iter(marks)
-    for at in np.flatnonzero(ids == _MISSING).tolist():
-        k = next(m)
-        pieces += (ids[last:at], np.asarray(folds[k] if k >= 0 else whole([(folds[next(m)], next(m)) for _ in range(-k)]), "<u4"))
-        last = at + 1
-    return np.concatenate([*pieces, ids[last:]])
+    return [*numbers], marks
+
+
+def filled(batch: pa.RecordBatch, whole) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch's rows as unsigned 32-bit numbers, the marked places filled, and where each row's end.
+    whole(windows): a long word's ids."""
+    part, words, marks = batch["part"], batch["folds"], batch["marks"]
+    ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+    ids = np.frombuffer(part.buffers()[2], "<u4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if ends[-1] > ends[0] else np.zeros(0, "<u4")
+    rows = (ends - ends[0]) // 4
+    at = np.flatnonzero(ids == _MISSING)
+    if not len(at):
+        return ids, rows
+    row_marks, row_words = marks.offsets.to_numpy(), words.offsets.to_numpy()
+    given = marks.values.to_numpy()[row_marks[0] : row_marks[-1]]
+    codes, bounds = words.values.values.to_numpy(zero_copy_only=False), words.values.offsets.to_numpy()
+    if (given >= 0).all():
+        of = given + np.repeat(row_words[:-1], np.diff(row_marks))
+        starts, sizes = bounds[of], bounds[of + 1] - bounds[of]
+    else:
+        starts, sizes, more, n = [], [], [codes], len(codes)
+        given = given.tolist()
+        for row in range(len(part)):
+            base, m = int(row_words[row]), iter(given[row_marks[row] - row_marks[0] : row_marks[row + 1] - row_marks[0]])
+            for k in m:
+                if k >= 0:
+                    starts.append(bounds[base + k])
+                    sizes.append(bounds[base + k + 1] - bounds[base + k])
+                else:
+                    numbers = [(base + next(m), next(m)) for _ in range(-k)]
+                    long = whole([(codes[bounds[i] : bounds[i + 1]].tolist(), first) for i, first in numbers])
+                    starts.append(n)
+                    sizes.append(len(long))
+                    more.append(np.asarray(long, codes.dtype))
+                    n += len(long)
+        starts, sizes, codes = np.asarray(starts, np.int32), np.asarray(sizes, np.int32), np.concatenate(more)
+    out, first = _put(ids, at, codes, starts, sizes)
+    return out, first[rows]
 
 
 def pieces_of(path: str) -> list[bytes | None]:
@@ -389,7 +467,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
         lookup = Lookup(known.value, pattern)
         for batch in batches:
             for part in _small(batch):
-                found = [lookup.encode(t.as_py() or "") for t in part["text"]]
+                found = [x for texts in _stretches([t or "" for t in part["text"].to_pylist()]) for x in lookup.encode(texts)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)]
                 del found
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "part", "words", "marks"])
@@ -419,10 +497,10 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY, dec
 
         for batch in batches:
             for part in _small(batch):
-                ids = [filled(p.as_py(), f.as_py(), m.as_py(), whole) for p, f, m in zip(part["part"], part["folds"], part["marks"], strict=True)]
-                columns = [part["doc_id"], pa.array([x.tobytes() for x in ids], pa.binary())]
+                ids, ends = filled(part, whole)
+                columns = [part["doc_id"], pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids)])]
                 if decoded:
-                    columns.append(pa.array([b"".join(map(pieces.__getitem__, x.tolist())) for x in ids], pa.binary()))
+                    columns.append(pa.array([b"".join(map(pieces.__getitem__, ids[a:b].tolist())) for a, b in pairwise(ends.tolist())], pa.binary()))
                 del ids
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
                 del columns
@@ -441,6 +519,19 @@ def _small(batch, rows: int = 256):
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
+def _stretches(texts: list[str], most: int = 1 << 20):
+    """Runs of texts of some `most` characters, a longer text by itself, so that their words are never many at once."""
+    run, n = [], 0
+    for text in texts:
+        if run and n + len(text) > most:
+            yield run
+            run, n = [], 0
+        run.append(text)
+        n += len(text)
+    if run:
+        yield run
+
+
 def decode(ids: Column, path: str) -> Column:
     """The bytes that ids (as encode gives them) stand for. An id that the vocabulary lacks is an error."""
     pieces = pieces_of(path)
