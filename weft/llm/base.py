@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return next(x for x in (f"{name}_{i}" if i else name for i in count()) if x.lower() not in taken)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of what the driver holds of finished queries. Their broadcasts and shuffles are only cleaned up once
+    collections have found the plans gone, first in Python, then in the JVM; Spark itself sees to that twice an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
