@@ -7,8 +7,8 @@
 5. tokens: the byte-level BPE ids of every document left.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Between stages the rows are written as Parquet and read again. Those of many jobs, and the one after them, begin by letting go of what
-the driver still holds of those before."""
+documents. Between stages the rows are written as Parquet and read again. All but the mixture begin by letting go of
+what the driver still holds of those before."""
 
 from __future__ import annotations
 
