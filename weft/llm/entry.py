@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, cotraining, licenses, media, quality_rules, quotes, raking, secrets, sharding, simhash
+from weft.llm import bpe, cotraining, licenses, media, merkle, quality_rules, quotes, raking, secrets, sharding, simhash
 from weft.llm.base import sha256, table
 
 
@@ -69,10 +69,17 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quote_links, op2_secret_scans, op3_byte_bpe, op4_quality_rules, op5_license_scans, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups)
+    f.__name__: f for f in (op1_quote_links, op2_secret_scans, op3_byte_bpe, op4_quality_rules, op5_license_scans, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups, op11_merkle_manifest)
 }
 _FAILED = " + ".join(f"CASE WHEN {rule} THEN {quality_rules.BIT[name]} ELSE 0 END" for name, rule in quality_rules.RULES)
+#: The CRC of a decimal doc_id, and the leaf of a row with that text, in SQL.
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1))))"
+_LEAF = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
 #: Trained, drawn, iterated and format-bound operators are held against brute force in tests/llm instead.
 ORACLES: dict[str, str] = {
     "op4_quality_rules": rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -86,4 +93,20 @@ ORACLES: dict[str, str] = {
         FROM d LEFT JOIN lines USING (row) LEFT JOIN covered USING (row)),
       f AS (SELECT *, ({_FAILED})::INT AS failed FROM m)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {quality_rules.BASE} <> 0 AS base_failed, failed & {quality_rules.POLICIES[quality_rules.CURRENT].mask} = 0 AS kept, failed, {quality_rules.CURRENT} AS policy FROM f""",
+    "op11_merkle_manifest": f"""WITH RECURSIVE
+      d AS (SELECT *, {_LEAF("text")} AS leaf, CASE WHEN {_CRC} & 1 = 1 THEN {_LEAF("replace(text, chr(10), '')")} END AS odd FROM documents),
+      p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+      up AS (SELECT source, 0 AS level, list(leaf ORDER BY place) AS nodes FROM p GROUP BY source
+        UNION ALL SELECT source, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1 : i + 3], ''))) FROM up WHERE len(nodes) > 1),
+      sub AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM up WHERE len(nodes) = 1),
+      top AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM sub
+        UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1 : i + 3], ''))) FROM top WHERE len(nodes) > 1),
+      l AS (SELECT source, level, nodes, 0 AS tree FROM up WHERE len(nodes) > 1 UNION ALL SELECT source, level, nodes, 1 FROM (SELECT DISTINCT source FROM up), top WHERE len(nodes) > 1),
+      s AS (SELECT p.place AS row, p.source, l.tree, l.level, CASE l.tree WHEN 0 THEN p.place ELSE sub.place END // (3 ** l.level)::BIGINT AS pos, l.nodes
+        FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source JOIN l ON l.source IS NOT DISTINCT FROM p.source),
+      proof AS (SELECT row, source, list({{'left': array_to_string(l.nodes[pos // 3 * 3 + 1 : pos], ''), 'right': array_to_string(l.nodes[pos + 2 : pos // 3 * 3 + 3], '')}} ORDER BY tree, level) AS path FROM s AS l GROUP BY row, source),
+      f AS (SELECT p.*, coalesce(path, []) AS path, coalesce(odd, leaf) AS node, 1 AS i FROM p LEFT JOIN proof ON row = place AND p.source IS NOT DISTINCT FROM proof.source
+        UNION ALL SELECT * REPLACE (sha256(path[i].left || node || path[i].right) AS node, i + 1 AS i) FROM f WHERE i <= len(path))
+      SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.left || x.right), '')) AS proof_sha256, node AS folded_root, node = root AS verified
+      FROM f JOIN sub ON f.source IS NOT DISTINCT FROM sub.source, (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1) WHERE i > len(path)""",
 }
