@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, cotraining, licenses, media, merkle, quality_rules, quotes, raking, secrets, sharding, simhash
+from weft.llm import bpe, cotraining, licenses, media, merkle, mining, quality_rules, quotes, raking, secrets, sharding, simhash
 from weft.llm.base import sha256, table
 
 
@@ -73,8 +73,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return mining.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quote_links, op2_secret_scans, op3_byte_bpe, op4_quality_rules, op5_license_scans, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups, op11_merkle_manifest)
+    f.__name__: f for f in (op1_quote_links, op2_secret_scans, op3_byte_bpe, op4_quality_rules, op5_license_scans, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups, op11_merkle_manifest, op13_hard_negatives)
 }
 _FAILED = " + ".join(f"CASE WHEN {rule} THEN {quality_rules.BIT[name]} ELSE 0 END" for name, rule in quality_rules.RULES)
 #: The CRC of a decimal doc_id, and the leaf of a row with that text, in SQL.
@@ -109,4 +115,11 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT * REPLACE (sha256(path[i].left || node || path[i].right) AS node, i + 1 AS i) FROM f WHERE i <= len(path))
       SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.left || x.right), '')) AS proof_sha256, node AS folded_root, node = root AS verified
       FROM f JOIN sub ON f.source IS NOT DISTINCT FROM sub.source, (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1) WHERE i > len(path)""",
+    "op13_hard_negatives": """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 50 = 0),
+      p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+      SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+      QUALIFY rank <= 3""",
 }
