@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, cotraining, licenses, media, merkle, mining, quality_rules, quotes, raking, secrets, sharding, simhash
+from weft.llm import bpe, cotraining, licenses, media, merkle, minhash, mining, quality_rules, quotes, raking, secrets, sharding, simhash
 from weft.llm.base import sha256, table
 
 
@@ -73,6 +73,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
@@ -80,7 +84,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quote_links, op2_secret_scans, op3_byte_bpe, op4_quality_rules, op5_license_scans, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups, op11_merkle_manifest, op13_hard_negatives)
+    f.__name__: f for f in (op1_quote_links, op2_secret_scans, op3_byte_bpe, op4_quality_rules, op5_license_scans, op6_media_columns, op7_hypergeometric_shards, op8_cotrained_quality, op9_raked_mixture, op10_simhash_groups, op11_merkle_manifest, op12_minhash_groups, op13_hard_negatives)
 }
 _FAILED = " + ".join(f"CASE WHEN {rule} THEN {quality_rules.BIT[name]} ELSE 0 END" for name, rule in quality_rules.RULES)
 #: The CRC of a decimal doc_id, and the leaf of a row with that text, in SQL.
@@ -122,4 +126,11 @@ ORACLES: dict[str, str] = {
       SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
       FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
       QUALIFY rank <= 3""",
+    "op12_minhash_groups": r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+      s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM d),
+      x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS one FROM s),
+      links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.one = b.one AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+      reach AS (SELECT a AS node, a AS root FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node AND r.root < l.b),
+      least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+      SELECT doc_id, len(sh)::BIGINT AS n_shingles, coalesce(least(root, doc_id), doc_id) AS component_id, coalesce(least(root, doc_id), doc_id) = doc_id AS kept FROM s LEFT JOIN least ON node = doc_id""",
 }
