@@ -8,9 +8,13 @@ Prefixes: with tokens ordered by how few sets have them, sets that agree in 39 o
 the first 64 - 39 + 4 of each. Tokens of one set alone come first and meet nobody: a set of which more than 25 tokens are its
 own is done. Only prefixes are posted.
 
-Collisions: first each set meets one set of its lists, which already joins large groups of near copies, without their
-pairs. Then in each list that still holds several groups, what is not of the largest group meets the others; their lists are
-merged with skips, which counts collisions from 4 on. What agrees in 39 coordinates is then compared by its whole sets."""
+Of the sets that are left the shingles are counted, too: those that no other one has are in no common part, which bounds
+a pair's similarity by its numbers alone. In a large group of near copies that spares most of the pairs.
+
+Collisions: first each set meets one set of its lists, the most central of them, which already joins large groups of
+near copies, without their pairs. Then in each list that still holds several groups, what is not of the largest group meets
+the others; their lists are merged with skips, which counts collisions from 4 on. What agrees in 39 coordinates is then
+compared by its whole sets."""
 
 from __future__ import annotations
 
@@ -157,13 +161,27 @@ def _counted(met: DataFrame, least: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(token, id): the tokens of each set's prefix that other sets have as well."""
+    """(id, tokens, weight): the tokens of each set's prefix that other sets have as well, and how many sets have its tokens
+    in all. A set without a partner has no row."""
     token = F.transform("signature", lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(2**32 - 1))))
     posted = sets.select("id", F.explode(token).alias("token"))
     several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = posted.join(several, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))  # 64 at most
+    own = posted.join(several, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"), F.sum("df").alias("weight"))  # 64 at most
     own = own.filter(F.size("tokens") >= AGREE)
-    return own.select("id", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - AGREE + MET)).alias("t")).select("t.token", "id")
+    return own.select("id", F.transform(F.slice("tokens", F.lit(1), F.size("tokens") - AGREE + MET), lambda t: t["token"]).alias("tokens"), "weight")
+
+
+def _shared(whole: DataFrame) -> DataFrame:
+    """(id, n, rest): the size of each set (id, hashes), and how many of its shingles other ones have."""
+    alone = whole.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    own = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    return whole.select("id", F.size("hashes").cast("long").alias("n")).join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("rest"))
+
+
+def _possible(threshold: int) -> Column:
+    """Whether sets of n and n2 shingles, of which rest and rest2 may be common, can be that similar."""
+    most = F.least("rest", "rest2")
+    return 100 * most >= threshold * (F.col("n") + F.col("n2") - most)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,12 +199,12 @@ def _confirmed(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        read = lambda v: np.frombuffer(v.as_buffer(), np.uint64)
+        read = lambda v: v.values.to_numpy()
         return pa.array([len(np.intersect1d(read(p), read(q), assume_unique=True)) for p, q in zip(x, y, strict=True)], pa.int64())
 
     side = lambda x: whole.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sizes = ((F.octet_length("ha") + F.octet_length("hb")) / 8).cast("long")
+    sizes = (F.size("ha") + F.size("hb")).cast("long")
     met = both.select("a", "b", sizes.alias("sizes"), common(F.col("ha"), F.col("hb")).alias("common"))
     return met.filter(100 * F.col("common") >= threshold * (F.col("sizes") - F.col("common"))).select("a", "b")
 
@@ -195,35 +213,39 @@ def _whole(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, hashes): the sets of wanted (id, doc, same), made again from their texts."""
 
     def of(batches):
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "hashes"])
+            found = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found or [np.empty(0, np.int64)])))], ["id", "hashes"])
 
     texts = docs.join(wanted.select("id", F.col("doc").alias("doc2"), F.col("same").alias("same2")), F.col("doc_id").eqNullSafe(F.col("doc2")) & (F.col("same") == F.col("same2")))
-    return texts.dropDuplicates(["id"]).select("id", "text").mapInArrow(of, "id long, hashes binary")
+    return texts.dropDuplicates(["id"]).select("id", "text").mapInArrow(of, "id long, hashes array<long>")
 
 
 def linked(docs: DataFrame, sets: DataFrame, threshold: int = 85) -> DataFrame:
     """(id, root) for the sets (id, n, doc, same, signature) that links join to others: the smallest id that they reach.
     doc and same name a row of docs (doc_id, same, text) that has the set."""
-    posted = durable(_prefixes(sets))
-    # one of the lists' first sets for each set: that with which it has the most lists in common
-    first = posted.groupBy("token").agg(F.min_by("id", F.xxhash64("id")).alias("b"))
-    met = posted.join(first, "token").filter("id <> b").groupBy("id", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("id").agg(F.max(F.struct("n", "b")).alias("best")).select(F.col("id").alias("a"), "best.b")
+    able = durable(_prefixes(sets))
+    whole = durable(_whole(docs, sets.join(able.select("id"), "id", "left_semi")))
+    known = able.join(_shared(whole), "id").filter(100 * F.col("rest") >= threshold * F.col("n"))
+    posted = durable(known.select(F.explode("tokens").alias("token"), "id", "n", "rest", "weight"), spent=(able,))
+    # a list's most central set, for each set that with which it has the most lists in common
+    first = posted.groupBy("token").agg(F.max(F.struct("weight", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))).alias("f")).select("token", "f.*")
+    met = posted.drop("weight").join(first, "token").filter((F.col("id") != F.col("b")) & _possible(threshold)).groupBy("id", "b").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
+    best = met.groupBy("id").agg(F.max(F.struct("met", "weight", "b")).alias("best")).select(F.col("id").alias("a"), "best.b")
     some = durable(_alike(best, sets))
-    wanted = posted.select("id").distinct()
-    whole = durable(_whole(docs, sets.join(wanted, "id", "left_semi")))
     groups = connected_components(_confirmed(some, whole, threshold), small=0).withColumnsRenamed({"node": "id", "root": "group"})
-    grouped = durable(posted.join(groups, "id", "left").select("token", "id", F.coalesce("group", "id").alias("group")), spent=(posted, some))
+    grouped = durable(posted.join(groups, "id", "left").select("token", "id", "n", "rest", F.coalesce("group", "id").alias("group")), spent=(posted, some))
     several = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high")
     mixed = durable(grouped.join(several.select("token", "held"), "token"))
-    largest = mixed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "group")).alias("most"))
-    placed = durable(mixed.join(largest, "token").select("token", "id", "group", (F.col("group") != F.col("most.group")).alias("other")), spent=(grouped,))
+    largest = mixed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "group")).alias("most"))
+    placed = durable(mixed.join(largest, "token").select("token", "id", "n", "rest", "group", (F.col("group") != F.col("most.group")).alias("other")), spent=(grouped,))
     chunks = F.lit(-(-(mixed.agg(F.max("held")).first()[0] or 1) // CHUNK))
-    others = placed.filter("other").select("token", F.col("id").alias("id2"), F.col("group").alias("group2"))
-    pairs = placed.join(others, "token").filter("group <> group2 and (not other or id < id2)")
+    others = placed.filter("other").select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "rest", "group")))
+    pairs = placed.join(others, "token").filter(F.expr("group <> group2 and (not other or id < id2)") & _possible(threshold))
     met = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "token").withColumn("chunk", F.pmod(F.xxhash64("b"), chunks))
     close = durable(_alike(_counted(met, MET), sets))
     of = lambda x, y: groups.select(F.col("id").alias(x), F.col("group").alias(y))
