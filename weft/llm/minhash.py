@@ -8,19 +8,17 @@ Prefixes: with tokens ordered by how few sets have them, sets that agree in 39 o
 the first 64 - 39 + 4 of each. Tokens of one set alone come first and meet nobody: a set of which more than 25 tokens are its
 own is done. Only prefixes are posted.
 
-Of the sets that are left the shingles are counted, too: those that no other one has are in no common part, which bounds
-a pair's similarity by its numbers alone. In a large group of near copies that spares most of the pairs.
+Of the sets that are left the shingles are counted, too: those that three sets have at most are in no other's common
+part, which bounds the similarity of most pairs by numbers alone; the pairs that share such shingles are few and listed by them.
+In a large group of near copies that spares most of the pairs.
 
 Collisions: first each set meets one set of its lists, the most central of them, which already joins large groups of
 near copies, without their pairs. Then in each list that still holds several groups, what is not of the largest group meets
-the others; their lists are merged with skips, which counts collisions from 4 on. What agrees in 39 coordinates is then
-compared by its whole sets."""
+the others. Lists are merged as they are joined: a pair's collisions are counted in the first list that both are in, and
+the pair is skipped in all others; 4 keep it. What agrees in 39 coordinates is then compared by its whole sets."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from heapq import heapify, heappop, heappush
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +29,6 @@ from weft.operators.components import connected_components
 COORDINATES, AGREE, MET = 64, 39, 4
 #: Words in a shingle.
 SHINGLE = 3
-#: Most sets of a list that are merged at once.
-CHUNK = 8_192
 
 
 def shingles(text: str | None):
@@ -98,68 +94,6 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of, "doc_id long, same long, n long, key binary, signature array<int>")
 
 
-def skip_merged(lists: list[list[int]], least: int) -> list[int]:
-    """The values that at least `least` of the sorted lists hold.
-
-    The lists' next values stand in a heap. Where the smallest is in too few lists, the least - 1 smallest ones jump to the
-    next one after them: no value before that can be in enough lists."""
-    at = [0] * len(lists)
-    heap = [(values[0], i) for i, values in enumerate(lists) if values]
-    heapify(heap)
-    found = []
-    while len(heap) >= least:
-        value, out = heap[0][0], []
-        while heap and heap[0][0] == value:
-            out.append(heappop(heap)[1])
-        if len(out) >= least:
-            found.append(value)
-            ahead = value + 1
-        else:
-            while heap and len(out) < least - 1:
-                out.append(heappop(heap)[1])
-            if not heap:
-                break
-            ahead = heap[0][0]
-        for i in out:
-            at[i] = bisect_left(lists[i], ahead, at[i])
-            if at[i] < len(lists[i]):
-                heappush(heap, (lists[i][at[i]], i))
-    return found
-
-
-def _counted(met: DataFrame, least: int) -> DataFrame:
-    """(a, b) of met (a, chunk, token, b) that share at least `least` tokens. A task has the lists of one a and chunk at once."""
-
-    def merge(batches):
-        import pyarrow as pa
-
-        now, lists, last, a, b = None, [], None, [], []
-
-        def done():
-            found = skip_merged(lists, least)
-            a.extend([now[0]] * len(found))
-            b.extend(found)
-
-        for batch in batches:
-            for one, chunk, token, other in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (one, chunk) != now:
-                    if now:
-                        done()
-                    now, lists, last = (one, chunk), [], None
-                if token != last:
-                    lists.append([])
-                    last = token
-                lists[-1].append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-        if now:
-            done()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    order = ["a", "chunk", "token", "b"]
-    return met.select(*order).repartition("a", "chunk").sortWithinPartitions(*order).mapInArrow(merge, "a long, b long")
-
-
 def _prefixes(sets: DataFrame) -> DataFrame:
     """(id, tokens, weight): the tokens of each set's prefix that other sets have as well, and how many sets have its tokens
     in all. A set without a partner has no row."""
@@ -171,16 +105,20 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     return own.select("id", F.transform(F.slice("tokens", F.lit(1), F.size("tokens") - AGREE + MET), lambda t: t["token"]).alias("tokens"), "weight")
 
 
-def _shared(whole: DataFrame) -> DataFrame:
-    """(id, n, rest): the size of each set (id, hashes), and how many of its shingles other ones have."""
-    alone = whole.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    own = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    return whole.select("id", F.size("hashes").cast("long").alias("n")).join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("rest"))
+def _tally(whole: DataFrame) -> DataFrame:
+    """(a, b, n) from the shingles that at most three sets (id, hashes) have: with b null, how many a has alone; with b = a, how
+    many it shares; else how many a and b share.
+
+    Least, largest and sum of three ids tell all of them, so a shingle that a third of the corpus has is one sum too."""
+    found = whole.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("z"), F.sum("id").alias("sum"), F.count(F.lit(1)).alias("c")).filter("c <= 3")
+    found = found.withColumn("y", F.col("sum") - F.col("x") - F.col("z"))
+    of = lambda *pairs: F.array(*(F.struct(F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast("long")).alias("b")) for a, b in pairs))
+    rows = F.when(F.col("c") == 1, of(("x", None))).when(F.col("c") == 2, of(("x", "x"), ("z", "z"), ("x", "z"))).otherwise(of(("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")))
+    return found.select(F.inline(rows)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _possible(threshold: int) -> Column:
-    """Whether sets of n and n2 shingles, of which rest and rest2 may be common, can be that similar."""
-    most = F.least("rest", "rest2")
+def _possible(most: Column, threshold: int) -> Column:
+    """Whether sets of n and n2 shingles, of which at most so many are common, can be that similar."""
     return 100 * most >= threshold * (F.col("n") + F.col("n2") - most)
 
 
@@ -230,30 +168,40 @@ def linked(docs: DataFrame, sets: DataFrame, threshold: int = 85) -> DataFrame:
     doc and same name a row of docs (doc_id, same, text) that has the set."""
     able = durable(_prefixes(sets))
     whole = durable(_whole(docs, sets.join(able.select("id"), "id", "left_semi")))
-    known = able.join(_shared(whole), "id").filter(100 * F.col("rest") >= threshold * F.col("n"))
-    posted = durable(known.select(F.explode("tokens").alias("token"), "id", "n", "rest", "weight"), spent=(able,))
+    tally = durable(_tally(whole))
+    own = tally.filter("b is null or a = b").groupBy(F.col("a").alias("id")).agg(F.sum(F.when(F.col("b").isNull(), F.col("n")).otherwise(0)).alias("alone"), F.sum("n").alias("rare"))
+    left = lambda name: F.col("n") - F.coalesce(name, F.lit(0))
+    known = able.join(sets.select("id", "n"), "id").join(own, "id", "left").select("id", F.array_sort("tokens").alias("tokens"), "weight", "n", left("alone").alias("rest"), left("rare").alias("often"))
+    known = durable(known.filter(100 * F.col("rest") >= threshold * F.col("n")), spent=(able,))
+    other = lambda *names: [F.col(c).alias(f"{c}2") for c in names]
     # a list's most central set, for each set that with which it has the most lists in common
-    first = posted.groupBy("token").agg(F.max(F.struct("weight", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))).alias("f")).select("token", "f.*")
-    met = posted.drop("weight").join(first, "token").filter((F.col("id") != F.col("b")) & _possible(threshold)).groupBy("id", "b").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
-    best = met.groupBy("id").agg(F.max(F.struct("met", "weight", "b")).alias("best")).select(F.col("id").alias("a"), "best.b")
+    posted = known.select(F.explode("tokens").alias("token"), "id", "n", "rest")
+    first = known.select(F.explode("tokens").alias("token"), "weight", "id", "n", "rest").groupBy("token").agg(F.max(F.struct("weight", *other("id", "n", "rest"))).alias("f")).select("token", "f.*")
+    met = posted.join(first, "token").filter((F.col("id") != F.col("id2")) & _possible(F.least("rest", "rest2"), threshold)).groupBy("id", "id2").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
+    best = met.groupBy("id").agg(F.max(F.struct("met", "weight", "id2")).alias("best")).select(F.col("id").alias("a"), F.col("best.id2").alias("b"))
     some = durable(_alike(best, sets))
     groups = connected_components(_confirmed(some, whole, threshold), small=0).withColumnsRenamed({"node": "id", "root": "group"})
-    grouped = durable(posted.join(groups, "id", "left").select("token", "id", "n", "rest", F.coalesce("group", "id").alias("group")), spent=(posted, some))
-    several = grouped.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("held")).filter("low <> high")
-    mixed = durable(grouped.join(several.select("token", "held"), "token"))
+    grouped = durable(known.join(groups, "id", "left").select("id", "n", "often", "tokens", F.coalesce("group", "id").alias("group")), spent=(known, some))
+    lists = grouped.select(F.explode("tokens").alias("token"), "*")
+    several = lists.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+    mixed = durable(lists.join(several.select("token"), "token"))
     largest = mixed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "group")).alias("most"))
-    placed = durable(mixed.join(largest, "token").select("token", "id", "n", "rest", "group", (F.col("group") != F.col("most.group")).alias("other")), spent=(grouped,))
-    chunks = F.lit(-(-(mixed.agg(F.max("held")).first()[0] or 1) // CHUNK))
-    others = placed.filter("other").select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "rest", "group")))
-    pairs = placed.join(others, "token").filter(F.expr("group <> group2 and (not other or id < id2)") & _possible(threshold))
-    met = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "token").withColumn("chunk", F.pmod(F.xxhash64("b"), chunks))
-    close = durable(_alike(_counted(met, MET), sets))
+    placed = durable(mixed.join(largest, "token").select("token", "id", "n", "often", "tokens", "group", (F.col("group") != F.col("most.group")).alias("other")), spent=(mixed,))
+    met = placed.join(placed.filter("other").select("token", *other("id", "n", "often", "tokens", "group")), "token")
+    # a pair is met in every list that both are in, once each, and is kept in the first
+    first = F.exists(F.array(F.array_intersect("tokens", "tokens2")), lambda shared: (F.size(shared) >= MET) & (F.get(shared, F.lit(0)) == F.col("token")))
+    kept = F.when(F.expr("group = group2 or (other and id >= id2)") | ~_possible(F.least("often", "often2"), threshold), False).otherwise(first)
+    by_lists = met.filter(kept).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    side = grouped.select("id", "n", "often", "group")
+    rare = tally.filter("a <> b").select("a", "b", F.col("n").alias("common")).join(side.withColumnRenamed("id", "a"), "a").join(side.select(F.col("id").alias("b"), *other("n", "often", "group")), "b")
+    by_rare = rare.filter(F.expr("group <> group2") & _possible(F.least("often", "often2") + F.col("common"), threshold)).select("a", "b")
+    close = durable(_alike(by_lists.unionByName(by_rare).distinct(), sets))
     of = lambda x, y: groups.select(F.col("id").alias(x), F.col("group").alias(y))
     between = _confirmed(close, whole, threshold).join(of("a", "ga"), "a", "left").join(of("b", "gb"), "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
     merged = connected_components(between, small=0).withColumnsRenamed({"node": "group"})
     every = groups.unionByName(merged.select(F.col("group").alias("id"), "group")).distinct()
     out = durable(every.join(merged, "group", "left").groupBy("id").agg(F.min(F.coalesce("root", "group")).alias("root")))
-    forget(mixed, placed, whole, close)
+    forget(grouped, placed, whole, tally, close)
     return out
 
 
