@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import capability, judge, reports
+from weft.operators import judge, reports
 from weft.plans import exports, pipeline, remediate
 from weft.plans.catalog import Catalog
 from weft.sources import files, inventory
@@ -72,6 +72,12 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "incremental":
         states, r = pipeline.incremental(spark, a.root, Catalog(spark, f"{a.out}/store"), config, items)
         states.groupBy("state").count().show()
+    elif a.command == "heal":
+        changed, report = pipeline.heal(spark, a.root, config, items)
+        changed.write.mode("overwrite").json(f"{a.out}/healed")
+        report.write.mode("overwrite").json(f"{a.out}/healing")
+        report.orderBy("resource_type", "resource_id").show(SHOWN, truncate=False)
+        return 0
     else:
         r = pipeline.run(spark, a.root, config, items)
     if a.command in ("run", "incremental"):
@@ -90,12 +96,6 @@ def main(args: list[str] | None = None) -> int:
         r["judgements"].select("a", "b", "similarity", "tier", "confirmed", "confidence", "play", "reason").orderBy(F.desc("similarity")).show(SHOWN, truncate=False)
     elif a.command in ("ratchet", "rewrite"):
         print(_write_texts(r["ratchets" if a.command == "ratchet" else "recipes"], out), "files in", out)
-    else:
-        shared = r["members"].join(capability.ranked(r["capabilities"]).filter(F.col("play").isin(*remediate.ACTED_ON)).select("id"), "id")
-        first = shared.groupBy("resource_id").agg(F.min("module_id").alias("primary"))
-        acts = shared.join(first, "resource_id").select(F.split_part("module_id", F.lit(":"), F.lit(1)).alias("project"), "resource_id", F.when(F.col("module_id") == F.col("primary"), "primary").otherwise("secondary").alias("role")).distinct()
-        sources = r["files"].withColumn("project", F.split_part("rel_path", F.lit("/"), F.lit(1)))
-        remediate.healed(sources, acts).filter("healed <> content").select("project", "rel_path", "resource_id", "healed").write.mode("overwrite").json(f"{a.out}/healed")
     return 0
 
 

@@ -92,12 +92,6 @@ def json_props(spark, sf):
     return read(spark, sf, "events").select(F.from_json("props", "k int").getField("k").alias("k"), "event_type").groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-def repo_hash(spark, sf):
-    docs = read(spark, sf, "documents")
-    one = docs.select("source", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.col("text").cast("binary"), 256)).alias("h"))
-    return one.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n").cast("binary"), 256).alias("content_hash"))
-
-
 def incremental_changed(spark, sf):
     docs = read(spark, sf, "documents")
     now = docs.filter("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("project_id"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
@@ -214,7 +208,7 @@ def ev_dedup(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     shared_dependency, tech_standard, tech_fragmented, lang_histogram, shared_tables, orphan_orders, orphan_documents, eval_precision_recall, eval_missed_extra, counts_all, error_severity_counts, run_totals,
-    resolver_precedence, json_props, repo_hash, incremental_changed, clear_project, upsert_by_key, bill_of_material, matrix_cells, matrix_pivot, bipartite_edges, bipartite_nodes, resource_edges, mermaid_topk,
+    resolver_precedence, json_props, incremental_changed, clear_project, upsert_by_key, bill_of_material, matrix_cells, matrix_pivot, bipartite_edges, bipartite_nodes, resource_edges, mermaid_topk,
     mermaid_lines, safe_labels, audience_filter, next_steps, ratchet_text, rewrite_recipes, ev_tumbling, ev_sliding, ev_session, ev_dedup,
 )}
 
@@ -255,7 +249,6 @@ ORACLES = {
         CASE kind WHEN 0 THEN 'HIGH' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MED' WHEN 3 THEN CASE WHEN k = '1' THEN 'MED' ELSE 'LOW' END WHEN 4 THEN 'MED' ELSE 'LOW' END AS tier,
         CASE kind WHEN 0 THEN 'literal at call site' WHEN 1 THEN 'local constant' WHEN 2 THEN 'config default for a.b' WHEN 3 THEN CASE WHEN k = '1' THEN 'config key x.1' ELSE 'dynamic / unresolved' END WHEN 4 THEN 'env default HOME' ELSE 'dynamic / unresolved' END AS notes FROM x""",
     "json_props": "SELECT json_extract_string(props, '$.k')::INT AS k, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "repo_hash": "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS content_hash FROM documents GROUP BY source",
     "incremental_changed": """WITH now AS (SELECT doc_id::VARCHAR AS project_id, md5(text) AS content_hash FROM documents WHERE doc_id % 7 <> 0), was AS (SELECT doc_id::VARCHAR AS project_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE md5(text) END AS h FROM documents WHERE doc_id % 5 <> 0)
         SELECT project_id, content_hash, CASE WHEN h IS NULL THEN 'new' WHEN content_hash IS NULL THEN 'deleted' WHEN h = content_hash THEN 'same' ELSE 'changed' END AS state FROM now FULL JOIN was USING (project_id)""",
     "clear_project": sql("facts modules", "SELECT 'modules' AS \"table\", count(*) AS n FROM modules WHERE project_id NOT IN ('p1', 'p2', 'p3') UNION ALL SELECT 'integration_facts', count(*) FROM facts WHERE module_id NOT IN (SELECT module_id FROM modules WHERE project_id IN ('p1', 'p2', 'p3'))"),

@@ -86,3 +86,30 @@ def connected_components(edges: DataFrame, small: int | None = None) -> DataFram
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     forget(left)
     return whole
+
+
+def updated_components(held: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, small: int | None = None) -> DataFrame:
+    """held (node, root), the components of a graph before a change, brought up to its edges (a, b) after it.
+
+    added and removed (a, b) are what has changed; edges are all that are there now. Where edges only came, the
+    roots that they join are contracted, and no other edge is read. Components that lose an edge may fall apart: their own
+    edges are gone through again, those of no others. The rows are those of connected_components(edges); a node
+    without an edge has no row."""
+    of = lambda node, root: held.select(F.col("node").alias(node), F.col("root").alias(root))
+    torn = durable(removed.select(F.explode(F.array("a", "b")).alias("node")).join(held, "node").select("root").distinct())
+    if torn.isEmpty():
+        whole, loose = held, edges.limit(0)
+    else:
+        inside = durable(held.join(torn, "root", "left_semi").select("node"))
+        # an edge that is there now has both ends in one old component, unless it is new
+        loose = edges.join(inside.withColumnRenamed("node", "a"), "a", "left_semi").join(inside.withColumnRenamed("node", "b"), "b", "left_semi")
+        whole = held.join(torn, "root", "left_anti").select("node", "root").unionByName(connected_components(loose, small).select("node", "root"))
+    whole = durable(whole)
+    # new edges between components, or to nodes that had none
+    own = whole.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    ends = lambda df, x: df.join(own, F.col(x) == F.col("_n"), "left").withColumn(x, F.coalesce("_r", x)).drop("_n", "_r")
+    joined = connected_components(ends(ends(added.select("a", "b"), "a"), "b").filter("a <> b"), small)
+    ahead = joined.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    first = whole.join(ahead, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    fresh = added.filter("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct().join(whole, "node", "left_anti").join(joined, "node")
+    return first.unionByName(fresh.select("node", "root"))

@@ -251,8 +251,43 @@ def run(spark: SparkSession, source: DataFrame | str, config: Config | None = No
     return _finished(spark, held, config or Config(), seconds, mark)
 
 
+def heal(spark: SparkSession, source: DataFrame | str, config: Config | None = None, inventory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts of files healed of the resources that are acted on, and a report. No file is changed.
+
+    (project_id, rel_path, content, healed) for each file that differs, and (resource_type, resource_id, play, n_modules, n_files,
+    n_left) for each resource: how many modules touched it, how many files were changed for their projects, and how many modules a new
+    extraction from the healed texts still finds at its old name. A round heals all files at once; as long as modules
+    are left and texts still change, another follows."""
+    config = config or Config()
+    got = ingested(spark, source, inventory)
+    held = extract(got["placed"], got["owned"])
+    owners = held["modules"].select(F.col("id").alias("module_id"), "owner")
+    caps = capability.resource_capabilities(held["facts"], owners, held["couplings"])
+    touch = capability.strongest_touch(held["facts"]).withColumn("id", F.concat_ws(":", dimension(F.col("resource_type")), "resource_id"))
+    acted = durable(touch.join(caps.filter(F.col("play").isin(*remediate.ACTED_ON)).select("id", "play"), "id").join(held["modules"].select(F.col("id").alias("module_id"), F.col("project_id").alias("project")), "module_id"))
+    first = acted.groupBy("resource_type", "resource_id").agg(F.min("project").alias("primary"))
+    roles = acted.join(first, ["resource_type", "resource_id"]).select("project", "resource_id", F.when(F.col("project") == F.col("primary"), "primary").otherwise("secondary").alias("role")).distinct()
+    roles = durable(roles)
+    old = got["placed"].withColumn("project", F.col("project_id"))
+    texts, left = old, None
+    while left is None or left.count():
+        now = durable(remediate.healed(texts, roles).select("rel_path", "healed", (F.col("healed") != F.col("content")).alias("moved")))
+        if not now.filter("moved").count():
+            break
+        texts = durable(texts.join(now.select("rel_path", "healed"), "rel_path", "left").withColumn("content", F.coalesce("healed", "content")).select(*old.columns))
+        again = extract(texts.drop("project"), got["owned"])["facts"].select("resource_type", "resource_id", "module_id").distinct()
+        left = durable(again.join(acted.select("resource_type", "resource_id", "module_id").distinct(), ["resource_type", "resource_id", "module_id"], "left_semi"))
+    changed = durable(old.join(texts.select("rel_path", F.col("content").alias("healed")), "rel_path").filter("healed <> content").select("project_id", "rel_path", "content", "healed"))
+    by = ["resource_type", "resource_id"]
+    n_files = roles.join(changed.groupBy(F.col("project_id").alias("project")).agg(F.count(F.lit(1)).alias("n")), "project").groupBy("resource_id").agg(F.sum("n").alias("n_files"))
+    report = acted.groupBy(*by).agg(F.min("play").alias("play"), F.countDistinct("module_id").alias("n_modules")).join(n_files, "resource_id", "left")
+    remain = acted.limit(0).select(*by) if left is None else left
+    report = report.join(remain.groupBy(*by).agg(F.count(F.lit(1)).alias("n_left")), by, "left")
+    return changed, report.select(*by, "play", "n_modules", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_left", F.lit(0)).alias("n_left"))
+
+
 #: Tables that a run keeps in its store, under the names that the store has for them.
-KEPT = {"projects": "projects", "modules": "modules", "facts": "integration_facts", "gaps": "gaps", "dependencies": "dependencies", "api_surfaces": "api_surfaces", "couplings": "module_metrics"}
+KEPT = {"projects": "projects", "modules": "modules", "facts": "integration_facts", "gaps": "gaps", "dependencies": "dependencies", "api_surfaces": "api_surfaces", "couplings": "module_metrics", "errors": "errors"}
 
 
 def _stored(name: str, df: DataFrame) -> DataFrame:
@@ -285,11 +320,9 @@ def incremental(spark: SparkSession, source: DataFrame | str, store: Catalog, co
     stale = durable(states.filter("state <> 'same'").select("project_id"))
     fresh = states.filter("state in ('new', 'changed')").select("project_id", "content_hash")
     n = stale.count()
-    errors = rejections("dependencies", spark.createDataFrame([], "module_id string, purl string"))
     if n:
         store.clear_projects(stale)
         read = extract(got["placed"].join(fresh.select("project_id"), "project_id", "left_semi"), got["owned"])
-        errors = durable(read["errors"])
         for name, table in KEPT.items():
             store.append(table, _stored(name, read[name]))
         store.append("scan_cache", fresh.withColumn("last_scanned", F.current_timestamp()))
@@ -306,7 +339,7 @@ def incremental(spark: SparkSession, source: DataFrame | str, store: Catalog, co
         lang = F.when(F.col("suffix").isin(*suffixes), k).otherwise(lang)
     own, first = held["modules"].select("project_id", "lang", F.col("id").alias("own")), held["modules"].groupBy("project_id").agg(F.min_by("id", "lang").alias("first"))
     rows = got["placed"].withColumn("lang", lang).join(own, ["project_id", "lang"], "left").join(first, "project_id").withColumn("module_id", F.coalesce("own", "first"))
-    held |= {"files": got["files"], "rows": rows, "errors": errors}
+    held |= {"files": got["files"], "rows": rows}
     return states, _finished(spark, held, config, seconds, mark)
 
 

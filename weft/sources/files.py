@@ -142,6 +142,11 @@ def from_inventory(items: DataFrame, dirs: DataFrame) -> DataFrame:
 
 
 def content_hashes(files: DataFrame, key: str = "project_id") -> DataFrame:
-    """(key, content_hash): sha256 over the sorted paths and hashes of a project's files."""
-    one = files.select(key, F.concat_ws(":", "rel_path", F.sha2(F.col("content").cast("binary"), 256)).alias("h"))
-    return one.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n").cast("binary"), 256).alias("content_hash"))
+    """(key, content_hash) of a project's files, in any order: the sha256 of their number and of two sums.
+
+    A file counts with two independent 60-bit numbers, cut from the sha256 of its path and of its content's sha256. Sums are
+    aggregated where files lie, so a project of any size is one row of a shuffle."""
+    one = files.select(key, F.sha2(F.concat_ws(":", "rel_path", F.sha2(F.col("content").cast("binary"), 256)).cast("binary"), 256).alias("h"))
+    number = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)"))
+    sums = one.groupBy(key).agg(F.count(F.lit(1)).alias("n"), number(1).alias("s1"), number(16).alias("s2"))
+    return sums.select(key, F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("n", "s1", "s2"))).cast("binary"), 256).alias("content_hash"))
