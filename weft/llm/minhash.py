@@ -122,11 +122,25 @@ def _possible(most: Column, threshold: int) -> Column:
     return 100 * most >= threshold * (F.col("n") + F.col("n2") - most)
 
 
+def _agree(one: str, other: str) -> Column:
+    """Whether two signatures agree in enough coordinates."""
+    return F.aggregate(F.zip_with(one, other, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) >= AGREE
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in enough coordinates and whose sizes allow the similarity asked for."""
+    """The pairs (a, b) that agree in enough coordinates."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"))
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(agree >= AGREE).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree("sa", "sb")).select("a", "b")
+
+
+def _mixed(known: DataFrame, groups: DataFrame) -> DataFrame:
+    """(token, id, group, other): the lists that hold several groups (id, group; without a row a set is its own); other tells
+    that the set is not of its list's largest group."""
+    lists = known.join(groups, "id", "left").select(F.explode("tokens").alias("token"), "id", F.coalesce("group", "id").alias("group"))
+    several = lists.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
+    mixed = durable(lists.join(several, "token"))
+    largest = mixed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "group")).alias("most"))
+    return durable(mixed.join(largest, "token").select("token", "id", "group", (F.col("group") != F.col("most.group")).alias("other")), spent=(mixed,))
 
 
 def _confirmed(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
@@ -171,38 +185,40 @@ def linked(docs: DataFrame, sets: DataFrame, threshold: int = 85) -> DataFrame:
     tally = durable(_tally(whole))
     own = tally.filter("b is null or a = b").groupBy(F.col("a").alias("id")).agg(F.sum(F.when(F.col("b").isNull(), F.col("n")).otherwise(0)).alias("alone"), F.sum("n").alias("rare"))
     left = lambda name: F.col("n") - F.coalesce(name, F.lit(0))
-    known = able.join(sets.select("id", "n"), "id").join(own, "id", "left").select("id", F.array_sort("tokens").alias("tokens"), "weight", "n", left("alone").alias("rest"), left("rare").alias("often"))
+    known = able.join(sets.select("id", "n", "signature"), "id").join(own, "id", "left").select("id", F.array_sort("tokens").alias("tokens"), "signature", "weight", "n", left("alone").alias("rest"), left("rare").alias("often"))
     known = durable(known.filter(100 * F.col("rest") >= threshold * F.col("n")), spent=(able,))
     other = lambda *names: [F.col(c).alias(f"{c}2") for c in names]
+    of = lambda df: connected_components(df, small=0).withColumnsRenamed({"node": "id", "root": "group"})
+    numbers = known.select("id", "weight", "n", "rest")
     # a list's most central set, for each set that with which it has the most lists in common
-    posted = known.select(F.explode("tokens").alias("token"), "id", "n", "rest")
-    first = known.select(F.explode("tokens").alias("token"), "weight", "id", "n", "rest").groupBy("token").agg(F.max(F.struct("weight", *other("id", "n", "rest"))).alias("f")).select("token", "f.*")
-    met = posted.join(first, "token").filter((F.col("id") != F.col("id2")) & _possible(F.least("rest", "rest2"), threshold)).groupBy("id", "id2").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
+    posted = known.select(F.explode("tokens").alias("token"), "weight", "id", "n", "rest")
+    central = F.max(F.struct("weight", *other("id", "n", "rest"))).alias("f")
+    first = posted.groupBy("token").agg(central).select("token", "f.*")
+    met = posted.drop("weight").join(first, "token").filter((F.col("id") != F.col("id2")) & _possible(F.least("rest", "rest2"), threshold)).groupBy("id", "id2").agg(F.count(F.lit(1)).alias("met"), F.max("weight").alias("weight"))
     best = met.groupBy("id").agg(F.max(F.struct("met", "weight", "id2")).alias("best")).select(F.col("id").alias("a"), F.col("best.id2").alias("b"))
     some = durable(_alike(best, sets))
-    groups = connected_components(_confirmed(some, whole, threshold), small=0).withColumnsRenamed({"node": "id", "root": "group"})
-    grouped = durable(known.join(groups, "id", "left").select("id", "n", "often", "tokens", F.coalesce("group", "id").alias("group")), spent=(known, some))
-    lists = grouped.select(F.explode("tokens").alias("token"), "*")
-    several = lists.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
-    mixed = durable(lists.join(several.select("token"), "token"))
-    largest = mixed.groupBy("token", "group").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max(F.struct("size", "group")).alias("most"))
-    placed = durable(mixed.join(largest, "token").select("token", "id", "n", "often", "tokens", "group", (F.col("group") != F.col("most.group")).alias("other")), spent=(mixed,))
-    met = placed.join(placed.filter("other").select("token", *other("id", "n", "often", "tokens", "group")), "token")
+    groups = of(_confirmed(some, whole, threshold))
+    # what is left over tries the most central sets of its lists' largest groups
+    placed = _mixed(known, groups)
+    heads = placed.filter("not other").join(numbers, "id").groupBy("token").agg(central).select("token", "f.*")
+    tried = placed.filter("other").join(numbers.drop("weight"), "id").join(heads, "token").filter(_possible(F.least("rest", "rest2"), threshold)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    again = durable(_alike(tried, sets))
+    groups = of(durable(groups.select(F.col("id").alias("a"), F.col("group").alias("b")).unionByName(_confirmed(again, whole, threshold))))
+    forget(some, again, placed)
+    placed = _mixed(known, groups)
+    full = durable(placed.join(known.select("id", "n", "often", "tokens", "signature"), "id"), spent=(placed,))
+    met = full.join(full.filter("other").select("token", *other("id", "group", "n", "often", "tokens", "signature")), "token")
     # a pair is met in every list that both are in, once each, and is kept in the first
     first = F.exists(F.array(F.array_intersect("tokens", "tokens2")), lambda shared: (F.size(shared) >= MET) & (F.get(shared, F.lit(0)) == F.col("token")))
-    kept = F.when(F.expr("group = group2 or (other and id >= id2)") | ~_possible(F.least("often", "often2"), threshold), False).otherwise(first)
+    kept = F.when(F.expr("group = group2 or (other and id >= id2)") | ~_possible(F.least("often", "often2"), threshold), False).when(~first, False).otherwise(_agree("signature", "signature2"))
     by_lists = met.filter(kept).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    side = grouped.select("id", "n", "often", "group")
+    side = known.join(groups, "id", "left").select("id", "n", "often", F.coalesce("group", "id").alias("group"))
     rare = tally.filter("a <> b").select("a", "b", F.col("n").alias("common")).join(side.withColumnRenamed("id", "a"), "a").join(side.select(F.col("id").alias("b"), *other("n", "often", "group")), "b")
     by_rare = rare.filter(F.expr("group <> group2") & _possible(F.least("often", "often2") + F.col("common"), threshold)).select("a", "b")
-    close = durable(_alike(by_lists.unionByName(by_rare).distinct(), sets))
-    of = lambda x, y: groups.select(F.col("id").alias(x), F.col("group").alias(y))
-    between = _confirmed(close, whole, threshold).join(of("a", "ga"), "a", "left").join(of("b", "gb"), "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
-    merged = connected_components(between, small=0).withColumnsRenamed({"node": "group"})
-    every = groups.unionByName(merged.select(F.col("group").alias("id"), "group")).distinct()
-    out = durable(every.join(merged, "group", "left").groupBy("id").agg(F.min(F.coalesce("root", "group")).alias("root")))
-    forget(grouped, placed, whole, tally, close)
-    return out
+    close = durable(by_lists.unionByName(_alike(by_rare, sets)).distinct())
+    merged = of(durable(groups.select(F.col("id").alias("a"), F.col("group").alias("b")).unionByName(_confirmed(close, whole, threshold))))
+    forget(known, full, whole, tally, close)
+    return merged.withColumnRenamed("group", "root")
 
 
 def near_groups(docs: DataFrame, threshold: int = 85) -> DataFrame:
@@ -226,7 +242,7 @@ def near_groups(docs: DataFrame, threshold: int = 85) -> DataFrame:
     roots = linked(held, sets, threshold)
     own = sets.select("id", "key", "head").join(roots, "id", "left").select("key", "head", F.coalesce("root", "id").alias("root"))
     least = own.groupBy("root").agg(F.min("head").alias("component"))
-    known = durable(own.join(least, "root").select("key", "component"), spent=(sets, roots))
+    known = durable(own.join(least, "root").select("key", "component"), spent=(sets,))
     out = rows.join(known, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
