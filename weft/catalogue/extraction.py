@@ -1,4 +1,4 @@
-"""Extraction from source texts: literal samples, pages, and a small portfolio written here."""
+"""Extraction from pages, documents and a small portfolio written here."""
 
 from __future__ import annotations
 
@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalogue.standins import read
-from weft.functions.text import json_object, looks_like_sql, properties, stem
-from weft.operators.reports import orphans
+from weft.functions.text import stem
 from weft.plans import catalog, pipeline
 from weft.plans.durable import durable_folder
-from weft.sources import contracts, files, inventory, manifests, sourcecode, sqltext, webpages
+from weft.sources import files, inventory, sourcecode, webpages
 
 SQL = (
     "INSERT INTO daily (day, total) SELECT o.day, sum(x) FROM orders o JOIN items i ON i.oid = o.id",
@@ -23,12 +22,9 @@ SQL = (
     "CREATE TABLE audit (at TIMESTAMP, what TEXT);",
     "",
 )
-PROTO = 'syntax = "proto3"; service Orders { rpc Place (Order) returns (Ack); rpc Cancel(Id) returns (Ack); } message Order { string id = 1; } service Stock { rpc Count (Id) returns (N); }'
-GRAPHQL = "type Query {\n  order(id: ID!): Order\n  orders: [Order]\n}\ntype Order { id: ID }\ntype Mutation {\n  place(input: New): Order\n}"
 OPENAPI = '{"openapi": "3.0.0", "paths": {"/orders": {"get": {}, "post": {}, "parameters": []}, "/orders/{id}": {"delete": {"x": 1}}}}'
 PACKAGE = '{"name": "shop", "description": "Sells things to people.", "dependencies": {"kafkajs": "^2.2.4", "@scope/ui": "~1.0.0"}, "devDependencies": {"jest": ">=29.0.0"}}'
 POM = "<project><groupId>own</groupId>\n<artifactId>shop</artifactId><dependencies><dependency><groupId>org.springframework.kafka</groupId> <artifactId>spring-kafka</artifactId></dependency></dependencies></project>"
-PROPERTIES = "# names\nkafka.topic = orders\nempty=\nurl=http://x/?a=b\nkafka.topic=late\nnot a line"
 INVENTORY = '{"groups": [{"id": 1, "full_path": "a", "projects": [{"id": 10, "path_with_namespace": "a/x", "http_url_to_repo": "u1"}], "subgroups": [{"id": 2, "full_path": "a/b", "projects": [{"id": 11, "path_with_namespace": "a/b/y", "http_url_to_repo": "u2", "name": "why"}, {"id": 10, "name": "ex"}]}]}], "projects": [{"id": 12, "path_with_namespace": "z", "http_url_to_repo": ""}]}'
 
 
@@ -36,52 +32,6 @@ def _texts(spark: SparkSession, *texts: str) -> DataFrame:
     return spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("n", "t"))
 
 
-def sql_lineage(spark, sf):
-    return _texts(spark, *SQL).select("n", F.inline(sqltext.lineage(F.col("t"))))
-
-
-def sql_columns(spark, sf):
-    return _texts(spark, *SQL).select("n", F.explode(sqltext.written_columns(F.col("t"))).alias("column"))
-
-
-def fk_edges(spark, sf):
-    return sqltext.foreign_keys(_texts(spark, *SQL).select(F.col("t").alias("sql")))[1]
-
-
-def orphan_tables(spark, sf):
-    tables, keys = sqltext.foreign_keys(_texts(spark, *SQL).select(F.col("t").alias("sql")))
-    return orphans(tables, keys, tables.filter("false").select(F.col("table").alias("resource_id")))
-
-
-def proto_rpc(spark, sf):
-    return _texts(spark, PROTO).select(F.explode(contracts.grpc_methods(F.col("t"))).alias("method"))
-
-
-def graphql_fields(spark, sf):
-    return _texts(spark, GRAPHQL).select(F.explode(contracts.graphql_fields(F.col("t"))).alias("field"))
-
-
-def openapi_ops(spark, sf):
-    return _texts(spark, OPENAPI).select(F.explode(contracts.openapi_operations(F.col("t"))).alias("operation"))
-
-
-def npm_deps(spark, sf):
-    return _texts(spark, PACKAGE).select(F.inline(manifests.npm_dependencies(F.col("t"))))
-
-
-def pom_deps(spark, sf):
-    return _texts(spark, POM).select(F.inline(manifests.maven_dependencies(F.col("t"))))
-
-
-def properties_map(spark, sf):
-    return _texts(spark, PROPERTIES).select(F.explode(properties(F.col("t"))).alias("key", "value"))
-
-
-def python_requirements(spark, sf):
-    text = "# pins\nRequests>=2.0\nkafka-python==2.0.2 ; x\n\n-e .\nhttpx\nrequests"
-    return _texts(spark, text).select(F.explode(manifests.requirement_names(F.col("t"))).alias("name"))
-
-
 def inventory_projects(spark, sf):
     return inventory.parse(spark, _texts(spark, INVENTORY).select(F.col("t").alias("value")))
 
@@ -95,15 +45,6 @@ def url_parts(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.parse_url(url, F.lit("PROTOCOL")).alias("scheme"), F.parse_url(url, F.lit("HOST")).alias("host"), F.parse_url(url, F.lit("QUERY")).alias("query"))
 
 
-def json_answers(spark, sf):
-    texts = ('{"a": 1}', 'Sure.\n```json\n{"a": 2}\n```', 'I say {"a": 3} so', "no", "[1]", "")
-    return _texts(spark, *texts).select("n", F.try_variant_get(json_object(F.col("t")), "$.a", "int").alias("a"))
-
-
-def sql_heads(spark, sf):
-    return _texts(spark, " select 1", "WITH x AS (SELECT 1)", "without", "update t", "hello").select("n", looks_like_sql(F.col("t")).alias("is_sql"))
-
-
 def stems(spark, sf):
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w")
     return read(spark, sf, "documents").select(words).distinct().select(stem(F.col("w")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
@@ -180,10 +121,7 @@ def portfolio_incremental(spark, sf):
     return out.unionByName(r["capabilities"].filter("dimension <> 'code'").select(F.lit(3).alias("run"), "id", F.col("n_members").cast("string").alias("state")))
 
 
-QUERIES = {f.__name__: f for f in (
-    sql_lineage, sql_columns, fk_edges, orphan_tables, proto_rpc, graphql_fields, openapi_ops, npm_deps, pom_deps, properties_map, python_requirements, inventory_projects, html_links, url_parts, json_answers,
-    sql_heads, stems, census_projects, extracted_facts, portfolio_run, portfolio_rejections, portfolio_incremental,
-)}
+QUERIES = {f.__name__: f for f in (inventory_projects, html_links, url_parts, stems, census_projects, extracted_facts, portfolio_run, portfolio_rejections, portfolio_incremental)}
 
 
 def _rows(columns: str, *rows: tuple) -> str:
@@ -191,29 +129,7 @@ def _rows(columns: str, *rows: tuple) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS t({columns})"
 
 
-_SAMPLES = "s AS (" + _rows("n, t", *enumerate(SQL)) + ")"
-_NAME = r'([`"A-Za-z0-9_.]+)'
-
-
-def _found(direction: str, verb: str) -> str:
-    return f"SELECT n, '{direction}' AS direction, lower(trim(unnest(regexp_extract_all(t, '(?i)\\b{verb}\\s+{_NAME}', 1)), '`\"')) AS \"table\" FROM s"
-
-
-_LINEAGE = " UNION ".join([*(_found("WRITES", v) for v in (r"CREATE\s+(?:TABLE|VIEW)(?:\s+IF\s+NOT\s+EXISTS)?", r"INSERT\s+INTO", "UPDATE", r"DELETE\s+FROM")), *(_found("READS", v) for v in ("FROM", "JOIN"))])
-_FK = f"""st AS (SELECT unnest(string_split(t, ';')) AS q FROM s), made AS (SELECT lower(regexp_extract(q, '(?i)CREATE\\s+TABLE\\s+(?:IF\\s+NOT\\s+EXISTS\\s+)?{_NAME}', 1)) AS child, q FROM st),
-  fk AS (SELECT DISTINCT child, parent FROM (SELECT child, lower(unnest(regexp_extract_all(q, '(?i)REFERENCES\\s+{_NAME}', 1))) AS parent FROM made WHERE child <> '') WHERE parent <> child)"""
 ORACLES = {
-    "sql_lineage": f"WITH {_SAMPLES}, l AS ({_LINEAGE}) SELECT n::INT AS n, max(direction) AS direction, \"table\" FROM l GROUP BY n, \"table\"",
-    "sql_columns": _rows('n, "column"', (0, "daily.day"), (0, "daily.total"), (1, "items.id"), (1, "items.price"), (1, "items.oid"), (2, "orders.id"), (2, "orders.customer"), (2, "customers.id"), (2, "customers.name"), (5, "audit.at"), (5, "audit.what")),
-    "fk_edges": f"WITH {_SAMPLES}, {_FK} SELECT * FROM fk",
-    "orphan_tables": f"WITH {_SAMPLES}, {_FK} SELECT DISTINCT child AS \"table\" FROM made WHERE child <> '' AND child NOT IN (SELECT child FROM fk UNION SELECT parent FROM fk)",
-    "proto_rpc": _rows("method", ("Orders/Place",), ("Orders/Cancel",), ("Stock/Count",)),
-    "graphql_fields": _rows("field", ("Query.order",), ("Query.orders",), ("Mutation.place",)),
-    "openapi_ops": _rows("operation", ("GET /orders",), ("POST /orders",), ("DELETE /orders/{id}",)),
-    "npm_deps": _rows("purl, scope", ("pkg:npm/kafkajs@2.2.4", "runtime"), ("pkg:npm/@scope/ui@1.0.0", "runtime"), ("pkg:npm/jest@29.0.0", "test")),
-    "pom_deps": _rows("purl, scope", ("pkg:maven/own/shop", "runtime"), ("pkg:maven/org.springframework.kafka/spring-kafka", "runtime")),
-    "properties_map": _rows("key, value", ("kafka.topic", "late"), ("empty", ""), ("url", "http://x/?a=b")),
-    "python_requirements": _rows("name", ("_e",), ("httpx",), ("kafka_python",), ("requests",)),
     "inventory_projects": _rows("id, path, url, name", (10, "a/x", "u1", "ex"), (11, "a/b/y", "u2", "why"), (12, "z", None, "z")).replace("SELECT *", "SELECT id::BIGINT AS id, path, url, name"),
     "html_links": r"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS x FROM pages), a AS (
         SELECT page_id, unnest(regexp_extract_all(x, '(?i)(?:action|<c:url\s+[^>]*value)\s*=\s*["'']([^"''#]+)["'']', 1)) AS u FROM l
@@ -222,8 +138,6 @@ ORACLES = {
         k AS (SELECT page_id, trim(u) AS u FROM a WHERE trim(u) <> '' AND NOT starts_with(trim(u), 'javascript:') AND NOT starts_with(trim(u), '${'))
         SELECT page_id, count(*) AS n, count(DISTINCT u) AS n_addresses, min(u) AS first FROM k GROUP BY page_id""",
     "url_parts": "SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM pages",
-    "json_answers": _rows("n, a", (0, 1), (1, 2), (2, 3), (3, None), (4, None), (5, None)),
-    "sql_heads": "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, false)) AS t(n, is_sql)",
     "stems": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT regexp_replace(w, '(?:ing|ers|er|ed|s)$', '') AS stem, count(*) AS n FROM w GROUP BY 1",
 }
 
