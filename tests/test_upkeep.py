@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.catalogue.standins import facts
-from weft.operators import deltas, similarity
+from weft.operators import deltas, judge, similarity
 from weft.operators.components import connected_components, updated_components
 from weft.plans import catalog, pipeline, remediate
 from weft.plans.durable import durable
@@ -214,3 +214,27 @@ def test_errors_outlast_a_run_that_reads_nothing_new(spark, tmp_path, monkeypatc
         _, r = pipeline.incremental(spark, source(text), store, pipeline.Config(semantic=False))
         counts.append(sorted(x["source"] for x in r["errors"].collect()))
     assert counts == [["a:py", "b:py"]] * 3
+
+
+# --- a model's verdicts -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("body", "good"),
+    [
+        ('{"confirmed": true}', True), ('so: {"confirmed": false, "confidence": 1, "play": "LEAVE", "reason": "r"}', True), ('{"confirmed": true, "confidence": "high"}', False), ('{"confirmed": true, "confidence": true}', False),
+        ('{"confirmed": true, "confidence": 1.5}', False), ('{"confirmed": true, "confidence": NaN}', False), ('{"confirmed": true, "play": "MERGE"}', False), ('{"confirmed": true, "play": ["LEAVE"]}', False), ('{"confirmed": true, "reason": 3}', False),
+        ('{"confirmed": "yes"}', False), ("[true]", False), ("no", False),
+    ],
+)
+def test_what_is_no_verdict_is_no_answer(body, good):
+    assert (judge.answered("p", lambda prompt: (200, {}, body), 1) is not None) == good
+
+
+def test_a_bad_verdict_leaves_the_heuristic_one(spark):
+    rows = spark.createDataFrame([("a", "b", 0.9, True, 0.8, "RETIRE", "why", "x", "y")], "a string, b string, similarity double, confirmed boolean, confidence double, play string, reason string, summary_a string, summary_b string")
+    of = lambda body: judge.asked(rows, lambda prompt: (200, {}, body)).first()
+    got = of('{"confirmed": false, "confidence": "high"}')
+    assert (got["confirmed"], got["confidence"], got["play"], got["reason"]) == (True, 0.8, "RETIRE", "[Fallback: no answer] why")
+    got = of('{"confirmed": false, "confidence": 1, "play": "LEAVE", "reason": "no"}')
+    assert (got["confirmed"], got["confidence"], got["play"], got["reason"]) == (False, 1.0, "LEAVE", "no")

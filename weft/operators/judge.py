@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.numbers import half_even
 from weft.functions.text import domain_tokens
+from weft.schema import PLAYS
 
 THRESHOLD = 0.82
 
@@ -112,8 +113,17 @@ def prompt_of(row: dict) -> str:
     return json.dumps({"task": task, "a": row["summary_a"], "b": row["summary_b"], "similarity": row["similarity"], "shared_resources": [] if shared is None else [*shared]})
 
 
+def sound(found: object) -> bool:
+    """Whether a model's answer is a verdict: what it gives must be of the kind, and in the vocabulary, that a judgement has."""
+    if not isinstance(found, dict) or not isinstance(found.get("confirmed"), bool):
+        return False
+    confidence, play, reason = found.get("confidence", 0.0), found.get("play", PLAYS[0]), found.get("reason", "")
+    number = isinstance(confidence, int | float) and not isinstance(confidence, bool)
+    return number and 0 <= confidence <= 1 and isinstance(play, str) and play in PLAYS and isinstance(reason, str)
+
+
 def answered(prompt: str, ask: Callable[[str], tuple[int, dict[str, str], str]], attempts: int) -> dict | None:
-    """The JSON object of a model's answer, or None; a busy server is asked again."""
+    """The verdict of a model's answer, or None if it is none; a busy server is asked again."""
     for attempt in range(attempts):
         try:
             status, headers, body = ask(prompt)
@@ -128,7 +138,7 @@ def answered(prompt: str, ask: Callable[[str], tuple[int, dict[str, str], str]],
             found = json.loads(body[body.find("{") : body.rfind("}") + 1])
         except ValueError:
             return None
-        return found if isinstance(found, dict) and isinstance(found.get("confirmed"), bool) else None
+        return found if sound(found) else None
     return None
 
 
@@ -153,7 +163,7 @@ def asked(judgements: DataFrame, ask: Callable[[str], tuple[int, dict[str, str],
                     continue
                 for n in names:
                     if n in answer:
-                        pdf.at[i, n] = answer[n]
+                        pdf.at[i, n] = float(answer[n]) if n == "confidence" else answer[n]
             yield pdf
 
     return judgements.mapInPandas(batches, judgements.schema)
