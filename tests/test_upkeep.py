@@ -238,3 +238,16 @@ def test_a_bad_verdict_leaves_the_heuristic_one(spark):
     assert (got["confirmed"], got["confidence"], got["play"], got["reason"]) == (True, 0.8, "RETIRE", "[Fallback: no answer] why")
     got = of('{"confirmed": false, "confidence": 1, "play": "LEAVE", "reason": "no"}')
     assert (got["confirmed"], got["confidence"], got["play"], got["reason"]) == (False, 1.0, "LEAVE", "no")
+
+
+def test_the_shell_leaves_all_rows_in_files(spark, tmp_path):
+    from weft.__main__ import main
+
+    for name in ("one", "two"):
+        (tmp_path / "in/deep" / name).mkdir(parents=True)
+        (tmp_path / "in/deep" / name / "requirements.txt").write_text("kafka-python\n")
+        (tmp_path / "in/deep" / name / "app.py").write_text("import kafka\np.send('order.made', 1)\n")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    assert main(["census", source, "--out", out]) == 0 and main(["heal", source, "--out", out]) == 0
+    assert {r["project_id"] for r in spark.read.json(f"{out}/census").collect()} == {"one", "two"}
+    assert spark.read.json(f"{out}/healed").count() == 2 and [r["n_left"] for r in spark.read.json(f"{out}/healing").collect()] == [0]

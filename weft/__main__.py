@@ -24,10 +24,16 @@ from weft.plans import exports, pipeline, remediate
 from weft.plans.catalog import Catalog
 from weft.sources import files, inventory
 
-#: Rows that a shell shows; files have all.
+#: Rows that a shell shows; files under --out have all.
 SHOWN = 500
 
 
+def _told(rows: DataFrame, path: str) -> None:
+    """All rows as JSON lines in a folder, and the first of them in the shell."""
+    rows.write.mode("overwrite").json(path)
+    rows.show(SHOWN, truncate=False)
+
+
 def _write_texts(rows: DataFrame, out: Path) -> int:
     """Few and small files, by name and content."""
     out.mkdir(parents=True, exist_ok=True)
@@ -63,7 +69,8 @@ def main(args: list[str] | None = None) -> int:
         all_files = files.scan(spark, a.root)
         dirs = files.named(files.projects(all_files))
         placed = files.in_projects(all_files, dirs)
-        dirs.join(files.owners(all_files, dirs), "project_id").join(files.primary(files.detected(placed)), "project_id", "left").join(files.lines_of_code(placed), "project_id", "left").show(SHOWN, truncate=False)
+        found = dirs.join(files.owners(all_files, dirs), "project_id").join(files.primary(files.detected(placed)), "project_id", "left")
+        _told(found.join(files.lines_of_code(placed), "project_id", "left"), f"{a.out}/census")
         return 0
     items = inventory.parse(spark, spark.read.text(a.inventory, wholetext=True)) if a.inventory else None
     config = pipeline.Config(semantic=not a.no_semantic, remediate=a.remediate or a.command in ("ratchet", "rewrite"))
@@ -75,8 +82,7 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "heal":
         changed, report = pipeline.heal(spark, a.root, config, items)
         changed.write.mode("overwrite").json(f"{a.out}/healed")
-        report.write.mode("overwrite").json(f"{a.out}/healing")
-        report.orderBy("resource_type", "resource_id").show(SHOWN, truncate=False)
+        _told(report.orderBy("resource_type", "resource_id"), f"{a.out}/healing")
         return 0
     else:
         r = pipeline.run(spark, a.root, config, items)
@@ -91,9 +97,9 @@ def main(args: list[str] | None = None) -> int:
         key = ("direction", "resource_type", "resource_id")
         got = r["facts"].withColumn("project", F.split_part("module_id", F.lit(":"), F.lit(1)))
         gaps = r["gaps"].select(F.split_part("module_id", F.lit(":"), F.lit(1)).alias("project"))
-        reports.evaluation(spark.read.json(a.expected), got, gaps, "project", *key).show(SHOWN, truncate=False)
+        _told(reports.evaluation(spark.read.json(a.expected), got, gaps, "project", *key), f"{a.out}/eval")
     elif a.command == "judge":
-        r["judgements"].select("a", "b", "similarity", "tier", "confirmed", "confidence", "play", "reason").orderBy(F.desc("similarity")).show(SHOWN, truncate=False)
+        _told(r["judgements"].select("a", "b", "similarity", "tier", "confirmed", "confidence", "play", "reason").orderBy(F.desc("similarity")), f"{a.out}/judgements")
     elif a.command in ("ratchet", "rewrite"):
         print(_write_texts(r["ratchets" if a.command == "ratchet" else "recipes"], out), "files in", out)
     return 0
