@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from weft.catalogue.standins import facts
 from weft.operators import deltas, judge, similarity
 from weft.operators.components import connected_components, updated_components
-from weft.plans import catalog, pipeline, remediate
+from weft.plans import catalog, pipeline, remediate, tracking
 from weft.plans.durable import durable
 from weft.sources import files
+from weft.streaming import ingest
 
 
 def pairs(df):
@@ -251,3 +252,64 @@ def test_the_shell_leaves_all_rows_in_files(spark, tmp_path):
     assert main(["census", source, "--out", out]) == 0 and main(["heal", source, "--out", out]) == 0
     assert {r["project_id"] for r in spark.read.json(f"{out}/census").collect()} == {"one", "two"}
     assert spark.read.json(f"{out}/healed").count() == 2 and [r["n_left"] for r in spark.read.json(f"{out}/healing").collect()] == [0]
+
+
+# --- files kept up ------------------------------------------------------------------------------------------
+
+
+def app(topic, table="orders"):
+    return f"import kafka\n\ndef run(p, cur):\n    p.send('{topic}', 1)\n    cur.execute('INSERT INTO {table} (id, total) VALUES (1, 2)')\n"
+
+
+def put(root, texts):
+    for rel, text in texts.items():
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_text(text)
+
+
+def test_names_that_begin_with_an_underscore_are_files(spark, tmp_path):
+    put(tmp_path, {"OWNER": "t\n", "a/pkg/__init__.py": "x = 1\r\ny = 2\r", "a/pkg/[id].js": "z", "a/deep/down/_m.py": "m", "node_modules/x/i.js": "no", "a/b/node_modules/x/i.js": "no", "a/b/c/.venv/i.py": "no", "a/b/c/.hidden.py": "h", "a/é.py": "e"})
+    (tmp_path / "a/b/bad.py").write_bytes(b"a\xffb\n")
+    (tmp_path / "a/b/loop").symlink_to(tmp_path / "a")
+    got = {r["rel_path"]: r["content"] for r in files.scan(spark, str(tmp_path)).collect()}
+    assert got == {"OWNER": "t\n", "a/pkg/__init__.py": "x = 1\ny = 2\n", "a/pkg/[id].js": "z", "a/deep/down/_m.py": "m", "a/b/c/.hidden.py": "h", "a/é.py": "e", "a/b/bad.py": "ab\n"}
+    assert {r["suffix"] for r in files.walk(spark, f"file://{tmp_path}").filter("rel_path like '%js'").collect()} == {".js"}
+    (tmp_path / "empty").mkdir()
+    assert files.scan(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_only_changed_files_are_opened(spark, tmp_path):
+    root, store = tmp_path / "in", catalog.Catalog(spark, str(tmp_path / "store"))
+    put(root, {f"p{i}/app.py": app("order.made") for i in range(6)} | {"p0/__init__.py": "a = 1\n"})
+    assert tracking.refreshed(spark, str(root), store) == (7, 0)
+    was = os.stat(root / "p1/app.py")
+    (root / "p1/app.py").write_text("#" * was.st_size)  # not to be seen: as large, and as old
+    os.utime(root / "p1/app.py", ns=(was.st_atime_ns, was.st_mtime_ns))
+    put(root, {"p2/app.py": "x = 2\n", "p9/app.py": "x = 9\n"})
+    (root / "p3/app.py").unlink()
+    assert tracking.refreshed(spark, str(root), store) == (2, 1)
+    got = {r["rel_path"]: r["content"] for r in store.read("files").collect()}
+    assert got["p1/app.py"] == app("order.made") and got["p2/app.py"] == "x = 2\n" and got["p9/app.py"] == "x = 9\n" and "p3/app.py" not in got and len(got) == 7
+    before = listed(tmp_path / "store")
+    assert tracking.refreshed(spark, str(root), store) == (0, 0) and listed(tmp_path / "store") == before
+
+
+def test_a_feed_of_three_batches_equals_three_full_runs(spark, tmp_path):
+    now, steps = {}, [
+        {"a/OWNER": "team-a\n", "a/one/app.py": app("order.made"), "a/two/app.py": app("order.made", "stock"), "b/app.py": app("order.late"), "node_modules/x.py": "no"},
+        {"a/two/app.py": app("order.late", "stock"), "c/app.py": app("order.made")},
+        {"b/app.py": None, "a/OWNER": "team-z\n"},
+    ]
+    feed, store, seen = tmp_path / "feed", catalog.Catalog(spark, str(tmp_path / "store"), buckets=4), []
+    config = pipeline.Config(semantic=False)
+    facts_of = lambda r: sorted(map(str, r["facts"].select("module_id", "direction", "resource_type", "resource_id", "tier", "line").collect()))
+    found_of = lambda r: (facts_of(r), sorted(map(str, r["capabilities"].collect())), sorted(map(str, r["modules"].select("id", "owner").collect())), sorted(map(str, r["projects"].select("id", "owner_team", "loc").collect())))
+    then = lambda number, states, r: seen.append(({x["project_id"]: x["state"] for x in states.collect()}, found_of(r)))
+    for k, step in enumerate(steps):
+        rows = [(p, "old\n", 10 * k) for p, t in step.items() if t] + [(p, t, 10 * k + 1) for p, t in step.items()]
+        spark.createDataFrame(rows, ingest.CHANGE).coalesce(1).write.mode("append").parquet(str(feed))
+        ingest.followed(spark, str(feed), store, str(tmp_path / "checkpoint"), then, config).awaitTermination()
+        now = {p: t for p, t in (now | step).items() if t is not None}
+        full = pipeline.run(spark, spark.createDataFrame([(p, "." + p.rsplit(".", 1)[1] if "." in p else "", t) for p, t in now.items() if "node_modules" not in p], "rel_path string, suffix string, content string"), config)
+        assert len(seen) == k + 1 and seen[k][1] == found_of(full)
+    assert [s for s, _ in seen] == [{"one": "new", "two": "new", "b": "new"}, {"one": "same", "two": "changed", "b": "same", "c": "new"}, {"one": "same", "two": "same", "b": "deleted", "c": "same"}]

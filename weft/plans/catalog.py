@@ -12,8 +12,8 @@ from weft.schema import KEYS, TABLES
 
 #: Buckets of projects; a changed project rewrites those of its own.
 BUCKETS = 64
-#: Tables whose rows a project's id names; all others but clone_pairs name a module.
-BY_PROJECT = {"projects": "id", "modules": "project_id", "scan_cache": "project_id"}
+#: Tables whose rows a project's id (files: their folder) names; all others but clone_pairs name a module.
+BY_PROJECT = {"projects": "id", "modules": "project_id", "scan_cache": "project_id", "files": "folder"}
 
 
 class Catalog:
@@ -100,11 +100,19 @@ class Catalog:
         named = [r[0] for r in rows.select(self.bucket(F.col(BY_PROJECT[table]))).distinct().collect()]
         return self.overwrite(table, upserted(self.read(table, named), rows, KEYS[table]), named)
 
+    def exchange(self, table: str, rows: DataFrame, gone: DataFrame) -> None:
+        """Puts rows in the place of those with their keys, and takes out those with the keys of gone. Only the buckets of both are
+        read and written; gone has the key and the column that names the bucket."""
+        by, key = BY_PROJECT[table], KEYS[table]
+        named = [r[0] for r in rows.select(by).unionByName(gone.select(by)).select(self.bucket(F.col(by))).distinct().collect()]
+        if named:
+            self.overwrite(table, upserted(self.read(table, named).join(gone.select(key), key, "left_anti"), rows, key), named)
+
     def clear_projects(self, ids: DataFrame) -> None:
         """Takes the projects in ids (project_id) and all that belongs to their modules out of the store. Only their buckets are
         read and written, a bounded number; clone_pairs, whose rows belong to two projects each, in all of its buckets."""
         named = [r[0] for r in ids.select(self.bucket(F.col("project_id"))).distinct().collect()]
-        held = {t: self.read(t, None if t == "clone_pairs" else named) for t in TABLES}
+        held = {t: self.read(t, None if t == "clone_pairs" else named) for t in TABLES if t != "files"}
         for name, rows in cleared(held, ids).items():
             if name != "modules":  # the others look their buckets up there
                 self.overwrite(name, rows, None if name == "clone_pairs" else named)

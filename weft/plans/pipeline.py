@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weft.functions.text import code_lines, properties
 from weft.functions.vectors import trigram_embedding
 from weft.operators import capability, graph, judge, reports, similarity
-from weft.plans import remediate, views
+from weft.plans import remediate, tracking, views
 from weft.plans.catalog import Catalog, changed
 from weft.plans.durable import durable
 from weft.schema import dimension, rejections, split_valid
@@ -130,13 +130,18 @@ def modules_of(placed: DataFrame, owners: DataFrame) -> DataFrame:
     return found.join(owners, "project_id", "left").select(F.concat_ws(":", "project_id", tag).alias("id"), "project_id", F.col("project_id").alias("name"), "lang", F.col("build").alias("build_system"), F.coalesce("owner", F.lit("unknown")).alias("owner"))
 
 
-def ingested(spark: SparkSession, source: DataFrame | str, inventory: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingested(spark: SparkSession, source: DataFrame | str, inventory: DataFrame | None = None, stored: bool = False) -> dict[str, DataFrame]:
     """files, dirs (project folders), placed (files in their projects) and owners of projects, for files (rel_path, suffix,
-    content) or those under a folder. With an inventory (name, ...) only the projects that it names."""
-    all_files = durable(files.scan(spark, source) if isinstance(source, str) else source)
+    content) or those under a folder. With an inventory (name, ...) only the projects that it names. Files that are stored
+    are not copied: only their paths are placed, and what is read of placed is read from where they are."""
+    all_files = source if stored else durable(files.scan(spark, source) if isinstance(source, str) else source)
     found = files.named(files.projects(all_files))
     dirs = durable(found if inventory is None else files.from_inventory(inventory, found).select("dir", "project_id").distinct())
-    return {"files": all_files, "dirs": dirs, "placed": durable(files.in_projects(all_files, dirs)), "owned": files.owners(all_files, dirs)}
+    if stored:
+        placed = all_files.join(durable(files.in_projects(all_files.select("rel_path"), dirs)), "rel_path")
+    else:
+        placed = durable(files.in_projects(all_files, dirs))
+    return {"files": all_files, "dirs": dirs, "placed": placed, "owned": files.owners(all_files, dirs)}
 
 
 def extract(placed: DataFrame, owned: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, DataFrame]:
@@ -304,15 +309,19 @@ def _stored(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def incremental(spark: SparkSession, source: DataFrame | str, store: Catalog, config: Config | None = None, inventory: DataFrame | None = None) -> tuple[DataFrame, Run]:
+def incremental(spark: SparkSession, source: DataFrame | str | None, store: Catalog, config: Config | None = None, inventory: DataFrame | None = None) -> tuple[DataFrame, Run]:
     """(project_id, content_hash, state) for each project, and the tables of a run of which only new and changed
     projects were read again; what the store has of the others is taken from there.
 
-    Deleted and changed projects leave the store first, then what was read is added, and the hashes last: a run
+    Of a folder only files that changed are opened (tracking.refreshed): the store has a copy of the others. Without a source the
+    store's files are taken as they are. Deleted and changed projects leave the store first, then what was read is added, and the hashes last: a run
     that fails on the way reads the same projects once more."""
     config = config or Config()
     seconds, mark = _clock()
-    got = ingested(spark, source, inventory)
+    if isinstance(source, str):
+        tracking.refreshed(spark, source, store)
+        source = None
+    got = ingested(spark, store.read("files") if source is None else source, inventory, stored=source is None)
     hashes = durable(files.content_hashes(got["placed"]))
     states = durable(changed(hashes, store.read("scan_cache")))
     mark("ingest")
@@ -331,6 +340,8 @@ def incremental(spark: SparkSession, source: DataFrame | str, store: Catalog, co
     held = {name: store.read(table) for name, table in KEPT.items()}
     place = [F.col("provenance.file").alias("rel_path"), F.col("provenance.line").alias("line")]
     held["modules"] = durable(held["modules"].join(owned, "project_id", "left"))
+    # an OWNER file may lie above the projects that it names
+    held["projects"] = held["projects"].join(owned.select(F.col("project_id").alias("id"), "owner"), "id", "left").withColumn("owner_team", F.coalesce("owner", F.lit("unknown"))).drop("owner")
     held["facts"] = durable(held["facts"].select("module_id", "direction", "resource_type", "resource_id", "tier", *place, F.col("provenance.snippet").alias("snippet"), F.col("provenance.resolver_notes").alias("notes"), "fact_seq"))
     held["gaps"] = held["gaps"].select("module_id", *place, "kind", "expression")
     held["couplings"] = held["couplings"].filter("name = 'coupling'").select("module_id", F.col("value").alias("coupling"))

@@ -31,9 +31,10 @@ TABLES = {
     "module_metrics": "module_id string, name string, value double",
     "clone_pairs": "module_a string, module_b string, clone_type int, similarity double, tier string",
     "scan_cache": "project_id string, content_hash string, last_scanned timestamp",
+    "files": "rel_path string, folder string, suffix string, modified bigint, size bigint, digest string, content string",
     "errors": "timestamp timestamp, phase string, source string, error_type string, message string, details string, remediation string, severity string",
 }
-KEYS = {"projects": "id", "modules": "id", "scan_cache": "project_id"}
+KEYS = {"projects": "id", "modules": "id", "scan_cache": "project_id", "files": "rel_path"}
 
 
 def tier_rank(tier: Column) -> Column:

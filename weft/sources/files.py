@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +38,121 @@ def is_ignored(path: Column) -> Column:
     return F.exists(folders, lambda d: d.isin(*IGNORED) | d.startswith(".") | d.endswith(".egg-info") | d.endswith(".dist-info"))
 
 
+def _passed_over(folder: str) -> bool:
+    return folder in IGNORED or folder.startswith(".") or folder.endswith((".egg-info", ".dist-info"))
+
+
+def _system(root: str):
+    """The file system of a root and the root's path there: a local folder, or an address (s3://, gs://, hdfs://)."""
+    from pyarrow import fs
+
+    if "://" in root and not root.startswith("file:"):
+        system, path = fs.FileSystem.from_uri(root)
+        return system, path.rstrip("/")
+    return fs.LocalFileSystem(), os.path.abspath(re.sub("^file:/+", "/", root))
+
+
+def _entries(system, path: str):
+    """(name, whether it is a folder, modified, size) of what lies in a folder. Linked folders are not entered."""
+    from pyarrow import fs
+
+    for i in system.get_file_info(fs.FileSelector(path)):
+        if i.type == fs.FileType.File:
+            yield i.base_name, False, i.mtime_ns or 0, i.size
+        elif i.type == fs.FileType.Directory and not _passed_over(i.base_name) and not (system.type_name == "local" and os.path.islink(i.path)):
+            yield i.base_name, True, 0, 0
+
+
+LISTED = "rel_path string, modified bigint, size bigint"
+#: Most files and bytes of one Arrow batch; a longer file is a batch of its own.
+BATCH_FILES, BATCH_BYTES = 256, 16 << 20
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path, suffix, modified, size) of the files under root. Folders to pass over are not entered, and no file is opened.
+
+    Spark's own reader leaves out files whose names begin with _ or a dot, which are code as others are (__init__.py);
+    so tasks list folders themselves. The driver lists two levels, tasks walk what lies below, a folder each."""
+    system, base = _system(root)
+    top, below = [], []
+    todo = [("", 0)]
+    while todo:
+        folder, level = todo.pop()
+        for name, is_folder, modified, size in _entries(system, f"{base}/{folder}" if folder else base):
+            rel = f"{folder}/{name}" if folder else name
+            if not is_folder:
+                top.append((rel, modified, size))
+            elif level:
+                below.append((rel,))
+            else:
+                todo.append((rel, 1))
+
+    def walked(batches):
+        import pyarrow as pa
+
+        system, base = _system(root)
+        names = [c.strip().split(" ")[0] for c in LISTED.split(",")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names)
+        rows = []
+        for batch in batches:
+            todo = batch.column(0).to_pylist()
+            while todo:
+                folder = todo.pop()
+                for name, is_folder, modified, size in _entries(system, f"{base}/{folder}"):
+                    if is_folder:
+                        todo.append(f"{folder}/{name}")
+                    else:
+                        rows.append((f"{folder}/{name}", modified, size))
+                if len(rows) >= 10_000:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
+
+    found = spark.createDataFrame(top, LISTED)
+    if below:
+        dealt = spark.createDataFrame(below, "folder string").repartition(min(len(below), 4 * spark.sparkContext.defaultParallelism), "folder")
+        found = found.unionByName(dealt.mapInArrow(walked, LISTED))
+    return found.select("rel_path", suffix(F.col("rel_path")).alias("suffix"), "modified", "size")
+
+
+def opened(listed: DataFrame, root: str) -> DataFrame:
+    """(rel_path, suffix, modified, size, content): the files of a listing, read by tasks, a few megabytes a batch. Bytes that are
+    not UTF-8 are left out and line ends are \\n; a file that may not be read is empty, one that has gone since it was listed is
+    no row."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        system, base = _system(root)
+        for batch in batches:
+            at, texts, size = [], [], 0
+            for i, rel in enumerate(batch.column(0).to_pylist()):
+                try:
+                    with system.open_input_stream(f"{base}/{rel}") as f:
+                        texts.append(f.read().decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
+                except FileNotFoundError:
+                    continue
+                except OSError:
+                    texts.append("")
+                at.append(i)
+                size += len(texts[-1])
+                if len(at) >= BATCH_FILES or size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(texts, pa.large_string()).cast(pa.string())], [*batch.schema.names, "content"])
+                    at, texts, size = [], [], 0
+            if at:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(texts, pa.large_string()).cast(pa.string())], [*batch.schema.names, "content"])
+
+    rows = listed.select("rel_path", "suffix", "modified", "size")
+    return rows.mapInArrow(read, "rel_path string, suffix string, modified bigint, size bigint, content string")
+
+
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
-    """(rel_path, suffix, content) of the files under root, ignored folders left out.
-
-    Read by Spark's own reader, so root may be in any store that Spark reads. Bytes that are not UTF-8 are
-    replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z0-9]+:/*", "/")
-    path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    rel = F.expr("substring(`_path`, length(`_base`) + 2)")
-    rows = files.select(path.alias("_path"), base.alias("_base"), "content").select(rel.alias("rel_path"), "content").filter(~is_ignored(F.col("rel_path")))
-    rows = rows.withColumn("suffix", suffix(F.col("rel_path")))
+    """(rel_path, suffix, content) of the files under root, ignored folders left out."""
+    rows = walk(spark, root)
     if suffixes:
         rows = rows.filter(F.col("suffix").isin(*suffixes))
-    return rows.select("rel_path", "suffix", F.decode("content", "UTF-8").alias("content"))
+    return opened(rows, root).select("rel_path", "suffix", "content")
 
 
 def parent(path: Column) -> Column:
@@ -145,8 +249,10 @@ def content_hashes(files: DataFrame, key: str = "project_id") -> DataFrame:
     """(key, content_hash) of a project's files, in any order: the sha256 of their number and of two sums.
 
     A file counts with two independent 60-bit numbers, cut from the sha256 of its path and of its content's sha256. Sums are
-    aggregated where files lie, so a project of any size is one row of a shuffle."""
-    one = files.select(key, F.sha2(F.concat_ws(":", "rel_path", F.sha2(F.col("content").cast("binary"), 256)).cast("binary"), 256).alias("h"))
+    aggregated where files lie, so a project of any size is one row of a shuffle. With a column digest (that sha256 of the
+    content) no content is read."""
+    digest = F.col("digest") if "digest" in files.columns else F.sha2(F.col("content").cast("binary"), 256)
+    one = files.select(key, F.sha2(F.concat_ws(":", "rel_path", digest).cast("binary"), 256).alias("h"))
     number = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)"))
     sums = one.groupBy(key).agg(F.count(F.lit(1)).alias("n"), number(1).alias("s1"), number(16).alias("s2"))
     return sums.select(key, F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("n", "s1", "s2"))).cast("binary"), 256).alias("content_hash"))
