@@ -1,5 +1,8 @@
 """A whole run over a small portfolio, and the stored tables."""
 
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,20 +171,46 @@ def test_a_run_of_an_inventory_has_its_projects_only(spark):
 
 
 def test_a_site_has_every_row(run, tmp_path):
-    import json
-
     from weft.plans import exports
 
-    files_ = {p.name: p for p in exports.write_site(run.tables, tmp_path)}
-    caps = [json.loads(x) for x in files_["capabilities.jsonl"].read_text().splitlines()]
+    names = exports.write_site(run.tables, tmp_path)
+    assert all((tmp_path / n).is_file() for n in names) and len(names) == len(set(names))
+    text = lambda name: (tmp_path / name).read_text()
+    rows = lambda name, table: [json.loads(x) for part in json.loads(text(name))[table] for x in text(part).splitlines()]
+    caps = rows("capabilities.json", "capabilities")
     assert len(caps) == run["capabilities"].count() and caps[0]["opportunity"] == max(c["opportunity"] for c in caps)
-    graph = json.loads(files_["graph.json"].read_text())
-    assert len(graph["edges"]) == run["members"].count() and {e["source"] for e in graph["edges"]} <= {n["node"] for n in graph["nodes"]}
-    page = files_["index.html"].read_text()
+    edges = rows("graph.json", "edges")
+    assert len(edges) == run["members"].count() and {e["source"] for e in edges} <= {n["node"] for n in rows("graph.json", "nodes")}
+    page = text("index.html")
     assert all(c["id"] in page for c in caps) and "produces: " in page and "Pairs to look at" in page and "resolution" in page
-    assert json.loads(files_["orders-py.json"].read_text())["bomFormat"] == "CycloneDX"
-    assert "order.created" in files_["matrix.html"].read_text() and json.loads(files_["matrix.json"].read_text())["cells"]
-    assert files_["diagram.mmd"].read_text().startswith("graph LR\n") and json.loads(files_["resources.json"].read_text())["edges"]
+    bills = rows("bills_of_material.json", "documents")
+    assert {b["metadata"]["component"]["name"] for b in bills} >= {"orders-py"} and {b["bomFormat"] for b in bills} == {"CycloneDX"}
+    assert "order.created" in text("matrix.html") and rows("matrix.json", "cells")
+    assert text("diagram.mmd").startswith("graph LR\n") and rows("resources.json", "edges")
+    assert json.loads(text("errors.json")) == {"lines": []}
+    again = exports.write_site(run.tables, tmp_path)
+    assert again == names and sorted(p.name for p in (tmp_path / "parts").iterdir() if p.name.startswith("_")) == []
+
+
+def test_parts_are_whole_pages_in_order(spark, tmp_path, monkeypatch):
+    from weft.plans import exports
+
+    monkeypatch.setattr(exports, "SHOWN", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        site = exports.Site(spark, tmp_path)
+        rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("n"), F.lit("<b>").alias("of")).orderBy("n")
+        page = "".join(site.section("many", "Many & more", rows))
+        few = site.records("few", rows)
+        none = site.records("none", rows.limit(0))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [n for n in site.names if n.startswith("parts/many/")]
+    texts = [(tmp_path / n).read_text() for n in parts]
+    assert len(parts) > 1 and all(t.startswith("<!doctype html>") and t.endswith("</table>\n") and t.count("<table>") == 1 for t in texts)
+    assert [int(x) for t in texts for x in re.findall("<tr><td>([0-9]+)</td><td>&lt;b&gt;</td></tr>", t)] == list(range(1000))
+    assert page.count("<tr><td>") == 7 and "Many &amp; more" in page and all(f'href="{n}"' in page for n in parts)
+    assert [json.loads(x)["n"] for n in few for x in (tmp_path / n).read_text().splitlines()] == list(range(1000)) and none == []
 
 
 def test_a_project_has_its_frameworks(run):
