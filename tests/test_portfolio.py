@@ -51,6 +51,27 @@ def test_orphans_and_reports(run):
     assert run["bills_of_material"].count() >= 3 and run["ratchets"].count() > 0 and run["recipes"].count() > 0
 
 
+def test_what_each_language_says(spark):
+    lang = F.when(F.col("suffix") == ".py", "python").when(F.col("suffix") == ".java", "java").when(F.col("suffix") == ".js", "javascript")
+    found = portfolio_files(spark).select("rel_path", sourcecode.extracted(lang, F.col("content")).alias("x")).select("rel_path", F.inline("x.facts"))
+    app = (("CALLS", "HTTP_ENDPOINT", "http://stock/count", "HIGH", 11), ("PRODUCES", "KAFKA_TOPIC", "order.created", "HIGH", 9), ("WRITES", "SQL_COLUMN", "orders.id", "HIGH", 8), ("WRITES", "SQL_COLUMN", "orders.total", "HIGH", 8), ("WRITES", "SQL_TABLE", "orders", "HIGH", 8))
+    want = [
+        ("bill/billing/src/Billing.java", "CONSUMES", "KAFKA_TOPIC", "order.created", "HIGH", 8), ("bill/billing/src/Billing.java", "PRODUCES", "KAFKA_TOPIC", "bill.late", "HIGH", 6), ("bill/billing/src/Billing.java", "PRODUCES", "KAFKA_TOPIC", "none", "MED", 6),
+        ("bill/billing/src/Billing.java", "READS", "SQL_TABLE", "customers", "HIGH", 7), *((f"shop/{p}/app.py", *f) for p in ("orders-py", "orders-copy") for f in app),
+        ("shop/orders-py/store.py", "READS", "SQL_TABLE", "customers", "HIGH", 2), ("shop/orders-py/store.py", "READS", "SQL_TABLE", "orders", "HIGH", 2), ("web/api.js", "CALLS", "HTTP_ENDPOINT", "http://shop/place", "HIGH", 1),
+        ("web/index.js", "CALLS", "HTTP_ENDPOINT", "http://shop/orders", "HIGH", 6), ("web/index.js", "CONSUMES", "KAFKA_TOPIC", "bill.late", "HIGH", 5), ("web/index.js", "PRODUCES", "KAFKA_TOPIC", "order.created", "HIGH", 4),
+    ]
+    assert sorted(tuple(r) for r in found.select("rel_path", "direction", "resource_type", "resource_id", "tier", "line").collect()) == sorted(want)
+
+
+def test_capabilities_of_the_small_portfolio(run):
+    want = {
+        ("api:http://stock/count", 2, 1, "EXTRACT", 1.5), ("code:orders-copy:py", 2, 1, "RETIRE", 3.0), ("column:orders.id", 3, 2, "STANDARDIZE", 5.62), ("column:orders.total", 2, 1, "RETIRE", 3.0), ("data:customers", 3, 3, "EXTRACT", 2.25),
+        ("data:orders", 3, 2, "STANDARDIZE", 5.62), ("functional:billing:java", 5, 3, "STANDARDIZE", 2.19), ("messaging:bill.late", 2, 2, "EXTRACT", 1.5), ("messaging:order.created", 4, 3, "EXTRACT", 3.75),
+    }
+    assert {(r["id"], r["n_members"], r["n_owners"], r["play"], r["opportunity"]) for r in run["capabilities"].collect()} == want
+
+
 def test_scan_from_a_folder_gives_the_same_rows(spark, tmp_path):
     for path, text in PORTFOLIO.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)

@@ -1,17 +1,13 @@
-"""Extraction from pages, documents and a small portfolio written here."""
+"""Extraction from pages and documents, and a small portfolio written here, which tests read."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.catalogue.standins import read
 from weft.functions.text import stem
-from weft.plans import catalog, pipeline
-from weft.plans.durable import durable_folder
-from weft.sources import files, inventory, sourcecode, webpages
+from weft.sources import files, webpages
 
 SQL = (
     "INSERT INTO daily (day, total) SELECT o.day, sum(x) FROM orders o JOIN items i ON i.oid = o.id",
@@ -28,14 +24,6 @@ POM = "<project><groupId>own</groupId>\n<artifactId>shop</artifactId><dependenci
 INVENTORY = '{"groups": [{"id": 1, "full_path": "a", "projects": [{"id": 10, "path_with_namespace": "a/x", "http_url_to_repo": "u1"}], "subgroups": [{"id": 2, "full_path": "a/b", "projects": [{"id": 11, "path_with_namespace": "a/b/y", "http_url_to_repo": "u2", "name": "why"}, {"id": 10, "name": "ex"}]}]}], "projects": [{"id": 12, "path_with_namespace": "z", "http_url_to_repo": ""}]}'
 
 
-def _texts(spark: SparkSession, *texts: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("n", "t"))
-
-
-def inventory_projects(spark, sf):
-    return inventory.parse(spark, _texts(spark, INVENTORY).select(F.col("t").alias("value")))
-
-
 def html_links(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.inline(webpages.addresses(F.col("html")))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("address").alias("n_addresses"), F.min("address").alias("first"))
 
@@ -78,59 +66,10 @@ def portfolio_files(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows)).filter(~files.is_ignored(F.col("rel_path"))).select("rel_path", files.suffix(F.col("rel_path")).alias("suffix"), "content")
 
 
-def census_projects(spark, sf):
-    all_files = portfolio_files(spark)
-    dirs = files.named(files.projects(all_files))
-    placed = files.in_projects(all_files, dirs)
-    return dirs.join(files.owners(all_files, dirs), "project_id").join(files.primary(files.detected(placed)), "project_id", "left").join(files.lines_of_code(placed), "project_id", "left").select("project_id", "dir", "owner", "primary", F.array_join("langs", ",").alias("langs"), "loc")
-
-
-def extracted_facts(spark, sf):
-    rows = portfolio_files(spark)
-    lang = F.when(F.col("suffix") == ".py", "python").when(F.col("suffix") == ".java", "java").when(F.col("suffix") == ".js", "javascript")
-    found = rows.select("rel_path", sourcecode.extracted(lang, F.col("content")).alias("x"))
-    return found.select("rel_path", F.inline("x.facts")).select("rel_path", "direction", "resource_type", "resource_id", "tier", "line")
-
-
-def portfolio_run(spark, sf):
-    caps = pipeline.run(spark, portfolio_files(spark))["capabilities"]
-    return caps.select("id", "dimension", "n_members", "n_owners", "tier", "coupling", "play", "opportunity")
-
-
-def portfolio_rejections(spark, sf):
-    """Errors of a run with an extractor that names no resource; and what a contract serves."""
-    more = spark.range(1).select(F.lit("shop/orders-py/empty.graphql").alias("rel_path"), F.lit(".graphql").alias("suffix"), F.lit("type Query {\n  ok: Int\n}\n").alias("content"))
-    careless = lambda rows: pipeline.shaped(rows.filter("suffix = '.sql'").select("module_id", "rel_path", F.lit("WRITES").alias("direction"), F.lit("SQL_TABLE").alias("resource_type"), F.lit("").alias("resource_id"), F.lit("HIGH").alias("tier")))
-    files_ = pipeline.ingested(spark, portfolio_files(spark).unionByName(more))
-    got = pipeline.extract(files_["placed"], files_["owned"], pipeline.EXTRACTORS | {"careless": careless})
-    return got["errors"].select("phase", "source", "error_type", "message", "severity").unionByName(got["api_surfaces"].filter("signature = 'Query.ok'").select(F.lit("kept").alias("phase"), F.col("module_id").alias("source"), F.col("kind").alias("error_type"), F.col("signature").alias("message"), F.col("role").alias("severity")))
-
-
-def portfolio_incremental(spark, sf):
-    """Three runs over one store: all, the same again, and with one project changed, one gone and one new. What each run
-    did with each project, and the capabilities that stand at the end."""
-    root = f"{durable_folder(spark)}/store-{uuid.uuid4().hex}"
-    store, first = catalog.Catalog(spark, root), portfolio_files(spark)
-    later = first.filter("rel_path not like 'web/%'").withColumn("content", F.when(F.col("rel_path") == "data/warehouse/load.sql", F.lit("INSERT INTO fresh (a) SELECT a FROM orders;\n")).otherwise(F.col("content")))
-    more = spark.range(1).select(F.lit("new/svc/app.py").alias("rel_path"), F.lit(".py").alias("suffix"), F.lit("import kafka\np.send('order.created', 1)\n").alias("content"))
-    out = None
-    for k, source in enumerate((first, first, later.unionByName(more))):
-        states, r = pipeline.incremental(spark, source, store, pipeline.Config(semantic=False))
-        one = states.select(F.lit(k).alias("run"), F.col("project_id").alias("id"), "state")
-        out = one if out is None else out.unionByName(one)
-    return out.unionByName(r["capabilities"].filter("dimension <> 'code'").select(F.lit(3).alias("run"), "id", F.col("n_members").cast("string").alias("state")))
-
-
-QUERIES = {f.__name__: f for f in (inventory_projects, html_links, url_parts, stems, census_projects, extracted_facts, portfolio_run, portfolio_rejections, portfolio_incremental)}
-
-
-def _rows(columns: str, *rows: tuple) -> str:
-    quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS t({columns})"
+QUERIES = {f.__name__: f for f in (html_links, url_parts, stems)}
 
 
 ORACLES = {
-    "inventory_projects": _rows("id, path, url, name", (10, "a/x", "u1", "ex"), (11, "a/b/y", "u2", "why"), (12, "z", None, "z")).replace("SELECT *", "SELECT id::BIGINT AS id, path, url, name"),
     "html_links": r"""WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS x FROM pages), a AS (
         SELECT page_id, unnest(regexp_extract_all(x, '(?i)(?:action|<c:url\s+[^>]*value)\s*=\s*["'']([^"''#]+)["'']', 1)) AS u FROM l
         UNION ALL SELECT page_id, unnest(regexp_extract_all(x, '(?i)href\s*=\s*["''](/[^"''#]+)["'']', 1)) FROM l
@@ -140,38 +79,3 @@ ORACLES = {
     "url_parts": "SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM pages",
     "stems": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT regexp_replace(w, '(?:ing|ers|er|ed|s)$', '') AS stem, count(*) AS n FROM w GROUP BY 1",
 }
-
-# What the small portfolio holds, told by hand from its files.
-ORACLES |= {
-    "census_projects": _rows(
-        'project_id, dir, owner, "primary", langs, loc', ("billing", "bill/billing", "team-bill", "java", "java", 13), ("orders-copy", "shop/orders-copy", "team-shop", "python", "python", 13),
-        ("orders-py", "shop/orders-py", "team-shop", "python", "python", 15), ("warehouse", "data/warehouse", "unknown", "sql", "sql", 6), ("web", "web", "unknown", "javascript", "javascript", 9),
-    ).replace("SELECT *", "SELECT * REPLACE (loc::BIGINT AS loc)"),
-    "extracted_facts": _rows(
-        "rel_path, direction, resource_type, resource_id, tier, line",
-        ("bill/billing/src/Billing.java", "CONSUMES", "KAFKA_TOPIC", "order.created", "HIGH", 8), ("bill/billing/src/Billing.java", "PRODUCES", "KAFKA_TOPIC", "bill.late", "HIGH", 6),
-        ("bill/billing/src/Billing.java", "PRODUCES", "KAFKA_TOPIC", "none", "MED", 6), ("bill/billing/src/Billing.java", "READS", "SQL_TABLE", "customers", "HIGH", 7),
-        *(
-            (f"shop/{p}/app.py", *fact)
-            for p in ("orders-py", "orders-copy")
-            for fact in (("CALLS", "HTTP_ENDPOINT", "http://stock/count", "HIGH", 11), ("PRODUCES", "KAFKA_TOPIC", "order.created", "HIGH", 9), ("WRITES", "SQL_COLUMN", "orders.id", "HIGH", 8), ("WRITES", "SQL_COLUMN", "orders.total", "HIGH", 8), ("WRITES", "SQL_TABLE", "orders", "HIGH", 8))
-        ),
-        ("shop/orders-py/store.py", "READS", "SQL_TABLE", "customers", "HIGH", 2), ("shop/orders-py/store.py", "READS", "SQL_TABLE", "orders", "HIGH", 2),
-        ("web/api.js", "CALLS", "HTTP_ENDPOINT", "http://shop/place", "HIGH", 1), ("web/index.js", "CALLS", "HTTP_ENDPOINT", "http://shop/orders", "HIGH", 6),
-        ("web/index.js", "CONSUMES", "KAFKA_TOPIC", "bill.late", "HIGH", 5), ("web/index.js", "PRODUCES", "KAFKA_TOPIC", "order.created", "HIGH", 4),
-    ),
-    "portfolio_run": _rows(
-        "id, dimension, n_members, n_owners, tier, coupling, play, opportunity",
-        ("api:http://stock/count", "api", 2, 1, "HIGH", 0.25, "EXTRACT", 1.5), ("code:orders-copy:py", "code", 2, 1, "HIGH", 0.25, "RETIRE", 3.0), ("column:orders.id", "column", 3, 2, "HIGH", 0.25, "STANDARDIZE", 5.62),
-        ("column:orders.total", "column", 2, 1, "HIGH", 0.25, "RETIRE", 3.0), ("data:customers", "data", 3, 3, "HIGH", 0.5, "EXTRACT", 2.25), ("data:orders", "data", 3, 2, "HIGH", 0.25, "STANDARDIZE", 5.62),
-        ("functional:billing:java", "functional", 5, 3, "LOW", 0.375, "STANDARDIZE", 2.19), ("messaging:bill.late", "messaging", 2, 2, "HIGH", 0.5, "EXTRACT", 1.5), ("messaging:order.created", "messaging", 4, 3, "HIGH", 0.375, "EXTRACT", 3.75),
-    ).replace("SELECT *", "SELECT * REPLACE (n_members::BIGINT AS n_members, n_owners::BIGINT AS n_owners, coupling::DOUBLE AS coupling, opportunity::DOUBLE AS opportunity)"),
-    "portfolio_rejections": _rows(
-        "phase, source, error_type, message, severity", *[("extract", "warehouse:sql", "InvalidRow", "row of integration_facts is not valid", "WARNING")] * 2, ("kept", "orders-py:py", "GRAPHQL", "Query.ok", "server")
-    ),
-    "portfolio_incremental": _rows(
-        'run, id, "state"', *((0, p, "new") for p in ("billing", "orders-copy", "orders-py", "warehouse", "web")), *((1, p, "same") for p in ("billing", "orders-copy", "orders-py", "warehouse", "web")),
-        *((2, p, "same") for p in ("billing", "orders-copy", "orders-py")), (2, "svc", "new"), (2, "warehouse", "changed"), (2, "web", "deleted"),
-        (3, "api:http://stock/count", "2"), (3, "column:orders.id", "3"), (3, "column:orders.total", "2"), (3, "data:customers", "3"), (3, "data:orders", "3"), (3, "messaging:order.created", "4"),
-    ),
-}
