@@ -28,7 +28,8 @@ def supplier_files(spark: SparkSession, sf: str) -> DataFrame:
         F.when(own, text(F.lit("supply.only."), key)).otherwise(text(F.lit("supply.of."), nation)).alias("topic"), F.when(own, text(F.lit("stock_only_"), key)).otherwise(text(F.lit("stock_"), nation)).alias("table"), text(F.lit("staging_"), nation).alias("staging"),
     )
     made = synthetic.of_projects(rows)
-    owners = read(spark, sf, "nation").filter("n_nationkey % 5 <> 0").select(text(F.lit("nation-"), F.col("n_nationkey"), F.lit("/OWNER")).alias("rel_path"), F.lit("").alias("suffix"), text(F.lit("team-"), F.col("n_name"), F.lit("\n")).alias("content"))
+    settled = read(spark, sf, "nation").join(read(spark, sf, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")  # a folder with an owner alone would be a project
+    owners = settled.filter("n_nationkey % 5 <> 0").select(text(F.lit("nation-"), F.col("n_nationkey"), F.lit("/OWNER")).alias("rel_path"), F.lit("").alias("suffix"), text(F.lit("team-"), F.col("n_name"), F.lit("\n")).alias("content"))
     passed = rows.select(F.concat("dir", F.lit(f"/{_IGNORED}/index.js")).alias("rel_path"), F.lit(".js").alias("suffix"), F.lit("fetch('http://no');\n").alias("content"))
     return made.unionByName(owners).unionByName(passed).filter(~files.is_ignored(F.col("rel_path")))
 
