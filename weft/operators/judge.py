@@ -24,7 +24,7 @@ def evaluated(similarity: Column, terms_a: Column, terms_b: Column, owner_a: Col
     n, total = F.size(common), F.size(F.array_union(terms_a, terms_b))
     confirmed = (n >= 2) | ((n >= 1) & (similarity >= threshold))
     share = F.least(similarity, 0.5 + n / F.greatest(total, F.lit(1)))
-    two = F.format_string("%.2f", similarity)
+    two = F.format_number(similarity, 2)  # of the double itself, halves to even, as printf in C; format_string rounds 0.435, which lies below its digits, up
     return {
         "confirmed": confirmed,
         "confidence": half_even(F.when(confirmed, share).otherwise(F.least(similarity, F.lit(0.4))), 2),
