@@ -245,6 +245,43 @@ def from_inventory(items: DataFrame, dirs: DataFrame) -> DataFrame:
     return items.join(dirs.withColumn("name", F.col("project_id")), "name")
 
 
+def listed_hashes(files: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key, content_hash): the sha256 of a project's lines "rel_path:sha256 of the content", in order, a line break between them.
+
+    All of each digest counts, and its place. Spark sorts the lines, spilling what memory does not hold, and a task hashes them as
+    they come, some 80 bytes a file: nothing is gathered. A file without content has no line, a project without a line a null hash."""
+    line = F.concat("rel_path", F.lit(":"), F.sha2(F.col("content").cast("binary"), 256))
+
+    def hashed(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        kind, now, sha = None, None, None
+
+        def row(k, s):
+            return pa.record_batch([pa.array([k], kind), pa.array([s and s.hexdigest()], pa.string())], [key, "content_hash"])
+
+        begun = False
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if begun and k != now:
+                    yield row(now, sha)
+                    sha = None
+                begun, now = True, k
+                if one is not None:
+                    if sha is None:
+                        sha = hashlib.sha256(one.encode())
+                    else:
+                        sha.update(b"\n" + one.encode())
+        if begun:
+            yield row(now, sha)
+
+    rows = files.select(key, line.alias("line")).repartition(key).sortWithinPartitions(key, "line")
+    return rows.mapInArrow(hashed, f"{key} {files.schema[key].dataType.simpleString()}, content_hash string")
+
+
 def content_hashes(files: DataFrame, key: str = "project_id") -> DataFrame:
     """(key, content_hash) of a project's files, in any order: the sha256 of their number and of two sums.
 
