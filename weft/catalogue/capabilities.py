@@ -130,8 +130,7 @@ def code_capabilities(spark, sf):
 
 
 def judge_promote_anti(spark, sf):
-    star = graph.shared_edges(_nation_facts(spark, sf)).select("a", "b")
-    held = graph.connected_components(star).withColumnsRenamed({"node": "module_id", "root": "id"})
+    held = graph.connected_components(graph.stars(_nation_facts(spark, sf))).withColumnsRenamed({"node": "module_id", "root": "id"})
     return graph.promoted(_neighbours(spark, sf).withColumn("play", F.lit("STANDARDIZE")), held, couplings(spark, sf))
 
 

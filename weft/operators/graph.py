@@ -49,6 +49,13 @@ def edge_counts(facts: DataFrame) -> DataFrame:
     return per.select(F.inline(F.array(*rows))).filter("n > 0").groupBy("type", "tier").agg(F.sum("n").alias("n"))
 
 
+def stars(facts: DataFrame) -> DataFrame:
+    """(a, b): each module of a resource with the resource's smallest. The components are those of shared_edges, without its pairs."""
+    touch = facts.select("resource_type", "resource_id", "module_id").distinct()
+    hub = touch.groupBy("resource_type", "resource_id").agg(F.min("module_id").alias("a"))
+    return touch.join(hub, ["resource_type", "resource_id"]).filter("a <> module_id").select("a", F.col("module_id").alias("b"))
+
+
 def clone_edges(pairs: DataFrame) -> DataFrame:
     kind = F.col("clone_type").cast("string")
     return pairs.select(
