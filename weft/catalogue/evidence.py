@@ -65,8 +65,9 @@ def recall_topk(spark, sf):
 
 
 def hash_embed_md5(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", vectors.gram_buckets(F.col("text")).alias("g"))
-    return rows.select("doc_id", F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_buckets"), F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    rows = read(spark, sf, "documents").select("doc_id", vectors.gram_counts(F.col("text")).alias("g"))
+    sums = lambda f: F.aggregate(F.transform("g", f), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", sums(lambda n, i: n).alias("n_grams"), sums(lambda n, i: (n > 0).cast("long")).alias("n_buckets"), sums(lambda n, i: n * i).alias("total"))
 
 
 def hash_embed_blake2b(spark, sf):
