@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions.numbers import half_even
 from weft.operators.capability import strongest_touch
 from weft.operators.components import connected_components
+from weft.plans.durable import durable
 from weft.schema import tier_name, tier_rank
 
 DUPLICATES = ("DUP_PRODUCER", "DUP_WRITER", "DUP_ENDPOINT")
@@ -80,12 +81,12 @@ def clusters_and_members(facts: DataFrame, clone_pairs: DataFrame, owners: DataF
     A resource joins its modules as a star around the smallest, so no pairs are made. What the pairs would
     say is counted instead: a duplicate is two modules in the duplicating direction, and a pair's tier is
     its weaker end's, so a resource's best pair has the tier of its second strongest module. Also (module_id, id)."""
-    touch = strongest_touch(facts)
-    first = touch.groupBy("resource_type", "resource_id").agg(
+    touch = durable(strongest_touch(facts))  # read for resources and for stars
+    first = durable(touch.groupBy("resource_type", "resource_id").agg(
         F.min("module_id").alias("hub"), F.count(F.lit(1)).alias("n"),
         *(F.count_if((F.col("direction") == d) & (F.col("resource_type") == k)).alias(f"n_{d}") for d, k in (("PRODUCES", "KAFKA_TOPIC"), ("WRITES", "SQL_TABLE"), ("SERVES", "HTTP_ENDPOINT"))),
         *(F.count_if(F.col("rank") >= r).alias(f"at_{r}") for r in (3, 2)),
-    ).filter("n >= 2")
+    ).filter("n >= 2"))
     star = touch.join(first.select("resource_type", "resource_id", "hub"), ["resource_type", "resource_id"]).select(F.col("hub").alias("a"), F.col("module_id").alias("b"))
     copies = clone_edges(clone_pairs)
     members = connected_components(star.unionByName(copies.select("a", "b"))).withColumnsRenamed({"node": "module_id", "root": "id"})
