@@ -200,6 +200,23 @@ def test_ids_may_be_null_or_repeated(spark):
     assert grouped(spark, rows) == components_by_hand(rows)
 
 
+def test_copies_that_are_not_alike_enough_are_not_compared_in_pairs(spark, monkeypatch):
+    """Copies of one text by five changes each that six others have as well, four of their own, and some that link."""
+    rng, first, rows = random.Random(5), [f"w{i}" for i in range(260)], []
+    for x, y in itertools.product(range(7), repeat=2):
+        own = list(first)
+        for k, line in enumerate((x, y, (x + y) % 7, (x + 2 * y) % 7, (x + 3 * y) % 7)):
+            own[4 + 7 * (7 * k + line)] = f"line{k}.{line}"
+        for at in rng.sample(range(35), 4):
+            own[7 + 7 * at] = f"own{len(rows)}.{at}"
+        rows.append((len(rows), " ".join(own)))
+    rows += [(100 + i, rows[i][1] + " and more") for i in range(0, 49, 6)]
+    compared, confirmed = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *more: compared.append(pairs.count()) or confirmed(pairs, *more))
+    assert grouped(spark, rows) == components_by_hand(rows)
+    assert compared[-1] < 50
+
+
 def test_thresholds_that_signatures_do_not_serve_are_errors(spark):
     with pytest.raises(ValueError, match="thresholds"):
         minhash.near_groups(spark.createDataFrame([], DOCS), threshold=60)

@@ -8,14 +8,14 @@ Prefixes: with tokens ordered by how few sets have them, sets that agree in 39 o
 the first 64 - 39 + 4 of each. Tokens of one set alone come first and meet nobody: a set of which more than 25 tokens are its
 own is done. Only prefixes are posted.
 
-Of the sets that are left the shingles are counted, too: those that three sets have at most are in no other's common
-part, which bounds the similarity of most pairs by numbers alone; the pairs that share such shingles are few and listed by them.
-In a large group of near copies that spares most of the pairs.
+Of the sets that are left the shingles are counted, too: those that no other set has are in no common part.
 
 Collisions: first each set meets one set of its lists, the most central of them, which already joins large groups of
 near copies, without their pairs. Then in each list that still holds several groups, what is not of the largest group meets
 the others. Lists are merged as they are joined: a pair's collisions are counted in the first list that both are in, and
-the pair is skipped in all others; 4 keep it. What agrees in 39 coordinates is then compared by its whole sets."""
+the pair is skipped in all others; 4 keep it. A common part has at most what either set has besides its rare shingles and the rare
+ones that both have; so the similarity of most pairs is bounded by numbers alone, and those that share rare shingles are listed
+by them. In a large group of near copies that are linked with nothing this spares nearly all of the pairs. What agrees in 39 coordinates is then compared by its whole sets."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ from weft.operators.components import connected_components
 
 #: Coordinates of a signature, how many must agree, and how many of those must be met in the prefixes.
 COORDINATES, AGREE, MET = 64, 39, 4
+#: Most sets of mixed lists that have a rare shingle.
+RARE = 128
 #: Words in a shingle.
 SHINGLE = 3
 
@@ -105,16 +107,24 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     return own.select("id", F.transform(F.slice("tokens", F.lit(1), F.size("tokens") - AGREE + MET), lambda t: t["token"]).alias("tokens"), "weight")
 
 
-def _tally(whole: DataFrame) -> DataFrame:
-    """(a, b, n) from the shingles that at most three sets (id, hashes) have: with b null, how many a has alone; with b = a, how
-    many it shares; else how many a and b share.
+def _alone(whole: DataFrame) -> DataFrame:
+    """(id, alone): how many shingles no other of the sets (id, hashes) has. Sets without one have no row."""
+    counted = whole.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"))
+    return counted.filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
 
-    Least, largest and sum of three ids tell all of them, so a shingle that a third of the corpus has is one sum too."""
-    found = whole.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("z"), F.sum("id").alias("sum"), F.count(F.lit(1)).alias("c")).filter("c <= 3")
-    found = found.withColumn("y", F.col("sum") - F.col("x") - F.col("z"))
-    of = lambda *pairs: F.array(*(F.struct(F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast("long")).alias("b")) for a, b in pairs))
-    rows = F.when(F.col("c") == 1, of(("x", None))).when(F.col("c") == 2, of(("x", "x"), ("z", "z"), ("x", "z"))).otherwise(of(("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")))
-    return found.select(F.inline(rows)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+def _rare(placed: DataFrame, whole: DataFrame, numbers: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(id, few) and (a, b, common) of the sets of mixed lists (id, group, other): how many of a set's shingles are rare, at most
+    RARE of these sets having them, and how many rare ones two sets share that may link: of different groups, one other in some list."""
+    left = placed.groupBy("id").agg(F.min("group").alias("group"), F.bool_or("other").alias("other")).join(numbers.select("id", "n"), "id")
+    posted = durable(whole.join(left, "id").select("id", "group", "other", "n", F.explode("hashes").alias("h")))
+    counts = posted.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.bool_or("other").alias("wanted")).filter(F.col("c") <= RARE)
+    rare = durable(posted.join(counts, "h").select("id", "group", "other", "n", "h", (F.col("wanted") & (F.col("c") > 1)).alias("shared")), spent=(posted,))
+    few = rare.groupBy("id").agg(F.count(F.lit(1)).alias("few"))
+    shared = rare.filter("shared").drop("shared")
+    met = shared.filter("other").join(shared.select("h", F.col("id").alias("id2"), F.col("group").alias("group2"), F.col("other").alias("other2"), F.col("n").alias("n2")), "h")
+    met = met.filter(F.expr("group <> group2 and (not other2 or id < id2)") & _possible(F.least("n", "n2"), threshold))
+    return durable(few), durable(met.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(F.count(F.lit(1)).alias("common")), spent=(rare,))
 
 
 def _possible(most: Column, threshold: int) -> Column:
@@ -182,10 +192,8 @@ def linked(docs: DataFrame, sets: DataFrame, threshold: int = 85) -> DataFrame:
     doc and same name a row of docs (doc_id, same, text) that has the set."""
     able = durable(_prefixes(sets))
     whole = durable(_whole(docs, sets.join(able.select("id"), "id", "left_semi")))
-    tally = durable(_tally(whole))
-    own = tally.filter("b is null or a = b").groupBy(F.col("a").alias("id")).agg(F.sum(F.when(F.col("b").isNull(), F.col("n")).otherwise(0)).alias("alone"), F.sum("n").alias("rare"))
     left = lambda name: F.col("n") - F.coalesce(name, F.lit(0))
-    known = able.join(sets.select("id", "n", "signature"), "id").join(own, "id", "left").select("id", F.array_sort("tokens").alias("tokens"), "signature", "weight", "n", left("alone").alias("rest"), left("rare").alias("often"))
+    known = able.join(sets.select("id", "n", "signature"), "id").join(_alone(whole), "id", "left").select("id", F.array_sort("tokens").alias("tokens"), "signature", "weight", "n", left("alone").alias("rest"))
     known = durable(known.filter(100 * F.col("rest") >= threshold * F.col("n")), spent=(able,))
     other = lambda *names: [F.col(c).alias(f"{c}2") for c in names]
     of = lambda df: connected_components(df, small=0).withColumnsRenamed({"node": "id", "root": "group"})
@@ -206,18 +214,19 @@ def linked(docs: DataFrame, sets: DataFrame, threshold: int = 85) -> DataFrame:
     groups = of(durable(groups.select(F.col("id").alias("a"), F.col("group").alias("b")).unionByName(_confirmed(again, whole, threshold))))
     forget(some, again, placed)
     placed = _mixed(known, groups)
-    full = durable(placed.join(known.select("id", "n", "often", "tokens", "signature"), "id"), spent=(placed,))
+    few, shared = _rare(placed, whole, numbers, threshold)
+    side = durable(known.join(placed.select("id").distinct(), "id").join(few, "id", "left").select("id", "n", left("few").alias("often")), spent=(few,))
+    full = durable(placed.join(side, "id").join(known.select("id", "tokens", "signature"), "id"), spent=(placed,))
     met = full.join(full.filter("other").select("token", *other("id", "group", "n", "often", "tokens", "signature")), "token")
     # a pair is met in every list that both are in, once each, and is kept in the first
     first = F.exists(F.array(F.array_intersect("tokens", "tokens2")), lambda shared: (F.size(shared) >= MET) & (F.get(shared, F.lit(0)) == F.col("token")))
     kept = F.when(F.expr("group = group2 or (other and id >= id2)") | ~_possible(F.least("often", "often2"), threshold), False).when(~first, False).otherwise(_agree("signature", "signature2"))
     by_lists = met.filter(kept).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    side = known.join(groups, "id", "left").select("id", "n", "often", F.coalesce("group", "id").alias("group"))
-    rare = tally.filter("a <> b").select("a", "b", F.col("n").alias("common")).join(side.withColumnRenamed("id", "a"), "a").join(side.select(F.col("id").alias("b"), *other("n", "often", "group")), "b")
-    by_rare = rare.filter(F.expr("group <> group2") & _possible(F.least("often", "often2") + F.col("common"), threshold)).select("a", "b")
+    rare = shared.join(side.withColumnRenamed("id", "a"), "a").join(side.select(F.col("id").alias("b"), *other("n", "often")), "b")
+    by_rare = rare.filter(_possible(F.least("often", "often2") + F.col("common"), threshold)).select("a", "b")
     close = durable(by_lists.unionByName(_alike(by_rare, sets)).distinct())
     merged = of(durable(groups.select(F.col("id").alias("a"), F.col("group").alias("b")).unionByName(_confirmed(close, whole, threshold))))
-    forget(known, full, whole, tally, close)
+    forget(known, full, whole, shared, side, close)
     return merged.withColumnRenamed("group", "root")
 
 
