@@ -65,9 +65,7 @@ def recall_topk(spark, sf):
 
 
 def hash_embed_md5(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", vectors.gram_counts(F.col("text")).alias("g"))
-    sums = lambda f: F.aggregate(F.transform("g", f), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("doc_id", sums(lambda n, i: n).alias("n_grams"), sums(lambda n, i: (n > 0).cast("long")).alias("n_buckets"), sums(lambda n, i: n * i).alias("total"))
+    return read(spark, sf, "documents").select("doc_id", vectors.gram_sums(F.col("text")).alias("g")).select("doc_id", "g.n_grams", "g.n_buckets", "g.total")
 
 
 def hash_embed_blake2b(spark, sf):
