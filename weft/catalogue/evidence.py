@@ -36,9 +36,9 @@ def clone_classes(spark, sf):
 def clone_components(spark, sf):
     """(id, component, n_links): every document that has a clone of type 1, its group, and how many others link."""
     lines = _modules(spark, sf).select("id", code_lines(F.col("text")).alias("tokens"))
-    classes = similarity.durable(similarity.set_classes(lines))
+    classes, sets = similarity.hashed_sets(lines)
     heads = classes.groupBy("class").agg(F.count(F.lit(1)).alias("held"))
-    found = similarity.durable(similarity.jaccard_pairs(lines.join(heads.select(F.col("class").alias("id")), "id", "left_semi"), 0.60))
+    found = similarity.durable(similarity.jaccard_pairs(sets, 0.60))
     both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(heads.select(F.col("class").alias("b"), "held"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("held").alias("near"))
     groups = connected_components(found.select("a", "b")).select(F.col("node").alias("class"), "root")

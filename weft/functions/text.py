@@ -20,8 +20,8 @@ GENERIC = (
 
 
 def stripped(x: Column) -> Column:
-    """Without white space at its ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Without white space at its ends. (Not by a pattern, which would stop at each blank between words.)"""
+    return F.trim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 # What a stem is without, how a placeholder is written, and the notes of resolve.
@@ -49,7 +49,10 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 def code_lines(content: Column, normalise: bool = False) -> Column:
     """The distinct lines of a source text without comments and blank lines, trimmed; with normalise every
     identifier is ID."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace(content, COMMENT, ""), "\r\n|\r|\n", -1), stripped), lambda x: F.length(x) > 0)
+    some = content.contains("#") | content.contains("//") | content.contains("/*")
+    code = F.when(some, F.regexp_replace(content, COMMENT, "")).otherwise(content)
+    ended = F.replace(F.replace(code, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.filter(F.transform(F.split(ended, "\n", -1), stripped), lambda x: x != "")
     if normalise:
         lines = F.transform(lines, lambda x: F.regexp_replace(x, IDENTIFIER, "ID"))
     return F.array_distinct(lines)
