@@ -114,9 +114,16 @@ class Catalog:
         named = [r[0] for r in ids.select(self.bucket(F.col("project_id"))).distinct().collect()]
         held = {t: self.read(t, None if t == "clone_pairs" else named) for t in TABLES if t != "files"}
         for name, rows in cleared(held, ids).items():
-            if name != "modules":  # the others look their buckets up there
+            if name != "modules" and self._holds(name, named):  # the others look their buckets up there
                 self.overwrite(name, rows, None if name == "clone_pairs" else named)
-        self.overwrite("modules", cleared({"modules": held["modules"]}, ids)["modules"], named)
+        if self._holds("modules", named):
+            self.overwrite("modules", cleared({"modules": held["modules"]}, ids)["modules"], named)
+
+    def _holds(self, table: str, buckets: list[int]) -> bool:
+        """Whether a table has anything in these buckets, clone_pairs in any: where nothing is, nothing is written."""
+        if table == "clone_pairs":
+            return any(n[:1] == "b" for n in self._names(f"{self.root}/{table}"))
+        return any(self._parts(table, k) for k in buckets)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

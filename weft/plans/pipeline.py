@@ -130,11 +130,18 @@ def modules_of(placed: DataFrame, owners: DataFrame) -> DataFrame:
     return found.join(owners, "project_id", "left").select(F.concat_ws(":", "project_id", tag).alias("id"), "project_id", F.col("project_id").alias("name"), "lang", F.col("build").alias("build_system"), F.coalesce("owner", F.lit("unknown")).alias("owner"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Files dealt out by their paths, if they come in fewer parts than tasks can run: small tables make many files, and what reads files
+    has no more tasks than these have parts."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(2 * tasks, "rel_path")
+
+
 def ingested(spark: SparkSession, source: DataFrame | str, inventory: DataFrame | None = None, stored: bool = False) -> dict[str, DataFrame]:
     """files, dirs (project folders), placed (files in their projects) and owners of projects, for files (rel_path, suffix,
     content) or those under a folder. With an inventory (name, ...) only the projects that it names. Files that are stored
     are not copied: only their paths are placed, and what is read of placed is read from where they are."""
-    all_files = source if stored else durable(files.scan(spark, source) if isinstance(source, str) else source)
+    all_files = source if stored else durable(files.scan(spark, source) if isinstance(source, str) else _dealt(source))
     found = files.named(files.projects(all_files))
     dirs = durable(found if inventory is None else files.from_inventory(inventory, found).select("dir", "project_id").distinct())
     if stored:
@@ -184,7 +191,7 @@ def analyse(spark: SparkSession, held: dict[str, DataFrame], config: Config, mar
     modules, rows, facts, dependencies, couplings = (held[k] for k in ("modules", "rows", "facts", "dependencies", "couplings"))
     owners = modules.select(F.col("id").alias("module_id"), "owner")
     lines = rows.filter(F.col("suffix").isin(*files.CLONE_SUFFIXES)).groupBy("module_id").agg(F.flatten(F.collect_list(code_lines(F.col("content")))).alias("t1"), F.flatten(F.collect_list(code_lines(F.col("content"), normalise=True))).alias("t2"))
-    clones = durable(similarity.clone_pairs(lines.select(F.col("module_id").alias("id"), "t1", "t2"), F.array_distinct("t1"), F.array_distinct("t2"), config.clone_threshold))
+    alike, links = similarity.clone_classes(lines.select(F.col("module_id").alias("id"), "t1", "t2"), F.array_distinct("t1"), F.array_distinct("t2"), config.clone_threshold)
     summaries = durable(config.summarise(modules.select(F.col("id").alias("module_id"), "name"), facts, dependencies, rows.filter("in_path not like '%/%'").select("module_id", "rel_path", "content")))
     mark("clones")
     judgements, pairs = None, spark.createDataFrame([], "a string, b string, tier string")
@@ -195,7 +202,7 @@ def analyse(spark: SparkSession, held: dict[str, DataFrame], config: Config, mar
         judgements = durable(config.judge(candidates, summaries, owners, config.judge_threshold))
         pairs = judgements.filter("confirmed").select("a", "b", "tier")
         mark("judgements")
-    distinct = clones.filter("module_a <> module_b")
+    distinct = durable(similarity.linked_spans(alike, links))
     caps = durable(capability.build_capabilities(facts, distinct, pairs, dependencies, owners, couplings, config.functional_max_size))
     mark("capabilities")
     found = graph.clusters_and_members(facts, distinct, owners, couplings)
@@ -203,7 +210,7 @@ def analyse(spark: SparkSession, held: dict[str, DataFrame], config: Config, mar
     mark("clusters")
 
     plays = caps.groupBy("play").agg(F.count(F.lit(1)).alias("n"))
-    tables = {"owners": owners, "clone_pairs": clones, "summaries": summaries, "capabilities": capability.ranked(caps), "clusters": graph.ranked(clusters), "plays": plays}
+    tables = {"owners": owners, "clone_members": alike.withColumnRenamed("id", "module_id"), "clone_links": links, "clone_counts": similarity.link_counts(alike, links).withColumnRenamed("id", "module_id"), "clone_pairs": similarity.linked_pairs(alike, links), "summaries": summaries, "capabilities": capability.ranked(caps), "clusters": graph.ranked(clusters), "plays": plays}
     if judgements is not None:
         tables |= {"judgements": judgements, "candidates": views.unconfirmed(judgements, modules.select(F.col("id").alias("module_id"), "project_id")), "promoted": graph.promoted(judgements.filter("confirmed"), found[1], couplings)}
     touch = capability.strongest_touch(facts).join(facts.groupBy("resource_type", "resource_id").agg(F.countDistinct("module_id").alias("n")).filter("n >= 2"), ["resource_type", "resource_id"])
@@ -246,8 +253,11 @@ def run(spark: SparkSession, source: DataFrame | str, config: Config | None = No
     """All tables of a run over files (rel_path, suffix, content), or over those under a folder.
 
     Tables: files, projects, modules, facts, gaps, dependencies, api_surfaces, couplings, errors, error_log, totals,
-    clone_pairs, candidates, judgements, promoted, capabilities, clusters, plays, matrix, diagram, and those of the
-    registered reports."""
+    clone_members, clone_links and clone_counts (similarity.clone_classes), clone_pairs, candidates, judgements, promoted, capabilities, clusters, plays, matrix, diagram, and those of the
+    registered reports.
+
+    clone_pairs has a row for each pair, which may be as many as the square of the modules: it is made where it is read, and no step of
+    a run reads it."""
     seconds, mark = _clock()
     got = ingested(spark, source, inventory)
     mark("ingest")
