@@ -194,13 +194,19 @@ def analyse(spark: SparkSession, held: dict[str, DataFrame], config: Config, mar
     alike, links = similarity.clone_classes(lines.select(F.col("module_id").alias("id"), "t1", "t2"), F.array_distinct("t1"), F.array_distinct("t2"), config.clone_threshold)
     summaries = durable(config.summarise(modules.select(F.col("id").alias("module_id"), "name"), facts, dependencies, rows.filter("in_path not like '%/%'").select("module_id", "rel_path", "content")))
     mark("clones")
-    judgements, pairs = None, spark.createDataFrame([], "a string, b string, tier string")
+    judgements, counts, pairs = None, None, spark.createDataFrame([], "a string, b string, tier string")
     if config.semantic:
-        vectors = summaries.join(modules.select(F.col("id").alias("module_id"), "project_id"), "module_id").select(F.col("module_id").alias("id"), config.embed(F.col("summary")).alias("vector"), "project_id")
-        near = similarity.cosine_pairs(vectors, config.recall_low, group="project_id")
-        candidates = judge.with_shared_resources(durable(near.withColumn("tier", similarity.recall_tier(F.col("similarity"), config.recall_med))), facts)
-        judgements = durable(config.judge(candidates, summaries, owners, config.judge_threshold))
-        pairs = judgements.filter("confirmed").select("a", "b", "tier")
+        vectors = durable(summaries.join(modules.select(F.col("id").alias("module_id"), "project_id"), "module_id").select(F.col("module_id").alias("id"), config.embed(F.col("summary")).alias("vector"), "summary", "project_id"))
+        near = similarity.cosine_pairs(vectors, config.recall_low, group="project_id").withColumn("tier", similarity.recall_tier(F.col("similarity"), config.recall_med))
+        if config.judge is judge.judged:
+            found = durable(judge.judged_spans(vectors, config.recall_low, config.recall_med, config.judge_threshold))
+            pairs = found.filter("b is not null").select("a", "b", "tier")
+            counts = found.filter("b is null").groupBy(F.col("a").alias("module_id")).agg(F.sum("n_candidates").alias("n_candidates"), F.sum("n_confirmed").alias("n_confirmed"))
+            judgements = config.judge(judge.with_shared_resources(near, facts), summaries, owners, config.judge_threshold)
+        else:
+            candidates = judge.with_shared_resources(durable(near), facts)
+            judgements = durable(config.judge(candidates, summaries, owners, config.judge_threshold))
+            pairs = judgements.filter("confirmed").select("a", "b", "tier")
         mark("judgements")
     distinct = durable(similarity.linked_spans(alike, links))
     caps = durable(capability.build_capabilities(facts, distinct, pairs, dependencies, owners, couplings, config.functional_max_size))
@@ -216,6 +222,8 @@ def analyse(spark: SparkSession, held: dict[str, DataFrame], config: Config, mar
     touch = capability.strongest_touch(facts).join(facts.groupBy("resource_type", "resource_id").agg(F.countDistinct("module_id").alias("n")).filter("n >= 2"), ["resource_type", "resource_id"])
     members = touch.select(F.concat_ws(":", dimension(F.col("resource_type")), "resource_id").alias("id"), "module_id", "direction", "resource_type", "resource_id")
     tables |= {"members": members, "matrix": views.matrix_cells(members.select("id", "module_id", "direction"), caps, config.matrix_max_columns), "diagram": views.diagram_lines(views.diagram_edges(facts, members.select("module_id")))}
+    if counts is not None:
+        tables["judgement_counts"] = counts
     if config.remediate:
         acted = caps.select("id", "label", "play")
         shared = members.select("id", "resource_type", "resource_id").distinct().join(acted.filter(F.col("play").isin(*remediate.ACTED_ON)).select("id"), "id")
@@ -256,8 +264,9 @@ def run(spark: SparkSession, source: DataFrame | str, config: Config | None = No
     clone_members, clone_links and clone_counts (similarity.clone_classes), clone_pairs, candidates, judgements, promoted, capabilities, clusters, plays, matrix, diagram, and those of the
     registered reports.
 
-    clone_pairs has a row for each pair, which may be as many as the square of the modules: it is made where it is read, and no step of
-    a run reads it."""
+    clone_pairs, and with the heuristic judge judgements, candidates and promoted, have a row for each pair, which may be as many as the square
+    of the modules: they are made where they are read, and no step of a run reads them. What capabilities and clusters need of pairs are
+    clone_links and judge.judged_spans; judgement_counts tells of how many candidates and confirmed pairs each module is one."""
     seconds, mark = _clock()
     got = ingested(spark, source, inventory)
     mark("ingest")
