@@ -47,8 +47,12 @@ def clone_components(spark, sf):
     return rows.select("id", F.coalesce("root", "class").alias("component"), links.alias("n_links")).filter("n_links > 0")
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
 def _recalled(spark: SparkSession, sf: str, low: float = 0.40) -> DataFrame:
-    return similarity.cosine_pairs(read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), low)
+    return similarity.cosine_pairs(_vectors(spark, sf), low)
 
 
 def recall_cosine(spark, sf):
@@ -79,11 +83,8 @@ def domain_terms(spark, sf):
 
 
 def judge_heuristic(spark, sf):
-    docs = read(spark, sf, "documents")
-    summaries = docs.select(F.col("doc_id").alias("module_id"), F.col("text").alias("summary"))
-    owned = docs.select(F.col("doc_id").alias("module_id"), F.col("source").alias("owner"))
-    pairs = _recalled(spark, sf).withColumn("similarity", F.round("similarity", 6))
-    return judge.judged(pairs, summaries, owned).select("a", "b", "similarity", "confirmed", "confidence", "play", "reason")
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("module_id"), F.col("text").alias("summary"), F.col("source").alias("owner"))
+    return judge.judged_cosine(_vectors(spark, sf), docs)
 
 
 QUERIES = {f.__name__: f for f in (clones_type1, clones_type2, clone_classes, clone_components, recall_cosine, recall_tiered, recall_topk, hash_embed_md5, hash_embed_blake2b, domain_terms, judge_heuristic)}
