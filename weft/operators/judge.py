@@ -73,22 +73,28 @@ def shared_terms(table: pa.Table) -> Callable:
     import numpy as np
     import pyarrow.compute as pc
 
-    numbers, sizes, every = {}, [], [np.empty(0, np.int32)]
+    numbers, parts = {}, []
     for at in range(0, len(table), 8192):
         texts = [zlib.decompress(t) for t in table["terms"].slice(at, 8192).to_pylist()]
-        sizes += [t.count(b" ") for t in texts]
         found = pc.split_pattern(pa.array([b"".join(texts).decode()], pa.large_string()), " ")[0].values[:-1].dictionary_encode()
-        every.append(np.array([numbers.setdefault(t, len(numbers)) for t in found.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int32)[found.indices.to_numpy()])
-    sizes, every, words = np.array(sizes, np.int64), np.concatenate(every), np.array([*numbers], dtype=object)
-    held = np.bincount(every, minlength=len(words))
+        codes = np.array([numbers.setdefault(t, len(numbers)) for t in found.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int32)[found.indices.to_numpy()]
+        parts.append((np.array([t.count(b" ") for t in texts]), codes))
+    words, held = np.array([*numbers], dtype=object), np.zeros(len(numbers), np.int64)
+    for _, codes in parts:
+        held += np.bincount(codes, minlength=len(held))
     often = np.argsort(-held, kind="stable")[: (held > 1).sum()]  # what many have is side by side
     place = np.full(len(words), -1, np.int32)
     place[often], words = np.arange(len(often)), words[often]
-    every = place[every]
-    ends = np.concatenate([[0], np.cumsum(every >= 0)])[np.cumsum(sizes)]
-    every = every[every >= 0]
-    starts = np.concatenate([[0], ends])[: len(ends)]
-    lengths = ends - starts
+    sizes, lengths, every = [], [], []
+    while parts:  # a part of the rows at a time
+        many, codes = parts.pop(0)
+        codes = place[codes]
+        sizes.append(many)
+        lengths.append(np.diff(np.concatenate([[0], np.cumsum(codes >= 0)])[np.concatenate([[0], np.cumsum(many)])]))
+        every.append(codes[codes >= 0])
+    sizes, lengths, every = (np.concatenate(v) for v in (sizes, lengths, every))
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     owners = table["owner"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     marks = np.zeros(len(words), np.uint64)  # of each term, which of up to 64 rows have it
 
